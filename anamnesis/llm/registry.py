@@ -5,6 +5,8 @@ from __future__ import annotations
 from anamnesis.llm.q_bpe import op2_bpe_round_trip
 from anamnesis.llm.q_media import op3_media_fingerprints
 from anamnesis.llm.q_packing import op4_best_fit_packing
+from anamnesis.llm.q_secrets import op6_secret_scan
+from anamnesis.llm.q_sharding import op9_lpt_shards
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +14,8 @@ QUERIES = {
         op2_bpe_round_trip,
         op3_media_fingerprints,
         op4_best_fit_packing,
+        op6_secret_scan,
+        op9_lpt_shards,
     )
 }
 ORACLES: dict[str, str] = {}
