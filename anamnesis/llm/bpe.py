@@ -38,7 +38,7 @@ MAX_VOCABULARY_BYTES = 64 << 20
 WORDS_REMEMBERED = 300_000
 
 
-def _char_class(*categories: str) -> str:
+def char_class(*categories: str) -> str:
     """Ranges of the code points whose general category starts so, for a regex class."""
     parts, start = [], None
     for point in range(sys.maxunicode + 2):
@@ -83,7 +83,7 @@ class WordBpe:
         symbols = _byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + suffix] for s in symbols]
-        letters, numbers = _char_class("L"), _char_class("N")
+        letters, numbers = char_class("L"), char_class("N")
         self.find_words = re.compile(
             f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+"
         ).findall

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from anamnesis.llm.q_bpe import op2_bpe_round_trip
+from anamnesis.llm.q_langid import op7_language_id
 from anamnesis.llm.q_media import op3_media_fingerprints
 from anamnesis.llm.q_packing import op4_best_fit_packing
 from anamnesis.llm.q_secrets import op6_secret_scan
@@ -15,6 +16,7 @@ QUERIES = {
         op3_media_fingerprints,
         op4_best_fit_packing,
         op6_secret_scan,
+        op7_language_id,
         op9_lpt_shards,
     )
 }
