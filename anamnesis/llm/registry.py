@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from anamnesis.llm.q_bpe import op2_bpe_round_trip
 from anamnesis.llm.q_hnsw import op10_hnsw_neighbours
+from anamnesis.llm.q_jaccard import op8_ngram_jaccard
 from anamnesis.llm.q_langid import op7_language_id
 from anamnesis.llm.q_media import op3_media_fingerprints
 from anamnesis.llm.q_packing import op4_best_fit_packing
@@ -18,6 +19,7 @@ QUERIES = {
         op4_best_fit_packing,
         op6_secret_scan,
         op7_language_id,
+        op8_ngram_jaccard,
         op9_lpt_shards,
         op10_hnsw_neighbours,
     )
