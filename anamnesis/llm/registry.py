@@ -8,12 +8,14 @@ from anamnesis.llm.q_jaccard import op8_ngram_jaccard
 from anamnesis.llm.q_langid import op7_language_id
 from anamnesis.llm.q_media import op3_media_fingerprints
 from anamnesis.llm.q_packing import op4_best_fit_packing
+from anamnesis.llm.q_pii import op1_pii_pseudonyms
 from anamnesis.llm.q_secrets import op6_secret_scan
 from anamnesis.llm.q_sharding import op9_lpt_shards
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_pii_pseudonyms,
         op2_bpe_round_trip,
         op3_media_fingerprints,
         op4_best_fit_packing,
