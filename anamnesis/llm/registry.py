@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from anamnesis.llm.q_bpe import op2_bpe_round_trip
+from anamnesis.llm.q_extraction import op5_main_text
 from anamnesis.llm.q_hnsw import op10_hnsw_neighbours
 from anamnesis.llm.q_jaccard import op8_ngram_jaccard
 from anamnesis.llm.q_langid import op7_language_id
@@ -19,6 +20,7 @@ QUERIES = {
         op2_bpe_round_trip,
         op3_media_fingerprints,
         op4_best_fit_packing,
+        op5_main_text,
         op6_secret_scan,
         op7_language_id,
         op8_ngram_jaccard,
