@@ -8,7 +8,7 @@ vocabulary's strings.
 The vocabulary file (the JSON format of the ``tokenizers`` library, with byte-level
 symbols and an end-of-word suffix) is read once on the driver, its size is checked,
 and it is broadcast. Words repeat, so each Python worker keeps a bounded table of
-words that it has encoded.
+what it has encoded between white space.
 
 Defined cases: a null text counts as empty and gives no ids; special tokens that occur
 in a text become their ids; repeated rows give repeated results; an empty table gives
@@ -23,10 +23,13 @@ import re
 import sys
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +37,10 @@ from anamnesis.llm.common import map_rows, pick
 
 #: A vocabulary file may be this large; it is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Words that a worker remembers; then it starts anew.
-WORDS_REMEMBERED = 300_000
+#: Texts between white space that a worker remembers. Longer ones it forgets.
+CHUNKS_REMEMBERED = 600_000
+LONG_CHUNK = 64
+BLOCK_CHARS = 6_000_000
 
 
 def char_class(*categories: str) -> str:
@@ -55,6 +60,11 @@ def char_class(*categories: str) -> str:
 SPACE = "\t-\r \x85\xa0  -     　"
 
 
+split_space = re.compile(f"[{SPACE}]+").split
+#: Controls that Python's ``split`` takes for white space, but the property doesn't have.
+has_controls = re.compile("[\x1c-\x1f]").search
+
+
 def _byte_symbols() -> list[str]:
     """A printable character for each byte: itself if printable, else one from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -84,11 +94,14 @@ class WordBpe:
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + suffix] for s in symbols]
         letters, numbers = char_class("L"), char_class("N")
+        # the alternatives begin with different characters, but for the last two
         self.find_words = re.compile(
-            f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+"
+            f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACE}{letters}{numbers}]+"
         ).findall
-        self.split_special = re.compile(f"({'|'.join(map(re.escape, self.special))})").split
+        special = re.compile(f"({'|'.join(map(re.escape, self.special))})")
+        self.split_special, self.has_special = special.split, special.search
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what is used again moves to the table; the rest is forgotten
 
     def encode_word(self, word: str) -> list[int]:
         raw = word.encode()
@@ -116,30 +129,71 @@ class WordBpe:
                 heappush(queue, (found[0], k, symbols[k], merged, found[1]))
         return [s for s in symbols if s >= 0]
 
-    def _learn(self, words: list[str]) -> None:
-        for word in words:
-            self.table[word] = array("I", self.encode_word(word)).tobytes()
+    def _learn(self, chunks: list[str]) -> None:
+        for chunk in chunks:
+            ids = [i for word in self.find_words(chunk) for i in self.encode_word(word)]
+            self.table[chunk] = array("I", ids).tobytes()
 
-    def _plain(self, text: str) -> bytes:
+    def _prepare(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words = self.find_words(text.lower())
-        table = self.table
-        if len(table) > WORDS_REMEMBERED:
-            table.clear()
-        if unknown := [*{*words}.difference(table)]:
+        return text.lower()
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """White space always ends a word, so what stands between can be encoded by itself."""
+        table, older = self.table, self.older
+        if len(table) > CHUNKS_REMEMBERED // 2:
+            older, table = table, {}
+            self.table, self.older = table, older
+        table.update((c, older[c]) for c in chunks if c in older and c not in table)
+        if unknown := [c for c in chunks if c not in table]:
             self._learn(unknown)
-        return b"".join([table[w] for w in words])
+        out = [table[c] for c in chunks]
+        for chunk in unknown:
+            if len(chunk) > LONG_CHUNK:
+                del table[chunk]
+        return out
+
+    def _plain(self, text: str) -> bytes:
+        chunks = split_space(self._prepare(text))
+        known = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+        found = self._encode_chunks([*known])
+        return b"".join([found[known[c]] for c in chunks])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if "<" not in text:
-            return self._plain(text)
         parts = self.split_special(text)
         return b"".join(
             array("I", [self.special[p]]).tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts)
         )
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """``encode`` for many texts, in blocks of about ``BLOCK_CHARS``. Splitting and looking up
+        what repeats are array operations; texts with special tokens or odd controls go singly."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK_CHARS):
+                size += len(texts[end])
+                end += 1
+            block, at = texts[at:end], end
+            single = {i for i, t in enumerate(block) if self.has_special(t) or has_controls(t)}
+            array_ = pa.array(["" if i in single else self._prepare(t) for i, t in enumerate(block)], pa.large_string())
+            pieces = pc.utf8_split_whitespace(array_)
+            # empty pieces stand where white space begins or ends a text; they have no ids
+            coded = pieces.flatten().dictionary_encode()
+            found = self._encode_chunks(coded.dictionary.to_pylist())
+            flat = np.frombuffer(b"".join(found), np.uint32)
+            count = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            first = np.cumsum(count) - count
+            which = coded.indices.to_numpy()
+            sizes = count[which]
+            ends = np.cumsum(sizes)
+            ids = flat[np.repeat(first[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+            text_ends = np.concatenate([[0], ends])[pieces.offsets.to_numpy()] * 4
+            for i, (a, b) in enumerate(zip(text_ends[:-1].tolist(), text_ends[1:].tolist())):
+                yield self.encode(block[i]) if i in single else ids[a:b]
+
     def decode(self, ids: bytes) -> str:
         """The vocabulary's strings with a space between, as without a decoder rule."""
         numbers = array("I")
@@ -173,8 +227,7 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def rows(batches):
         bpe = worker_bpe(vocabulary.value)
         for batch in batches:
-            for key, text in zip(batch["id"], batch["text"]):
-                ids = bpe.encode(text or "")
+            for key, ids in zip(batch["id"], bpe.encode_all([t or "" for t in batch["text"]])):
                 yield key, len(ids) // 4, ids, bpe.decode(ids)
 
     return map_rows(

@@ -18,6 +18,7 @@ table gives an empty result; columns besides the id and the text are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -42,20 +43,33 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class LibraryBpe(WordBpe):
-    """The library encodes the words that the worker hasn't met."""
+    """The library encodes what the worker hasn't met."""
 
     def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__(text)
-        self.library = Tokenizer.from_str(text)
-        self.library.no_padding()
-        self.library.no_truncation()
-
-    def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
-            self.table[word] = array("I", found.ids).tobytes()
+        spec = json.loads(text)
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.is_end = np.array([t.endswith(suffix) for t in self.strings])
+        # texts are normalised and split already; the library gets words with spaces between
+        spec |= {"normalizer": None, "truncation": None, "padding": None}
+        spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.library = Tokenizer.from_str(json.dumps(spec))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """One call for many chunks: a chunk has as many end marks as words."""
+        for i in range(0, len(chunks), 20_000):
+            part = chunks[i : i + 20_000]
+            words = [self.find_words(c) for c in part]
+            joined = " ".join([w for mine in words for w in mine])
+            ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, np.uint32)
+            ends = np.concatenate([[0], np.flatnonzero(self.is_end[ids]) + 1])
+            flat, last = ids.tobytes(), 0
+            for chunk, end in zip(part, (4 * ends[np.cumsum([*map(len, words)])]).tolist(), strict=True):
+                self.table[chunk] = flat[last:end]
+                last = end
 
 
 _built: dict[int, LibraryBpe] = {}
@@ -76,8 +90,8 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc
     def rows(batches):
         bpe = _worker_bpe(vocabulary.value)
         for batch in batches:
-            for key, text in zip(batch["id"], batch["text"]):
-                ids = bpe.encode(text or "") + end
+            for key, ids in zip(batch["id"], bpe.encode_all([t or "" for t in batch["text"]])):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     yield key, piece, at // 4, len(part) // 4, zlib.crc32(part)
