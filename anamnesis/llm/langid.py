@@ -28,6 +28,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,12 @@ ORDERS = (1, 2, 3)
 SWITCH_PENALTY = 6.0
 #: A word's log-likelihood ratio counts up to here.
 WORST = -12.0
-WORDS_REMEMBERED = 300_000
+#: Letters that the model tells apart.
+ALPHABET = 60
+#: Texts between white space that a worker remembers; then it starts anew.
+CHUNKS_REMEMBERED = 400_000
+#: Of longer words the beginning is scored.
+LONG_WORD = 1000
 UNKNOWN = "und"
 #: A language is a candidate for a script that this share of its letters has.
 SCRIPT_SHARE = 0.02
@@ -55,8 +61,11 @@ SCRIPT_STARTS = [
     (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "Other"), (0xFF21, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Other"),
     (0x20000, "Han"), (0x32000, "Other"),
 ]
+SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 _starts = [s for s, _ in SCRIPT_STARTS]
-_find_words = re.compile(f"[{char_class('L')}]+")
+_script_of_block = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
+_words = re.compile(f"[{char_class('L')}]+")
+_find_words, _each_word = _words.findall, _words.finditer
 
 
 def script_of(word: str) -> str:
@@ -73,63 +82,113 @@ def grams(word: str) -> list[str]:
 
 
 class LanguageModel:
-    def __init__(self, langs: list[str], scripts: dict[str, list[int]], table: dict[str, tuple], floor: dict[str, tuple]):
-        """``langs``: the most frequent first; ``scripts``: languages by script; ``table``:
-        log-probabilities by n-gram; ``floor``: those of an unseen n-gram, by its order."""
-        self.langs, self.scripts, self.table, self.floor = langs, scripts, table, floor
-        self.known: dict[str, tuple[tuple, bool]] = {}
-
-    def score(self, word: str) -> tuple[tuple, bool]:
-        """Relative log-likelihoods by language, and whether any language has the script."""
-        script = script_of(word)
-        candidates = self.scripts.get(script, [])
-        if not candidates:
-            return (0.0,) * len(self.langs), False
-        total = [0.0] * len(self.langs)
-        for gram in grams(word.lower()):
-            values = self.table.get(gram) or self.floor["=" if gram[0] == "=" and len(gram) > 1 else str(len(gram))]
-            for k in candidates:
-                total[k] += values[k]
-        best = max(total[k] for k in candidates)
-        return tuple(
-            max(WORST, (total[k] - best) / len(ORDERS)) if k in candidates else 2 * WORST
-            for k in range(len(self.langs))
-        ), True
+    """Log-probabilities of n-grams over a small alphabet, as dense arrays, and of whole words.
+
+    Letters beyond the ``ALPHABET`` most frequent share one place, so the model's size is
+    bounded by the number of languages.
+    """
+
+    def __init__(self, langs: list[str], scripts: np.ndarray, letters: dict[str, int], tables: list[np.ndarray], words: dict[str, tuple], unseen: tuple):
+        """``langs``: the most frequent first; ``scripts``: whether a language (column) is a candidate
+        for a script (row, by ``SCRIPTS``); ``letters``: places in the alphabet; ``tables``: by order."""
+        self.langs, self.scripts, self.tables, self.words, self.unseen = langs, scripts, tables, words, unseen
+        self.places = np.full(1 << 16, 2, np.int64)
+        for letter, place in letters.items():
+            if ord(letter) < 1 << 16:
+                self.places[ord(letter)] = place
+        self.known: dict[str, list[int]] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget the chunks met; scores of their words are rows of ``scores``."""
+        self.known.clear()
+        self.scores = np.zeros((1024, len(self.langs)), np.float32)
+        self.weights = np.zeros((1024, 2), np.int64)  # letters, and those that count
+        self.used = 0
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Relative log-likelihoods of words by language, and whether any language has the script."""
+        text = "<" + "><".join(words) + ">"
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        start = np.cumsum(size) - size
+        letters = self.places[np.minimum(codes, 0xFFFF)]
+        letters[start], letters[start + size - 1] = 0, 1
+        total = np.array([self.words.get(w, self.unseen) for w in words], np.float32)
+        index = np.zeros(len(letters), np.int64)
+        for n, table in zip(ORDERS, self.tables):
+            index = index * len(self.tables[0])
+            index[: len(index) - n + 1] += letters[n - 1 :]
+            values = table[index]
+            for k in range(1, n):  # n-grams that would run over a word's end
+                values[start + size - k] = 0
+            total += np.add.reduceat(values, start, axis=0)
+        script = np.searchsorted(_starts, codes[start + 1], side="right") - 1
+        candidate = self.scripts[_script_of_block[script]]
+        total = np.where(candidate, total, -np.inf)
+        best = total.max(axis=1, keepdims=True)
+        any_ = candidate.any(axis=1)
+        relative = np.maximum(WORST, (total - np.where(any_[:, None], best, 0)) / len(ORDERS))
+        relative = np.where(candidate, relative, 2 * WORST)
+        relative[~any_] = 0
+        return relative.astype(np.float32), any_
+
+    def _learn(self, chunks: list[str]) -> None:
+        words = [_find_words(c) for c in chunks]
+        flat = [w.lower()[:LONG_WORD] for mine in words for w in mine]
+        if flat:
+            found, counted = self.score(flat)
+            while self.used + len(flat) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
+            here = slice(self.used, self.used + len(flat))
+            length = [len(w) for mine in words for w in mine]
+            self.scores[here], self.weights[here, 0] = found, length
+            self.weights[here, 1] = length * counted
+        at = self.used
+        for chunk, mine in zip(chunks, words):
+            self.known[chunk] = [at, len(mine)]
+            at += len(mine)
+        self.used = at
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
         """For each text its language, the score, and spans (language, start, end) that tile it."""
-        index: dict[str, int] = {}
-        found = [_find_words.findall(t) if t else [] for t in texts]
-        lengths = np.array([len(w) for w in found], np.int64)
         out: list = [(UNKNOWN, 0.0, [])] * len(texts)
-        if not self.langs or not lengths.any():
+        if not self.langs or not texts:
+            return out
+        pieces = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = pieces.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        if len(self.known) > CHUNKS_REMEMBERED:
+            self.reset()
+        if unknown := [c for c in chunks if c not in self.known]:
+            self._learn(unknown)
+        begin, count = np.array([self.known[c] for c in chunks], np.int64).reshape(-1, 2).T
+        which = coded.indices.to_numpy()
+        sizes = count[which]
+        ends = np.cumsum(sizes)
+        ids = np.repeat(begin[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        borders = np.concatenate([[0], ends])[pieces.offsets.to_numpy()]
+        first, lengths = borders[:-1], np.diff(borders)
+        if not len(ids):
             return out
-        ids = np.fromiter((index.setdefault(w, len(index)) for words in found for w in words), np.int32, int(lengths.sum()))
-        if len(self.known) > WORDS_REMEMBERED:
-            self.known.clear()
-        for word in index.keys() - self.known.keys():
-            self.known[word] = self.score(word)
-        scores = np.array([self.known[w][0] for w in index], np.float32)
-        weight = np.array([len(w) for w in index], np.int64)
-        counted = weight * np.array([self.known[w][1] for w in index])
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        path = viterbi(ids, first, lengths, scores)
+        path = viterbi(ids, first, lengths, self.scores)
         for i in np.flatnonzero(lengths):
             here = slice(first[i], first[i] + lengths[i])
-            mine, labels = ids[here], path[here]
-            letters = np.bincount(labels, counted[mine], len(self.langs))
+            labels, weight = path[here], self.weights[ids[here]]
+            letters = np.bincount(labels, weight[:, 1], len(self.langs))
             best = min(range(len(self.langs)), key=lambda k: (-letters[k], self.langs[k]))
             if not letters[best]:
                 best = 0
             changes = np.flatnonzero(np.diff(labels)) + 1
             spans = [0]
             if len(changes):
-                at = [m.start() for m in _find_words.finditer(texts[i])]
+                at = [m.start() for m in _each_word(texts[i])]
                 spans += [at[k] for k in changes]
             names = [self.langs[labels[k]] for k in [0, *changes]]
             out[i] = (
                 self.langs[best],
-                float(letters[best] / weight[mine].sum()),
+                float(letters[best] / weight[:, 0].sum()),
                 [*zip(names, spans, [*spans[1:], len(texts[i])])],
             )
         return out
@@ -181,7 +240,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS)
         for batch in batches:
             words: dict[str, Counter] = {}
             for lang, text in zip(batch["lang"], batch["text"]):
-                words.setdefault(lang, Counter()).update(_find_words.findall((text or "").lower()))
+                words.setdefault(lang, Counter()).update(_find_words((text or "").lower()))
             for lang, mine in words.items():
                 total: Counter = Counter()
                 for word, times in mine.items():
@@ -212,26 +271,31 @@ def build(found: list[tuple[str, str, int]]) -> LanguageModel:
         else:
             by_gram.setdefault(gram, {})[lang] = n
     langs = sorted(letters, key=lambda k: (-letters[k].total(), k))
-    scripts: dict[str, list[int]] = {}
+    scripts = np.zeros((len(SCRIPTS), max(1, len(langs))), bool)
     for k, lang in enumerate(langs):
         for script, n in letters[lang].items():
-            if n >= SCRIPT_SHARE * letters[lang].total():
-                scripts.setdefault(script, []).append(k)
-    order = lambda gram: "=" if gram[0] == "=" and len(gram) > 1 else str(len(gram))
-    totals: dict[str, Counter] = {}
-    kinds: Counter = Counter()
-    for gram, mine in by_gram.items():
-        totals.setdefault(order(gram), Counter()).update(mine)
-        kinds[order(gram)] += 1
-    floor = {
-        o: tuple(log(0.5 / (totals.get(o, {}).get(lang, 0) + 0.5 * kinds[o] + 1)) for lang in langs)
-        for o in [*map(str, ORDERS), "="]
-    }
-    table = {
-        gram: tuple(log(mine.get(lang, 0) + 0.5) - log(0.5) + floor[order(gram)][k] for k, lang in enumerate(langs))
-        for gram, mine in by_gram.items()
+            scripts[SCRIPTS.index(script), k] = n >= SCRIPT_SHARE * letters[lang].total()
+    single = Counter({g: sum(mine.values()) for g, mine in by_gram.items() if len(g) == 1 and g not in "<>="})
+    places = {"<": 0, ">": 1} | {g: 3 + i for i, (g, _) in enumerate(sorted(single.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])}
+    width = 3 + ALPHABET
+    tables = []
+    for n in ORDERS:
+        counts = np.zeros((width**n, max(1, len(langs))))
+        for gram, mine in by_gram.items():
+            if len(gram) == n and (gram[0] != "=" or n == 1):
+                at = 0
+                for letter in gram:
+                    at = at * width + places.get(letter, 2)
+                for k, lang in enumerate(langs):
+                    counts[at, k] += mine.get(lang, 0)
+        kinds = np.count_nonzero(counts.any(axis=1)) + 1
+        tables.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * kinds)).astype(np.float32))
+    whole = {g[1:]: mine for g, mine in by_gram.items() if g[0] == "=" and len(g) > 1}
+    totals = [sum(mine.get(lang, 0) for mine in whole.values()) + 0.5 * len(whole) + 1 for lang in langs]
+    words = {
+        w: tuple(log((mine.get(lang, 0) + 0.5) / totals[k]) for k, lang in enumerate(langs)) for w, mine in whole.items()
     }
-    return LanguageModel(langs, scripts, table, floor)
+    return LanguageModel(langs, scripts[:, : len(langs)], places, [t[:, : len(langs)] for t in tables], words, tuple(log(0.5 / t) for t in totals))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
