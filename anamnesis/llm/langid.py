@@ -318,3 +318,20 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         rows,
         lambda row: 80 + 48 * len(row[3]),
     )
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which some learned language has a score of at least ``least``, with all
+    columns as they are. Whole batches are filtered, so nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    places = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                found = shared.value.label(part.column(at).to_pylist())
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+
+    return places.mapInArrow(run, places.schema).toDF(*docs.columns)
