@@ -38,7 +38,7 @@ from anamnesis.llm.common import map_rows, pick
 #: A vocabulary file may be this large; it is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Texts between white space that a worker remembers. Longer ones it forgets.
-CHUNKS_REMEMBERED = 600_000
+CHUNKS_REMEMBERED = 400_000
 LONG_CHUNK = 64
 BLOCK_CHARS = 6_000_000
 
@@ -103,6 +103,9 @@ class WordBpe:
         self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what is used again moves to the table; the rest is forgotten
 
+    def forget(self) -> None:
+        self.table, self.older = {}, {}
+
     def encode_word(self, word: str) -> list[int]:
         raw = word.encode()
         symbols = [self.inner[b] for b in raw]
@@ -212,6 +215,11 @@ def worker_bpe(text: str) -> WordBpe:
     return _built[key]
 
 
+def forget_all() -> None:
+    for bpe in _built.values():
+        bpe.forget()
+
+
 def read_vocabulary(path: str) -> str:
     file = Path(path)
     if file.stat().st_size > MAX_VOCABULARY_BYTES:
@@ -236,4 +244,5 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         pa.schema([(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())]),
         rows,
         lambda row: 64 + len(row[2]) + len(row[3]),
+        forget_all,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -42,17 +43,38 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Hand rows to Python in batches of 2000 instead of 10,000, as whole texts are large.
+
+    A session that has its own batch size keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+    return spark
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system; workers live longer than tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def map_rows(
     df: DataFrame,
     schema: str,
     arrow: pa.Schema,
     rows: Callable[[Iterator[dict[str, list]]], Iterable[tuple]],
     size: Callable[[tuple], int] = lambda row: 64,
+    done: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """``mapInArrow`` for functions from columns of Python values to output tuples.
 
     Output goes out in batches of about ``FLUSH_BYTES``, so that memory stays bounded
-    whatever the texts' lengths.
+    whatever the texts' lengths. ``done`` is called at a task's end, to empty tables.
     """
 
     def run(batches):
@@ -70,7 +92,11 @@ def map_rows(
                 held, weight = [], 0
         if held:
             yield to_batch(held, arrow)
+        held = []
+        done()
+        release()
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import durable, map_rows, pick
+from anamnesis.llm.common import durable, map_rows, pick, release
 from anamnesis.llm.components import components
 
 WORDS = 5
@@ -50,7 +50,7 @@ TARGET_RECALL = 0.9999
 #: five standard deviations below the mean.
 SIGNATURE_SHARE = 0.62
 BLOCK = 1024
-WORDS_REMEMBERED = 400_000
+WORDS_REMEMBERED = 250_000
 #: Elements hashed at once.
 CHUNK = 16_384
 
@@ -154,6 +154,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
         ),
         rows,
         lambda row: 900,
+        lambda: _hashers.clear(),
     )
 
 
@@ -319,6 +320,8 @@ def jaccard_classes(
             sets = [hasher.elements(text) for text in group["text"]]
             out = verify(group["row"], group["own"], group["weight"], sets, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["row", "links", "root"])
+        _hashers.clear()
+        release()
 
     checked = durable(
         pairs.repartition(parts, "root", "one", "two")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bpe import char_class
-from anamnesis.llm.common import map_rows, pick
+from anamnesis.llm.common import bounded, map_rows, pick, release
 
 MAX_DOCS = 6_000
 MAX_GRAMS = 150_000
@@ -44,7 +44,7 @@ WORST = -12.0
 #: Letters that the model tells apart.
 ALPHABET = 60
 #: Texts between white space that a worker remembers; then it starts anew.
-CHUNKS_REMEMBERED = 400_000
+CHUNKS_REMEMBERED = 250_000
 #: Of longer words the beginning is scored.
 LONG_WORD = 1000
 UNKNOWN = "und"
@@ -96,7 +96,7 @@ class LanguageModel:
         for letter, place in letters.items():
             if ord(letter) < 1 << 16:
                 self.places[ord(letter)] = place
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, int] = {}  # first row of scores << 31 | number of words
         self.reset()
 
     def reset(self) -> None:
@@ -147,7 +147,7 @@ class LanguageModel:
             self.weights[here, 1] = length * counted
         at = self.used
         for chunk, mine in zip(chunks, words):
-            self.known[chunk] = [at, len(mine)]
+            self.known[chunk] = at << 31 | len(mine)
             at += len(mine)
         self.used = at
 
@@ -163,7 +163,8 @@ class LanguageModel:
             self.reset()
         if unknown := [c for c in chunks if c not in self.known]:
             self._learn(unknown)
-        begin, count = np.array([self.known[c] for c in chunks], np.int64).reshape(-1, 2).T
+        places = np.array([self.known[c] for c in chunks], np.int64)
+        begin, count = places >> 31, places & 0x7FFFFFFF
         which = coded.indices.to_numpy()
         sizes = count[which]
         ends = np.cumsum(sizes)
@@ -317,6 +318,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         pa.schema([(id_col, pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(one))]),
         rows,
         lambda row: 80 + 48 * len(row[3]),
+        lambda: shared.value.reset(),
     )
 
 
@@ -333,5 +335,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text_co
                 part = batch.slice(i, 2000)
                 found = shared.value.label(part.column(at).to_pylist())
                 yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+        shared.value.reset()
+        release()
 
+    bounded(docs.sparkSession)
     return places.mapInArrow(run, places.schema).toDF(*docs.columns)

@@ -82,6 +82,11 @@ def _worker_bpe(text: str) -> LibraryBpe:
     return _built[key]
 
 
+def _forget_all() -> None:
+    for bpe in _built.values():
+        bpe.forget()
+
+
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents: ``doc_id, piece, start, length, ids_crc32``."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
@@ -109,6 +114,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc
             ]
         ),
         rows,
+        done=_forget_all,
     )
 
 
