@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 FOLDED = r"[\t\n\x0B\f\r\p{Z}\x{FEFF}\p{P}\p{S}]+"
@@ -40,7 +41,7 @@ IMAGE_MARK, CODE_MARK = "[图片]", "[代码块]"
 GROUNDING_TOKEN = r"[一-鿿]{2,}|[A-Za-z0-9]{4,}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no built-in function for it."""
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))

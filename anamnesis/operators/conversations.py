@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import clip, scrub, squeeze
@@ -13,7 +13,9 @@ QUERY_CHARS = 20_000
 # Headings of a context's parts.
 SUMMARY_LABEL, VERBATIM_LABEL, GISTS_LABEL = "话题概要：", "最近用户轮原文：\n", "逐轮纪要（新→旧）：\n"
 
-_newest = Window.partitionBy("topic_id").orderBy(F.desc("reply_id"))
+
+def _newest() -> WindowSpec:
+    return Window.partitionBy("topic_id").orderBy(F.desc("reply_id"))
 
 
 def numbered_turns(turns: DataFrame, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -28,7 +30,7 @@ def numbered_turns(turns: DataFrame, conversation: str = "conv_id", order: str =
 
 def last_turns(replies: DataFrame, n: int = VERBATIM_TURNS) -> DataFrame:
     """The last ``n`` turns of each topic."""
-    return replies.withColumn("_n", F.row_number().over(_newest)).where(F.col("_n") <= n).drop("_n")
+    return replies.withColumn("_n", F.row_number().over(_newest())).where(F.col("_n") <= n).drop("_n")
 
 
 def latest_unanswered(replies: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def packed_context(replies: DataFrame, summary: Column, budget: int = CONTEXT_CH
     until the first that has no room. ``summary`` is a column of ``replies``. The lines are
     counted once against the budget.
     """
-    n = F.row_number().over(_newest)
+    n = F.row_number().over(_newest())
     line = F.when(F.col("gist") != "", F.col("gist")).otherwise(F.concat(F.lit("用户："), clip(squeeze(F.col("query")), GIST_CHARS)))
     number = F.length(F.col("reply_id").cast("string")) + 2
     rows = replies.select(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anamnesis.deploy import durable
 from anamnesis.functions.text import digest, strip
 from anamnesis.operators.ranking import numbered
 from anamnesis.schema import KINDS
@@ -115,7 +116,8 @@ def apply_actions(memories: DataFrame, actions: DataFrame, tombstones: DataFrame
     ``actions`` has ``seq, action, target_id, owner, cwd, kind, domain, summary, content, keywords, origin,
     confidence, source``."""
     flagged = flag_tombstoned(actions, tombstones, "content")
-    folded = fold_actions(memories, flagged)
+    # several results use the folds; their nested plan must not grow with each
+    folded = durable(fold_actions(memories, flagged))
     top = memories.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     made = new_rows(flagged, folded, top + 1)
     pointer = made.where("replaces IS NOT NULL").groupBy(F.col("replaces").alias("id")).agg(F.max_by("id", "seq").alias("_by"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anamnesis.deploy import durable
 from anamnesis.operators.merging import apply_actions, valid_decisions, verified
 from anamnesis.operators.ranking import numbered
 from anamnesis.operators.segments import greedy_segments, segment_texts
@@ -42,12 +43,13 @@ def run(store: SnapshotStore, lines: DataFrame, judge: Judge, at: Column, as_of:
     memories, tombstones, state = (store.read(t) for t in ("memories", "tombstones", "distill_state"))
     fresh = new_lines(lines, state)
     transcript, errors = parse(fresh)
-    segments = segments_of(transcript)
+    # a model's decisions must not be asked for twice, and plans stay small
+    segments = durable(segments_of(transcript))
     worth = judge.decide("triage", segments.where("NOT skipped")).where("worth").select("path", "segment")
     reading = segments.join(worth, ["path", "segment"], "left_semi")
-    found = judge.decide("extract", reading).withColumn("owner", F.lit(owner))
-    found = verified(found, judge.decide("verify", found))
-    decisions = valid_decisions(judge.decide("merge", found), found, memories)
+    found = durable(judge.decide("extract", reading).withColumn("owner", F.lit(owner)))
+    found = durable(verified(found, judge.decide("verify", found)))
+    decisions = durable(valid_decisions(judge.decide("merge", found), found, memories))
     ranked = numbered(decisions.select("index").distinct(), "index", "seq")
     actions = (
         decisions.join(found.select("index", "origin", "confidence", F.col("path").alias("source")), "index")
@@ -55,7 +57,8 @@ def run(store: SnapshotStore, lines: DataFrame, judge: Judge, at: Column, as_of:
         .withColumn("cwd", F.lit(None).cast("string"))
         .select("seq", "action", "target_id", "owner", "cwd", "kind", "domain", "summary", "content", "keywords", "origin", "confidence", "source")
     )
-    merged, log = apply_actions(memories, actions, tombstones, at)
+    merged, log = apply_actions(memories, durable(actions), tombstones, at)
+    merged = durable(merged)
     old = decayed(merged.withColumn("last_seen", F.to_date("last_seen_at")), as_of).drop("last_seen")
     kept, gone = archive(merged, old, "decay", at)
     through = fresh.groupBy(F.col("path").alias("session_file")).agg((F.max("line_no") + 1).alias("processed_bytes"))

@@ -13,19 +13,16 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType
 
 DECISIONS = {
-    step: StructType.fromDDL(ddl)
-    for step, ddl in {
-        "triage": "path string, segment long, worth boolean",
-        "extract": "path string, segment long, index long, kind string, domain string, summary string, content string,"
-        " keywords array<string>, origin string, confidence double",
-        "verify": "index long, verdict string, confidence double, origin string",
-        "merge": "index long, action string, target_id long, kind string, domain string, summary string, content string, keywords array<string>",
-        "pick": "place long, id long, profile_id long",
-        "inbox-filter": "path string, offset long, keep boolean",
-    }.items()
+    "triage": "path string, segment long, worth boolean",
+    "extract": "path string, segment long, index long, kind string, domain string, summary string, content string,"
+    " keywords array<string>, origin string, confidence double",
+    "verify": "index long, verdict string, confidence double, origin string",
+    "merge": "index long, action string, target_id long, kind string, domain string, summary string, content string, keywords array<string>",
+    "pick": "place long, id long, profile_id long",
+    "inbox-filter": "path string, offset long, keep boolean",
 }
 
 
@@ -83,7 +80,7 @@ def first_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _first_json(answers: pd.Series) -> pd.Series:
     return answers.map(first_json)
 

@@ -22,8 +22,6 @@ from anamnesis.schema import STATUSES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-AS_OF = F.lit(X.AS_OF).cast("date")
-SINCE = F.lit("2024-01-08").cast("timestamp_ntz")
 MEM = f"WITH mem AS ({X.MEMORIES_SQL})"
 OWN = "owner = 'default' AND status = 'active'"
 REP = f"WITH rep AS ({X.REPLIES_SQL})"
@@ -43,6 +41,14 @@ def query(sql: str | None = None):
     return add
 
 
+def as_of():
+    return F.lit(X.AS_OF).cast("date")
+
+
+def since():
+    return F.lit("2024-01-08").cast("timestamp_ntz")
+
+
 def text_day(column: str = "last_seen"):
     return F.date_format(column, "yyyy-MM-dd").alias(column)
 
@@ -56,7 +62,7 @@ def _tokens(spark, sf):
 @query(REQ + """ SELECT strftime(seen_at, '%Y-%m-%d') AS day, step, CAST(sum(req_bytes) AS BIGINT) AS input, CAST(sum(res_bytes) AS BIGINT) AS output
     FROM req WHERE seen_at >= TIMESTAMP '2024-01-08' GROUP BY 1, 2""")
 def token_usage_daily(spark, sf):
-    return L.token_usage(_tokens(spark, sf), SINCE)
+    return L.token_usage(_tokens(spark, sf), since())
 
 
 @query(REQ + """ SELECT strftime(seen_at, '%Y-%m-%d') AS day,
@@ -71,7 +77,7 @@ def spend_by_day(spark, sf):
           FROM req WHERE seen_at >= TIMESTAMP '2024-01-08')
     GROUP BY GROUPING SETS ((day, category), (client, category))""")
 def activity_grouping_sets(spark, sf):
-    return L.activity(X.requests(spark, sf), SINCE)
+    return L.activity(X.requests(spark, sf), since())
 
 
 @query(REQ + " SELECT id, category, client, req_bytes FROM req ORDER BY id DESC LIMIT 30")
@@ -118,7 +124,7 @@ def scope_cwd(spark, sf):
 
 @query(MEM + f" SELECT id, evidence, pinned FROM mem WHERE {OWN} AND (pinned = 1 OR evidence >= 3 OR last_seen >= DATE '2024-07-01' - 60)")
 def merge_candidates_gate(spark, sf):
-    return S.merge_candidates(X.memories(spark, sf), AS_OF, 60).select("id", "evidence", "pinned")
+    return S.merge_candidates(X.memories(spark, sf), as_of(), 60).select("id", "evidence", "pinned")
 
 
 @query(MEM + f" SELECT id, summary, content FROM mem WHERE {OWN} AND pinned = 1 ORDER BY confidence DESC, evidence DESC, id LIMIT 5")
@@ -278,13 +284,13 @@ def channel_union(spark, sf):
 
 @query((MEM + BM25 + LIKES + UNION + " SELECT id, round(score, 6) AS score FROM fused WHERE (cwd = '/p/src3' OR cwd IS NULL OR kind IN ('preference', 'fact', 'knowledge')) ORDER BY fused.score DESC, channel, id LIMIT 5").replace("STATUSES", ACTIVE))
 def recall_fast_topk(spark, sf):
-    rows = R.fast_recall(X.memories(spark, sf), _ask(spark, sf), AS_OF, 5, scope="smart", cwd="/p/src3")
+    rows = R.fast_recall(X.memories(spark, sf), _ask(spark, sf), as_of(), 5, scope="smart", cwd="/p/src3")
     return rows.select("id", F.round("score", 6).alias("score"))
 
 
 @query((MEM + BM25 + LIKES + UNION + " SELECT id, status, round(score, 6) AS score FROM fused ORDER BY fused.score DESC, channel, id LIMIT 10").replace("STATUSES", EVERY))
 def recall_excavate_topk(spark, sf):
-    rows = R.fast_recall(X.memories(spark, sf), _ask(spark, sf), AS_OF, 10, excavate=True)
+    rows = R.fast_recall(X.memories(spark, sf), _ask(spark, sf), as_of(), 10, excavate=True)
     return rows.select("id", "status", F.round("score", 6).alias("score"))
 
 
@@ -292,7 +298,7 @@ def recall_excavate_topk(spark, sf):
 def ledger_filtered_recall(spark, sf):
     memories = X.memories(spark, sf)
     given = memories.where("id % 3 = 0").select(F.concat(F.lit("m:"), F.col("id").cast("string")).alias("item"))
-    rows = R.fast_recall(memories, _ask(spark, sf), AS_OF, 8, ledger=given)
+    rows = R.fast_recall(memories, _ask(spark, sf), as_of(), 8, ledger=given)
     return rows.select("id", F.round("score", 6).alias("score"))
 
 
@@ -411,18 +417,18 @@ def nightly_budget(spark, sf):
     SELECT id FROM d WHERE status <> 'archived' AND (owner, digest) NOT IN (SELECT (owner, digest) FROM d WHERE status = 'archived')""")
 def tombstone_blocked(spark, sf):
     memories = X.memories(spark, sf)
-    stones = M.tombstones_of(memories.where("status = 'archived'"), "archived", AS_OF)
+    stones = M.tombstones_of(memories.where("status = 'archived'"), "archived", as_of())
     return M.without_tombstoned(memories.where("status != 'archived'"), stones).select("id")
 
 
 @query(MEM + " SELECT id FROM mem WHERE status = 'active' AND pinned = 0 AND origin = 'agent_inferred' AND confidence < 0.7 AND last_seen < DATE '2024-07-01' - 90")
 def decay_candidates(spark, sf):
-    return U.decayed(X.memories(spark, sf), AS_OF).select("id")
+    return U.decayed(X.memories(spark, sf), as_of()).select("id")
 
 
 @query(MEM + " SELECT id FROM mem WHERE status = 'active' AND pinned = 0 AND evidence < 5 AND last_seen < DATE '2024-07-01' - 30")
 def absorb_eligible(spark, sf):
-    return X.memories(spark, sf).where(U.absorbable(AS_OF)).select("id")
+    return X.memories(spark, sf).where(U.absorbable(as_of())).select("id")
 
 
 @query(MEM + f""", m AS (SELECT coalesce(nullif(trim(domain), ''), 'general') AS domain, id, CAST(id AS VARCHAR) || ':' || strftime(last_seen, '%Y-%m-%d') AS mark FROM mem WHERE {OWN})
@@ -476,7 +482,7 @@ def absorption(spark, sf):
     rows = memories.where("owner = 'default'").groupBy((F.col("id") % 50).alias("id")).agg(F.collect_list("id").alias("memory_ids"))
     parent = F.when(F.col("id") > 0, 0)
     profiles = rows.withColumns({"maturity": F.when(F.size("memory_ids") >= 5, "mature").otherwise("seeding"), "parent_id": parent})
-    return U.absorb(memories, profiles, AS_OF)
+    return U.absorb(memories, profiles, as_of())
 
 
 @query("""WITH o AS (SELECT s_suppkey AS id, 'default' AS owner, 't' || s_suppkey AS theme, s_name AS title, 'old' AS abstract, CASE WHEN s_suppkey % 4 = 0 THEN 'archived' ELSE 'active' END AS status, s_nationkey AS version FROM supplier)
@@ -489,10 +495,10 @@ def profile_upsert(spark, sf):
     s, none = X.table(spark, sf, "supplier"), F.array().cast("array<long>")
     key = F.concat(F.lit("t"), F.col("s_suppkey").cast("string"))
     rest = {"owner": F.lit("default"), "content": F.lit("c"), "memory_ids": none, "maturity": F.lit("mature"), "parent_id": F.lit(None).cast("long")}
-    old = s.select(F.col("s_suppkey").alias("id"), key.alias("theme"), F.col("s_name").alias("title"), F.lit("old").alias("abstract"), F.when(F.col("s_suppkey") % 4 == 0, "archived").otherwise("active").alias("status"), F.col("s_nationkey").cast("long").alias("version"), AS_OF.alias("updated_at")).withColumns(rest)
+    old = s.select(F.col("s_suppkey").alias("id"), key.alias("theme"), F.col("s_name").alias("title"), F.lit("old").alias("abstract"), F.when(F.col("s_suppkey") % 4 == 0, "archived").otherwise("active").alias("status"), F.col("s_nationkey").cast("long").alias("version"), as_of().alias("updated_at")).withColumns(rest)
     new = s.where("s_suppkey % 2 = 0").select(key.alias("theme"), F.concat(F.lit("new "), "s_name").alias("title"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise("fresh").alias("abstract"))
     more = X.table(spark, sf, "region").select(F.concat(F.lit("x"), F.col("r_regionkey").cast("string")).alias("theme"), F.col("r_name").alias("title"), F.lit("fresh").alias("abstract"))
-    out = U.upsert_profiles(old, new.unionByName(more).withColumns(rest), AS_OF)
+    out = U.upsert_profiles(old, new.unionByName(more).withColumns(rest), as_of())
     return out.select("theme", "title", "abstract", "status", "version")
 
 

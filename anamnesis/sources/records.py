@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LONG, END, ARGUMENT, RESULT, SKELETON = 50_000, 25_000, 300, 500, 500
 LINE_BYTES = 2 << 20
@@ -108,7 +109,7 @@ def slim_record(line: str | None, agent: str | None, limit: int = LINE_BYTES) ->
     return _fit(record, limit)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _slimmed(lines: pd.Series, agents: pd.Series) -> pd.Series:
     return pd.Series([slim_record(line, agent) for line, agent in zip(lines, agents)])
 
