@@ -55,7 +55,7 @@ class Page:
             name = m[2] or m[5]
             if not name:
                 continue
-            name, closing, rest = name.lower(), m[1] or m[4], m[3] or m[6]
+            name, closing, rest = name.lower(), m[1] or m[4], m[3] or m[6] or ""
             if name in INLINE:
                 if name == "a":
                     link = -1 if closing else len(stack)

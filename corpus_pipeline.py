@@ -41,7 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     classes = jaccard_classes(docs)
     nameless = F.when(F.col("class_id").isNull(), F.col("text_hash"))
-    heads = classes.groupBy("class_id", nameless).agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).select("head")
+    heads = classes.groupBy("class_id", nameless).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("head")).select("head")
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("_hash") == F.col("head.text_hash"))
     return keyed.join(heads, same).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
