@@ -124,3 +124,11 @@ def status_label(status: Column) -> Column:
         .when(status == "archived", "archived")
         .otherwise("")
     )
+
+
+def head_and_tail(text: Column, size: int = 100_000, end: int = 50_000) -> Column:
+    """A text of more than ``size`` characters as its two ends, with what is left out named."""
+    left = F.length(text) - 2 * end
+    mark = F.concat(F.lit("\n…["), left.cast("string"), F.lit(" chars omitted]…\n"))
+    short = F.concat(F.substring(text, 1, end), mark, F.right(text, F.lit(end)))
+    return F.when(F.length(text) > size, short).otherwise(text)

@@ -72,3 +72,24 @@ def fresh_strip(memories: DataFrame, owner: str, built: Column, limit: int = 8)
 def pool_in_order(memories: DataFrame, owner: str, scope: str, cwd: str | None, cap: int = 300) -> DataFrame:
     """The whole store as a selector's pool: oldest ids first, so a prompt's beginning stays the same."""
     return owned(memories, owner).where(in_scope(scope, cwd)).orderBy("id").limit(cap)
+
+
+def profiles_newest_first(profiles: DataFrame, owner: str, status: str = "active") -> DataFrame:
+    rows = profiles.where((F.col("owner") == owner) & (F.col("status") == status))
+    return rows.orderBy(F.desc("updated_at"), "id")
+
+
+def owners(memories: DataFrame) -> DataFrame:
+    return memories.select("owner").distinct()
+
+
+def material(memories: DataFrame, owner: str, each: int = 2000) -> DataFrame:
+    """What chapters are made of: active rows and absorbed ones, the last seen of each."""
+    newest = lambda status: owned(memories, owner, (status,)).orderBy(F.desc("last_seen"), "id").limit(each)
+    return newest("active").unionByName(newest("absorbed"))
+
+
+def wanted(demands: DataFrame, owner: str, limit: int = 10) -> DataFrame:
+    """The domains most asked for."""
+    rows = demands.where(F.col("owner") == owner)
+    return rows.orderBy(F.desc("demand_count"), F.desc("last_demand_at"), "domain").limit(limit)

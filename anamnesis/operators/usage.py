@@ -55,3 +55,10 @@ def machine_ledger(pushes: DataFrame) -> DataFrame:
     return pushes.groupBy("machine").agg(
         F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.max_by("ip", F.struct("at", "ip")).alias("ip"), F.sum("bytes").alias("bytes")
     )
+
+
+def run_totals(log: DataFrame) -> DataFrame:
+    """Tokens and calls of each run."""
+    return log.where("run_id IS NOT NULL").groupBy("run_id").agg(
+        F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"), F.count("*").alias("calls")
+    )

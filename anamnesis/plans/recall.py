@@ -12,7 +12,7 @@ from anamnesis.operators.ranking import union_first
 from anamnesis.operators.selection import in_scope, owned
 from anamnesis.schema import STATUSES
 
-MATCHES, SHORT_MATCHES, RECENT = 60, 20, 20
+MATCHES, SHORT_MATCHES, RECENT, SAME_DOMAIN = 60, 20, 20, 30
 #: BM25 as full-text indexes have it.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FIELDS = ("summary", "keywords", "content")
@@ -91,12 +91,17 @@ def matches(memories: DataFrame, query: str, owner: str, statuses: tuple[str, ..
     return both.orderBy(F.desc("hit_score"), F.desc("last_seen"), "id").limit(limit)
 
 
-def candidates(memories: DataFrame, query: str, owner: str, statuses: tuple[str, ...]) -> DataFrame:
-    """Matches, the most recent and the pinned memories; ``channel`` says which found a row first."""
+def candidates(memories: DataFrame, query: str, owner: str, statuses: tuple[str, ...], domains: tuple[str, ...] = ()) -> DataFrame:
+    """Matches, the most recent and the pinned memories, and the best supported of ``domains``;
+    ``channel`` says which found a row first."""
     own = owned(memories, owner, statuses)
     recent = own.orderBy(F.desc("last_seen"), "id").limit(RECENT).withColumn("hit_score", F.lit(NO_HIT))
     pinned = own.where("pinned = 1").withColumn("hit_score", F.lit(NO_HIT))
-    return union_first([matches(memories, query, owner, statuses), recent, pinned], "id")
+    channels = [matches(memories, query, owner, statuses), recent, pinned]
+    if domains:
+        same = own.where(F.col("domain").isin(*domains)).orderBy(F.desc("evidence"), F.desc("last_seen"), "id").limit(SAME_DOMAIN)
+        channels.append(same.withColumn("hit_score", F.lit(NO_HIT)))
+    return union_first(channels, "id")
 
 
 def fused_score(as_of: Column) -> Column:

@@ -16,8 +16,13 @@ from anamnesis.operators import selection as S
 from anamnesis.operators import upkeep as U
 from anamnesis.operators import usage as L
 from anamnesis.operators.ranking import numbered, union_first
+from anamnesis.plans import dream as D
+from anamnesis.plans import pick as P
 from anamnesis.plans import recall as R
 from anamnesis.schema import STATUSES
+from anamnesis.sources import inbox as I
+from anamnesis.sources import sessions as E
+from anamnesis.sources import sync as Y
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -581,3 +586,192 @@ def dense_ids(spark, sf):
 def first_channel_wins(spark, sf):
     rows = X.memories(spark, sf).select("id")
     return union_first([rows.where("id % 2 = 0"), rows.where("id % 3 = 0")], "id")
+
+
+# ---- sessions, pushes, files ---------------------------------------------------------------
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN NULL WHEN doc_id % 6 = 2 THEN NULL
+        WHEN doc_id % 6 = 3 THEN source || '-' || doc_id || '.jsonl' WHEN doc_id % 6 = 4 THEN NULL ELSE 'x/' || source END AS safe FROM documents""")
+def path_sanitiser(spark, sf):
+    end = F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".jsonl"))
+    kind = F.col("doc_id") % 6
+    name = (
+        F.when(kind == 0, F.concat(F.lit("../"), end)).when(kind == 1, F.concat(F.lit("/"), end)).when(kind == 2, F.concat(F.lit("C:"), end))
+        .when(kind == 3, end).when(kind == 4, F.concat(F.lit("a b"), end)).otherwise(F.concat(F.lit("x/"), "source"))
+    )
+    return X.table(spark, sf, "documents").select("doc_id", Y.safe_path(name, True).alias("safe"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'session-' || doc_id WHEN doc_id % 3 = 1 THEN 'stem-of-a-file-' || doc_id
+        ELSE substr(sha256(substr(text, 1, 4096)), 1, 32) END AS uid FROM documents""")
+def session_uids(spark, sf):
+    rows, n = X.table(spark, sf, "documents"), F.col("doc_id").cast("string")
+    agent = F.when(F.col("doc_id") % 3 == 0, "claude-code").otherwise("pi")
+    first = F.concat(F.lit('{"sessionId": "session-'), n, F.lit('"}'))
+    stem = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("stem-of-a-file-"), n)).otherwise("short")
+    return rows.select("doc_id", E.session_uid(agent, first, stem, F.col("text")).alias("uid"))
+
+
+@query("SELECT user_id % 5 AS machine, user_id AS uid, max(event_id) + 1 AS line_count FROM events GROUP BY 1, 2")
+def sync_state(spark, sf):
+    lines = X.table(spark, sf, "events").select((F.col("user_id") % 5).alias("machine"), F.col("user_id").alias("uid"), F.col("event_id").alias("line_no"))
+    return Y.session_state(lines)
+
+
+@query("""WITH RECURSIVE p AS (SELECT event_id AS push, user_id AS uid, (event_id % 3) * 10 AS size, CASE WHEN user_id % 4 = 0 THEN 60 END AS total, event_id % 5 AS late,
+            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, sum((event_id % 3) * 10) OVER (PARTITION BY user_id ORDER BY event_id) - (event_id % 3) * 10 AS plain FROM events WHERE event_id < 4000)
+    , f AS (SELECT uid, CAST(0 AS BIGINT) AS n, CAST(uid % 2 * 10 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS push, '' AS outcome FROM (SELECT DISTINCT uid FROM p)
+        UNION ALL SELECT f.uid, p.n, CAST(CASE WHEN total IS NOT NULL AND f.pos >= total THEN f.pos WHEN plain + f.uid % 2 * 10 = f.pos THEN f.pos + size ELSE f.pos END AS BIGINT), p.push,
+            CASE WHEN total IS NOT NULL AND f.pos >= total THEN 'complete' WHEN plain + f.uid % 2 * 10 = f.pos THEN 'stored' ELSE 'offset' END
+        FROM f JOIN p ON p.uid = f.uid AND p.n = f.n + 1)
+    SELECT uid, push, outcome, pos AS expected FROM f WHERE n > 0""")
+def byte_pushes(spark, sf):
+    from pyspark.sql import Window
+
+    size = ((F.col("event_id") % 3) * 10).cast("long")
+    before = F.sum(size).over(Window.partitionBy("user_id").orderBy("event_id")) - size
+    pushes = X.table(spark, sf, "events").where("event_id < 4000").select(
+        F.col("event_id").alias("push"), F.lit("m").alias("machine"), F.col("user_id").alias("uid"), (before + F.col("user_id") % 2 * 10).alias("offset"),
+        size.alias("size"), F.when(F.col("user_id") % 4 == 0, 60).cast("long").alias("total"),
+    )
+    stored = pushes.select("machine", "uid").distinct().withColumn("bytes", F.col("uid") % 2 * 10)
+    return Y.placed_bytes(pushes, stored).select("uid", "push", "outcome", "expected")
+
+
+@query("""SELECT s_suppkey AS uid, 'new/' || s_suppkey AS path, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE least(s_suppkey * 10, 300) END AS processed FROM supplier""")
+def carried_over_offsets(spark, sf):
+    key = F.col("s_suppkey")
+    name = lambda c: F.concat(F.lit(c), key.cast("string"))
+    rows = X.table(spark, sf, "supplier")
+    incoming = rows.select(key.alias("uid"), name("new/").alias("path"), F.lit(300).cast("long").alias("bytes"))
+    known = rows.where("s_suppkey % 3 != 0").select(key.alias("uid"), name("old/").alias("path"))
+    state = rows.select(name("old/").alias("path"), (key * 10).alias("processed_bytes"))
+    return Y.carried_over(incoming, known, state)
+
+
+@query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) + 1 AS size FROM conversations)
+    WHERE turn >= CASE WHEN conv_id % 3 = 0 THEN 0 WHEN size < conv_id % 7 THEN 0 ELSE conv_id % 7 END""")
+def lines_to_read(spark, sf):
+    name = F.concat(F.lit("p"), F.col("conv_id").cast("string"))
+    lines = X.table(spark, sf, "conversations").select(name.alias("path"), F.col("turn").alias("line_no"), "conv_id")
+    state = lines.where("conv_id % 3 != 0").select(F.col("path").alias("session_file"), (F.col("conv_id") % 7).alias("processed_bytes")).distinct()
+    return D.new_lines(lines, state).select("conv_id", F.col("line_no").alias("turn"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'pending' WHEN doc_id % 5 = 0 THEN 'error' WHEN s = 'pending' AND doc_id % 3 <> 0 AND doc_id % 7 <> 0 THEN 'skipped'
+        WHEN s = 'skipped' AND doc_id % 7 = 0 THEN 'slimmed' WHEN s = 'pending' THEN 'slimmed' WHEN s IN ('slimmed', 'filtering') AND doc_id % 11 = 0 THEN 'done'
+        WHEN s = 'slimmed' THEN 'filtering' ELSE s END AS next
+    FROM (SELECT doc_id, ['pending', 'skipped', 'slimmed', 'filtering', 'done'][CAST(doc_id % 5 + 1 AS INT)] AS s FROM documents)""")
+def inbox_states(spark, sf):
+    n = F.col("doc_id")
+    states = F.array(*map(F.lit, ("pending", "skipped", "slimmed", "filtering", "done")))
+    state = F.element_at(states, (n % 5 + 1).cast("int"))
+    out = I.next_state(state, n % 2 != 0, n % 3 == 0, n % 7 == 0, n % 11 == 0, F.when(n % 5 == 0, "failed"))
+    return X.table(spark, sf, "documents").select("doc_id", out.alias("next"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 4 <> 1")
+def kept_windows(spark, sf):
+    rows = X.table(spark, sf, "documents").select("doc_id", "source")
+    verdicts = rows.where("doc_id % 2 = 1").select("doc_id", (F.col("doc_id") % 4 != 1).alias("keep"))
+    return I.kept_windows(rows, verdicts, ["doc_id"])
+
+
+@query(r"""SELECT conv_id, turn, '【' || CASE role WHEN 'user' THEN '用户' ELSE 'AI' END || '】' || regexp_replace(text, '^[\t\n\x0B\f\r\p{Z}\x{FEFF}]+|[\t\n\x0B\f\r\p{Z}\x{FEFF}]+$', '', 'g') AS line
+    FROM conversations WHERE role <> 'system' AND length(regexp_replace(text, '^[\t\n\x0B\f\r\p{Z}\x{FEFF}]+|[\t\n\x0B\f\r\p{Z}\x{FEFF}]+$', '', 'g')) >= 2""")
+def dialogue_slimming(spark, sf):
+    record = F.to_json(F.struct(F.lit("message").alias("type"), F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message")))
+    rows = X.table(spark, sf, "conversations").select("conv_id", "turn", I.slim_line(record).alias("line"))
+    return rows.where("line IS NOT NULL")
+
+
+@query(r"""SELECT conv_id, turn, '[' || role || '] ' || regexp_replace(text, '^[\t\n\x0B\f\r\p{Z}\x{FEFF}]+|[\t\n\x0B\f\r\p{Z}\x{FEFF}]+$', '', 'g') AS line FROM conversations
+    WHERE length(regexp_replace(text, '^[\t\n\x0B\f\r\p{Z}\x{FEFF}]+|[\t\n\x0B\f\r\p{Z}\x{FEFF}]+$', '', 'g')) > 0""")
+def session_transcripts(spark, sf):
+    record = F.to_json(F.struct(F.lit("message").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    lines = X.table(spark, sf, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line_no"), record.alias("value"))
+    return E.parse_pi(lines).select(F.col("path").alias("conv_id"), F.col("line_no").alias("turn"), "line")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 500) || chr(10) || '…[' || (length(text) - 1000) || ' chars omitted]…' || chr(10) || right(text, 500) ELSE text END AS clipped FROM documents")
+def head_tail_clip(spark, sf):
+    return X.table(spark, sf, "documents").select("doc_id", T.head_and_tail(F.col("text"), 2000, 500).alias("clipped"))
+
+
+@query("SELECT page_id, replace(trim(' a/' || page_id || '/b '), '/', '-') AS theme FROM pages")
+def theme_names(spark, sf):
+    raw = F.concat(F.lit(" a/"), F.col("page_id").cast("string"), F.lit("/b "))
+    return X.table(spark, sf, "pages").select("page_id", T.theme_name(raw).alias("theme"))
+
+
+# ---- decisions -----------------------------------------------------------------------------
+
+@query(MEM + " SELECT id AS index, CASE WHEN id % 4 = 0 THEN 0.25 ELSE confidence END AS confidence, CASE WHEN id % 6 = 0 THEN 'mixed' ELSE origin END AS origin FROM mem WHERE id % 2 = 0")
+def verify_verdicts(spark, sf):
+    rows = X.memories(spark, sf).select(F.col("id").alias("index"), "confidence", "origin")
+    verdicts = rows.select(
+        "index", F.when(F.col("index") % 2 == 0, "keep").otherwise("drop").alias("verdict"), F.when(F.col("index") % 4 == 0, 0.25).alias("confidence"),
+        F.when(F.col("index") % 6 == 0, "mixed").alias("origin"),
+    )
+    return M.verified(rows, verdicts)
+
+
+@query(MEM + """ SELECT c.id AS index, CASE c.id % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'REINFORCE' WHEN 2 THEN 'REFINE' ELSE 'SUPERSEDE' END AS action,
+        CASE WHEN c.id % 4 > 0 THEN c.id + 1 END AS target_id FROM mem c LEFT JOIN mem t ON t.id = c.id + 1
+    WHERE c.id % 4 = 0 OR (t.status = 'active' AND t.owner = c.owner AND (c.id % 4 = 1 OR (c.id % 5 <> 0 AND (c.id % 4 = 2 OR c.id % 3 <> 0))))""")
+def merge_decisions_valid(spark, sf):
+    memories, n = X.memories(spark, sf), F.col("id")
+    found = memories.select(n.alias("index"), "owner")
+    action = F.element_at(F.array(*map(F.lit, ("NEW", "REINFORCE", "REFINE", "SUPERSEDE"))), (n % 4 + 1).cast("int"))
+    decisions = memories.select(
+        n.alias("index"), action.alias("action"), F.when(n % 4 > 0, n + 1).alias("target_id"), F.when(n % 3 != 0, "s").alias("summary"),
+        F.when(n % 5 != 0, "c").otherwise("").alias("content"), F.array(F.lit("k")).alias("keywords"),
+    )
+    return M.valid_decisions(decisions, found, memories).select("index", "action", "target_id")
+
+
+@query(MEM + f""", pool AS (SELECT id FROM mem WHERE {OWN} ORDER BY id LIMIT 300), d AS (SELECT item_id * 7 % 40 + 1 AS id, min(item_id) AS place FROM benchmark GROUP BY 1)
+    SELECT id, CAST(row_number() OVER (ORDER BY place, id) AS BIGINT) AS n FROM pool JOIN d USING (id) ORDER BY place, id LIMIT 8""")
+def picked_in_order(spark, sf):
+    from pyspark.sql import Window
+
+    pool = S.pool_in_order(X.memories(spark, sf), "default", "all", None)
+    decisions = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("place"), (F.col("item_id") * 7 % 40 + 1).alias("id"))
+    rows = P.chosen(pool, decisions, 8)
+    return rows.select("id", F.row_number().over(Window.orderBy("place", "id")).cast("long").alias("n"))
+
+
+@query(MEM + " SELECT 'c' || CAST(id % 3 AS VARCHAR) AS conversation, id, summary FROM mem WHERE id % 5 = 0")
+def already_given(spark, sf):
+    memories = X.memories(spark, sf)
+    ledger = memories.where("id % 5 = 0").select(F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("conversation"), F.concat(F.lit("m:"), F.col("id").cast("string")).alias("item"))
+    return P.already_given(ledger, memories)
+
+
+@query((MEM + BM25 + LIKES + UNION + """, dom AS (SELECT id FROM own WHERE domain IN ('fr', 'es') ORDER BY evidence DESC, last_seen DESC, id LIMIT 30)
+    SELECT id, min(c) AS channel FROM (SELECT id, channel AS c FROM ch UNION ALL SELECT id, 3 FROM dom) GROUP BY id""").replace("STATUSES", ACTIVE))
+def domain_channel(spark, sf):
+    rows = R.candidates(X.memories(spark, sf), _ask(spark, sf), "default", ("active",), ("fr", "es"))
+    return rows.select("id", "channel")
+
+
+@query(REQ + " SELECT 'r' || CAST(user_id % 25 AS VARCHAR) AS run_id, CAST(sum(req_bytes) AS BIGINT) AS input, CAST(sum(res_bytes) AS BIGINT) AS output, count(*) AS calls FROM req WHERE user_id % 25 <> 0 GROUP BY 1")
+def run_totals(spark, sf):
+    run = F.when(F.col("user_id") % 25 != 0, F.concat(F.lit("r"), (F.col("user_id") % 25).cast("string")))
+    rows = X.requests(spark, sf).select(run.alias("run_id"), F.col("req_bytes").alias("input_tokens"), F.col("res_bytes").alias("output_tokens"))
+    return L.run_totals(rows)
+
+
+@query(MEM + """ (SELECT id, status FROM mem WHERE owner = 'default' AND status = 'active' ORDER BY last_seen DESC, id LIMIT 200)
+    UNION ALL (SELECT id, status FROM mem WHERE owner = 'default' AND status = 'absorbed' ORDER BY last_seen DESC, id LIMIT 200)""")
+def chapter_material(spark, sf):
+    return S.material(X.memories(spark, sf), "default", 200).select("id", "status")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'recall' WHEN 1 THEN 'memories' WHEN 2 THEN 'sync' ELSE 'other' END AS category,
+        CASE page_id % 3 WHEN 0 THEN 'me' WHEN 1 THEN 'agent' ELSE '10.0.0.1' END AS client FROM pages""")
+def request_attribution(spark, sf):
+    n = F.col("page_id")
+    path = F.element_at(F.array(*map(F.lit, ("/recall", "/memories/7", "/sync/push", "/x.html"))), (n % 4 + 1).cast("int"))
+    header, agent = F.when(n % 3 == 0, " me ").otherwise(""), F.when(n % 3 == 1, "agent/1.2 (x)").otherwise("")
+    return X.table(spark, sf, "pages").select("page_id", L.category_of(path).alias("category"), L.client_of(header, agent, F.lit("10.0.0.1")).alias("client"))

@@ -67,3 +67,27 @@ def batches(lines: DataFrame, key: str, order: str, size: Column, most: int = 4
 
     sized = lines.withColumn("_size", size)
     return greedy_segments(sized, key, order, "_size", most).withColumnRenamed("segment", "request")
+
+
+def placed_bytes(pushes: DataFrame, stored: DataFrame) -> DataFrame:
+    """``machine, uid, push, outcome, expected`` of pushes by byte offset.
+
+    ``pushes``: ``push, machine, uid, offset, size, total``; ``stored``: ``machine, uid, bytes``. A push that
+    begins where its session ends is ``stored``; one of a session that is complete is ``complete``; any
+    other is told the offset that is expected. In a batch a push follows the earlier ones.
+    """
+    have = F.coalesce("bytes", F.lit(0)).cast("long")
+    rows = pushes.join(stored, ["machine", "uid"], "left").withColumn("have", have)
+    packs = rows.groupBy("machine", "uid", "have").agg(F.sort_array(F.collect_list(F.struct("push", "offset", "size", "total"))).alias("each"))
+    start = F.struct(F.col("have").alias("at"), F.array().cast("array<struct<push:bigint,outcome:string,expected:bigint>>").alias("out"))
+
+    def step(state: Column, p: Column) -> Column:
+        complete = p["total"].isNotNull() & (state["at"] >= p["total"])
+        fits = ~complete & (p["offset"] == state["at"])
+        outcome = F.when(complete, "complete").when(fits, "stored").otherwise("offset")
+        at = state["at"] + F.when(fits, p["size"]).otherwise(0)
+        row = F.struct(p["push"].alias("push"), outcome.alias("outcome"), at.cast("long").alias("expected"))
+        return F.struct(at.cast("long").alias("at"), F.concat(state["out"], F.array(row)).alias("out"))
+
+    folded = packs.select("machine", "uid", F.aggregate("each", start, step, lambda s: s["out"]).alias("out"))
+    return folded.select("machine", "uid", F.inline("out"))
