@@ -44,7 +44,9 @@ WORST = -12.0
 #: Letters that the model tells apart.
 ALPHABET = 60
 #: Texts between white space that a worker remembers; then it starts anew.
-CHUNKS_REMEMBERED = 250_000
+CHUNKS_REMEMBERED = 150_000
+#: Texts that are labelled together.
+BLOCK_ROWS = 1000
 #: Of longer words the beginning is scored.
 LONG_WORD = 1000
 UNKNOWN = "und"
@@ -306,9 +308,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def rows(batches):
         for batch in batches:
-            for i in range(0, len(batch["id"]), 2000):  # bounds what labelling holds at once
-                texts = batch["text"][i : i + 2000]
-                for key, (lang, score, spans) in zip(batch["id"][i : i + 2000], shared.value.label(texts)):
+            for i in range(0, len(batch["id"]), BLOCK_ROWS):  # bounds what labelling holds at once
+                texts = batch["text"][i : i + BLOCK_ROWS]
+                for key, (lang, score, spans) in zip(batch["id"][i : i + BLOCK_ROWS], shared.value.label(texts)):
                     yield key, lang, score, [{"lang": a, "start": b, "end": c} for a, b, c in spans]
 
     one = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -331,8 +333,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text_co
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(i, BLOCK_ROWS)
                 found = shared.value.label(part.column(at).to_pylist())
                 yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
         shared.value.reset()
