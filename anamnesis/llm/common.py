@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -63,6 +64,13 @@ def release() -> None:
         pass  # another C library
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete shuffles whose results are checkpointed and that nothing refers to any more;
+    it does so when the driver's garbage is collected, which may otherwise take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_rows(
     df: DataFrame,
     schema: str,

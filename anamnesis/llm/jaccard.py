@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import durable, map_rows, pick, release
+from anamnesis.llm.common import durable, map_rows, pick, release, settle
 from anamnesis.llm.components import components
 
 WORDS = 5
@@ -255,37 +255,15 @@ def verify(rows: list[int], own: list[int], weights: list[int], sets: list[np.nd
         yield rows[order[i]], int(links[i]), rows[order[find(i)]]
 
 
-def jaccard_classes(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    words: int = WORDS,
-    block: int = BLOCK,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``text_hash`` (xxhash64 of the text), ``copy_id`` (the
-    smallest id of those with an equal element set), ``class_id`` (the smallest id of the connected
-    class) and ``n_links`` (how many other rows are at least so similar)."""
-    k = depth(threshold, TREES, TARGET_RECALL, MAX_DEPTH)
-    texts = (
-        pick(docs, id_col, text_col)
-        .toDF("id", "text")
-        .select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    )
-    base = durable(sketches(texts, words, k)).withColumn("row", F.monotonically_increasing_id())
-    copies = durable(
-        base.where("same is not null").groupBy("same").agg(F.min("row").alias("row"), F.count("*").alias("weight"), F.min("doc_id").alias("copy_id"))
-    )
-    heads = base.join(copies.select("row"), "row", "left_semi")
-
-    # the forest's prefixes with several documents, in cells of bounded size
+def gather(heads: DataFrame, share: float, block: int) -> DataFrame:
+    """``row, root``: components of documents that share a prefix and whose signatures agree. The
+    forest's prefixes with several documents are dealt to cells of bounded size."""
     prefixes = heads.where("keys is not null").select("row", F.explode("keys").alias("key"))
     several = prefixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     cells = dealt(prefixes.join(several, "key"), ["key"], "n", block)
     lists = cells.groupBy("key", "one", "two").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     lists = lists.where(F.size("rows") > 1).select("rows").distinct()  # trees often agree
     members = lists.select(F.xxhash64("rows").alias("cell"), F.explode("rows").alias("row"))
-    share = SIGNATURE_SHARE - (THRESHOLD - threshold)
 
     def connect(batches):
         for group in in_groups(batches, ["cell"]):
@@ -293,7 +271,7 @@ def jaccard_classes(
             if edges := list(connect_similar(group["row"], signatures, share)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], names=["a", "b"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = (
         members.join(heads.select("row", "signature"), "row")
         .repartition(parts, "cell")
@@ -301,9 +279,12 @@ def jaccard_classes(
         .select("cell", "row", "signature")
         .mapInArrow(connect, "a long, b long")
     )
-    gathered = durable(components(edges).withColumnRenamed("node", "row"))
+    return durable(components(edges).withColumnRenamed("node", "row"))
+
 
-    # exact comparison within components; only their texts are read again
+def compared(gathered: DataFrame, heads: DataFrame, copies: DataFrame, texts: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
+    """``row, links, root`` of exact comparisons within components; only their texts are read again."""
+    parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = gathered.join(gathered.groupBy("root").agg(F.count("*").alias("n")), "root")
     sized = sized.join(heads.select("row", "doc_id", "text_hash"), "row").join(copies.select("row", "weight"), "row")
     full = sized.withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"}).join(
@@ -323,11 +304,40 @@ def jaccard_classes(
         _hashers.clear()
         release()
 
-    checked = durable(
+    return durable(
         pairs.repartition(parts, "root", "one", "two")
         .sortWithinPartitions("root", "one", "two")
         .mapInArrow(compare, "row long, links long, root long")
     )
+
+
+def jaccard_classes(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    words: int = WORDS,
+    block: int = BLOCK,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``text_hash`` (xxhash64 of the text), ``copy_id`` (the
+    smallest id of those with an equal element set), ``class_id`` (the smallest id of the connected
+    class) and ``n_links`` (how many other rows are at least so similar)."""
+    k = depth(threshold, TREES, TARGET_RECALL, MAX_DEPTH)
+    texts = (
+        pick(docs, id_col, text_col)
+        .toDF("id", "text")
+        .select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    )
+    base = durable(sketches(texts, words, k)).withColumn("row", F.monotonically_increasing_id())
+    copies = durable(
+        base.where("same is not null").groupBy("same").agg(F.min("row").alias("row"), F.count("*").alias("weight"), F.min("doc_id").alias("copy_id"))
+    )
+    heads = base.join(copies.select("row"), "row", "left_semi")
+
+    gathered = gather(heads, SIGNATURE_SHARE - (THRESHOLD - threshold), block)
+    settle(docs.sparkSession)
+    checked = compared(gathered, heads, copies, texts, words, threshold, block)
+    settle(docs.sparkSession)
     classes = components(checked.select(F.col("row").alias("a"), F.col("root").alias("b")))
     named = (
         copies.join(classes.withColumnRenamed("node", "row"), "row", "left")
@@ -336,6 +346,8 @@ def jaccard_classes(
     )
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     named = named.join(least, "root").select("same", "copy_id", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
+    named = durable(named)
+    settle(docs.sparkSession)
     return base.join(named, "same", "left").select(
         "doc_id",
         "text_hash",
