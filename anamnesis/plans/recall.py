@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from anamnesis.deploy import durable
 from anamnesis.functions.text import terms_of
 from anamnesis.operators.ranking import union_first
 from anamnesis.operators.selection import in_scope, owned
@@ -33,68 +34,76 @@ def _has(term: str) -> Column:
     return reduce(Column.__or__, (F.col(f"_{f}").contains(term.lower()) for f in FIELDS))
 
 
-def bm25_matches(memories: DataFrame, terms: list[str], owner: str, statuses: tuple[str, ...], limit: int = MATCHES) -> DataFrame:
-    """The best matches of terms of three characters or more, with ``bm25``. One aggregate over the
-    store gives the terms' document counts and the mean length; its single row comes to the
-    driver, as there are at most twelve terms."""
-    rows = _lowered(memories)
-    long_terms = [t for t in terms if len(t) >= 3]
-    if not long_terms:
-        return rows.where("false").withColumn("bm25", F.lit(0.0)).drop(*(f"_{f}" for f in FIELDS))
+def light(memories: DataFrame) -> list[str]:
+    """All columns but the long one, which only the final rows need."""
+    return [c for c in memories.columns if c != "content"]
+
+
+def text_hits(memories: DataFrame, terms: list[str], owner: str, statuses: tuple[str, ...]) -> tuple[DataFrame, dict]:
+    """The one scan of contents: rows of the owner that hold a term, with how often (``_tf``, by long
+    term), which short terms (``_short``) and their size; and the store's counts, observed in the same
+    scan. Hits are checkpointed without contents."""
+    long_terms, short_terms = [t for t in terms if len(t) >= 3], [t for t in terms if len(t) == 2]
+    columns = light(memories)
+    if not long_terms and not short_terms:
+        none = F.array().cast("array<int>")
+        return memories.where("false").select(*columns, F.lit(0).alias("_size"), none.cast("array<double>").alias("_tf"), none.alias("_short")), {}
     size = reduce(Column.__add__, (F.greatest(F.length(f"_{f}") - 2, F.lit(0)) for f in FIELDS))
-    stats = rows.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.avg(size), F.lit(0.0)).alias("mean"),
-        *(F.count_if(_has(t)).alias(f"t{i}") for i, t in enumerate(long_terms)),
-    ).first()
+    seen = Observation()
+    counted = [F.count_if(_has(t)).alias(f"t{i}") for i, t in enumerate(long_terms)]
+    rows = _lowered(memories).observe(seen, F.count("*").alias("n"), F.coalesce(F.avg(size), F.lit(0.0)).alias("mean"), *counted)
+    tf = F.array(*(_occurrences(t).cast("double") for t in long_terms)).cast("array<double>")
+    short = F.array(*(F.when(_has(t), F.lit(i)) for i, t in enumerate(short_terms))).cast("array<int>")
+    hit = reduce(Column.__or__, (_has(t) for t in [*long_terms, *short_terms]))
+    found = owned(rows, owner, statuses).where(hit).select(
+        *columns, size.alias("_size"), tf.alias("_tf"), F.filter(short, lambda x: x.isNotNull()).alias("_short")
+    )
+    return durable(found), seen.get
+
+
+def _ranked(hits: DataFrame, stats: dict, columns: list[str], limit: int) -> DataFrame:
+    count = sum(k.startswith("t") for k in stats)
     score = F.lit(0.0)
-    norm = K1 * (F.lit(1 - B) + B * size / F.lit(max(float(stats["mean"]), 1.0)))
-    for i, term in enumerate(long_terms):
-        df = stats[f"t{i}"]
-        idf = F.greatest(F.log((F.lit(float(stats["n"] - df)) + 0.5) / F.lit(df + 0.5)), F.lit(LEAST_IDF))
-        tf = _occurrences(term).cast("double")
+    norm = K1 * (F.lit(1 - B) + B * F.col("_size") / F.lit(max(float(stats.get("mean", 0)), 1.0)))
+    for i in range(count):
+        n, df = stats["n"], stats[f"t{i}"]
+        idf = F.greatest(F.log((F.lit(float(n - df)) + 0.5) / F.lit(df + 0.5)), F.lit(LEAST_IDF))
+        tf = F.get("_tf", F.lit(i))
         score += idf * tf * (K1 + 1) / (tf + norm)
-    hit = reduce(Column.__or__, (_has(t) for t in long_terms))
-    return (
-        owned(rows, owner, statuses)
-        .where(hit)
-        .withColumn("bm25", score)
-        .orderBy(F.desc("bm25"), "id")
-        .limit(limit)
-        .drop(*(f"_{f}" for f in FIELDS))
-    )
+    rows = hits.where(F.exists("_tf", lambda x: x > 0)).withColumn("bm25", score)
+    return rows.orderBy(F.desc("bm25"), "id").limit(limit).select(*columns, "bm25")
 
 
-def short_matches(memories: DataFrame, terms: list[str], owner: str, statuses: tuple[str, ...], each: int = SHORT_MATCHES) -> DataFrame:
-    """For terms of two characters: of each the newest rows that contain it, in one scan."""
-    short = [t for t in terms if len(t) == 2]
-    rows = _lowered(owned(memories, owner, statuses))
-    if not short:
-        return memories.where("false")
-    found = F.filter(F.array(*(F.when(_has(t), F.lit(i)) for i, t in enumerate(short))), lambda x: x.isNotNull())
+def _short_rows(hits: DataFrame, columns: list[str], each: int) -> DataFrame:
     newest = Window.partitionBy("_term").orderBy(F.desc("last_seen"), F.desc("id"))
-    return (
-        rows.withColumn("_term", F.explode(found))
-        .withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("_rank") <= each)
-        .select(*memories.columns)
-        .distinct()
-    )
+    rows = hits.withColumn("_term", F.explode("_short")).withColumn("_rank", F.row_number().over(newest))
+    return rows.where(F.col("_rank") <= each).dropDuplicates(["id"]).select(*columns)
+
+
+def bm25_matches(memories: DataFrame, terms: list[str], owner: str, statuses: tuple[str, ...], limit: int = MATCHES) -> DataFrame:
+    """The best matches of terms of three characters or more, with ``bm25`` and without contents."""
+    return _ranked(*text_hits(memories, terms, owner, statuses), light(memories), limit)
+
+
+def short_matches(memories: DataFrame, terms: list[str], owner: str, statuses: tuple[str, ...], each: int = SHORT_MATCHES) -> DataFrame:
+    """For terms of two characters: of each the newest rows that contain it."""
+    return _short_rows(text_hits(memories, terms, owner, statuses)[0], light(memories), each)
 
 
 def matches(memories: DataFrame, query: str, owner: str, statuses: tuple[str, ...], limit: int = MATCHES) -> DataFrame:
     """Text matches with ``hit_score``; a row that both ways find counts as a full hit."""
-    terms = terms_of(query)
-    full = bm25_matches(memories, terms, owner, statuses, limit).select(*memories.columns, F.lit(HIT).alias("hit_score"))
-    short = short_matches(memories, terms, owner, statuses).withColumn("hit_score", F.lit(SHORT_HIT))
+    columns = light(memories)
+    hits, stats = text_hits(memories, terms_of(query), owner, statuses)
+    full = _ranked(hits, stats, columns, limit).drop("bm25").withColumn("hit_score", F.lit(HIT))
+    short = _short_rows(hits, columns, SHORT_MATCHES).withColumn("hit_score", F.lit(SHORT_HIT))
     both = union_first([full, short], "id").drop("channel")
     return both.orderBy(F.desc("hit_score"), F.desc("last_seen"), "id").limit(limit)
 
 
 def candidates(memories: DataFrame, query: str, owner: str, statuses: tuple[str, ...], domains: tuple[str, ...] = ()) -> DataFrame:
-    """Matches, the most recent and the pinned memories, and the best supported of ``domains``;
-    ``channel`` says which found a row first."""
-    own = owned(memories, owner, statuses)
+    """Matches, the most recent and the pinned memories, and the best supported of ``domains``, without
+    contents; ``channel`` says which found a row first."""
+    own = owned(memories, owner, statuses).select(*light(memories))
     recent = own.orderBy(F.desc("last_seen"), "id").limit(RECENT).withColumn("hit_score", F.lit(NO_HIT))
     pinned = own.where("pinned = 1").withColumn("hit_score", F.lit(NO_HIT))
     channels = [matches(memories, query, owner, statuses), recent, pinned]
@@ -129,4 +138,6 @@ def fast_recall(
     if ledger is not None:
         rows = rows.withColumn("item", F.concat(F.lit("m:"), F.col("id").cast("string")))
         rows = rows.join(ledger.select("item"), "item", "left_anti").drop("item")
-    return rows.orderBy(F.desc("score"), "channel", "id").limit(min(k, 20))
+    best = rows.orderBy(F.desc("score"), "channel", "id").limit(min(k, 20)).select("id", "channel", "score")
+    # at most twenty rows: a broadcast of proven size fetches their contents
+    return memories.join(F.broadcast(best), "id").orderBy(F.desc("score"), "channel", "id")
