@@ -12,8 +12,9 @@ different values different ones, and check digits and dates stay valid.
     IBAN      country and letters kept, digits permuted, check digits recomputed
     IPv4      permuted among all addresses
     SSN       permuted among all valid numbers
-    date      permuted among the 146,097 days of 1800 to 2199 (years beyond are left);
-              day.month.year, month/day/year (day first if the first number is over 12)
+    date      permuted among the 146,097 days of 1800 to 2199 (years beyond are left); year first,
+              or day.month.year, day-month-year, month/day/year (day first if the first
+              number is over 12)
     phone     digits after the country code permuted
     e-mail    letters and digits before the @ permuted within their kind, domain kept
 
@@ -35,18 +36,20 @@ ROUNDS = 8
 #: Days from the first day on, 189 x 773: the Gregorian calendar's full cycle.
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1800-01-01", 189, 773
 
-EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++)*?\.[A-Za-z]{2,}"
-ISO_DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
-OTHER_DATE = r"(?<![\w./])(?:\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!\w|[./]\d)"
+EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++){0,20}?\.[A-Za-z]{2,}"
+ISO_DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2})(?!\w|[./-]\d)"
+OTHER_DATE = r"(?<![\w./-])(?:\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?!\w|[./-]\d)"
 IPV4 = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = (
     r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
     r"|(?<![\w+])(?:\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
     r"|(?<![\w+])\+\d{1,3} \d{3} \d{3} \d{4}(?!\w)"
+    r"|(?<![\w+])\+\d{1,3}[ .-]\(?\d{1,5}\)?[ .-]\d{5,9}(?!\w)"
+    r"|(?<![\w+])\+\d{1,3}[ .-]\(?\d{1,4}\)?(?:[ .-]\d{2,4}){2,4}(?!\w)"
     r"|(?<![\w+])\+\d{8,15}(?!\w)"
 )
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)"
+IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"
 CARD = r"(?<!\w)(?:\d{13,19}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}(?: \d{4}){3}|\d{4}([ -])\d{6}\1\d{5})(?!\w)"
 CANDIDATE = "|".join((EMAIL, ISO_DATE, OTHER_DATE, IPV4, SSN, PHONE, IBAN, CARD))
 #: What every candidate has.
@@ -131,7 +134,7 @@ def _mod97(text: Column) -> Column:
     def step(s: Column, c: Column) -> Column:
         digit = c.rlike("[0-9]")
         number = F.when(digit, F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-        return F.when(c == "", s).otherwise(F.pmod(s * F.when(digit, 10).otherwise(100) + number, F.lit(97))).cast("long")
+        return F.when(c.isin("", " "), s).otherwise(F.pmod(s * F.when(digit, 10).otherwise(100) + number, F.lit(97))).cast("long")
 
     return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), step)
 
@@ -192,17 +195,18 @@ def _in_window(day: Column) -> Column:
 
 def _iso_date(key: str, value: Column) -> Column:
     def change(day: Column) -> Column:
-        return F.when(_in_window(day), F.date_format(_day(key, day), "yyyy-MM-dd")).otherwise(value)
+        new = F.replace(F.date_format(_day(key, day), "yyyy-MM-dd"), F.lit("-"), value.substr(5, 1))
+        return F.when(_in_window(day), new).otherwise(value)
 
-    return let(value.try_cast("date"), change)
+    return let(F.translate(value, "/.", "--").try_cast("date"), change)
 
 
 def _other_date(key: str, value: Column) -> Column:
-    sign = F.when(value.contains("."), F.lit(".")).otherwise(F.lit("/"))
+    sign = F.regexp_extract(value, "[./-]", 0)
 
     def change(p: Column) -> Column:
         one, two, year = (F.get(p, F.lit(i)) for i in range(3))
-        day_first = value.contains(".") | (one.cast("int") > 12)
+        day_first = (sign != "/") | (one.cast("int") > 12)
         day, month = F.when(day_first, one).otherwise(two), F.when(day_first, two).otherwise(one)
         iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
         width = F.when((F.length(one) == 2) & (F.length(two) == 2), 2).otherwise(1)
@@ -214,7 +218,7 @@ def _other_date(key: str, value: Column) -> Column:
 
         return let(iso, lambda d: F.when(_in_window(d), let(_day(key, d), shown)).otherwise(value))
 
-    return let(F.split(value, "[./]"), change)
+    return let(F.split(value, "[./-]"), change)
 
 
 def _phone(key: str, value: Column) -> Column:
@@ -261,8 +265,8 @@ def pseudonym(key: str, value: Column) -> Column:
     return (
         F.when(value.contains("@"), _email(key, value))
         .when(value.rlike(r"^[+(]"), _phone(key, value))
-        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), _iso_date(key, value))
-        .when(value.rlike(r"^\d{1,2}[./]\d{1,2}[./]\d{4}$"), _other_date(key, value))
+        .when(value.rlike(r"^\d{4}[./-]\d{2}[./-]\d{2}$"), _iso_date(key, value))
+        .when(value.rlike(r"^\d{1,2}[./-]\d{1,2}[./-]\d{4}$"), _other_date(key, value))
         .when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _ipv4(key, value))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(key, value))
         .when(value.rlike(r"^\d{3}[.-]\d{3}[.-]\d{4}$"), _phone(key, value))

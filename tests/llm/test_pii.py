@@ -96,6 +96,8 @@ def test_dates_are_a_permutation(spark):
     d = day(datetime.date(2020, 3, 4))
     assert one(spark, "3/4/2020") == f"{d.month}/{d.day}/{d.year}"
     assert one(spark, "04.03.2020") == f"{d.day:02}.{d.month:02}.{d.year}"
+    assert one(spark, "04-03-2020") == f"{d.day:02}-{d.month:02}-{d.year}"
+    assert one(spark, "2020/03/04") == d.strftime("%Y/%m/%d") and one(spark, "2020.03.04") == d.strftime("%Y.%m.%d")
     assert [one(spark, v) for v in ("2023-02-29", "1.1.1700", "99/99/2020")] == ["2023-02-29", "1.1.1700", "99/99/2020"]
 
 
@@ -113,21 +115,25 @@ def test_other_formats(spark):
     iban = one(spark, "DE89370400440532013000")
     assert iban != "DE89370400440532013000" and int(iban[4:] + "1314" + iban[2:4]) % 97 == 1
     assert one(spark, "DE88370400440532013000") == "DE88370400440532013000"
+    assert one(spark, "DE89 3704 0044 0532 0130 00") == " ".join(re.findall(".{1,4}", iban))
 
 
 def test_texts_and_links(spark):
     texts = [
         None, "", "nothing 12 here", "mail und.34@mail7.example.com, call +1 (974) 555-3436 4111111111111111 4785380592391138.",
         "again und.34@mail7.example.com; 97.51.17.173. Born 2001-02-03", "x" * 100_000 + " 97.51.17.173", "97.51.17.173", "97.51.17.173",
+        "tel +33 6 12 34 56 78, +49 30 1234567 and +442079460958; acct DE89 3704 0044 0532 0130 00 9 v 1.2.3 10-11-12 1/2/3",
         "chéen.55@mail4.example.com*** $1 \\1 97.51.17.173$$$",
     ]
     out = run(spark, texts)
-    assert [r.n_replaced for r in out] == [0, 0, 0, 3, 3, 1, 1, 1, 2]
+    assert [r.n_replaced for r in out] == [0, 0, 0, 3, 3, 1, 1, 1, 4, 2]
     assert [r.text for r in out[:3]] == texts[:3]
     new = email("und.34@mail7.example.com")
     assert new in out[3].text and new in out[4].text and "4785380592391138." in out[3].text
     assert out[6].text == out[7].text == out[5].text[100_001:]
-    assert "$1 \\1" in out[8].text and "en.55@" not in out[8].text
+    assert "$1 \\1" in out[9].text and "en.55@" not in out[9].text
+    kept = out[8].text
+    assert kept.startswith("tel +33 ") and ", +49 " in kept and kept.endswith(" 9 v 1.2.3 10-11-12 1/2/3")
 
 
 def test_whole_tables_and_columns(spark):
