@@ -37,8 +37,10 @@ from anamnesis.llm.common import map_rows, pick
 
 #: A vocabulary file may be this large; it is broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Texts between white space that a worker remembers. Longer ones it forgets.
+#: Texts between white space that a worker remembers within a task, and of those that come again,
+#: for all its tasks. Longer ones it forgets.
 CHUNKS_REMEMBERED = 400_000
+COMMON_CHUNKS = 150_000
 LONG_CHUNK = 64
 BLOCK_CHARS = 6_000_000
 
@@ -101,10 +103,10 @@ class WordBpe:
         special = re.compile(f"({'|'.join(map(re.escape, self.special))})")
         self.split_special, self.has_special = special.split, special.search
         self.table: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what is used again moves to the table; the rest is forgotten
+        self.common: dict[str, bytes] = {}  # chunks of more than one block; they outlive a task
 
     def forget(self) -> None:
-        self.table, self.older = {}, {}
+        self.table = {}
 
     def encode_word(self, word: str) -> list[int]:
         raw = word.encode()
@@ -144,14 +146,15 @@ class WordBpe:
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """White space always ends a word, so what stands between can be encoded by itself."""
-        table, older = self.table, self.older
-        if len(table) > CHUNKS_REMEMBERED // 2:
-            older, table = table, {}
-            self.table, self.older = table, older
-        table.update((c, older[c]) for c in chunks if c in older and c not in table)
-        if unknown := [c for c in chunks if c not in table]:
+        table, common = self.table, self.common
+        if len(table) > CHUNKS_REMEMBERED:
+            table.clear()
+        room = COMMON_CHUNKS - len(common)
+        for chunk in [c for c in chunks if c in table][: max(room, 0)]:
+            common[chunk] = table.pop(chunk)
+        if unknown := [c for c in chunks if c not in common and c not in table]:
             self._learn(unknown)
-        out = [table[c] for c in chunks]
+        out = [common[c] if c in common else table[c] for c in chunks]
         for chunk in unknown:
             if len(chunk) > LONG_CHUNK:
                 del table[chunk]

@@ -49,11 +49,14 @@ def test_encoders_equal_the_library():
 
 def test_remembered_chunks_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "CHUNKS_REMEMBERED", 40)
+    monkeypatch.setattr(bpe, "COMMON_CHUNKS", 10)
     own = bpe.WordBpe(bpe.read_vocabulary(PATH))
     texts = [" ".join(f"w{i * 7 + j}" for j in range(9)) for i in range(60)]
     fresh = bpe.WordBpe(bpe.read_vocabulary(PATH))
     assert [own.encode(t) for t in texts] == [fresh.encode(t) for t in texts]
-    assert len(own.table) + len(own.older) < 80
+    assert len(own.table) < 80 and len(own.common) <= 10
+    own.forget()
+    assert not own.table and [own.encode(t) for t in texts] == [fresh.encode(t) for t in texts]
 
 
 def test_bpe_operator_on_odd_rows(spark):
