@@ -41,17 +41,18 @@ ORDERS = (1, 2, 3)
 SWITCH_PENALTY = 6.0
 #: A word's log-likelihood ratio counts up to here.
 WORST = -12.0
-#: Letters that the model tells apart.
+#: Letters whose n-grams lie in dense tables; those of all others are looked up. Sets speed only.
 ALPHABET = 60
 #: Texts between white space that a worker remembers; then it starts anew.
 CHUNKS_REMEMBERED = 150_000
 #: Texts that are labelled together.
 BLOCK_ROWS = 1000
-#: Of longer words the beginning is scored.
-LONG_WORD = 1000
+#: Words are scored in pieces of so many letters, and so many pieces at once.
+PIECE, PIECES = 1000, 20_000
 UNKNOWN = "und"
 #: A language is a candidate for a script that this share of its letters has.
 SCRIPT_SHARE = 0.02
+LETTER_BITS = 21
 
 # First code points of blocks by script; a block ends where the next begins.
 SCRIPT_STARTS = [
@@ -84,20 +85,21 @@ def grams(word: str) -> list[str]:
 
 
 class LanguageModel:
-    """Log-probabilities of n-grams over a small alphabet, as dense arrays, and of whole words.
+    """Log-probabilities of n-grams and of whole words.
 
-    Letters beyond the ``ALPHABET`` most frequent share one place, so the model's size is
-    bounded by the number of languages.
+    N-grams of the most frequent letters lie in dense arrays, those with any other learned letter
+    in sorted arrays, so each learned letter has a place of its own and the model's size is
+    bounded by the numbers of n-grams and languages. Letters that weren't learned share place 2.
     """
 
-    def __init__(self, langs: list[str], scripts: np.ndarray, letters: dict[str, int], tables: list[np.ndarray], words: dict[str, tuple], unseen: tuple):
+    def __init__(self, langs: list[str], scripts: np.ndarray, letters: dict[str, int], tables: list[np.ndarray], rare: list[tuple[np.ndarray, np.ndarray]], words: dict[str, tuple], unseen: tuple):
         """``langs``: the most frequent first; ``scripts``: whether a language (column) is a candidate
-        for a script (row, by ``SCRIPTS``); ``letters``: places in the alphabet; ``tables``: by order."""
-        self.langs, self.scripts, self.tables, self.words, self.unseen = langs, scripts, tables, words, unseen
-        self.places = np.full(1 << 16, 2, np.int64)
+        for a script (row, by ``SCRIPTS``); ``letters``: places, the dense ones first; ``tables``: by order;
+        ``rare``: by order, sorted codes of n-grams and their values."""
+        self.langs, self.scripts, self.tables, self.rare, self.words, self.unseen = langs, scripts, tables, rare, words, unseen
+        self.places = np.full(0x110000, 2, np.int32)
         for letter, place in letters.items():
-            if ord(letter) < 1 << 16:
-                self.places[ord(letter)] = place
+            self.places[ord(letter)] = place
         self.known: dict[str, int] = {}  # first row of scores << 31 | number of words
         self.reset()
 
@@ -114,17 +116,17 @@ class LanguageModel:
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 2
         start = np.cumsum(size) - size
-        letters = self.places[np.minimum(codes, 0xFFFF)]
-        letters[start], letters[start + size - 1] = 0, 1
-        total = np.array([self.words.get(w, self.unseen) for w in words], np.float32)
-        index = np.zeros(len(letters), np.int64)
-        for n, table in zip(ORDERS, self.tables):
-            index = index * len(self.tables[0])
-            index[: len(index) - n + 1] += letters[n - 1 :]
-            values = table[index]
-            for k in range(1, n):  # n-grams that would run over a word's end
-                values[start + size - k] = 0
-            total += np.add.reduceat(values, start, axis=0)
+        ends = start + size
+        total = np.array([self.words.get(w, self.unseen) for w in words], np.float64)
+        pieces = -(-size // PIECE)
+        word = np.repeat(np.arange(len(words)), pieces)
+        begin = start[word] + PIECE * (np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        for i in range(0, len(word), PIECES):
+            mine, owner = begin[i : i + PIECES], word[i : i + PIECES]
+            low, high = mine[0], begin[i + PIECES] if i + PIECES < len(word) else len(codes)
+            sums = self._sums(codes, low, high, start, ends, mine - low)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            total[owner[first]] += np.add.reduceat(sums, first, axis=0, dtype=np.float64)
         script = np.searchsorted(_starts, codes[start + 1], side="right") - 1
         candidate = self.scripts[_script_of_block[script]]
         total = np.where(candidate, total, -np.inf)
@@ -135,9 +137,44 @@ class LanguageModel:
         relative[~any_] = 0
         return relative.astype(np.float32), any_
 
+    def _sums(self, codes: np.ndarray, low: int, high: int, start: np.ndarray, ends: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """Sums over pieces of the log-probabilities of n-grams that begin at ``codes[low:high]``;
+        words lie from ``start`` to ``ends``, and ``pieces`` begin so far after ``low``."""
+        size, beyond = high - low, min(high + ORDERS[-1] - 1, len(codes))
+        letters = self.places[codes[low:beyond]]
+        here = slice(np.searchsorted(start, low), np.searchsorted(start, beyond))
+        letters[start[here] - low] = 0
+        over = ends[np.searchsorted(ends, low, side="right") : np.searchsorted(ends, beyond, side="right")]
+        letters[over - 1 - low] = 1
+        over = ends[np.searchsorted(ends, low, side="right") : np.searchsorted(ends, high + ORDERS[-1])] - low
+        width = len(self.tables[0])
+        rare = letters >= width
+        dense = np.where(rare, 2, letters) if (any_rare := bool(rare.any())) else letters
+        index, code, hit = (np.zeros(size, np.int64) for _ in range(3))
+        out = np.zeros((len(pieces), len(self.langs)), np.float32)
+        for n, table, (keys, found) in zip(ORDERS, self.tables, self.rare):
+            there = max(0, min(size, len(letters) - n + 1))
+            index *= width
+            index[:there] += dense[n - 1 : n - 1 + there]
+            values = table[index]
+            if any_rare:
+                code <<= LETTER_BITS
+                code[:there] += letters[n - 1 : n - 1 + there]
+                hit[:there] += rare[n - 1 : n - 1 + there]
+                at = np.flatnonzero(hit)
+                if len(keys) and len(at):
+                    k = np.minimum(np.searchsorted(keys, code[at]), len(keys) - 1)
+                    same = keys[k] == code[at]
+                    values[at[same]] = found[k[same]]
+            for k in range(1, n):  # n-grams that would run over a word's end
+                past = over - k
+                values[past[(past >= 0) & (past < size)]] = 0
+            out += np.add.reduceat(values, pieces, axis=0)
+        return out
+
     def _learn(self, chunks: list[str]) -> None:
         words = [_find_words(c) for c in chunks]
-        flat = [w.lower()[:LONG_WORD] for mine in words for w in mine]
+        flat = [w.lower() for mine in words for w in mine]
         if flat:
             found, counted = self.score(flat)
             while self.used + len(flat) > len(self.scores):
@@ -278,27 +315,34 @@ def build(found: list[tuple[str, str, int]]) -> LanguageModel:
     for k, lang in enumerate(langs):
         for script, n in letters[lang].items():
             scripts[SCRIPTS.index(script), k] = n >= SCRIPT_SHARE * letters[lang].total()
-    single = Counter({g: sum(mine.values()) for g, mine in by_gram.items() if len(g) == 1 and g not in "<>="})
-    places = {"<": 0, ">": 1} | {g: 3 + i for i, (g, _) in enumerate(sorted(single.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])}
+    single = Counter()
+    for gram, mine in by_gram.items():
+        if gram[0] != "=":
+            for letter in {*gram} - {"<", ">"}:
+                single[letter] += sum(mine.values()) if gram == letter else 0
+    places = {"<": 0, ">": 1} | {g: 3 + i for i, (g, _) in enumerate(sorted(single.items(), key=lambda x: (-x[1], x[0])))}
     width = 3 + ALPHABET
-    tables = []
+    tables, rare = [], []
     for n in ORDERS:
-        counts = np.zeros((width**n, max(1, len(langs))))
-        for gram, mine in by_gram.items():
-            if len(gram) == n and (gram[0] != "=" or n == 1):
-                at = 0
-                for letter in gram:
-                    at = at * width + places.get(letter, 2)
-                for k, lang in enumerate(langs):
-                    counts[at, k] += mine.get(lang, 0)
-        kinds = np.count_nonzero(counts.any(axis=1)) + 1
-        tables.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * kinds)).astype(np.float32))
+        mine = {gram: [by_gram[gram].get(lang, 0) for lang in langs] for gram in by_gram if len(gram) == n and gram[0] != "="}
+        sums = np.array([*mine.values()], np.float64).reshape(len(mine), len(langs)).sum(axis=0) + 0.5 * (len(mine) + 1)
+        table, others = np.zeros((width**n, len(langs))), []
+        for gram, counts in mine.items():
+            at = [places[letter] for letter in gram]
+            if max(at) < width:
+                table[sum(p * width ** (n - 1 - i) for i, p in enumerate(at))] = counts
+            else:
+                others.append((sum(p << LETTER_BITS * (n - 1 - i) for i, p in enumerate(at)), counts))
+        others.sort()
+        tables.append(np.log((table + 0.5) / sums).astype(np.float32))
+        values = np.array([counts for _, counts in others], np.float64).reshape(len(others), len(langs))
+        rare.append((np.array([code for code, _ in others], np.int64), np.log((values + 0.5) / sums).astype(np.float32)))
     whole = {g[1:]: mine for g, mine in by_gram.items() if g[0] == "=" and len(g) > 1}
     totals = [sum(mine.get(lang, 0) for mine in whole.values()) + 0.5 * len(whole) + 1 for lang in langs]
     words = {
         w: tuple(log((mine.get(lang, 0) + 0.5) / totals[k]) for k, lang in enumerate(langs)) for w, mine in whole.items()
     }
-    return LanguageModel(langs, scripts[:, : len(langs)], places, [t[:, : len(langs)] for t in tables], words, tuple(log(0.5 / t) for t in totals))
+    return LanguageModel(langs, scripts[:, : len(langs)], places, tables, rare, words, tuple(log(0.5 / t) for t in totals))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

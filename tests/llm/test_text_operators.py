@@ -9,6 +9,7 @@ import urllib.parse
 import wave
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -198,6 +199,52 @@ def test_viterbi_equals_a_plain_one():
         assert score(got[a : a + n]) == pytest.approx(score(path), abs=1e-3)
 
 
+def plain_score(found, langs, word):
+    """A word's log-likelihoods straight from the rows (language, n-gram, count)."""
+    out = np.zeros(len(langs))
+    for n in [*langid.ORDERS, None]:
+        rows = [r for r in found if (r[1][0] == "=" if n is None else len(r[1]) == n and r[1][0] != "=") and not r[1].startswith("script ")]
+        kinds = len({g for _, g, _ in rows})
+        for k, lang in enumerate(langs):
+            mine = {g: c for a, g, c in rows if a == lang}
+            bottom = sum(mine.values()) + (0.5 * kinds + 1 if n is None else 0.5 * (kinds + 1))
+            marked = f"<{word}>"
+            asked = [f"={word}"] if n is None else [marked[i : i + n] for i in range(len(marked) - n + 1)]
+            out[k] += sum(np.log((mine.get(g, 0) + 0.5) / bottom) for g in asked)
+    return out
+
+
+def learned(texts):
+    rows = []
+    for lang, text in texts.items():
+        count = Counter(g for w in text.split() for g in langid.grams(w))
+        rows += [(lang, g, n) for g, n in count.items()]
+        rows += [(lang, f"script {s}", n) for s, n in Counter(langid.script_of(c) for c in text.replace(" ", "")).items()]
+    return rows
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 1000])
+@pytest.mark.parametrize("alphabet", [2, 60])
+def test_words_are_scored_whole_with_each_letter(monkeypatch, piece, alphabet):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "PIECES", 3)
+    monkeypatch.setattr(langid, "ALPHABET", alphabet)
+    found = learned({"a": "мова слово дім мир 𠀀𠀁 мова", "b": "язык слово дом мир 𠀁𠀀 яма"})
+    model = langid.build(found)
+    words = ["слово", "мир", "я", "ямаямаямаямаяма", "дімдімязык", "𠀀𠀁𠀀", "ёж"]
+    want = np.array([plain_score(found, model.langs, w) for w in words])
+    want = np.maximum(langid.WORST, (want - want.max(axis=1, keepdims=True)) / len(langid.ORDERS))
+    assert model.score(words)[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_rare_letters_and_ends_of_long_runs_decide():
+    han = [chr(0x4E00 + i) for i in range(200)]
+    common, one, other = "".join(han[:100]), "".join(han[100:150]), "".join(han[150:])
+    model = langid.build(learned({"one": f"{common} " * 5 + one, "other": f"{common} " * 5 + other}))
+    texts = [one[10:20], other[10:20], common * 11 + one, common * 11 + other]
+    assert [x[0] for x in model.label(texts)] == ["one", "other", "one", "other"]
+
+
 def test_language_spans_and_odd_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.train(docs)
