@@ -99,9 +99,16 @@ class Layer:
 def _percent(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in PERCENT.finditer(text):
+        raw = bytes.fromhex(m[0].replace("%", ""))
         try:
-            raw = bytes.fromhex(m[0].replace("%", "")).decode()
-        except UnicodeDecodeError:
+            raw = raw.decode()
+        except UnicodeDecodeError:  # the bytes that aren't UTF-8 become marks of replacement
+            at = m.start()
+            for c in raw.decode(errors="surrogateescape"):
+                bad = "\udc80" <= c <= "\udcff"
+                end = at + 3 * (1 if bad else len(c.encode()))
+                out.append((at, end, "\ufffd" if bad else c))
+                at = end
             continue
         if len(raw) * 3 == len(m[0]):  # one byte each: keep each character's own place
             out += [(m.start() + 3 * i, m.start() + 3 * i + 3, c) for i, c in enumerate(raw)]
@@ -116,7 +123,7 @@ def _escaped(text: str) -> list[tuple[int, int, str]]:
         try:
             if m[2]:
                 units = bytes.fromhex(m[2].replace("\\u", ""))
-                decoded = units.decode("utf-16-be")
+                decoded = units.decode("utf-16-be", "replace")
                 if len(decoded) * 6 == len(m[2]):
                     out += [(m.start() + 6 * i, m.start() + 6 * i + 6, c) for i, c in enumerate(decoded)]
                     continue
@@ -129,12 +136,23 @@ def _escaped(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def _texts(raw: bytes) -> list[str]:
+    """What bytes may say; those that fit no encoding become marks of replacement."""
+    out = [raw.decode(errors="replace")]
+    if b"\0" in raw:  # letters of UTF-16, also from an odd place on
+        out += [raw.decode(kind, "replace") for kind in ("utf-16-le", "utf-16-be")]
+    return out
+
+
+def _lossless(raw: bytes) -> str | None:
+    """The text, if bytes are nothing but text."""
+    for kind, fits in (("utf-16", raw[:2] in (b"\xff\xfe", b"\xfe\xff")), ("utf-16-le", not any(raw[1::2])), ("utf-16-be", not any(raw[::2])), ("utf-8", True)):
+        if fits:
+            try:
+                return raw.decode(kind)
+            except UnicodeDecodeError:
+                pass
+    return None
 
 
 def _unpacked(raw: bytes) -> bytes | None:
@@ -146,7 +164,7 @@ def _unpacked(raw: bytes) -> bytes | None:
         return None
 
 
-def _base64(text: str) -> list[tuple[int, int, str, str]]:
+def _base64(text: str) -> list[tuple[int, int, bytes, str]]:
     out = []
     for m in BASE64.finditer(text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
@@ -159,8 +177,7 @@ def _base64(text: str) -> list[tuple[int, int, str, str]]:
         path = "base64"
         while (unpacked := _unpacked(raw)) is not None and unpacked != raw:
             raw, path = unpacked, f"{path}>compressed"
-        if decoded := _readable(raw):
-            out.append((m.start(), m.end(), decoded, path))
+        out.append((m.start(), m.end(), raw, path))
     return out
 
 
@@ -190,10 +207,15 @@ def find_secrets(text: str | None) -> list[tuple[int, int, int, str]]:
         if ("\\" in here or "&#" in here) and (pieces := _escaped(here)):
             add(layer.replaced(pieces, "unicode"))
         if runs := _base64(here):
-            for start, end, decoded, path in runs:
-                add(Layer(decoded, [(0, *layer.span(start, end), False)], f"{layer.path}{path}>"))
-            # what stands around a run may name the secret in it
-            add(layer.replaced([run[:3] for run in runs], "base64"))
+            for start, end, raw, path in runs:
+                for decoded in _texts(raw):
+                    add(Layer(decoded, [(0, *layer.span(start, end), False)], f"{layer.path}{path}>"))
+            # what stands around a run may name the secret in it; words that only look like base64 stay
+            clear = [(start, end, decoded) for start, end, raw, _ in runs if (decoded := _lossless(raw))]
+            if clear:
+                add(layer.replaced(clear, "base64"))
+            if len(clear) < len(runs):
+                add(layer.replaced([(start, end, _lossless(raw) or raw.decode(errors="replace")) for start, end, raw, _ in runs], "base64"))
     return sorted((start, kind, end, path) for (start, kind, end), path in found.items())
 
 
