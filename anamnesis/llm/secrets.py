@@ -8,18 +8,23 @@ a layer knows the code points of the document that it came from, so that all spa
 given in the document's own positions.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated results; an
-empty table gives an empty result; columns besides the id and the text are not read. A
-compressed layer is unpacked up to ``MAX_UNPACKED`` bytes, against decompression bombs;
-what it holds up to there is scanned.
+empty table gives an empty result; columns besides the id and the text are not read. Of
+compressed data all members are unpacked, and what follows them is read too. What is longer
+than ``MAX_UNPACKED`` bytes is held and scanned in windows of about that size, against
+decompression bombs. A window ends at a byte that no pattern takes in; only within a stretch
+that has none for a whole window, windows overlap by ``OVERLAP`` bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,11 +39,15 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs of 24 or more
 MIN_ASSIGNED, MIN_ACCESS = 6, 20
-MAX_UNPACKED = 64 << 20
+MAX_UNPACKED, OVERLAP = 64 << 20, 1 << 20
+#: Bytes that are packed and unpacked at once.
+PACKED, PIECE = 64 << 10, 1 << 20
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Bytes that no pattern takes in, also not in UTF-16, and those that no base64 run has.
+APART, NO_BASE64 = re.compile(rb"""[^A-Za-z0-9+/_.=\- "':%\\{}&#;\x00]"""), re.compile(rb"[^A-Za-z0-9+/_-]")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -155,17 +164,97 @@ def _lossless(raw: bytes) -> str | None:
     return None
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    if raw[:2] != b"\x1f\x8b" and (raw[:1] != b"\x78" or int.from_bytes(raw[:2]) % 31):
-        return None
-    try:
-        return zlib.decompressobj(47).decompress(raw, MAX_UNPACKED)
-    except zlib.error:
-        return None
+def _is_packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2]) % 31 == 0)
 
 
-def _base64(text: str) -> list[tuple[int, int, bytes, str]]:
-    out = []
+def _members(source: Iterator[bytes], rest: list[bytes]) -> Iterator[bytes]:
+    """What all members of packed data hold, in pieces; ``rest`` gets what was read beyond them
+    or couldn't be unpacked, and goes before what ``source`` still has."""
+    data = b""
+    while True:
+        while len(data) < 2 and (more := next(source, None)) is not None:
+            data += more
+        if not _is_packed(data):
+            break
+        unpack, begun = zlib.decompressobj(47), data
+        try:
+            while not unpack.eof:
+                if piece := unpack.decompress(data, PIECE):
+                    yield piece
+                    begun = b""
+                data = unpack.unconsumed_tail
+                if not data and not piece and not unpack.eof:
+                    data = next(source, b"")
+                    if not data:  # it breaks off
+                        rest.append(begun)
+                        return
+                    begun = begun and begun + data
+        except zlib.error:
+            data = begun or data
+            break
+        data = unpack.unused_data
+    rest.append(data)
+
+
+def _unpacked(source: Iterator[bytes], path: str, met: frozenset[bytes] = frozenset()) -> Iterator[tuple[Iterator[bytes], str]]:
+    """The streams of bytes that aren't packed any more, each to be read before the next, with their paths."""
+    head = b""
+    while len(head) < 2 and (more := next(source, None)) is not None:
+        head += more
+    if not _is_packed(head) or head in met:  # met: it holds itself
+        yield chain([head], source), path
+        return
+    rest: list[bytes] = []
+    inner = _members(chain([head], source), rest)
+    if (first := next(inner, None)) is not None:
+        # pieces of the same size as those met, so that data that holds itself is known by its beginning
+        yield from _unpacked(chain(_cut(first), inner), f"{path}>compressed", met | {head})
+        for _ in inner:
+            pass
+    if rest and rest[0]:
+        yield chain(rest, source), path
+
+
+def _cut(raw: bytes) -> Iterator[bytes]:
+    return (raw[i : i + PACKED] for i in range(0, len(raw), PACKED))
+
+
+def _windows(source: Iterator[bytes]) -> Iterator[bytes]:
+    """The stream in windows, none of which ends within what a pattern could match."""
+    held, size = [], 0
+    for piece in source:
+        held.append(piece)
+        size += len(piece)
+        if size < MAX_UNPACKED:
+            continue
+        raw = b"".join(held)
+        keep = _last(APART, raw)
+        if keep:
+            end = keep
+        else:
+            end, run = len(raw), _last(NO_BASE64, raw)
+            keep = max(1, end - OVERLAP)
+            keep += (run - keep) % 4 if keep > run else 0  # base64 goes on in step
+        yield raw[:end]
+        held, size = [raw[keep:]], len(raw) - keep
+    if size:
+        yield b"".join(held)
+
+
+def _last(pattern: re.Pattern[bytes], raw: bytes) -> int:
+    """The place after the last match of a single byte, 0 without any."""
+    end = len(raw)
+    while end:
+        start = max(0, end - PACKED)
+        if places := [m.end() for m in pattern.finditer(raw, start, end)]:
+            return places[-1]
+        end = start
+    return 0
+
+
+def _base64(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """Runs that decode, as (start, end, bytes)."""
     for m in BASE64.finditer(text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
@@ -174,11 +263,45 @@ def _base64(text: str) -> list[tuple[int, int, bytes, str]]:
             raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except binascii.Error:
             continue
-        path = "base64"
-        while (unpacked := _unpacked(raw)) is not None and unpacked != raw:
-            raw, path = unpacked, f"{path}>compressed"
-        out.append((m.start(), m.end(), raw, path))
-    return out
+        yield m.start(), m.end(), raw
+
+
+def _held(raw: bytes) -> bytes:
+    """A run's bytes, or what it holds packed if that is one window."""
+    if not _is_packed(raw):
+        return raw
+    windows = (w for stream, _ in _unpacked(_cut(raw), "") for w in _windows(stream))
+    return raw if (first := next(windows, None)) is None or next(windows, None) is not None else first
+
+
+def _inner(layer: Layer) -> Iterator[Layer]:
+    """The layers right below one, made one at a time."""
+    here = layer.text
+    if "%" in here and (pieces := _percent(here)):
+        yield layer.replaced(pieces, "url")
+    if ("\\" in here or "&#" in here) and (pieces := _escaped(here)):
+        yield layer.replaced(pieces, "unicode")
+    clear, all_ = [], []
+    for start, end, raw in _base64(here):
+        marks = [(0, *layer.span(start, end), False)]
+        for stream, path in _unpacked(_cut(raw), "base64"):
+            for window in _windows(stream):
+                for decoded in _texts(window):
+                    yield Layer(decoded, marks, f"{layer.path}{path}>")
+        raw = _held(raw)
+        if decoded := _lossless(raw):
+            clear.append((start, end, decoded))
+        all_.append((start, end, decoded or raw.decode(errors="replace")))
+    # what stands around a run may name the secret in it; words that only look like base64 stay
+    if clear:
+        yield layer.replaced(clear, "base64")
+    if len(clear) < len(all_):
+        yield layer.replaced(all_, "base64")
+
+
+def _mark(text: str) -> str | bytes:
+    """The text, or of a long one a digest, so that windows aren't kept."""
+    return text if len(text) < PACKED else hashlib.sha256(text.encode(errors="surrogatepass")).digest()
 
 
 def find_secrets(text: str | None) -> list[tuple[int, int, int, str]]:
@@ -188,34 +311,17 @@ def find_secrets(text: str | None) -> list[tuple[int, int, int, str]]:
     if not text:
         return []
     found = {span: "" for span in scan(text)}
-    work, seen = [Layer(text, [(0, 0, len(text), True)], "")], {text}
-
-    def add(layer: Layer) -> None:
-        if layer.text and layer.text not in seen:
-            seen.add(layer.text)
-            work.append(layer)
-
+    seen = {_mark(text)}
+    work = [_inner(Layer(text, [(0, 0, len(text), True)], ""))]
     while work:
-        layer = work.pop()
-        if layer.path:
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+        elif layer.text and (mark := _mark(layer.text)) not in seen:
+            seen.add(mark)
             for start, kind, end in scan(layer.text):
                 first, last = layer.span(start, end)
                 found.setdefault((first, kind, last), layer.path)
-        here = layer.text
-        if "%" in here and (pieces := _percent(here)):
-            add(layer.replaced(pieces, "url"))
-        if ("\\" in here or "&#" in here) and (pieces := _escaped(here)):
-            add(layer.replaced(pieces, "unicode"))
-        if runs := _base64(here):
-            for start, end, raw, path in runs:
-                for decoded in _texts(raw):
-                    add(Layer(decoded, [(0, *layer.span(start, end), False)], f"{layer.path}{path}>"))
-            # what stands around a run may name the secret in it; words that only look like base64 stay
-            clear = [(start, end, decoded) for start, end, raw, _ in runs if (decoded := _lossless(raw))]
-            if clear:
-                add(layer.replaced(clear, "base64"))
-            if len(clear) < len(runs):
-                add(layer.replaced([(start, end, _lossless(raw) or raw.decode(errors="replace")) for start, end, raw, _ in runs], "base64"))
+            work.append(_inner(layer))
     return sorted((start, kind, end, path) for (start, kind, end), path in found.items())
 
 
