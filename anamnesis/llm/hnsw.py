@@ -154,15 +154,15 @@ def build_shard(ids: np.ndarray, vectors: np.ndarray) -> dict[str, bytes]:
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     distinct, node = distinct[order], place[inverse.ravel()]
-    by_node = np.lexsort((ids, node))
+    pairs = np.unique(np.column_stack([node, ids.astype(np.int64)]), axis=0)  # repeated rows once, by node and id
     longest = np.sqrt((distinct.astype(np.float64) ** 2).sum(axis=1))
     more = np.sqrt(np.maximum(longest.max() ** 2 - longest**2, 0))
     scaled = (np.column_stack([distinct, more]) / longest.max()).astype(np.float32)
     graph = build_graph(scaled) if len(distinct) > SCAN_ROWS else None
     return {
         "vectors": distinct.tobytes(),
-        "first": np.searchsorted(node[by_node], np.arange(len(distinct) + 1)).astype(np.int64).tobytes(),
-        "ids": ids[by_node].astype(np.int64).tobytes(),
+        "first": np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)).astype(np.int64).tobytes(),
+        "ids": pairs[:, 1].tobytes(),
         "counts": (graph.counts if graph else np.zeros(0, np.int64)).tobytes(),
         "links": (graph.links if graph else np.zeros(0, np.int32)).tobytes(),
     }
@@ -177,17 +177,23 @@ class Shard:
 
     def nearest(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the ``k`` nearest found, nearest first, ties to the smaller id."""
-        nodes = np.arange(len(self.vectors))
+        found = None
         if self.graph:
-            nodes = np.array(self.graph.search(query, max(EF_SEARCH, 2 * k)))
+            found = self._ranked(np.array(self.graph.search(query, max(EF_SEARCH, 2 * k))), own, query, k)
+        if found is None or len(found[0]) < k:  # also where a few ids have all vectors that the walk met
+            found = self._ranked(np.arange(len(self.vectors)), own, query, k)
+        return found
+
+    def _ranked(self, nodes: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         exact = (self.vectors[nodes].astype(np.float64) * query.astype(np.float64)).sum(axis=1)
         ids, scores = [], []
         for node, score in zip(nodes, exact):
-            mine = np.unique(self.ids[self.first[node] : self.first[node + 1]][: k + 1])  # no more can be among k
+            mine = self.ids[self.first[node] : self.first[node + 1]][: k + 1]  # distinct, so no more can be among k
             ids.append(mine[mine != own])
             scores.append(np.full(len(ids[-1]), score))
         flat, value = np.concatenate(ids), np.concatenate(scores)
-        order = np.lexsort((flat, -value))[:k]
+        order = np.lexsort((flat, -value))
+        order = order[np.sort(np.unique(flat[order], return_index=True)[1])[:k]]  # an id counts once, where it is best
         return flat[order], value[order]
 
 

@@ -258,6 +258,26 @@ def test_neighbours_on_odd_vectors(spark):
     assert hnsw.search(vectors_of(spark, []), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scan", [0, 128])
+def test_neighbours_beside_repeated_ids(spark, monkeypatch, scan):
+    monkeypatch.setattr(hnsw, "SCAN_ROWS", scan)
+    hot = [1.0, 2.0]
+    rows = [(0, hot)] * 30 + [(1, hot)] * 25 + [(i, hot) for i in range(2, 30)] + [(40, [1.0, 1.0 + i / 64]) for i in range(50)] + [(41, [2.0, 1.0])]
+    got = {}
+    for r in hnsw.search(vectors_of(spark, rows).repartition(3), F.col("id").isin(0, 41), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {0: [(i, 5.0) for i in range(1, 21)], 41: [(i, 4.0) for i in range(20)]}
+
+
+def test_neighbours_beside_an_id_with_many_vectors():
+    vectors = np.array([[1.0, 1.0 + i / 1000] for i in range(300)] + [[0.5, i / 1000] for i in range(30)], np.float32)
+    ids = np.array([7] * 300 + [*range(100, 130)])
+    shard = hnsw.Shard(2, **hnsw.build_shard(ids, vectors))
+    want = [7, *range(129, 110, -1)]
+    assert shard.graph and shard.nearest(-1, vectors[0], 20)[0].tolist() == want
+    assert shard.nearest(7, vectors[0], 20)[0].tolist() == [*range(129, 109, -1)]
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as P
 
