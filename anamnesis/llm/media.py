@@ -2,10 +2,11 @@
 
 A text's UTF-8 bytes, filled up with bytes 0 to a positive multiple of 64, become the
 8-bit samples of a mono WAV file. The samples are read back with the ``wave`` module.
-A short-time Fourier transform over blocks of frames (so memory doesn't grow with the
+A short-time Fourier transform over blocks of frames (so its memory doesn't grow with the
 text) gives in each frame the strongest bin of four bands; bins above the frame's mean
-are peaks. A peak is paired with the next few peaks of later frames, and each pair is
-stored as ``time << 32 | bin << 22 | other bin << 12 | distance in time``.
+are peaks. Frames overlap by half, the first beginning half a frame before the text, so
+that windows sum to about one at each sample. A peak is paired with all peaks of the next
+``REACH`` frames, and each pair is stored as ``time << 32 | bin << 22 | other bin << 12 | distance in time``.
 
 Defined cases: a null text counts as empty and becomes 64 zero samples, which have no
 peaks; equal texts give equal values; repeated rows give repeated results; an empty
@@ -27,12 +28,13 @@ from anamnesis.llm.common import map_rows, pick
 
 RATE = 8000
 FRAME = 256
-HOP = 256
+HOP = FRAME // 2
 #: First bins of the bands, and the end of the last.
 BANDS = (2, 9, 25, 57, 129)
-#: A peak is paired with so many later peaks at most, so many frames away at most.
-FAN = 3
+#: A peak is paired with later peaks so many frames away at most.
 REACH = 16
+#: More partners than this a peak cannot have.
+FAN = REACH * (len(BANDS) - 1)
 #: Frames transformed at once.
 BLOCK = 512
 _WINDOW = np.hanning(FRAME).astype(np.float32)
@@ -58,23 +60,24 @@ def read_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def spectra(samples: np.ndarray) -> Iterator[np.ndarray]:
-    """Magnitudes by frame and bin, in blocks of frames; the last frame is filled with silence."""
-    count = max(1, -(-len(samples) // HOP))
+def spectra(samples: np.ndarray, hop: int = FRAME) -> Iterator[np.ndarray]:
+    """Magnitudes by frame and bin, in blocks of frames; the first and the last are filled with silence."""
+    samples = np.concatenate([np.full(FRAME - hop, 128, np.uint8), samples])
+    count = max(1, -(-len(samples) // hop))
     for start in range(0, count, BLOCK):
         n = min(BLOCK, count - start)
-        part = np.full((n - 1) * HOP + FRAME, 128, np.float32)
-        here = samples[start * HOP : start * HOP + len(part)]
+        part = np.full((n - 1) * hop + FRAME, 128, np.float32)
+        here = samples[start * hop : start * hop + len(part)]
         part[: len(here)] = here
-        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::hop]
         frames = (frames - frames.mean(axis=1, keepdims=True)) * _WINDOW
         yield np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32)
 
 
-def fingerprints(payload: bytes) -> list[int]:
-    """Spectral-peak pairs in order of time."""
+def fingerprints(payload: bytes, hop: int = FRAME) -> np.ndarray:
+    """Spectral-peak pairs in order of time; a frame begins ``hop`` samples after the one before."""
     times, bins, passed = [], [], 0
-    for block in spectra(np.frombuffer(payload, np.uint8)):
+    for block in spectra(np.frombuffer(payload, np.uint8), hop):
         level = block.mean(axis=1)
         for low, high in zip(BANDS, BANDS[1:]):
             best = block[:, low:high].argmax(axis=1) + low
@@ -86,15 +89,10 @@ def fingerprints(payload: bytes) -> list[int]:
     order = np.lexsort((b, t))
     t, b = t[order].astype(np.int64), b[order].astype(np.int64)
     later = np.searchsorted(t, t, side="right")
-    found = []
-    for step in range(FAN):
-        j = later + step
-        at = np.flatnonzero(j < len(t))
-        j = j[at]
-        near = t[j] - t[at] <= REACH
-        at, j = at[near], j[near]
-        found.append(t[at] << 32 | b[at] << 22 | b[j] << 12 | (t[j] - t[at]))
-    return np.sort(np.concatenate(found)).tolist()
+    count = np.searchsorted(t, t + REACH, side="right") - later
+    at = np.repeat(np.arange(len(t)), count)
+    j = np.arange(len(at)) + np.repeat(later - (np.cumsum(count) - count), count)
+    return np.sort(t[at] << 32 | b[at] << 22 | b[j] << 12 | (t[j] - t[at]))
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +104,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for key, text in zip(batch["id"], batch["text"]):
                 media = write_wav(to_payload(text))
                 payload = read_wav(media)
-                yield key, len((text or "").encode()), media, payload, fingerprints(payload)
+                yield key, len((text or "").encode()), media, payload, fingerprints(payload, HOP)
 
     return map_rows(
         pick(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long")),

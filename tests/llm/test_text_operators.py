@@ -109,6 +109,30 @@ def test_fingerprints_equal_a_plain_computation():
     assert len(got & want) > 0.999 * len(want) and len(got - want) < 0.001 * len(want)
 
 
+def test_frames_overlap_and_all_peaks_within_reach_are_paired(spark):
+    text = "".join(map(chr, np.random.default_rng(4).integers(32, 122, 128 * 90)))
+    samples = np.pad(np.frombuffer(text.encode(), np.uint8), 128, constant_values=128).astype(np.float32)
+    peaks = []
+    for t in range(91):
+        part = np.pad(samples[t * 128 : t * 128 + 256], (0, max(0, t * 128 + 256 - len(samples))), constant_values=128)
+        size = np.abs(np.fft.rfft((part - part.mean()) * np.hanning(256).astype(np.float32)))
+        best = [low + int(size[low:high].argmax()) for low, high in zip(media.BANDS, media.BANDS[1:])]
+        peaks += [(t, k) for k in best if size[k] > 1.5 * size.mean() + 1e-3]
+    want = {t << 32 | k << 22 | b << 12 | (u - t) for t, k in peaks for u, b in peaks if t < u <= t + media.REACH}
+    pairs = media.media_columns(frame(spark, [text])).first().pairs
+    got = {*pairs}
+    assert len(pairs) == len(got) and pairs == sorted(pairs)
+    assert len(got & want) > 0.99 * len(want) and len(got - want) < 0.01 * len(want)
+    assert {p & 0xFFF for p in got} == {*range(1, media.REACH + 1)} and any(p >> 12 & 0x3FF >= media.BANDS[-2] for p in got)
+
+
+@pytest.mark.parametrize("place", [0, 1, 127, 128, 255, 256, 1000, 1023])
+def test_each_sample_has_weight(place):
+    samples = np.full(1024, 128, np.uint8)
+    samples[place] = 228
+    assert sum(float(block.max(axis=1).sum()) for block in media.spectra(samples, media.HOP)) > 95
+
+
 def test_media_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in op3_media_fingerprints(spark, sf).collect():
