@@ -1,13 +1,14 @@
-"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash bands of one fixed depth with exact verification.
 
 A document's elements are its distinct runs of five words (lower case, letters and digits);
 a shorter text's only element is the run of all its words. Documents with equal element
 sets form a copy class, of which one row goes on.
 
-Forest: each of ``TREES`` trees sorts signatures by their minimum hashes. A matched prefix
-starts at the full depth and is shortened by one hash at a time until the chance that a
-pair at the threshold shares no tree's prefix falls to ``1 - TARGET_RECALL``. That depends on
-the threshold and the number of trees alone, so one depth holds for all (see ``depth``).
+Bands: this is not an LSH forest; there are no sorted tries, and no document's prefix is
+shortened by what is found. Each of ``TREES`` trees hashes a prefix of minimum hashes into one
+key. Its length is the longest for which the chance that a pair at the threshold shares no
+tree's prefix is at most ``1 - TARGET_RECALL``. That depends on the threshold and the number of
+trees alone, so one depth holds for all documents (see ``depth``).
 Prefixes that one document has are dropped at once.
 
 Candidates: documents that share a prefix form a cell. Within a cell a walk over the graph
