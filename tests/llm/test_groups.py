@@ -84,19 +84,41 @@ def test_packing_in_groups_is_tight(spark):
     assert used <= 1.01 * -(-sum(n for _, n in rows) // 2048) + 1
 
 
-def test_longest_first_is_balanced():
-    r = random.Random(1)
-    sizes = {i: r.randint(1, 1000) for i in range(500)}
-    plan = sharding.longest_first(sizes, 7)
-    loads = Counter()
-    for i, s in plan.items():
-        loads[s] += sizes[i]
-    assert max(loads.values()) - min(loads.values()) <= 20
-    loads = [0] * 7
-    for i in sorted(sizes, key=lambda i: (-sizes[i], i)):
+def plain_longest_first(sizes, shards):
+    """Item by item, largest first, to the least loaded shard."""
+    loads = [0] * shards
+    counts = {}
+    for s in sorted(sizes, reverse=True):
         k = loads.index(min(loads))
-        loads[k] += sizes[i]
-    assert max(loads) == max(sum(sizes[i] for i, s in plan.items() if s == k) for k in range(7))
+        loads[k] += s
+        counts.setdefault(s, [0] * shards)[k] += 1
+    return counts, loads
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_first_equals_a_plain_schedule(seed):
+    r = random.Random(seed)
+    sizes = [r.choice((17, 20, r.randint(16, 60), r.randint(16, 5000))) for _ in range(r.choice((0, 3, 400, 3000)))] + [10**6] * (seed % 2)
+    counts, _ = plain_longest_first(sizes, 7)
+    assert dict(sharding.longest_first(Counter(sizes), 7)) == counts
+
+
+def test_all_groups_are_scheduled_by_size(spark, monkeypatch):
+    """Loads are those of the plain schedule over all groups; small cells deal a common size out."""
+    monkeypatch.setattr(sharding, "CELL", 7)
+    monkeypatch.setattr(sharding, "HOT", 5)
+    r = random.Random(8)
+    texts = ["hot"] * 400 + ["x" * r.choice((3, 3, r.randint(1, 90))) + str(i % 500) for i in range(900)] + ["long " * 4000, None, ""]
+    rows = docs_of(spark, texts).withColumns({"x": F.lit(1), "y": F.lit(2)}).toDF("doc_id", "text", "TEXT", "shard").repartition(5)
+    out = sharding.shard_by_bytes(rows, 6).collect()
+    check_shards(out, dict(enumerate(texts)), 6)
+    groups = Counter()
+    for t in texts:
+        groups[t] += len((t or "").encode()) + 16
+    loads = Counter()
+    for x in out:
+        loads[x.shard] += x.size
+    assert [loads[k] for k in range(6)] == plain_longest_first(groups.values(), 6)[1]
 
 
 def test_sharding_laws(spark, sf):
