@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,21 +21,31 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="anamnesis-")) / "anamnesis.zip"
-        with zipfile.ZipFile(archive, "w") as z:
+        folder = Path(tempfile.mkdtemp(prefix="anamnesis-"))  # code alone, and Spark serves it
+        with zipfile.ZipFile(folder / "anamnesis.zip", "w") as z:
             for file in sorted(root.rglob("*.py")):
                 z.write(file, f"anamnesis/{file.relative_to(root)}")
-        context.addPyFile(str(archive))
+        context.addPyFile(str(folder / "anamnesis.zip"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         _shipped.add(context.applicationId)
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. On one machine
+    (``local`` masters, as in tests) a session without it gets a folder below its warehouse; on a
+    cluster it must be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``);
-    a session without one, as in tests, gets a folder below its warehouse."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut lineage with a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
