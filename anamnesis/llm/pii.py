@@ -12,31 +12,40 @@ different values different ones, and check digits and dates stay valid.
     IBAN      country and letters kept, digits permuted, check digits recomputed
     IPv4      permuted among all addresses
     SSN       permuted among all valid numbers
-    date      permuted among the 146,097 days of 1800 to 2199 (years beyond are left); year first,
-              or day.month.year, day-month-year, month/day/year (day first if the first
-              number is over 12)
+    date      permuted within its cycle of 400 years (0 to 399, ..., 1600 to 1999, 2000 to 2399, ...);
+              year first, or day.month.year, day-month-year, month/day/year (day first if the
+              first number is over 12)
     phone     digits after the country code permuted
-    e-mail    letters and digits before the @ permuted within their kind, domain kept
+    e-mail    letters and digits before the @ permuted within their kind, whatever its length;
+              domain kept
 
-Defined cases: a null text stays null; invalid candidates stay as they are; repeated rows
+The secret enters plans as a digest after the word ``key:``; sessions that haven't their own
+``spark.sql.redaction.string.regex`` get one that hides such words where plans are shown.
+
+Defined cases: a null text stays null and an empty one empty; texts of any length are taken
+whole; of candidates that overlap the one that begins first counts, of those that begin together
+the first kind in the order of ``CANDIDATE``; invalid candidates stay as they are; repeated rows
 give repeated results; an empty table gives an empty result; other columns stay as they
 are, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anamnesis.llm.common import pick
 
 ROUNDS = 8
-#: Days from the first day on, 189 x 773: the Gregorian calendar's full cycle.
-FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1800-01-01", 189, 773
+#: Days of the Gregorian calendar's full cycle, 189 x 773, and those from the first day of the
+#: year 0, which begins one, to 1970.
+DAYS_HIGH, DAYS_LOW, DAYS_TO_EPOCH = 189, 773, 719_528
 
-EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++){0,20}?\.[A-Za-z]{2,}"
+#: A domain has at most 127 labels.
+EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++){0,126}?\.[A-Za-z]{2,}"
 ISO_DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2})(?!\w|[./-]\d)"
 OTHER_DATE = r"(?<![\w./-])(?:\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?!\w|[./-]\d)"
 IPV4 = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"
@@ -56,6 +65,14 @@ CANDIDATE = "|".join((EMAIL, ISO_DATE, OTHER_DATE, IPV4, SSN, PHONE, IBAN, CARD)
 HINT = r"[0-9@]"
 
 
+def plan_key(spark: SparkSession, secret: str) -> str:
+    """The key that plans hold for a secret, hidden where they are shown."""
+    setting = "spark.sql.redaction.string.regex"
+    if not spark.conf.get(setting, None):
+        spark.conf.set(setting, "key:[0-9a-f]{64}")
+    return f"key:{hashlib.sha256(secret.encode()).hexdigest()}"
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with the value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -182,23 +199,28 @@ def _ssn(key: str, value: Column) -> Column:
 
 
 def _day(key: str, day: Column) -> Column:
-    """The pseudonym of a day in the window."""
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    out = feistel(key, F.lit("date"), F.floor(number / DAYS_LOW), number % DAYS_LOW, F.lit(DAYS_HIGH), F.lit(DAYS_LOW))
-    return let(out, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS_LOW + s["b"]).cast("int")))
+    """The pseudonym of a day, in the same cycle of 400 years."""
+
+    def change(number: Column) -> Column:
+        cycle = F.lit(DAYS_HIGH * DAYS_LOW)
+        inside = F.pmod(number, cycle)
+        out = feistel(key, F.lit("date"), F.floor(inside / DAYS_LOW), inside % DAYS_LOW, F.lit(DAYS_HIGH), F.lit(DAYS_LOW))
+        return let(out, lambda s: F.date_from_unix_date((number - inside + s["a"] * DAYS_LOW + s["b"] - DAYS_TO_EPOCH).cast("int")))
+
+    return let(F.unix_date(day) + DAYS_TO_EPOCH, change)
 
 
-def _in_window(day: Column) -> Column:
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    return day.isNotNull() & (number >= 0) & (number < DAYS_HIGH * DAYS_LOW)
+def _year(day: Column) -> Column:
+    return F.lpad(F.year(day).cast("string"), 4, "0")
 
 
 def _iso_date(key: str, value: Column) -> Column:
-    def change(day: Column) -> Column:
-        new = F.replace(F.date_format(_day(key, day), "yyyy-MM-dd"), F.lit("-"), value.substr(5, 1))
-        return F.when(_in_window(day), new).otherwise(value)
+    def shown(new: Column) -> Column:
+        parts = [F.lpad(x.cast("string"), 2, "0") for x in (F.month(new), F.day(new))]
+        sign = value.substr(5, 1)
+        return F.concat(_year(new), sign, parts[0], sign, parts[1])
 
-    return let(F.translate(value, "/.", "--").try_cast("date"), change)
+    return let(F.translate(value, "/.", "--").try_cast("date"), lambda d: F.when(d.isNotNull(), let(_day(key, d), shown)).otherwise(value))
 
 
 def _other_date(key: str, value: Column) -> Column:
@@ -214,9 +236,9 @@ def _other_date(key: str, value: Column) -> Column:
         def shown(new: Column) -> Column:
             short = [F.when(width == 2, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string")) for x in (F.day(new), F.month(new))]
             first, second = F.when(day_first, short[0]).otherwise(short[1]), F.when(day_first, short[1]).otherwise(short[0])
-            return F.concat(first, sign, second, sign, F.lpad(F.year(new).cast("string"), 4, "0"))
+            return F.concat(first, sign, second, sign, _year(new))
 
-        return let(iso, lambda d: F.when(_in_window(d), let(_day(key, d), shown)).otherwise(value))
+        return let(iso, lambda d: F.when(d.isNotNull(), let(_day(key, d), shown)).otherwise(value))
 
     return let(F.split(value, "[./-]"), change)
 
@@ -294,7 +316,7 @@ def pseudonymised(key: str, text: Column) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the text column's personal data replaced by pseudonyms."""
-    at = docs.columns.index(text_col)
+    at, key = docs.columns.index(text_col), plan_key(docs.sparkSession, key)
     places = [f"_c{i}" for i in range(len(docs.columns))]
     out = docs.toDF(*places).withColumn(places[at], pseudonymised(key, F.col(places[at]))["text"])
     return out.toDF(*docs.columns)
@@ -302,6 +324,6 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
 def pseudonym_rows(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, the new ``text`` and ``n_replaced``."""
-    rows = pick(docs, id_col, text_col).toDF("id", "text")
+    rows, key = pick(docs, id_col, text_col).toDF("id", "text"), plan_key(docs.sparkSession, key)
     out = rows.select(F.col("id").alias(id_col), pseudonymised(key, F.col("text")).alias("r"))
     return out.select(id_col, F.col("r.text").alias("text"), F.col("r.n").alias("n_replaced"))
