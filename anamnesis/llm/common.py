@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.deploy import ship
+from anamnesis.deploy import durable, ship
+
+__all__ = ["bounded", "durable", "map_rows", "pick", "release", "settle", "ship", "table", "to_batch"]
 
 #: Output rows are handed to Spark in batches of about this many bytes.
 FLUSH_BYTES = 4 << 20
@@ -30,20 +32,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*places).select(*(F.col(places[df.columns.index(n)]).alias(n) for n in names))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the folder that the cluster shares.
-
-    The folder is ``spark.checkpoint.dir``; where a session has none (tests), one
-    below its warehouse is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return df.checkpoint()
-
-
 def bounded(spark: SparkSession) -> SparkSession:
     """Hand rows to Python in batches of 2000 instead of 10,000, as whole texts are large.
 

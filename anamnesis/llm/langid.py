@@ -5,18 +5,21 @@ that script as candidates. A word's score for a language is the log-likelihood o
 character n-grams and of itself, relative to the best language. Viterbi with a penalty for
 switching labels every word, so that a text falls into spans of one language each. The
 prediction is the language of most letters; its score is that language's share of all
-letters.
+letters. A text's fit is the share of its letters whose n-gram of three was met in training, in
+whatever language; it doesn't depend on how many languages were learned.
 
-Training counts n-grams over a sample of labelled rows, at most about ``MAX_DOCS`` (chosen
-by a hash of the id), and keeps the ``MAX_GRAMS`` most frequent, so the model that is
-collected and broadcast is bounded. Prediction runs in step over a batch's texts: at each
-position one array operation serves all texts that are so long.
+A word is a run of letters and the marks on them. Training counts n-grams over a sample of
+labelled rows, at most about ``MAX_DOCS`` (chosen by a hash of the id), and keeps each language's
+``MAX_GRAMS`` most frequent, so the model that is collected and broadcast is bounded by the
+number of languages. Prediction runs in step over a batch's texts: at each position one array
+operation serves all texts that are so long.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; letters of
 scripts that were not learned count against the score, and a text with no others gets the
-most frequent language with score 0; without training rows every text is ``und``;
-repeated rows give repeated results; an empty table gives an empty result; columns besides
-those named are not read.
+most frequent language with score 0; of languages with equally many letters the first by name is
+predicted, and in a path that scores the same the more frequent one; texts and words of any
+length are scored whole; without training rows every text is ``und``; repeated rows give repeated
+results; an empty table gives an empty result; columns besides those named are not read.
 """
 
 from __future__ import annotations
@@ -29,20 +32,21 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bpe import char_class
 from anamnesis.llm.common import bounded, map_rows, pick, release
 
 MAX_DOCS = 6_000
-MAX_GRAMS = 150_000
+MAX_GRAMS = 50_000
 ORDERS = (1, 2, 3)
 SWITCH_PENALTY = 6.0
 #: A word's log-likelihood ratio counts up to here.
 WORST = -12.0
-#: Letters whose n-grams lie in dense tables; those of all others are looked up. Sets speed only.
-ALPHABET = 60
+#: Letters whose n-grams lie in dense tables, and how many values those hold at most; n-grams of all
+#: other letters are looked up. Both set speed only.
+ALPHABET, DENSE_VALUES = 60, 4_000_000
 #: Texts between white space that a worker remembers; then it starts anew.
 CHUNKS_REMEMBERED = 150_000
 #: Texts that are labelled together.
@@ -67,7 +71,7 @@ SCRIPT_STARTS = [
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 _starts = [s for s, _ in SCRIPT_STARTS]
 _script_of_block = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
-_words = re.compile(f"[{char_class('L')}]+")
+_words = re.compile(f"[{char_class('L')}][{char_class('L')}{char_class('M')}]*")
 _find_words, _each_word = _words.findall, _words.finditer
 
 
@@ -90,6 +94,7 @@ class LanguageModel:
     N-grams of the most frequent letters lie in dense arrays, those with any other learned letter
     in sorted arrays, so each learned letter has a place of its own and the model's size is
     bounded by the numbers of n-grams and languages. Letters that weren't learned share place 2.
+    Beside the languages' values stands 1 for n-grams of the longest order that were met, else 0.
     """
 
     def __init__(self, langs: list[str], scripts: np.ndarray, letters: dict[str, int], tables: list[np.ndarray], rare: list[tuple[np.ndarray, np.ndarray]], words: dict[str, tuple], unseen: tuple):
@@ -107,17 +112,19 @@ class LanguageModel:
         """Forget the chunks met; scores of their words are rows of ``scores``."""
         self.known.clear()
         self.scores = np.zeros((1024, len(self.langs)), np.float32)
-        self.weights = np.zeros((1024, 2), np.int64)  # letters, and those that count
+        self.weights = np.zeros((1024, 3), np.int64)  # letters, those that count, and those whose n-gram was met
         self.used = 0
 
-    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Relative log-likelihoods of words by language, and whether any language has the script."""
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Relative log-likelihoods of words by language, whether any language has the script, and how
+        many n-grams of the longest order were met."""
         text = "<" + "><".join(words) + ">"
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 2
         start = np.cumsum(size) - size
         ends = start + size
-        total = np.array([self.words.get(w, self.unseen) for w in words], np.float64)
+        total = np.zeros((len(words), len(self.langs) + 1))
+        total[:, :-1] = [self.words.get(w, self.unseen) for w in words]
         pieces = -(-size // PIECE)
         word = np.repeat(np.arange(len(words)), pieces)
         begin = start[word] + PIECE * (np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
@@ -129,13 +136,14 @@ class LanguageModel:
             total[owner[first]] += np.add.reduceat(sums, first, axis=0, dtype=np.float64)
         script = np.searchsorted(_starts, codes[start + 1], side="right") - 1
         candidate = self.scripts[_script_of_block[script]]
+        met, total = np.rint(total[:, -1]).astype(np.int64), total[:, :-1]
         total = np.where(candidate, total, -np.inf)
         best = total.max(axis=1, keepdims=True)
         any_ = candidate.any(axis=1)
         relative = np.maximum(WORST, (total - np.where(any_[:, None], best, 0)) / len(ORDERS))
         relative = np.where(candidate, relative, 2 * WORST)
         relative[~any_] = 0
-        return relative.astype(np.float32), any_
+        return relative.astype(np.float32), any_, met
 
     def _sums(self, codes: np.ndarray, low: int, high: int, start: np.ndarray, ends: np.ndarray, pieces: np.ndarray) -> np.ndarray:
         """Sums over pieces of the log-probabilities of n-grams that begin at ``codes[low:high]``;
@@ -151,7 +159,7 @@ class LanguageModel:
         rare = letters >= width
         dense = np.where(rare, 2, letters) if (any_rare := bool(rare.any())) else letters
         index, code, hit = (np.zeros(size, np.int64) for _ in range(3))
-        out = np.zeros((len(pieces), len(self.langs)), np.float32)
+        out = np.zeros((len(pieces), len(self.langs) + 1), np.float32)
         for n, table, (keys, found) in zip(ORDERS, self.tables, self.rare):
             there = max(0, min(size, len(letters) - n + 1))
             index *= width
@@ -176,7 +184,7 @@ class LanguageModel:
         words = [_find_words(c) for c in chunks]
         flat = [w.lower() for mine in words for w in mine]
         if flat:
-            found, counted = self.score(flat)
+            found, counted, met = self.score(flat)
             while self.used + len(flat) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
                 self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
@@ -184,15 +192,16 @@ class LanguageModel:
             length = [len(w) for mine in words for w in mine]
             self.scores[here], self.weights[here, 0] = found, length
             self.weights[here, 1] = length * counted
+            self.weights[here, 2] = met
         at = self.used
         for chunk, mine in zip(chunks, words):
             self.known[chunk] = at << 31 | len(mine)
             at += len(mine)
         self.used = at
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
-        """For each text its language, the score, and spans (language, start, end) that tile it."""
-        out: list = [(UNKNOWN, 0.0, [])] * len(texts)
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]], float]]:
+        """For each text its language, the score, spans (language, start, end) that tile it, and the fit."""
+        out: list = [(UNKNOWN, 0.0, [], 0.0)] * len(texts)
         if not self.langs or not texts:
             return out
         pieces = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
@@ -230,6 +239,7 @@ class LanguageModel:
                 self.langs[best],
                 float(letters[best] / weight[:, 0].sum()),
                 [*zip(names, spans, [*spans[1:], len(texts[i])])],
+                float(weight[:, 2].sum() / weight[:, 0].sum()),
             )
         return out
 
@@ -241,7 +251,7 @@ def viterbi(ids: np.ndarray, first: np.ndarray, lengths: np.ndarray, scores: np.
     active = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), side="right")
     states = scores.shape[1]
     value = np.zeros((len(size), states), np.float32)
-    switched, source = np.zeros((len(ids), states), bool), np.zeros(len(ids), np.int8)
+    switched, source = np.zeros((len(ids), states), bool), np.zeros(len(ids), np.int32)
     for t, n in enumerate(active):
         at = start[:n] + t
         now = value[:n]
@@ -253,7 +263,7 @@ def viterbi(ids: np.ndarray, first: np.ndarray, lengths: np.ndarray, scores: np.
             now = np.where(better, jump, now)
             now = now - now.max(axis=1, keepdims=True)  # keeps values small in long texts
         value[:n] = now + scores[ids[at]]
-    path = np.zeros(len(ids), np.int8)
+    path = np.zeros(len(ids), np.int32)
     state = value.argmax(axis=1)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
@@ -297,8 +307,9 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS)
         count,
     )
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counts.where("n >= 2").orderBy(F.desc("n"), "gram", "lang").limit(max_grams).collect()
-    return build(found)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    most = counts.where("n >= 2").withColumn("place", place).where(F.col("place") <= max_grams)
+    return build(most.select("lang", "gram", "n").collect())
 
 
 def build(found: list[tuple[str, str, int]]) -> LanguageModel:
@@ -321,7 +332,7 @@ def build(found: list[tuple[str, str, int]]) -> LanguageModel:
             for letter in {*gram} - {"<", ">"}:
                 single[letter] += sum(mine.values()) if gram == letter else 0
     places = {"<": 0, ">": 1} | {g: 3 + i for i, (g, _) in enumerate(sorted(single.items(), key=lambda x: (-x[1], x[0])))}
-    width = 3 + ALPHABET
+    width = 3 + min(ALPHABET, max(0, int((DENSE_VALUES / (len(langs) + 1)) ** (1 / ORDERS[-1])) - 3))
     tables, rare = [], []
     for n in ORDERS:
         mine = {gram: [by_gram[gram].get(lang, 0) for lang in langs] for gram in by_gram if len(gram) == n and gram[0] != "="}
@@ -334,9 +345,10 @@ def build(found: list[tuple[str, str, int]]) -> LanguageModel:
             else:
                 others.append((sum(p << LETTER_BITS * (n - 1 - i) for i, p in enumerate(at)), counts))
         others.sort()
-        tables.append(np.log((table + 0.5) / sums).astype(np.float32))
         values = np.array([counts for _, counts in others], np.float64).reshape(len(others), len(langs))
-        rare.append((np.array([code for code, _ in others], np.int64), np.log((values + 0.5) / sums).astype(np.float32)))
+        shown = lambda x: np.column_stack([np.log((x + 0.5) / sums), (n == ORDERS[-1]) & (x.sum(axis=1) > 0)]).astype(np.float32)  # noqa: E731, B023
+        tables.append(shown(table))
+        rare.append((np.array([code for code, _ in others], np.int64), shown(values)))
     whole = {g[1:]: mine for g, mine in by_gram.items() if g[0] == "=" and len(g) > 1}
     totals = [sum(mine.get(lang, 0) for mine in whole.values()) + 0.5 * len(whole) + 1 for lang in langs]
     words = {
@@ -346,7 +358,7 @@ def build(found: list[tuple[str, str, int]]) -> LanguageModel:
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, ``lang_pred``, ``score`` and ``spans``, an array of
+    """One row per row of ``docs``: the id, ``lang_pred``, ``score``, ``fit`` and ``spans``, an array of
     (lang, start, end) that tile the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -354,23 +366,23 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         for batch in batches:
             for i in range(0, len(batch["id"]), BLOCK_ROWS):  # bounds what labelling holds at once
                 texts = batch["text"][i : i + BLOCK_ROWS]
-                for key, (lang, score, spans) in zip(batch["id"][i : i + BLOCK_ROWS], shared.value.label(texts)):
-                    yield key, lang, score, [{"lang": a, "start": b, "end": c} for a, b, c in spans]
+                for key, (lang, score, spans, fit) in zip(batch["id"][i : i + BLOCK_ROWS], shared.value.label(texts)):
+                    yield key, lang, score, fit, [{"lang": a, "start": b, "end": c} for a, b, c in spans]
 
     one = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     return map_rows(
         pick(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long")),
-        f"{id_col} long, lang_pred string, score double, spans array<struct<lang: string, start: long, end: long>>",
-        pa.schema([(id_col, pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(one))]),
+        f"{id_col} long, lang_pred string, score double, fit double, spans array<struct<lang: string, start: long, end: long>>",
+        pa.schema([(id_col, pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("fit", pa.float64()), ("spans", pa.list_(one))]),
         rows,
-        lambda row: 80 + 48 * len(row[3]),
+        lambda row: 88 + 48 * len(row[4]),
         lambda: shared.value.reset(),
     )
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which some learned language has a score of at least ``least``, with all
-    columns as they are. Whole batches are filtered, so nothing is shuffled."""
+    """The rows of ``docs`` with letters whose fit is at least ``least``, with all columns as they are.
+    Whole batches are filtered, so nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     places = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
@@ -380,7 +392,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text_co
             for i in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(i, BLOCK_ROWS)
                 found = shared.value.label(part.column(at).to_pylist())
-                yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+                yield part.filter(pa.array([lang != UNKNOWN and fit >= least for lang, _, _, fit in found], pa.bool_()))
         shared.value.reset()
         release()
 

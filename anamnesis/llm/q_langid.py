@@ -18,5 +18,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         held_out().alias("held_out"),
         "lang_pred",
         "score",
+        "fit",
         F.size("spans").cast("long").alias("n_spans"),
     )

@@ -324,3 +324,19 @@ def test_pipeline_stages(spark, sf):
     lawful(packed, 2048)
     assert {r.doc_id for r in packed if r.doc_id is not None} == heads
     assert P.run(spark, sf).count() > 0
+
+
+def test_pipeline_on_clashing_columns_and_empty_tables(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    names = [*docs.columns, "_hash", "TEXT", "_c0", "_head"]
+    rows = docs.withColumns({"p": F.lit("keep"), "q": F.lit("too"), "r": F.lit(7), "s": F.lit(8)}).toDF(*names)
+    for name, stage in P.STAGES[:3]:
+        rows = stage(spark, rows, sf)
+        assert rows.columns == names, name
+        kept = rows.toDF(*(f"x{i}" for i in range(len(names)))).select("x5", "x6", "x7", "x8").distinct().collect()
+        assert [tuple(r) for r in kept] == [("keep", "too", 7, 8)]
+    assert P.packing_stage(spark, rows, sf).count() > 0
+    empty = docs.limit(0)
+    assert [stage(spark, empty, sf).count() for _, stage in P.STAGES] == [0] * 4

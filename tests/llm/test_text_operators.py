@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 import re
 import urllib.parse
 import wave
@@ -345,8 +346,26 @@ def test_language_spans_and_odd_rows(spark, sf):
     none = langid.train(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(frame(spark, texts), none).collect()} == {"und"}
     assert langid.identify(frame(spark, []), model).count() == 0
-    kept = langid.keep_identified(frame(spark, texts, True), model, 0.2)
+    noise = "xq zvw jkqx wqz vkx " * 40
+    kept = langid.keep_identified(frame(spark, [*texts, noise], True), model, 0.5)
     assert kept.columns == ["doc_id", "text", "Text", "n_tokens"] and kept.count() == 3
+    fits = [r.fit for r in langid.identify(frame(spark, [*texts, noise]), model).orderBy("doc_id").collect()]
+    assert fits[:4] == [0] * 4 and min(fits[4:7]) > 0.9 and fits[7] < 0.4
+
+
+def test_many_languages_and_marks():
+    """More languages than a byte counts, with scarcely common words; marks don't end words."""
+    r = random.Random(2)
+    texts = {f"l{k:03}": " ".join("".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(12)) for k in range(200)}
+    model = langid.build(learned(texts))
+    wrong = [name for name, text in texts.items() if model.label([f"{text} {text}"])[0][0] != name]
+    assert len(wrong) < 10 and len(model.tables[2]) * (len(model.langs) + 1) <= langid.DENSE_VALUES
+    assert langid._find_words("हिन्दी ภาษาไทย cafe\u0301s a1b") == ["हिन्दी", "ภาษาไทย", "cafe\u0301s", "a", "b"]
+
+
+def test_ties_go_to_the_first_name():
+    model = langid.build(learned({"b": "same words here", "a": "same words here"}))
+    assert model.label(["same words"])[0][0] == "a"
 
 
 def test_held_out_accuracy(spark):
