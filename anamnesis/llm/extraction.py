@@ -1,6 +1,7 @@
 """Main text of web pages: boosted trees over elements, decoded along the tree.
 
-Each block element has features of its subtree (text, links, tags and their densities,
+Elements are blocks, inline elements whose attributes tell something, and the paragraphs that
+loose text forms outside all blocks or right in the body. Each has features of its subtree (text, links, tags and their densities,
 punctuation), its attribute words and those of its ancestors, its depth and its siblings.
 Gradient-boosted trees give it log odds of belonging to the article. Decoding keeps the
 set of elements with the largest sum of log odds in which no element is kept below a
@@ -42,7 +43,7 @@ GROUPS = {
     name: i
     for i, names in enumerate(
         (
-            "p", "h1", "h2 h3 h4 h5 h6", "li dt dd", "ul ol dl", "td th", "table thead tbody tfoot tr caption", "blockquote pre figure figcaption",
+            "p #loose", "h1", "h2 h3 h4 h5 h6", "li dt dd", "ul ol dl", "td th", "table thead tbody tfoot tr caption", "blockquote pre figure figcaption",
             "div", "section", "article main", "nav menu", "aside", "header", "footer", "form fieldset legend button input option", "body",
         ),
         1,
@@ -50,7 +51,7 @@ GROUPS = {
     for name in names.split()
 }
 _OUTSIDE = frozenset(("nav", "aside", "footer", "form", "menu", "dialog"))
-_MARKS = str.maketrans("", "", ".,;:!?")
+_MARKS = ".,;:!?"
 
 
 def features(page: Page) -> np.ndarray:
@@ -74,7 +75,7 @@ def features(page: Page) -> np.ndarray:
         runs[node] += 1
         if link:
             linked[node] += size
-        marks[node] += size - len(text.translate(_MARKS)) if size < 400 else text.count(".") + text.count(",")
+        marks[node] += sum(map(text.count, _MARKS))
         if "©" in text:
             signs[node] = 1
     for k in range(seen + 1, n):
@@ -177,7 +178,8 @@ def extract(pages: list[str | None], model: Trees) -> list[str]:
     out, at = [], 0
     for page, mine in zip(read, rows):
         kept = decode(page.parent, odds[at : at + len(mine)].tolist())
-        kept[0] = len(page.tag) == 1  # text outside all elements is the article only if there are none
+        if all(t == "#loose" for t in page.tag[1:]):  # a page without elements is its text
+            kept = [True] * len(kept)
         out.append(page.text(kept))
         at += len(mine)
     return out

@@ -1,7 +1,7 @@
 """Web pages written by rule, whose block elements say whether they belong to the article.
 
-The attribute ``data-y`` is 1 on elements that hold article text and 0 on all others. The
-rule varies what sites vary: semantic elements or plain divisions, naming, order, article
+The attribute ``data-y`` is 1 on elements that hold article text and 0 on all others; on the body the
+mark of its loose text follows after a colon. The rule varies what sites vary: semantic elements or plain divisions, naming, order, article
 length, lists and tables in articles, and menus, headers, notices, adverts, sidebars,
 forms, related links, footers and readers' comments inside or around the article.
 """
@@ -32,7 +32,7 @@ class Writer:
     def maybe(self, chance: float, text: str) -> str:
         return text if self.r.random() < chance else ""
 
-    def box(self, tag: str, label: int, inside: str, names: str = "", close: bool = True) -> str:
+    def box(self, tag: str, label: int | str, inside: str, names: str = "", close: bool = True) -> str:
         """An element; ``names`` are choices for class or id, of which none may be used."""
         attribute = ""
         if names and self.r.random() < 0.92:
@@ -99,6 +99,38 @@ class Writer:
             inside = self.box("p", 0, inside) + self.maybe(0.5, self.links(0)) + self.maybe(0.3, self.box("p", 0, self.prose(1, 3)))
         return self.box(self.r.choice(("footer", "footer", "div")), 0, inside, "footer site-footer bottom contentinfo copyright page-footer")
 
+    def hidden(self) -> str:
+        how = self.r.choice(("hidden", 'style="display:none"', 'style="display: none"', 'class="hidden"'))
+        tag = self.r.choice(("div", "p", "section"))
+        return f'<{tag} {how} data-y="0">{self.prose(1, 3)}</{tag}>'
+
+    def aside_words(self) -> str:
+        """Inline words that aren't the article's."""
+        names = "ad advert advertisement sponsored promo share share-links byline comment-count meta hidden notice tags copyright"
+        how = f'class="{self.r.choice(names.split())}"' if self.r.random() < 0.8 else self.r.choice(("hidden", 'style="display:none"'))
+        tag = self.r.choice(("span", "span", "small", "em", "a"))
+        return f'<{tag} {how} data-y="0">{self.words(1, 9) if self.r.random() < 0.6 else self.sentence()}</{tag}>'
+
+    def loose_article(self) -> str:
+        """Paragraphs right in the body, with line breaks or blocks between them."""
+        parts = []
+        for _ in range(self.r.choice((1, 2, 4, 8, 14))):
+            text = self.prose(1, self.r.choice((2, 4, 9)))
+            if self.r.random() < 0.2:
+                text = f"<b>{self.sentence()}</b> {text}"
+            parts.append(text)
+        gap = self.r.choice(("<br><br>", "<br><br>", "<hr>", "\n"))
+        extra = self.maybe(0.3, self.advert())
+        k = self.r.randint(0, len(parts))
+        return self.maybe(0.7, self.box("h1", 1, self.words(1, 10))) + gap.join(parts[:k]) + extra + gap.join(parts[k:])
+
+    def loose_words(self) -> str:
+        """Words between the blocks that belong to none."""
+        kind = self.r.random()
+        if kind < 0.4:
+            return f'<a href="#main">{self.words(1, 4)}</a> '
+        return self.words(1, 5) if kind < 0.8 else " | ".join(f'<a href="/{i}">{self.words(1, 2)}</a>' for i in range(4))
+
     def article(self) -> str:
         loose = self.r.random() < 0.3  # paragraphs aren't closed
         parts = []
@@ -110,6 +142,8 @@ class Writer:
                 text = text if self.r.random() < 0.7 else f"<b>{self.sentence()}<br>{text}" if loose else f"<b>{self.sentence()}</b> {text}"
                 if self.r.random() < 0.15:
                     text += f' <a href="/l">{self.words(1, 5)}</a> {self.sentence()}'
+                if self.r.random() < 0.08:
+                    text = text + " " + self.aside_words() if self.r.random() < 0.6 else self.aside_words() + " " + text
                 parts.append(self.box("p", 1, text, close=not loose))
             elif kind < 0.84:
                 parts.append(self.box(self.r.choice(("h2", "h3")), 1, self.words(1, 8)))
@@ -124,7 +158,7 @@ class Writer:
                 parts.append(self.box(self.r.choice(("pre", "figure")), 1, self.words(3, 20)))
             else:
                 parts.append(self.box("div", 1, self.prose(1, 3)))
-        for extra, chance in ((self.advert, 0.15), (self.form, 0.08), (self.related, 0.1), (self.notice, 0.06), (self.sidebar, 0.05)):
+        for extra, chance in ((self.advert, 0.15), (self.form, 0.08), (self.related, 0.1), (self.notice, 0.06), (self.sidebar, 0.05), (self.hidden, 0.05)):
             if self.r.random() < chance:
                 parts.insert(self.r.randint(0, len(parts)), extra())
         title = self.box("h1", 1, self.words(1, 12)) if self.r.random() < 0.85 else ""
@@ -132,7 +166,16 @@ class Writer:
             title = self.box("header", 1, title)
         return title + "".join(parts)
 
+    def fragment(self) -> str:
+        """An article without a page around it."""
+        tag, text = self.r.choice((("h1", self.words(1, 10)), ("p", self.prose(1, 4)), ("p", self.prose(1, 4))))
+        first = self.box(tag, "1:1", text)
+        rest = self.r.choice((self.loose_article, self.article, lambda: self.prose(1, 4), lambda: self.box("p", 1, self.prose(1, 4))))()
+        return first + rest
+
     def page(self) -> str:
+        if self.r.random() < 0.08:
+            return self.fragment()
         inside = self.article()
         if self.r.random() < 0.15:
             inside += self.comments()
@@ -147,7 +190,10 @@ class Writer:
             main = self.box("div", 1, inside, "content main post entry-content article-body story text main-content post-body prose")
         else:
             main = inside
-        if self.r.random() < 0.2:
+        bare = self.r.random() < 0.1
+        if bare:
+            main = self.loose_article()
+        elif self.r.random() < 0.2:
             main = self.box("div", 1, main + self.maybe(0.5, self.sidebar()), "wrapper container page row layout")
         before = [x for x, c in ((self.header, 0.4), (self.navigation, 0.6), (self.notice, 0.25), (self.advert, 0.4)) if self.r.random() < c]
         after = [x for x, c in ((self.sidebar, 0.35), (self.related, 0.25), (self.comments, 0.25), (self.advert, 0.15), (self.form, 0.1), (self.notice, 0.15)) if self.r.random() < c]
@@ -157,10 +203,12 @@ class Writer:
             after.remove(self.sidebar)
             before.append(self.sidebar)
         body = "".join(x() for x in before) + main + "".join(x() for x in after) + self.maybe(0.85, self.footer())
-        if self.r.random() < 0.15:
-            body = self.box("div", 1, body, "wrapper container page site layout")
+        if not bare:
+            if self.r.random() < 0.15:
+                body = self.box("div", 1, body, "wrapper container page site layout")
+            body = self.maybe(0.15, self.loose_words()) + body + self.maybe(0.08, self.loose_words())
         head = f"<head><title>{self.words(2, 8)}</title><style>p{{}}</style><script>var a='<p>';</script></head>"
-        return f'<!DOCTYPE html><html>{head}<body data-y="1">{body}' + self.maybe(0.85, "</body></html>")
+        return f'<!DOCTYPE html><html>{head}<body data-y="1:{int(bare)}">{body}' + self.maybe(0.85, "</body></html>")
 
 
 def labelled_pages(count: int) -> Iterator[str]:
