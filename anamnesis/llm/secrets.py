@@ -1,14 +1,15 @@
 """Secret scans through nested encodings.
 
 Each text is scanned for assigned secrets, access keys and long hex runs. A worklist then
-unwraps layers: percent escapes, Unicode escapes, base64 runs, and gzip or zlib data in
-them. Every new layer is scanned again and may hold further layers, until nothing new
+unwraps layers: percent escapes, Unicode escapes, base64 runs (whole, over lines of equal width,
+and from signs on that may be borders), and gzip or zlib data in them. Every new layer is scanned again and may hold further layers, until nothing new
 comes out. A layer whose text has been met is skipped, so cycles end. Each character of
 a layer knows the code points of the document that it came from, so that all spans are
 given in the document's own positions.
 
-Defined cases: a null or empty text has no spans; repeated rows give repeated results; an
-empty table gives an empty result; columns besides the id and the text are not read. Of
+Defined cases: a null or empty text has no spans; texts of any length are scanned whole; spans that
+several layers give count once, and the base one stands for equals; repeated rows give repeated
+results; an empty table gives an empty result; columns besides the id and the text are not read. Of
 compressed data all members are unpacked, and what follows them is read too. What is longer
 than ``MAX_UNPACKED`` bytes is held and scanned in windows of about that size, against
 decompression bombs. A window ends at a byte that no pattern takes in; only within a stretch
@@ -45,7 +46,11 @@ PACKED, PIECE = 64 << 10, 1 << 20
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+LEAST_RUN = 16
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+#: Signs of base64 that may also stand before it.
+BORDER = re.compile(r"[/_+-]")
 #: Bytes that no pattern takes in, also not in UTF-16, and those that no base64 run has.
 APART, NO_BASE64 = re.compile(rb"""[^A-Za-z0-9+/_.=\- "':%\\{}&#;\x00]"""), re.compile(rb"[^A-Za-z0-9+/_-]")
 
@@ -253,17 +258,55 @@ def _last(pattern: re.Pattern[bytes], raw: bytes) -> int:
     return 0
 
 
-def _base64(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """Runs that decode, as (start, end, bytes)."""
+def _decoded(run: str) -> bytes:
+    """The bytes of a run; a last letter that none can end with falls away."""
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return binascii.a2b_base64(run + "=" * (-len(run) % 4))
+
+
+def _base64(text: str) -> Iterator[tuple[int, int, str]]:
+    """Runs as (start, end, run), none within another; lines that go on at equal width are one run."""
+    last = 0
     for m in BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
+        if m.start() < last:
             continue
-        yield m.start(), m.end(), raw
+        start, end, parts = m.start(), m.end(), [m[0]]
+        # the first line may have words before it; all but the last have the width of the second, if there are more
+        while not parts[-1].endswith("=") and (more := NEXT_LINE.match(text, end)):
+            width = len(parts[1]) if len(parts) > 1 else max(len(parts[0]), len(more[1]))
+            if len(parts) > 1 and len(parts[-1]) < width or len(more[1]) > width:
+                break
+            parts.append(more[1])
+            end = more.end()
+        last = end
+        yield start, end, "".join(parts)
+
+
+def _inside(start: int, end: int, run: str, text: str) -> Iterator[tuple[int, int, str]]:
+    """What a run may hold besides itself: the lines of one that goes over several, and what begins after a
+    border in it. Decoding from places a multiple of four apart gives the same bytes, so there is
+    one run for each remainder: from the first border at it on."""
+    if len(run) < end - start:
+        for m in BASE64.finditer(text, start, end):
+            yield m.start(), m.end(), m[0]
+    seen = {0}
+    for m in BORDER.finditer(run):
+        at = m.end()
+        if at % 4 not in seen and len(run) - at >= LEAST_RUN:
+            seen.add(at % 4)
+            whole = len(run) == end - start
+            yield start + at if whole else start, end, run[at:]
+            if len(seen) == 4:
+                break
+
+
+def _packed_inside(run: str, raw: bytes) -> Iterator[bytes]:
+    """What begins like packed data right after a border further on in a run."""
+    for m in BORDER.finditer(run):
+        at = m.end()
+        if at % 4 == 0 and _is_packed(raw[at // 4 * 3 : at // 4 * 3 + 2]):
+            yield raw[at // 4 * 3 :]
 
 
 def _held(raw: bytes) -> bytes:
@@ -282,12 +325,15 @@ def _inner(layer: Layer) -> Iterator[Layer]:
     if ("\\" in here or "&#" in here) and (pieces := _escaped(here)):
         yield layer.replaced(pieces, "unicode")
     clear, all_ = [], []
-    for start, end, raw in _base64(here):
-        marks = [(0, *layer.span(start, end), False)]
-        for stream, path in _unpacked(_cut(raw), "base64"):
-            for window in _windows(stream):
-                for decoded in _texts(window):
-                    yield Layer(decoded, marks, f"{layer.path}{path}>")
+    for start, end, run in _base64(here):
+        raw = _decoded(run)
+        for first, last, part in chain([(start, end, run)], _inside(start, end, run, here)):
+            marks, bytes_ = [(0, *layer.span(first, last), False)], raw if part is run else _decoded(part)
+            for data in chain([bytes_], _packed_inside(part, bytes_)):
+                for stream, path in _unpacked(_cut(data), "base64"):
+                    for window in _windows(stream):
+                        for decoded in _texts(window):
+                            yield Layer(decoded, marks, f"{layer.path}{path}>")
         raw = _held(raw)
         if decoded := _lossless(raw):
             clear.append((start, end, decoded))
