@@ -1,24 +1,28 @@
 """Approximate nearest neighbours by largest inner product.
 
-Rows are dealt to shards of about ``SHARD_ROWS`` by a hash of their id. Each shard gets a
-hierarchical navigable small-world graph, stored as flat arrays of neighbours, one block
+Rows are dealt to shards by a hash of their id, shards to tasks by their number. Each shard gets
+a hierarchical navigable small-world graph, stored as flat arrays of neighbours, one block
 of rows per level. Blocks of queries meet every shard, and the shards' results are merged
-and ranked. Inner product becomes a distance by one more component, which gives all
-vectors of a shard the same length. Equal vectors of a shard are one node with a list of
-ids, so thousands of copies don't fill each other's neighbour lists. Shards of up to
-``SCAN_ROWS`` nodes are searched whole.
+and ranked. As a query meets all shards, their number is what a search costs: shards have at
+least ``SHARD_ROWS`` rows, and more on larger tables, as many as keep all cores busy, up to
+``SHARD_BYTES`` of index, which a task must hold. Inner product becomes a distance by one more
+component, which gives all vectors of a shard the same length. Equal vectors of a shard are
+one node with a list of ids, so thousands of copies don't fill each other's neighbour lists.
 
-Scores are recomputed in double precision on the vectors as given, always summed in the
-same order, so that equal vectors tie wherever they lie.
+Graphs are searched in single precision on scaled vectors. Scores are computed in double
+precision on the vectors as given, always summed from the first component to the last, so that
+equal vectors tie wherever they lie.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components
-take no part, nor do rows without an id; vectors of different lengths do not meet; rows
-that share an id count as one item, with its best score; an empty table gives an empty
-result; columns besides the id and the vector are not read.
+take no part, nor do rows without an id; vectors of different lengths do not meet; vectors of any
+length take part, though each shard holds fewer of them; equal scores are ties that the smaller id
+wins; rows that share an id count as one item, with its best score; an empty table gives an empty
+result; columns besides the id and the vector are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
@@ -26,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import durable, pick
+from anamnesis.llm.common import bounded, durable, pick
 
-SHARD_ROWS = 4096
+SHARD_ROWS, SHARD_BYTES = 16_384, 96 << 20
 QUERY_BLOCK = 2048
-SCAN_ROWS = 128
 LINKS = 16
 EF_BUILD = 80
 EF_SEARCH = 96
@@ -147,45 +150,54 @@ def level_counts(n: int) -> np.ndarray:
     return np.array(counts, np.int64)
 
 
+def _scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors scaled to at most 1 by one number, and their lengths."""
+    small = vectors / np.abs(vectors).max()
+    return small, np.sqrt((small**2).sum(axis=1))
+
+
 def build_shard(ids: np.ndarray, vectors: np.ndarray) -> dict[str, bytes]:
     """A shard's index as flat arrays: distinct vectors, the ids of each, and the graph."""
-    distinct, inverse = np.unique(np.ascontiguousarray(vectors, np.float32), axis=0, return_inverse=True)
+    distinct, inverse = np.unique(np.ascontiguousarray(vectors, np.float64), axis=0, return_inverse=True)
     order = np.random.default_rng(len(distinct)).permutation(len(distinct))  # so that levels are random
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     distinct, node = distinct[order], place[inverse.ravel()]
     pairs = np.unique(np.column_stack([node, ids.astype(np.int64)]), axis=0)  # repeated rows once, by node and id
-    longest = np.sqrt((distinct.astype(np.float64) ** 2).sum(axis=1))
-    more = np.sqrt(np.maximum(longest.max() ** 2 - longest**2, 0))
-    scaled = (np.column_stack([distinct, more]) / longest.max()).astype(np.float32)
-    graph = build_graph(scaled) if len(distinct) > SCAN_ROWS else None
+    small, length = _scaled(distinct)
+    more = np.sqrt(np.maximum(length.max() ** 2 - length**2, 0))
+    graph = build_graph((np.column_stack([small, more]) / length.max()).astype(np.float32))
     return {
         "vectors": distinct.tobytes(),
         "first": np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)).astype(np.int64).tobytes(),
         "ids": pairs[:, 1].tobytes(),
-        "counts": (graph.counts if graph else np.zeros(0, np.int64)).tobytes(),
-        "links": (graph.links if graph else np.zeros(0, np.int32)).tobytes(),
+        "counts": graph.counts.tobytes(),
+        "links": graph.links.tobytes(),
     }
 
 
 class Shard:
     def __init__(self, dim: int, vectors: bytes, first: bytes, ids: bytes, counts: bytes, links: bytes):
-        self.vectors = np.frombuffer(vectors, np.float32).reshape(-1, dim)
+        self.vectors = np.frombuffer(vectors, np.float64).reshape(-1, dim)
         self.first, self.ids = np.frombuffer(first, np.int64), np.frombuffer(ids, np.int64)
-        counts = np.frombuffer(counts, np.int64)
-        self.graph = Graph(self.vectors, counts, np.frombuffer(links, np.int32)) if len(counts) else None
+        self.graph = Graph(_scaled(self.vectors)[0].astype(np.float32), np.frombuffer(counts, np.int64), np.frombuffer(links, np.int32))
 
     def nearest(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the ``k`` nearest found, nearest first, ties to the smaller id."""
-        found = None
-        if self.graph:
-            found = self._ranked(np.array(self.graph.search(query, max(EF_SEARCH, 2 * k))), own, query, k)
-        if found is None or len(found[0]) < k:  # also where a few ids have all vectors that the walk met
+        small = (query / np.abs(query).max()).astype(np.float32)
+        ef = max(EF_SEARCH, 2 * k)
+        while True:
+            nodes = np.array(self.graph.search(small, ef))
+            found = self._ranked(nodes, own, query, k)
+            if len(found[0]) == k or len(nodes) < ef:
+                break
+            ef *= 4  # a few ids have all vectors that the walk met
+        if len(found[0]) < k and len(nodes) < len(self.vectors):  # and these are all that it can reach
             found = self._ranked(np.arange(len(self.vectors)), own, query, k)
         return found
 
     def _ranked(self, nodes: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        exact = (self.vectors[nodes].astype(np.float64) * query.astype(np.float64)).sum(axis=1)
+        exact = np.cumsum(self.vectors[nodes] * query, axis=1)[:, -1]
         ids, scores = [], []
         for node, score in zip(nodes, exact):
             mine = self.ids[self.first[node] : self.first[node + 1]][: k + 1]  # distinct, so no more can be among k
@@ -203,24 +215,76 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+def _matrix(columns: list[pa.Array], dim: int) -> np.ndarray:
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
+    return np.concatenate(flat).astype(np.float64).reshape(-1, dim)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with the same key, of rows sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.column_stack([batch.column(c).to_numpy() for c in key])
+        borders = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for start, end in zip(borders, borders[1:]):
+            if start == end:
+                continue
+            if held and tuple(keys[start]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = tuple(keys[start])
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _build(group: pa.Table) -> pa.Table:
-    dim, shard = group["dim"][0].as_py(), group["shard"][0].as_py()
-    made = build_shard(group["id"].to_numpy(), _matrix(group["vector"], dim))
-    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in made.items()})
+#: Rows of a task that searches: the shard's index (``block`` -1), then blocks of queries.
+INDEX = "dim int, shard int, block int, vectors binary, first binary, ids binary, counts binary, links binary"
+BLOCKS = "dim int, block int, q_ids binary, q_vectors binary"
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _groups(batches, ["dim", "shard"]):
+        dim, shard = group["dim"][0].as_py(), group["shard"][0].as_py()
+        made = build_shard(group["id"].to_numpy(), _matrix(group["vector"].chunks, dim))
+        row = {"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "block": pa.array([-1], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in made.items()}
+        yield pa.RecordBatch.from_pydict(row)
 
 
 def _block(group: pa.Table) -> pa.Table:
     dim, block = group["dim"][0].as_py(), group["block"][0].as_py()
-    ids, vectors = group["id"].to_numpy(), _matrix(group["vector"], dim)
+    ids, vectors = group["id"].to_numpy(), _matrix(group["vector"].chunks, dim)
     key = {"dim": pa.array([dim], pa.int32()), "block": pa.array([block], pa.int32())}
     return pa.table(key | {"q_ids": [ids.tobytes()], "q_vectors": [vectors.tobytes()]})
 
 
+def _search(k: int):
+    def run(batches):
+        shard, dim = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["block"] < 0:
+                    shard, dim = Shard(row["dim"], *(row[c] for c in ("vectors", "first", "ids", "counts", "links"))), row["dim"]
+                if row["block"] < 0 or row["dim"] != dim:
+                    continue
+                ids = np.frombuffer(row["q_ids"], np.int64)
+                vectors = np.frombuffer(row["q_vectors"], np.float64).reshape(-1, dim)
+                found = [shard.nearest(int(own), q, k) for own, q in zip(ids, vectors)]
+                columns = [np.repeat(ids, [len(f[0]) for f in found]), *(np.concatenate([f[j] for f in found]) for j in (0, 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def shards_for(rows: int, dim: int, cores: int) -> int:
+    """How many shards: as few as memory allows, but one for each core if that leaves them large."""
+    most = max(1, SHARD_BYTES // (8 * dim + 8 * LINKS + 24))
+    return max(-(-rows // most), min(cores, -(-rows // SHARD_ROWS)), 1)
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest rows found for each query, where
     ``is_query`` is a condition on the column ``id``."""
@@ -228,48 +292,31 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
         pick(rows, id_col, vector_col)
         .toDF("id", "vector")
         .where(F.col("id").isNotNull() & usable(F.col("vector")))
-        .select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
+        .select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
         .withColumn("dim", F.size("vector"))
     )
-    n, queries = valid.select(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-queries // QUERY_BLOCK))
-    tasks = 3 * shards  # more than shards, so that few of them share a task
+    n, queries, dim = valid.select(F.count("*"), F.count_if(is_query), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards = shards_for(n, dim, rows.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, -(-queries // QUERY_BLOCK))
     index = durable(
         valid.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-        .repartition(tasks, "dim", "shard")
-        .groupBy("dim", "shard")
-        .applyInArrow(
-            _build, "dim int, shard int, vectors binary, first binary, ids binary, counts binary, links binary"
-        )
+        .repartitionById(shards, "shard")
+        .sortWithinPartitions("dim")
+        .mapInArrow(_build, INDEX)
     )
     asked = (
         valid.where(is_query)
         .withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
         .groupBy("dim", "block")
-        .applyInArrow(_block, "dim int, block int, q_ids binary, q_vectors binary")
+        .applyInArrow(_block, BLOCKS)
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     )
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row["dim"], *(row[c] for c in ("vectors", "first", "ids", "counts", "links")))
-                ids = np.frombuffer(row["q_ids"], np.int64)
-                vectors = np.frombuffer(row["q_vectors"], np.float32).reshape(-1, row["dim"])
-                found = [shard.nearest(int(i), q, k) for i, q in zip(ids, vectors)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(ids, [len(f[0]) for f in found])),
-                        pa.array(np.concatenate([f[0] for f in found])),
-                        pa.array(np.concatenate([f[1] for f in found])),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
-
+    bounded(rows.sparkSession)
     met = (
-        asked.repartition(tasks, "dim", "shard")
-        .join(index.repartition(tasks, "dim", "shard").hint("shuffle_hash"), ["dim", "shard"])
-        .mapInArrow(run, "query_id long, vec_id long, score double")
+        index.unionByName(asked, allowMissingColumns=True)
+        .repartitionById(shards, "shard")
+        .sortWithinPartitions("dim", "block")
+        .mapInArrow(_search(k), FOUND)
     )
     # an id met in several rows counts once, with its best score
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

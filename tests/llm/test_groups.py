@@ -247,9 +247,10 @@ def exact(ids, vectors, query, own, k):
     return [(int(ids[j]), float(scores[j])) for j in order[:k]]
 
 
-@pytest.mark.parametrize("shard", [4096, 700])
-def test_neighbours_recall(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard,size", [(16_384, 96 << 20), (700, 96 << 20), (16_384, 64 << 10)])
+def test_neighbours_recall(spark, monkeypatch, shard, size):
     monkeypatch.setattr(hnsw, "SHARD_ROWS", shard)
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", size)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(30, 24))
     vectors = (centres[rng.integers(0, 30, 2100)] + 0.5 * rng.normal(size=(2100, 24))) * rng.uniform(0.5, 2, (2100, 1))
@@ -280,9 +281,24 @@ def test_neighbours_on_odd_vectors(spark):
     assert hnsw.search(vectors_of(spark, []), F.col("id") % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("scan", [0, 128])
-def test_neighbours_beside_repeated_ids(spark, monkeypatch, scan):
-    monkeypatch.setattr(hnsw, "SCAN_ROWS", scan)
+def test_neighbours_are_scored_in_double_precision(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0 + 1e-12, 1.0]), (2, [1.0, 1.0 + 3e-12]), (3, [1e300, 1.0]), (20, [0.1, 0.7]), (40, [1e-300, 1e-300])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = hnsw.search(frame, F.col("id") % 20 == 0, 20).orderBy("query_id", "rank").collect()
+    want = []
+    for q, x in rows:
+        if q % 20 == 0:
+            scores = sorted(((-(x[0] * v[0] + x[1] * v[1]), i) for i, v in rows if i != q))
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    assert [tuple(r) for r in out] == want
+
+
+def test_shards_grow_with_the_table():
+    assert [hnsw.shards_for(n, 64, 6) for n in (0, 500, 10_256, 51_282, 600_000)] == [1, 1, 1, 4, 6]
+    assert hnsw.shards_for(10**9, 64, 6) * hnsw.SHARD_BYTES >= 10**9 * (8 * 64 + 8 * hnsw.LINKS) and hnsw.shards_for(10**9, 64, 6) < 10**9 / 100_000
+
+
+def test_neighbours_beside_repeated_ids(spark):
     hot = [1.0, 2.0]
     rows = [(0, hot)] * 30 + [(1, hot)] * 25 + [(i, hot) for i in range(2, 30)] + [(40, [1.0, 1.0 + i / 64]) for i in range(50)] + [(41, [2.0, 1.0])]
     got = {}
