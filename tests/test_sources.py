@@ -121,6 +121,35 @@ def test_records():
     small = records.slim_record(json.dumps({"a": {"b": ["x" * 40_000, "y" * 30_000]}}), "pi", 20_000)
     assert len(small) <= 20_000 and json.loads(small)["a"]["b"][1].startswith("yyy")
     assert json.loads(records.slim_record('{"type":"file-history-snapshot","x":1}', "pi")) == {"type": "file-history-snapshot", "stripped": True}
+    payload = {"payload": {"content": [{"type": "input_image", "image_url": "x"}], "note": big}, "content": [{"type": "image"}], "note": big}
+    got = json.loads(records.slim_record(json.dumps(payload), "codex"))
+    assert got["payload"]["content"] == [{"type": "image", "stripped": True}] and len(got["payload"]["note"]) < 51_000
+    assert got["content"] == [{"type": "image"}] and got["note"] == big
+    deep = json.dumps({"message": {"message": {"content": [{"type": "function_call", "name": "f", "arguments": "a" * 900}, {"type": "tool_use", "input": {"file_path": "p" * 400, "command": "c" * 400, "x": 1}}]}}})
+    parts = json.loads(records.slim_record(deep, "pi"))["message"]["message"]["content"]
+    assert parts[0] == {"type": "tool_use", "name": "f", "input": {"args": "a" * 300}} and parts[1]["input"] == {"file_path": "p" * 400, "command": "c" * 300}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_records_are_cut_evenly(seed):
+    r = random.Random(seed)
+    record = {f"k{i}": "".join(r.choices('ab"\\\n', k=r.choice((10, 700, 5000)))) for i in range(12)}
+    text = json.dumps(record, ensure_ascii=False, separators=(",", ":"))
+    for most in (len(text), len(text) - 1, len(text) // 2):
+        got = records.fitted(record, most)
+        assert len(got) <= most
+        if most < len(text) and got.startswith('{"k0"') and got.endswith('"}'):
+            sizes = {k: len(v) for k, v in json.loads(got).items()}
+            cut = {n for k, n in sizes.items() if n < len(record[k])}
+            assert len(cut) == 1 and all(n <= cut.copy().pop() for n in sizes.values())
+    assert len(records.fitted({f"k{i}": "x" * 400 for i in range(99)}, 2000)) == 2000
+
+
+def test_untouched_lines_skip_python(spark):
+    lines = ['{"a": 1,  "b": "kept as it came"}', json.dumps({"message": {"content": [{"type": "thinking", "thinking": "x"}]}}), None, "plain", "y" * 60_000]
+    rows = spark.createDataFrame([(i, line, "pi") for i, line in enumerate(lines)], "i int, line string, agent string")
+    got = [r[0] for r in rows.select("i", records.slimmed_record(F.col("line"), F.col("agent")).alias("s")).orderBy("i").select("s").collect()]
+    assert got[0] == lines[0] and json.loads(got[1])["message"]["content"] == [{"type": "thinking", "stripped": True}] and got[2:] == lines[2:]
 
 
 def test_pushes(spark):
