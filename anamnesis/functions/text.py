@@ -41,10 +41,23 @@ IMAGE_MARK, CODE_MARK = "[图片]", "[代码块]"
 GROUNDING_TOKEN = r"[一-鿿]{2,}|[A-Za-z0-9]{4,}"
 
 
+#: Characters without which a text is composed already: marks, the letters of Hangul syllables, and those
+#: that have another canonical form.
+COMPOSABLE = (
+    r"[\p{M}\x{374}\x{37E}\x{387}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{F69}\x{1100}-\x{11FF}"
+    r"\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}-\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{10000}-\x{10FFFF}]"
+)
+
+
 @F.pandas_udf(StringType())
-def nfc(values: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no built-in function for it."""
-    return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
+def _composed(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
+
+
+def nfc(text: Column) -> Column:
+    """Canonical composition. Spark has no built-in function for it, so the few texts that it can change go
+    through Python."""
+    return F.coalesce(_composed(F.when(text.rlike(COMPOSABLE), text)), text)
 
 
 def digest(content: Column) -> Column:

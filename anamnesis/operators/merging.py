@@ -103,7 +103,7 @@ def new_rows(actions: DataFrame, folded: DataFrame, first_id: int) -> DataFrame:
     ``seq`` and ``replaces``, the id of the row superseded."""
     born = folded.select(F.col("id").alias("replaces"), F.explode("state.born").alias("seq"))
     fresh = actions.where("action = 'NEW' AND NOT tombstoned").select("seq", F.lit(None).cast("long").alias("replaces"))
-    made = numbered(born.select("seq", "replaces").unionByName(fresh), "seq", "id")
+    made = numbered(born.select("seq", "replaces").unionByName(fresh), "seq", name="id")
     return (
         actions.join(made, "seq")
         .withColumn("id", F.col("id") + F.lit(first_id - 1))
@@ -114,7 +114,9 @@ def new_rows(actions: DataFrame, folded: DataFrame, first_id: int) -> DataFrame:
 def apply_actions(memories: DataFrame, actions: DataFrame, tombstones: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     """The store after a batch of actions, and the log. ``memories`` has the table's columns;
     ``actions`` has ``seq, action, target_id, owner, cwd, kind, domain, summary, content, keywords, origin,
-    confidence, source``."""
+    confidence, source``; each has a ``seq`` of its own, which is its place in the batch."""
+    if actions.groupBy("seq").count().where("count > 1").limit(1).count():
+        raise ValueError("two actions have the same seq")
     flagged = flag_tombstoned(actions, tombstones, "content")
     # several results use the folds; their nested plan must not grow with each
     folded = durable(fold_actions(memories, flagged))
@@ -143,6 +145,19 @@ def apply_actions(memories: DataFrame, actions: DataFrame, tombstones: DataFrame
     return changed.unionByName(fresh), log
 
 
+def sequenced(decisions: DataFrame, found: DataFrame, cwd: str | None) -> DataFrame:
+    """Decisions as actions: each gets a ``seq``, in the order of the candidates and, of one candidate, that
+    in which they stand. ``decisions`` should be read from storage; ``found`` is the candidates."""
+    rows = decisions.withColumn("_row", F.monotonically_increasing_id())
+    given = found.select("index", "origin", "confidence", "source")
+    return (
+        numbered(rows, "index", "_row", name="seq")
+        .join(given, "index")
+        .withColumn("cwd", F.lit(cwd).cast("string"))
+        .select("seq", "action", "target_id", "owner", "cwd", "kind", "domain", "summary", "content", "keywords", "origin", "confidence", "source")
+    )
+
+
 def valid_decisions(decisions: DataFrame, candidates: DataFrame, memories: DataFrame) -> DataFrame:
     """A selector's merge decisions that can be carried out: a known candidate, an active target of
     the same owner, and the texts that the action needs. Up to eight keywords stay."""

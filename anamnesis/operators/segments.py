@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from typing import TypeVar
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anamnesis.operators.ranking import running_sum
+
+State = TypeVar("State")
+
 LINE_CHARS = 8192
 WINDOW_CHARS, LEAST_WINDOW = 8000, 200
 
@@ -14,31 +22,51 @@ def capped(line: Column) -> Column:
     return F.when(F.length(line) > LINE_CHARS, F.concat(F.substring(line, 1, LINE_CHARS), F.lit("…"))).otherwise(line)
 
 
+def fold_sorted(rows: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[dict], State], step: Callable[[State, dict], tuple[State, tuple]]) -> DataFrame:
+    """A fold over each key's rows in order, where a row's result depends on all before it.
+
+    Rows stream through a task sorted, and only one state is held, so a key's length doesn't matter for
+    memory, and time is in proportion to it. ``start`` and ``step`` get rows as dicts; ``step`` returns the
+    next state and the row's results, which are appended to the key and order columns as ``schema`` says.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    head = rows.select(*keys, *order).schema
+    whole = StructType([*head.fields, *StructType.fromDDL(schema).fields])
+    arrow, kept = to_arrow_schema(whole), [*keys, *order]
+
+    def run(batches):
+        last, state = None, None
+        for batch in batches:
+            results = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if last is None or key != last:
+                    last, state = key, start(row)
+                state, result = step(state, row)
+                results.append(result)
+            columns = [batch.column(k) for k in kept] + [pa.array(c, arrow.field(len(kept) + i).type) for i, c in enumerate(zip(*results))]
+            if results:
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, whole)
+
+
 def greedy_segments(lines: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:
     """``key, order, segment``: a segment ends with the record that brings its characters (one more
     for each line end) to ``most``.
 
-    The sum starts anew after each end, so it is no prefix sum; a session's sizes are folded
-    in order. Only sizes and places are gathered, in packs of a session's records.
+    The sum starts anew after each end, so it is no prefix sum, and a session's sizes are folded in order.
     """
-    packs = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    start = F.struct(
-        F.array().cast(f"array<struct<o:{dict(lines.dtypes)[order]},g:bigint>>").alias("out"),
-        F.lit(0).cast("long").alias("used"),
-        F.lit(0).cast("long").alias("segment"),
-    )
-
-    def step(state: Column, row: Column) -> Column:
-        total = state["used"] + row["s"] + 1
-        full = total >= most
-        return F.struct(
-            F.concat(state["out"], F.array(F.struct(row["o"].alias("o"), state["segment"].alias("g")))).alias("out"),
-            F.when(full, F.lit(0).cast("long")).otherwise(total).alias("used"),
-            (state["segment"] + full.cast("long")).alias("segment"),
-        )
-
-    folded = packs.select(key, F.aggregate("rows", start, step, lambda s: s["out"]).alias("out"))
-    return folded.select(key, F.inline("out").alias(order, "segment"))
+
+    def step(state: tuple[int, int], row: dict) -> tuple[tuple[int, int], tuple]:
+        used, segment = state
+        used += (row["_size"] or 0) + 1
+        return ((0, segment + 1) if used >= most else (used, segment)), (segment,)
+
+    rows = lines.select(key, order, F.col(size).cast("long").alias("_size"))
+    return fold_sorted(rows, [key], [order], "segment long", lambda _: (0, 0), step)
 
 
 def segment_texts(lines: DataFrame, segments: DataFrame, key: str, order: str, text: str, least: int) -> DataFrame:
@@ -58,8 +86,7 @@ def fixed_windows(texts: DataFrame, key: str, text: str, size: int = WINDOW_CHAR
 
 def within_budget(windows: DataFrame, lens: str, order: list[str], chars: str, nightly: int) -> DataFrame:
     """Windows that a night still takes: one goes as long as what went before is under ``nightly``."""
-    before = Window.partitionBy(lens).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return windows.withColumn("_before", F.coalesce(F.sum(chars).over(before), F.lit(0))).where(F.col("_before") < nightly).drop("_before")
+    return running_sum(windows, [lens], order, chars, "_before").where(F.col("_before") < nightly).drop("_before")
 
 
 def resume_at(size: Column, processed: Column, first_cap: int | None = None) -> Column:

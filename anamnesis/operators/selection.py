@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from anamnesis.functions.text import clip
 from anamnesis.schema import PERSONAL_KINDS
 
+#: Lists of ids up to this long are sent to all tasks; longer ones are joined by a shuffle.
+MOST_BROADCAST = 10_000
 LISTED = ("id", "kind", "summary", "pinned", "last_seen")
 
 
@@ -37,10 +39,11 @@ def merge_candidates(memories: DataFrame, as_of: Column, days: int, owner: str =
 
 def by_ids(memories: DataFrame, ids: list[int]) -> DataFrame:
     """Active memories in the order of ``ids``; of an id that is named twice, the last place counts."""
-    spark = memories.sparkSession
-    asked = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id long, place long")
-    asked = asked.groupBy("id").agg(F.max("place").alias("place"))
-    return memories.where("status = 'active'").join(F.broadcast(asked), "id").orderBy("place").drop("place")
+    places = {i: n for n, i in enumerate(ids)}
+    asked = memories.sparkSession.createDataFrame([*places.items()], "id long, place long")
+    if len(places) <= MOST_BROADCAST:
+        asked = F.broadcast(asked)
+    return memories.where("status = 'active'").join(asked, "id").orderBy("place").drop("place")
 
 
 def constitution(memories: DataFrame, owner: str, scope: str = "all", cwd: str | None = None, limit: int = 5) -> DataFrame:

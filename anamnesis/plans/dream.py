@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.deploy import durable
-from anamnesis.operators.merging import apply_actions, valid_decisions, verified
-from anamnesis.operators.ranking import numbered
+from anamnesis.operators.merging import apply_actions, sequenced, valid_decisions, verified
 from anamnesis.operators.segments import greedy_segments, segment_texts
 from anamnesis.operators.upkeep import archive, decayed
 from anamnesis.plans.judge import Judge
@@ -50,18 +49,13 @@ def run(store: SnapshotStore, lines: DataFrame, judge: Judge, at: Column, as_of:
     found = durable(judge.decide("extract", reading).withColumn("owner", F.lit(owner)))
     found = durable(verified(found, judge.decide("verify", found)))
     decisions = durable(valid_decisions(judge.decide("merge", found), found, memories))
-    ranked = numbered(decisions.select("index").distinct(), "index", "seq")
-    actions = (
-        decisions.join(found.select("index", "origin", "confidence", F.col("path").alias("source")), "index")
-        .join(ranked, "index")
-        .withColumn("cwd", F.lit(None).cast("string"))
-        .select("seq", "action", "target_id", "owner", "cwd", "kind", "domain", "summary", "content", "keywords", "origin", "confidence", "source")
-    )
+    actions = sequenced(decisions, found.withColumn("source", F.col("path")), None)
     merged, log = apply_actions(memories, durable(actions), tombstones, at)
     merged = durable(merged)
     old = decayed(merged.withColumn("last_seen", F.to_date("last_seen_at")), as_of).drop("last_seen")
     kept, gone = archive(merged, old, "decay", at)
-    through = fresh.groupBy(F.col("path").alias("session_file")).agg((F.max("line_no") + 1).alias("processed_bytes"))
+    # files that couldn't be parsed are read again, when a parser has come
+    through = fresh.join(errors, "path", "left_anti").groupBy(F.col("path").alias("session_file")).agg((F.max("line_no") + 1).alias("processed_bytes"))
     moved = through.withColumns({"gist": F.lit(""), "processed_at": at})
     state = state.join(moved, "session_file", "left_anti").unionByName(moved.select(*state.columns))
     stones = tombstones.unionByName(gone.select(*tombstones.columns)).dropDuplicates(["owner", "digest"])

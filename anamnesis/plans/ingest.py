@@ -6,24 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.deploy import durable
-from anamnesis.operators.merging import apply_actions, valid_decisions, verified
-from anamnesis.operators.ranking import numbered
+from anamnesis.operators.merging import apply_actions, sequenced, valid_decisions, verified
 from anamnesis.plans.judge import Judge
 
 CANDIDATE = "index long, kind string, domain string, summary string, content string, keywords array<string>, origin string, confidence double, source string"
 
 
-def as_actions(decisions: DataFrame, found: DataFrame, cwd: str | None) -> DataFrame:
-    """Actions in the order of the candidates' numbers."""
-    places = numbered(decisions.select("index").distinct(), "index", "seq")
-    return (
-        decisions.join(found.select("index", "origin", "confidence", "source"), "index")
-        .join(places, "index")
-        .withColumn("cwd", F.lit(cwd).cast("string"))
-        .select("seq", "action", "target_id", "owner", "cwd", "kind", "domain", "summary", "content", "keywords", "origin", "confidence", "source")
-    )
-
-
 def remember(memories: DataFrame, tombstones: DataFrame, judge: Judge, candidate: dict, at: Column, owner: str = "default", cwd: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The store after one stated memory, and the log. The judge may merge it with an old one; of
     its decisions the first counts, and without any the memory is new."""
@@ -33,7 +21,7 @@ def remember(memories: DataFrame, tombstones: DataFrame, judge: Judge, candidate
     decided = valid_decisions(judge.decide("merge", found), found, memories).limit(1)
     new = found.select("index", F.lit("NEW").alias("action"), F.lit(None).cast("long").alias("target_id"), "kind", "domain", "summary", "content", "keywords", "owner")
     decided = durable(decided.select(*new.columns))
-    return apply_actions(memories, as_actions(new if decided.isEmpty() else decided, found, cwd), tombstones, at)
+    return apply_actions(memories, durable(sequenced(durable(new) if decided.isEmpty() else decided, found, cwd)), tombstones, at)
 
 
 def ingest_text(memories: DataFrame, tombstones: DataFrame, judge: Judge, text: str, source: str, at: Column, owner: str = "default") -> tuple[DataFrame, DataFrame]:
@@ -45,4 +33,4 @@ def ingest_text(memories: DataFrame, tombstones: DataFrame, judge: Judge, text:
     found = durable(judge.decide("extract", reading).withColumns({"owner": F.lit(owner), "source": F.lit(source)}))
     found = durable(verified(found, judge.decide("verify", found)))
     decided = durable(valid_decisions(judge.decide("merge", found), found, memories))
-    return apply_actions(memories, durable(as_actions(decided, found, None)), tombstones, at)
+    return apply_actions(memories, durable(sequenced(decided, found, None)), tombstones, at)

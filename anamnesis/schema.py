@@ -7,12 +7,13 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VERSION = 14
+VERSION = 1
 KINDS = ("preference", "fact", "knowledge", "lesson", "skill_index")
 ORIGINS = ("user_stated", "agent_inferred", "mixed")
 STATUSES = ("active", "absorbed", "superseded", "archived")
 PERSONAL_KINDS = ("preference", "fact", "knowledge")
 
+# Tables and columns by name, as other programs know them.
 TABLES = {
     "memories": "id long, owner string, cwd string, kind string, domain string, summary string, mini string,"
     " content string, keywords string, origin string, confidence double, evidence long, source string, pinned int,"

@@ -1,6 +1,7 @@
 """The state machine against a plain interpreter, snapshots, and the cases that the blueprint names."""
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from anamnesis.functions import text as T
 from anamnesis.operators import merging as M
 from anamnesis.operators import selection as S
 from anamnesis.operators import upkeep as U
-from anamnesis.operators.ranking import numbered
+from anamnesis.operators.ranking import numbered, running_sum
 from anamnesis.schema import TABLES, conform
 from anamnesis.snapshots import SnapshotStore
 
@@ -134,8 +135,30 @@ def test_envelope(spark):
 
 def test_numbered_is_dense_and_ordered(spark):
     rows = spark.range(0, 3000, 7).select((F.col("id") * 37).alias("k"))
-    got = [tuple(r) for r in numbered(rows, "k", cell=1000).orderBy("k").collect()]
-    assert [n for _, n in got] == list(range(1, 430))
+    out = numbered(rows.repartition(7), "k")
+    assert [r.number for r in out.orderBy("k").collect()] == list(range(1, 430))
+    assert "Window" not in out._jdf.queryExecution().toString()
+    same = numbered(rows.withColumn("k", F.lit(1)), "k")
+    assert sorted(r.number for r in same.collect()) == list(range(1, 430))
+    assert numbered(rows.limit(0), "k").count() == 0
+
+
+def test_running_sum(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "hot", "a", None]), i, r.randint(0, 9)) for i in range(900)]
+    got = {x.i: x.s for x in running_sum(spark.createDataFrame(rows, "k string, i long, v long").repartition(5), ["k"], ["i"], "v", "s").collect()}
+    sums = {}
+    for k, i, v in rows:
+        assert got[i] == sums.get(k, 0)
+        sums[k] = sums.get(k, 0) + v
+
+
+def test_composition_is_asked_for_where_it_matters(spark):
+    second = {chr(int(d.split()[1], 16)) for c in map(chr, range(0x110000)) if (d := unicodedata.decomposition(c)) and d[0] != "<" and " " in d}
+    chars = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (c in second or not unicodedata.is_normalized("NFC", c))]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string")
+    assert [x.c for x in rows.where(~F.col("c").rlike(T.COMPOSABLE)).collect()] == []
+    assert one(spark, T.nfc(F.lit("e\u0301 \u1112\u1161\u11ab"))) == "\u00e9 \ud55c" and one(spark, T.nfc(F.lit(None).cast("string"))) is None
 
 
 def test_snapshots(spark, tmp_path):
@@ -152,6 +175,17 @@ def test_snapshots(spark, tmp_path):
     assert store.read("memories", 2).count() == 1
 
 
+def test_two_writers(spark, tmp_path):
+    """The one that comes second is told, and the first one's version stays as it was written."""
+    one_, two = (SnapshotStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    one_.commit({"memories": memory(spark, [(1, "a", "mixed", 0.5)])})
+    two.manifest, seen = (lambda version=None: seen), one_.manifest()
+    one_.commit({"memories": memory(spark, [(2, "winner", "mixed", 0.5)])})
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.commit({"memories": memory(spark, [(3, "loser", "mixed", 0.5)])})
+    assert [r.content for r in one_.read("memories").collect()] == ["winner"] and one_.versions() == [1, 2]
+
+
 def test_old_layout_gets_defaults(spark):
     old = spark.createDataFrame([(1, "x", "short")], "id long, content string, summary string")
     row = conform(old, "memories").first()
