@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.deploy import ship
+from anamnesis.deploy import durable, ship
 from anamnesis.operators import conversations, selection, upkeep, usage
 from anamnesis.operators.merging import tombstones_of
 from anamnesis.plans import dream, ingest, pick, recall
 from anamnesis.plans.judge import Judge, RuleJudge
-from anamnesis.schema import TABLES
+from anamnesis.schema import TABLES, conform
 from anamnesis.snapshots import SnapshotStore
 
 MOST_K, MOST_DAYS = 20, 90
@@ -30,26 +30,73 @@ class MemoryEngine:
     def _ledger(self, conversation: str | None) -> DataFrame | None:
         if conversation is None:
             return None
-        since = self.now - F.make_dt_interval(hours=F.lit(48))
-        return self.store.read("injection_log").where((F.col("conversation") == conversation) & (F.col("injected_at") >= since))
-
-    def recall(self, query: str, k: int = 5, owner: str = "default", scope: str = "smart", cwd: str | None = None, mode: str = "deep", conversation: str | None = None) -> DataFrame:
-        """The memories for a question; in a conversation each is given once within 48 hours."""
-        k, ledger, today = max(1, min(k, MOST_K)), self._ledger(conversation), F.to_date(self.now)
+        since = self.now - F.make_dt_interval(hours=F.lit(conversations.LEDGER_HOURS))
+        mine = self.store.read("injection_log").where((F.col("conversation") == conversation) & (F.col("injected_at") >= since))
+        return mine.groupBy("conversation", "item").agg(F.min("injected_at").alias("injected_at"))
+
+    def recalled(self, query: str, k: int = 5, owner: str = "default", scope: str = "smart", cwd: str | None = None, mode: str = "deep", conversation: str | None = None) -> pick.Recalled:
+        """The memories for a question, in order, with the chapters that a selector chose. In a conversation each
+        memory is given once within 48 hours; every question is logged."""
+        k, ledger, today = selection.clamp(k, 1, MOST_K), self._ledger(conversation), F.to_date(self.now)
         if mode == "deep":
-            found = pick.deep_recall(self.memories(), self.judge, query, today, k, owner, scope, cwd, ledger)
+            found = pick.deep_recall(self.memories(), self.judge, query, today, k, owner, scope, cwd, ledger, self.store.read("profiles"))
         else:
-            found = recall.fast_recall(self.memories(), query, today, k, owner, scope, cwd, mode == "excavate", ledger)
-        if conversation is not None:
-            ids = [r.id for r in found.select("id").collect()]  # at most twenty
-            given = self.spark.createDataFrame([(conversation, f"m:{i}") for i in ids], "conversation string, item string")
-            log = conversations.log_injections(self.store.read("injection_log"), given.withColumn("injected_at", self.now), self.now)
-            self.store.commit({"injection_log": log})
-            found = selection.by_ids(self.memories(), ids) if mode == "deep" else self.memories().where(F.col("id").isin(ids))
+            rows = recall.fast_recall(self.memories(), query, today, k, owner, scope, cwd, mode == "excavate", ledger)
+            had = 0 if ledger is None else ledger.where(F.col("item").startswith("m:")).count()
+            found = pick.Recalled(rows, self.store.read("profiles").limit(0), had)
+        # at most twenty rows, which keep their order; what is given must be what is logged
+        rows = found.memories.collect()
+        found.memories = self.spark.createDataFrame(rows, found.memories.schema)
+        log = pick.recall_log(found.memories, query, mode, self.now, owner, found.deduped)
+        self.store.append({"recall_log": log})
+        if conversation is not None and rows:
+            given = self.spark.createDataFrame([(conversation, f"m:{r.id}") for r in rows], "conversation string, item string")
+            self.store.append({"injection_log": given.withColumn("injected_at", self.now)})
         return found
 
+    def recall(self, query: str, k: int = 5, **rest: object) -> DataFrame:
+        """The memories of ``recalled``."""
+        return self.recalled(query, k, **rest).memories
+
+    def context(self, conversation: str, budget: int = conversations.CONTEXT_CHARS) -> str:
+        """A conversation's topic as text: its summary, last turns, and a line for each earlier one."""
+        topic = self.store.read("topics").where(F.col("conversation") == conversation)
+        replies = self.store.read("replies").join(topic.select("topic_id", "summary"), "topic_id")
+        row = conversations.context_text(replies, F.col("summary"), budget).first()
+        return row.context if row else ""
+
+    def say(self, conversation: str, query: str, answer: str | None = None) -> None:
+        """Log a turn of a conversation, and its answer."""
+        added = self.spark.createDataFrame([(conversation, 1, query, [])], "conversation string, seq long, query string, injected array<string>")
+        replies, topics = conversations.log_turns(self.store.read("replies"), self.store.read("topics"), added, self.now)
+        if answer is not None:
+            mine = topics.where(F.col("conversation") == conversation).select("topic_id", F.lit(1).alias("seq"), F.lit(answer).alias("answer"))
+            replies = conversations.attach_answers(replies, mine)
+        self.store.commit({"replies": replies, "topics": topics})
+
     def probe(self, owner: str = "default", scope: str = "smart", cwd: str | None = None) -> DataFrame:
-        return pick.probe(self.memories(), self.judge, owner, scope, cwd)
+        return pick.probe(self.memories(), self.judge, owner, scope, cwd, self.store.read("profiles"))
+
+    def audit(self, owner: str = "default", dry_run: bool = True) -> DataFrame:
+        """The trail of an audit of lessons; what it says is done unless it is a dry run."""
+        memories = self.memories()
+        lessons = selection.owned(memories, owner).join(upkeep.audit_batches(memories, owner), "id")
+        verdicts = durable(self.judge.decide("audit", lessons))
+        trail = durable(upkeep.audit_trail(memories, verdicts))
+        if not dry_run:
+            after = upkeep.changed(self.store.read("memories"), upkeep.audited(memories, verdicts), self.now)
+            entry = trail.select(self.now.alias("at"), F.concat(F.lit("audit "), "verdict").alias("action"), F.to_json(F.struct("id", "before", "after")).alias("detail"))
+            self.store.commit({"memories": after, "memory_log": self.store.read("memory_log").unionByName(conform(entry, "memory_log"))})
+        return trail
+
+    def backfill(self, owner: str = "default") -> int:
+        """Keywords and handles for memories without them; returns how many rows were changed."""
+        memories = self.store.read("memories")
+        bare = selection.owned(memories, owner).where("trim(keywords) = '' OR trim(mini) = ''")
+        batches = bare.join(upkeep.backfill_batches(memories.withColumn("_any", F.when((F.trim("keywords") != "") & (F.trim("mini") != ""), "x").otherwise("")), "_any", owner=owner), "id")
+        found = durable(upkeep.backfilled(bare, durable(self.judge.decide("backfill", batches))))
+        self.store.commit({"memories": upkeep.changed(memories, found, self.now)})
+        return found.count()
 
     def inject(self, owner: str = "default", scope: str = "smart", cwd: str | None = None) -> tuple[DataFrame, DataFrame]:
         """Pinned memories and the directory of chapters."""
@@ -91,8 +138,8 @@ class MemoryEngine:
     def decay(self) -> DataFrame:
         return upkeep.decayed(self.memories(), F.to_date(self.now))
 
-    def dream(self, lines: DataFrame, owner: str = "default") -> dict[str, int]:
-        return dream.run(self.store, lines, self.judge, self.now, F.to_date(self.now), owner)
+    def dream(self, lines: DataFrame, owner: str = "default", **rest: object) -> dict[str, int]:
+        return dream.run(self.store, lines, self.judge, self.now, F.to_date(self.now), owner, **rest)
 
     def activity(self, days: int = 7) -> DataFrame:
         return usage.activity(self.store.read("request_log"), self._since(days))
@@ -101,7 +148,7 @@ class MemoryEngine:
         return usage.token_usage(self.store.read("token_log"), self._since(days))
 
     def _since(self, days: int) -> Column:
-        return self.now - F.make_dt_interval(days=F.lit(max(1, min(days, MOST_DAYS))))
+        return self.now - F.make_dt_interval(days=F.lit(selection.clamp(days, 1, MOST_DAYS)))
 
     def restore(self, version: int) -> int:
         """Make an older version the newest."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from anamnesis.functions.text import clip, scrub, squeeze
+from anamnesis.functions.text import clip, grounded, scrub, squeeze
+from anamnesis.operators.ranking import numbered
 
 CONTEXT_CHARS, VERBATIM_TURNS, VERBATIM_CHARS, GIST_CHARS, MARGIN = 32_000, 3, 4000, 300, 20
 STALE_TURNS, SUMMARY_TURNS, LEAST_CHARS = 8, 12, 15
-QUERY_CHARS = 20_000
+QUERY_CHARS, KEPT_GIST = 20_000, 500
 # Headings of a context's parts.
 SUMMARY_LABEL, VERBATIM_LABEL, GISTS_LABEL = "话题概要：", "最近用户轮原文：\n", "逐轮纪要（新→旧）：\n"
 
@@ -64,7 +65,7 @@ def earlier_gists(replies: DataFrame, n: int = 3) -> DataFrame:
 
 
 def packed_context(replies: DataFrame, summary: Column, budget: int = CONTEXT_CHARS) -> DataFrame:
-    """``topic_id, reply_id, part, chars``: what goes into each topic's context.
+    """``topic_id, reply_id, part, chars, line``: what goes into each topic's context.
 
     The summary and the last three turns come first; then, newest first, one line per earlier turn
     until the first that has no room. ``summary`` is a column of ``replies``. The lines are
@@ -72,12 +73,14 @@ def packed_context(replies: DataFrame, summary: Column, budget: int = CONTEXT_CH
     """
     n = F.row_number().over(_newest())
     line = F.when(F.col("gist") != "", F.col("gist")).otherwise(F.concat(F.lit("用户："), clip(squeeze(F.col("query")), GIST_CHARS)))
+    said = clip(squeeze(F.col("query")), VERBATIM_CHARS)
     number = F.length(F.col("reply_id").cast("string")) + 2
     rows = replies.select(
         "topic_id", "reply_id", n.alias("n"),
         F.when(F.length(summary) > 0, F.length(summary) + len(SUMMARY_LABEL)).otherwise(0).alias("summary_chars"),
-        (number + F.length(clip(squeeze(F.col("query")), VERBATIM_CHARS))).alias("verbatim"),
+        (number + F.length(said)).alias("verbatim"),
         (number + F.length(line)).alias("line"),
+        F.concat(F.col("reply_id").cast("string"), F.lit(". "), F.when(n <= VERBATIM_TURNS, said).otherwise(line)).alias("_text"),
     )
     recent = F.col("n") <= VERBATIM_TURNS
     whole = Window.partitionBy("topic_id")
@@ -89,7 +92,62 @@ def packed_context(replies: DataFrame, summary: Column, budget: int = CONTEXT_CH
     kept = rows.withColumn("_stop", F.max("_over").over(running)).where(~F.col("_stop"))
     part = F.when(recent, "verbatim").otherwise("gist")
     chars = F.when(recent, F.col("verbatim")).otherwise(F.col("line"))
-    return kept.select("topic_id", "reply_id", part.alias("part"), chars.cast("long").alias("chars"))
+    return kept.select("topic_id", "reply_id", part.alias("part"), chars.cast("long").alias("chars"), F.col("_text").alias("line"))
+
+
+def context_text(replies: DataFrame, summary: Column, budget: int = CONTEXT_CHARS) -> DataFrame:
+    """``topic_id, context``: the summary, the last turns from old to new, and lines of earlier ones from new
+    to old, as far as the budget goes; so what is gathered of a topic is bounded."""
+    lines = packed_context(replies, summary, budget)
+    place = F.struct(F.when(F.col("part") == "verbatim", F.col("reply_id")).otherwise(-F.col("reply_id")).alias("at"), "line")
+    gathered = lambda part: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, place))), lambda x: x["line"])
+    texts = lines.groupBy("topic_id").agg(gathered("verbatim").alias("_v"), gathered("gist").alias("_g"))
+    known = replies.select("topic_id", summary.alias("_s")).groupBy("topic_id").agg(F.max("_s").alias("_s"))
+    part = lambda label, value: F.when(F.length(value) > 0, F.concat(F.lit(label), value))
+    shown = F.concat_ws("\n\n", part(SUMMARY_LABEL, F.col("_s")), part(VERBATIM_LABEL, F.array_join("_v", "\n")), part(GISTS_LABEL, F.array_join("_g", "\n")))
+    return texts.join(known, "topic_id").select("topic_id", shown.alias("context"))
+
+
+def set_gists(replies: DataFrame, gists: DataFrame) -> DataFrame:
+    """Replies with new gists (``topic_id, reply_id, gist``) of up to 500 characters, where a word of the
+    gist stands in the turn; the others keep what they have."""
+    new = gists.groupBy("topic_id", "reply_id").agg(F.max("gist").alias("_gist"))
+    fits = F.coalesce(grounded(F.col("_gist"), F.concat_ws("\n", "query", "answer")), F.lit(False))
+    rows = replies.join(new, ["topic_id", "reply_id"], "left")
+    return rows.withColumn("gist", F.when(fits, F.substring("_gist", 1, KEPT_GIST)).otherwise(F.col("gist"))).select(*replies.columns)
+
+
+def log_turns(replies: DataFrame, topics: DataFrame, added: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Replies and topics after new turns (``conversation, seq, query, injected``): a conversation is a topic,
+    and its turns go on where they ended."""
+    ids = topics.agg(F.coalesce(F.max("topic_id"), F.lit(0)).alias("_top"))
+    names = added.select("conversation").distinct()
+    fresh = numbered(names.join(topics, "conversation", "left_anti").withColumn("_hash", F.xxhash64("conversation")), "_hash", "conversation")
+    top = ids.first()[0]
+    first = added.groupBy("conversation").agg(F.substring(F.min_by("query", "seq"), 1, SUMMARY_TURNS * LEAST_CHARS).alias("first_reply"))
+    new = fresh.select("conversation", (F.col("number") + top).alias("topic_id")).join(first, "conversation")
+    new = new.withColumns({"summary": F.lit(""), "summary_at": F.lit(0).cast("long"), "first_seen_at": at, "last_seen_at": at})
+    seen = topics.join(names.withColumn("_new", F.lit(True)), "conversation", "left")
+    kept = seen.withColumn("last_seen_at", F.when(F.col("_new"), at).otherwise(F.col("last_seen_at"))).select(*topics.columns)
+    after = kept.unionByName(new.select(*topics.columns))
+    last = replies.groupBy("topic_id").agg(F.max("reply_id").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("topic_id").orderBy("seq"))
+    rows = added.join(after.select("conversation", "topic_id"), "conversation").join(last, "topic_id", "left")
+    turns = rows.select(
+        "topic_id", (F.coalesce("_last", F.lit(0)) + place).cast("long").alias("reply_id"), scrub(F.substring("query", 1, QUERY_CHARS)).alias("query"),
+        "injected", F.lit("").alias("answer"), F.lit("").alias("gist"), at.alias("created_at"),
+    )
+    return replies.unionByName(turns.select(*replies.columns)), after
+
+
+def set_summaries(topics: DataFrame, summaries: DataFrame, replies: DataFrame) -> DataFrame:
+    """Topics with new summaries (``topic_id, summary``), as of their last turn."""
+    last = replies.groupBy("topic_id").agg(F.max("reply_id").alias("_last"))
+    new = summaries.groupBy("topic_id").agg(F.max("summary").alias("_summary")).join(last, "topic_id", "left")
+    rows = topics.join(new, "topic_id", "left")
+    given = F.length(F.coalesce("_summary", F.lit(""))) > 0
+    changed = {"summary": F.when(given, F.col("_summary")).otherwise(F.col("summary")), "summary_at": F.when(given, F.coalesce("_last", F.lit(0))).otherwise(F.col("summary_at"))}
+    return rows.withColumns(changed).select(*topics.columns)
 
 
 def turns_since_summary(replies: DataFrame, topics: DataFrame) -> DataFrame:
@@ -115,7 +173,10 @@ def gists_to_regenerate(replies: DataFrame, topics: DataFrame, since: Column, li
     return rows.orderBy(F.desc("topic_id"), "reply_id").limit(limit).select("topic_id", "reply_id")
 
 
-def log_injections(ledger: DataFrame, added: DataFrame, now: Column, hours: int = 48) -> DataFrame:
+LEDGER_HOURS = 48
+
+
+def log_injections(ledger: DataFrame, added: DataFrame, now: Column, hours: int = LEDGER_HOURS) -> DataFrame:
     """The ledger of ``conversation, item, injected_at`` with new rows: the first of each stays, and rows
     older than 48 hours go."""
     kept = ledger.where(F.col("injected_at") >= now - F.make_dt_interval(hours=F.lit(hours)))

@@ -13,6 +13,15 @@ MOST_BROADCAST = 10_000
 LISTED = ("id", "kind", "summary", "pinned", "last_seen")
 
 
+def clamp(value: int, least: int, most: int) -> int:
+    return max(least, min(value, most))
+
+
+def clamped(value: Column, least: int, most: int, default: int) -> Column:
+    """A count as it is asked for: the default if it is missing, and within its limits."""
+    return F.greatest(F.lit(least), F.least(F.coalesce(value, F.lit(default)), F.lit(most)))
+
+
 def in_scope(scope: str, cwd: str | None) -> Column:
     """``all`` (or no directory): everything; ``cwd``: this directory or none; ``smart``: also what is
     personal."""

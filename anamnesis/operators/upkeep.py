@@ -9,7 +9,7 @@ from anamnesis.functions.text import clip, theme_name
 from anamnesis.operators.merging import may_supersede, tombstones_of, without_tombstoned
 from anamnesis.operators.ranking import numbered
 from anamnesis.operators.selection import owned
-from anamnesis.schema import KINDS
+from anamnesis.schema import KINDS, conform
 
 DECAY_DAYS, DECAY_BELOW = 90, 0.7
 WARM_DAYS, KEPT_EVIDENCE = 30, 5
@@ -95,13 +95,30 @@ def reorganise(memories: DataFrame, merges: DataFrame, conflicts: DataFrame, arc
     tags = retags.join(active.select("id"), "id", "left_semi").select("id", F.when(F.col("kind").isin(*KINDS), F.col("kind")).alias("kind"), F.nullif("domain", F.lit("")).alias("domain"))
     tags = tags.groupBy("id").agg(F.last("kind", True).alias("kind"), F.last("domain", True).alias("domain"))
     changes = status.join(tags, "id", "full").select("id", "status", "by.by_group", "by.by_id", "kind", "domain")
-    return changes, made, tombstones_of(active.join(gone, "id", "left_semi"), "archived", at)
-
-
-def chapters(tree: DataFrame, memories: DataFrame) -> DataFrame:
+    return changes, made.withColumn("owner", F.lit(owner)), tombstones_of(active.join(gone, "id", "left_semi"), "archived", at)
+
+
+def reorganised(memories: DataFrame, changes: DataFrame, made: DataFrame, at: Column) -> DataFrame:
+    """The store after a curation plan (see ``reorganise``): merged rows get new ids, and what they or
+    other rows replace points to them."""
+    top = memories.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    born = numbered(made, "group_id", name="_n").withColumn("id", F.col("_n") + top)
+    named = changes.join(born.select(F.col("group_id").alias("by_group"), F.col("id").alias("_new")), "by_group", "left")
+    named = named.select("id", *(F.col(c).alias(f"_{c}") for c in ("status", "kind", "domain")), F.coalesce("_new", "by_id").alias("_by"), F.lit(True).alias("_hit"))
+    rows = memories.join(named, "id", "left")
+    kept = rows.withColumns(
+        {c: F.coalesce(f"_{c}", c) for c in ("status", "kind", "domain")}
+        | {"superseded_by": F.coalesce("_by", "superseded_by"), "updated_at": F.when(F.col("_hit"), at).otherwise(F.col("updated_at"))}
+    ).select(*memories.columns)
+    words = F.array_join(F.slice(F.coalesce("keywords", F.array().cast("array<string>")), 1, 8), " ")
+    fresh = born.withColumns({"keywords": words, "status": F.lit("active"), "created_at": at, "updated_at": at, "last_seen_at": F.col("last_seen").cast("timestamp")})
+    return kept.unionByName(conform(fresh, "memories").select(*memories.columns))
+
+
+def chapters(tree: DataFrame, memories: DataFrame, owner: str = "default") -> DataFrame:
     """A cluster tree's chapters as they will be kept: known members only, at least two, up to six
     chapters in a domain and twelve domains. ``tree`` has ``domain_place, domain, sub_place, sub, member_ids``."""
-    known = owned(memories).select(F.col("id").alias("member"))
+    known = owned(memories, owner).select(F.col("id").alias("member"))
     rows = tree.withColumns({"domain": theme_name(F.col("domain")), "sub": theme_name(F.col("sub"))})
     members = rows.select("domain_place", "domain", "sub_place", "sub", F.explode("member_ids").alias("member")).join(known, "member", "left_semi")
     subs = members.groupBy("domain_place", "domain", "sub_place", "sub").agg(F.array_sort(F.collect_set("member")).alias("member_ids"))
@@ -112,7 +129,58 @@ def chapters(tree: DataFrame, memories: DataFrame) -> DataFrame:
     first = subs.select("domain_place").distinct().orderBy("domain_place").limit(MOST_DOMAINS)
     out = subs.join(first, "domain_place", "left_semi")
     mature = F.when(F.size("member_ids") >= MATURE, "mature").otherwise("seeding")
-    return out.select(F.concat_ws("/", "domain", "sub").alias("theme"), "domain", "member_ids", mature.alias("maturity"))
+    return out.select(F.concat_ws("/", "domain", "sub").alias("theme"), "domain", "sub", "member_ids", mature.alias("maturity"))
+
+
+def grown_chapters(found: DataFrame, profiles: DataFrame, memories: DataFrame, owner: str) -> DataFrame:
+    """Chapters (of ``chapters``) with the members that they had before, as far as those are active or
+    absorbed, and a row for each domain: ``theme, domain, title, member_ids, maturity, is_domain``."""
+    old = profiles.where(F.col("owner") == owner).select("theme", F.col("memory_ids").alias("_old"))
+    joined = found.join(old, "theme", "left").withColumn("_all", joined_members(F.col("_old"), F.col("member_ids")))
+    living = owned(memories, owner, ("active", "absorbed")).select(F.col("id").alias("_id"))
+    members = joined.select("theme", "domain", "sub", F.posexplode("_all").alias("_at", "_id")).join(living, "_id")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_id"))), lambda x: x["_id"])
+    mature = F.when(F.size("member_ids") >= MATURE, "mature").otherwise("seeding").alias("maturity")
+    subs = members.groupBy("theme", "domain", "sub").agg(in_order.alias("member_ids"))
+    roots = members.groupBy("domain").agg(F.array_sort(F.collect_set("_id")).alias("member_ids"))
+    shape = lambda theme, title, root: [F.col(theme).alias("theme"), "domain", F.col(title).alias("title"), "member_ids", mature, F.lit(root).alias("is_domain")]
+    return subs.select(*shape("theme", "sub", False)).unionByName(roots.select(*shape("domain", "domain", True)))
+
+
+def with_ids(profiles: DataFrame, at: Column) -> DataFrame:
+    """Profiles of which new ones get ids, in the order of owner and theme."""
+    top = profiles.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = numbered(profiles.where("id IS NULL").drop("id"), "owner", "theme", name="id")
+    new = new.withColumns({"id": F.col("id") + top, "created_at": at})
+    return profiles.where("id IS NOT NULL").unionByName(new.select(*profiles.columns))
+
+
+def absorbed(memories: DataFrame, taken: DataFrame, at: Column) -> DataFrame:
+    """The store after chapters took members in (``id, absorbed_by``)."""
+    rows = memories.join(taken.select("id", F.col("absorbed_by").alias("_by")), "id", "left")
+    hit = F.col("_by").isNotNull()
+    changed = {"status": F.when(hit, "absorbed").otherwise(F.col("status")), "absorbed_by": F.coalesce("_by", "absorbed_by"), "updated_at": F.when(hit, at).otherwise(F.col("updated_at"))}
+    return rows.withColumns(changed).select(*memories.columns)
+
+
+def audit_batches(memories: DataFrame, owner: str = "default", size: int = 12) -> DataFrame:
+    """Active lessons in batches for an audit: ``id, batch``."""
+    rows = numbered(owned(memories, owner).where("kind = 'lesson'").select("id"), "id")
+    return rows.select("id", F.floor((F.col("number") - 1) / size).cast("long").alias("batch"))
+
+
+def audit_trail(memories: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``id, verdict, before, after``: what an audit changes, for a dry run or the log."""
+    after = audited(memories, verdicts).select("id", "verdict", F.to_json(F.struct("summary", "content", "kind", "status")).alias("after"))
+    return after.join(memories.select("id", F.to_json(F.struct("summary", "content", "kind", "status")).alias("before")), "id").select("id", "verdict", "before", "after")
+
+
+def changed(memories: DataFrame, rows: DataFrame, at: Column) -> DataFrame:
+    """The store with the columns that ``rows`` has, by ``id``, in place of its own."""
+    names = [c for c in rows.columns if c in memories.columns and c != "id"]
+    joined = memories.join(rows.select("id", *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_hit")), "id", "left")
+    values = {c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in names} | {"updated_at": F.when(F.col("_hit"), at).otherwise(F.col("updated_at"))}
+    return joined.withColumns(values).select(*memories.columns)
 
 
 def upsert_profiles(profiles: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
@@ -130,7 +198,7 @@ def upsert_profiles(profiles: DataFrame, changes: DataFrame, at: Column) -> Data
         F.when(changed, "active").otherwise(F.col("status")).alias("status"),
         (F.coalesce("version", F.lit(0)) + F.when(changed, 1).otherwise(0)).cast("long").alias("version"),
         pick("parent_id"),
-        F.when(changed, at).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(changed, at).otherwise(F.col("updated_at")).alias("updated_at"), *(c for c in ("created_at",) if c in profiles.columns),
     )
 
 
@@ -152,7 +220,7 @@ def absorb(memories: DataFrame, profiles: DataFrame, as_of: Column) -> DataFrame
     """``id, absorbed_by`` of members that mature sub-chapters take in; the last chapter of several."""
     mature = profiles.where((F.col("maturity") == "mature") & F.col("parent_id").isNotNull())
     members = mature.select(F.col("id").alias("profile"), F.explode("memory_ids").alias("id")).groupBy("id").agg(F.max("profile").alias("absorbed_by"))
-    return memories.where(absorbable(as_of)).join(members, "id").select("id", "absorbed_by")
+    return memories.where(absorbable(as_of)).select("id").join(members, "id")
 
 
 def retired(profiles: DataFrame, memories: DataFrame, covered: DataFrame, touched: DataFrame) -> DataFrame:
@@ -214,7 +282,8 @@ def demands(asked: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def domain_hashes(memories: DataFrame, updated: Column, owner: str = "default") -> DataFrame:
-    """``domain, members, hash`` of the active store, to see which domain's card is out of date.
+    """``domain, members, hash`` of the active store, to see which domain's card is out of date; the largest
+    domains come first.
 
     A domain's ids come in ranges, each hashed by itself; the ranges' hashes, of which there are a
     thousandth as many, are hashed again. So no row holds a domain's whole list.
@@ -224,7 +293,8 @@ def domain_hashes(memories: DataFrame, updated: Column, owner: str = "default")
     part = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "mark"))), lambda x: x["mark"]), ";"))
     ranges = rows.groupBy("domain", F.floor(F.col("id") / 1000).alias("range")).agg(part.alias("hash"), F.count("*").alias("members"))
     whole = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "hash"))), lambda x: x["hash"]), ";"))
-    return ranges.groupBy("domain").agg(F.sum("members").alias("members"), F.substring(whole, 1, 16).alias("hash"))
+    out = ranges.groupBy("domain").agg(F.sum("members").alias("members"), F.substring(whole, 1, 16).alias("hash"))
+    return out.orderBy(F.desc("members"), "domain")
 
 
 def stale_cards(hashes: DataFrame, cards: DataFrame) -> DataFrame:

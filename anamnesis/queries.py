@@ -50,6 +50,12 @@ def as_of():
     return F.lit(X.AS_OF).cast("date")
 
 
+def in_order(rows: DataFrame, name: str) -> DataFrame:
+    """A short result with ``name``, 1, 2, ... as its rows come."""
+    out = [(*r, n) for n, r in enumerate(rows.collect(), 1)]
+    return rows.sparkSession.createDataFrame(out, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, {name} long")
+
+
 def since():
     return F.lit("2024-01-08").cast("timestamp_ntz")
 
@@ -137,10 +143,12 @@ def constitution_top5(spark, sf):
     return S.constitution(X.memories(spark, sf), "default").select("id", "summary", "content")
 
 
-@query(MEM + """ SELECT id, summary FROM mem JOIN (VALUES (181, 0), (2, 1), (93, 2), (17, 3), (44, 4), (106, 6)) AS a(aid, p) ON id = aid
-    WHERE status = 'active'""")
+@query(MEM + """, a AS (SELECT s_suppkey * 7 % 500 + 1 AS aid, max(s_suppkey) AS p FROM supplier GROUP BY 1)
+    SELECT id, summary, CAST(row_number() OVER (ORDER BY p) AS BIGINT) AS place FROM mem JOIN a ON id = aid WHERE status = 'active'""")
 def lookup_by_ids(spark, sf):
-    return S.by_ids(X.memories(spark, sf), [181, 2, 93, 17, 44, 2, 106]).select("id", "summary")
+    asked = X.table(spark, sf, "supplier").orderBy("s_suppkey").select((F.col("s_suppkey") * 7 % 500 + 1).alias("i"))
+    rows = S.by_ids(X.memories(spark, sf), [r.i for r in asked.collect()]).select("id", "summary")
+    return in_order(rows, "place")
 
 
 @query(MEM + f" SELECT id, substr(summary, 1, 50) || CASE WHEN length(summary) > 50 THEN '…' ELSE '' END AS summary FROM mem WHERE {OWN} AND last_seen > DATE '2024-05-01' ORDER BY id DESC LIMIT 8")
@@ -170,18 +178,23 @@ def content_digest(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", T.digest(F.col("text")).alias("digest"))
 
 
-SECRETS = "'LTAI' || md5('a' || doc_id)[1:16] || ' x sk-' || md5('b' || doc_id) || ' y ghp_' || md5('c' || doc_id) || ' z github_pat_' || md5('d' || doc_id) || ' Access Key Secret: ' || md5('e' || doc_id)"
+SECRETS = "'a LTAI' || md5('a' || doc_id)[1:16] || ' x sk-' || md5('b' || doc_id) || ' y ghp_' || md5('c' || doc_id) || ' z github_pat_' || md5('d' || doc_id) || ' Access Key Secret: ' || md5('e' || doc_id)"
+
+
+def _scrubbed_sql(text):
+    for pattern, mark in T.REDACTIONS:
+        text = f"regexp_replace({text}, '{pattern}', '{mark}', 'g')"
+    return rf"regexp_replace({text}, '(access ?key(?: ?secret)?(?:是|=|:)\s*)[A-Za-z0-9]{{24,40}}(\s|$)', '\1[redacted-key]\2', 'gim')"
 
 
-@query(f"""SELECT doc_id, 'a [redacted-aliyun-ak] x [redacted-sk] y [redacted-ghp] z [redacted-gh-pat] Access Key Secret: [redacted-key]' AS scrubbed,
-        substr(text, 1, 200) AS kept FROM documents""")
+@query(f"SELECT doc_id, {_scrubbed_sql(f'{SECRETS} || chr(10) || text')} AS scrubbed FROM documents")
 def scrub_secrets(spark, sf):
     part = lambda letter: F.md5(F.concat(F.lit(letter), F.col("doc_id").cast("string")).cast("binary"))
     secret = F.concat(
         F.lit("a LTAI"), F.substring(part("a"), 1, 16), F.lit(" x sk-"), part("b"), F.lit(" y ghp_"), part("c"), F.lit(" z github_pat_"), part("d"),
         F.lit(" Access Key Secret: "), part("e"),
     )
-    return X.table(spark, sf, "documents").select("doc_id", T.scrub(secret).alias("scrubbed"), T.scrub(F.substring("text", 1, 200)).alias("kept"))
+    return X.table(spark, sf, "documents").select("doc_id", T.scrub(F.concat(secret, F.lit("\n"), "text")).alias("scrubbed"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS clipped FROM documents")
@@ -202,18 +215,18 @@ def squeeze_text(spark, sf):
     return X.table(spark, sf, "conversations").select("conv_id", "turn", T.squeeze(F.col("text")).alias("squeezed"))
 
 
-@query(REP + """ SELECT topic_id, reply_id, len(list_filter(regexp_extract_all(substr(query, 1, 100), '[\\x{4e00}-\\x{9fff}]{2,}|[A-Za-z0-9]{4,}'),
+@query(REP + """ SELECT topic_id, reply_id, len(list_filter(regexp_extract_all(query, '[\\x{4e00}-\\x{9fff}]{2,}|[A-Za-z0-9]{4,}'),
         lambda t: contains(answer, t))) > 0 AS grounded FROM rep WHERE answer <> ''""")
 def grounding_check(spark, sf):
     rows = X.replies(spark, sf).where("answer != ''")
-    return rows.select("topic_id", "reply_id", T.grounded(F.substring("query", 1, 100), F.col("answer")).alias("grounded"))
+    return rows.select("topic_id", "reply_id", T.grounded(F.col("query"), F.col("answer")).alias("grounded"))
 
 
-@query("""SELECT doc_id, substr(text, 1, 100) || chr(10) || 'He said 注入记忆 in passing' AS kept FROM documents""")
+@query("""SELECT doc_id, 'It began.' || chr(10) || text || chr(10) || 'He said 注入记忆 in passing' AS kept FROM documents""")
 def envelope_strip(spark, sf):
     card = F.concat(
-        F.lit("**注入记忆 3 条**：\n1. #630 (fact) something\n"), F.substring("text", 1, 100),
-        F.lit("\n（本对话已注入过的 6 条不再重复）_\nUse the above when it helps.\nHe said 注入记忆 in passing"),
+        F.lit("It began.\n  **注入画像：《钓鱼》**\n**注入记忆 12 条**：\n7、 #41 (lesson) knots hold when wet\n"), "text",
+        F.lit("\n（*本对话已注入过的 2 条*\nUse the above when it helps, or not\nHe said 注入记忆 in passing"),
     )
     return X.table(spark, sf, "documents").select("doc_id", T.strip_envelope(card).alias("kept"))
 
@@ -353,7 +366,7 @@ SQUEEZED = r"regexp_replace(query, '[\t\n\x0B\f\r\p{Z}\x{FEFF}]+', ' ', 'g')"
     , over AS (SELECT *, max(CASE WHEN n > 3 AND used + 20 > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY topic_id ORDER BY n) AS stop FROM run)
     SELECT topic_id, reply_id, CASE WHEN n <= 3 THEN 'verbatim' ELSE 'gist' END AS part, CAST(CASE WHEN n <= 3 THEN v ELSE l END AS BIGINT) AS chars FROM over WHERE stop = 0""")
 def context_budget_pack(spark, sf):
-    return C.packed_context(_gisted(spark, sf), F.lit(""), 600)
+    return C.packed_context(_gisted(spark, sf), F.lit(""), 600).drop("line")
 
 
 @query(REP + """, t AS (SELECT topic_id, max(reply_id) AS last, topic_id % 2 AS since FROM rep GROUP BY topic_id)
@@ -448,12 +461,12 @@ def flexible_count(spark, sf):
     return U.flexible(X.memories(spark, sf)).agg(F.count("*").alias("n"))
 
 
-@query(MEM + f""", g AS (SELECT id % 40 AS group_id, id AS place, * FROM mem WHERE {OWN} AND id % 40 < 25)
+@query(MEM + f""", g AS (SELECT id % 40 AS group_id, id AS place, * FROM mem WHERE {OWN})
     SELECT group_id, CAST(sum(evidence) AS BIGINT) AS evidence, max(confidence) AS confidence, strftime(max(last_seen), '%Y-%m-%d') AS last_seen, count(*) AS members,
         (list(kind ORDER BY confidence DESC, place))[1] AS kind, (list(cwd ORDER BY confidence DESC, place))[1] AS cwd FROM g GROUP BY group_id HAVING count(*) >= 2""")
 def reorg_merge_groups(spark, sf):
     rows = S.owned(X.memories(spark, sf)).withColumn("source", F.col("cwd"))
-    groups = rows.where("id % 40 < 25").select((F.col("id") % 40).alias("group_id"), F.col("id").alias("place"), "id")
+    groups = rows.select((F.col("id") % 40).alias("group_id"), F.col("id").alias("place"), "id")
     out = U.merged_groups(rows, groups)
     return out.select("group_id", "evidence", "confidence", text_day(), "members", "kind", "cwd")
 
@@ -507,11 +520,11 @@ def profile_upsert(spark, sf):
     return out.select("theme", "title", "abstract", "status", "version")
 
 
-ACTIONS_SQL = """, act AS (SELECT id * 10 + j AS seq, id AS target_id, (id * 7 + j * 3) % 4 AS a, j, (id * 11 + j * 5) % 10 AS q FROM mem, (VALUES (1), (2), (3)) AS v(j) WHERE owner = 'default' AND id % 3 <> 0)"""
+ACTIONS_SQL = """, act AS (SELECT id * 10 + j AS seq, id AS target_id, (id * 7 + j * 3) % 4 AS a, j, (id * 11 + j * 5) % 10 AS q FROM mem, (VALUES (1), (2), (3)) AS v(j) WHERE owner = 'default')"""
 
 
 @query(MEM.replace("WITH", "WITH RECURSIVE", 1) + ACTIONS_SQL + """
-    , f AS (SELECT id, 0 AS j, CAST(evidence AS BIGINT) AS evidence, confidence, origin, status, CAST(0 AS BIGINT) AS blocked FROM mem WHERE owner = 'default' AND id % 3 <> 0
+    , f AS (SELECT id, 0 AS j, CAST(evidence AS BIGINT) AS evidence, confidence, origin, status, CAST(0 AS BIGINT) AS blocked FROM mem WHERE owner = 'default'
       UNION ALL SELECT f.id, act.j,
         f.evidence + CASE WHEN a IN (0, 1) OR (a = 2 AND prot AND NOT strong) THEN 1 ELSE 0 END,
         CASE WHEN a = 0 OR (a = 2 AND prot AND NOT strong) THEN least(1.0, confidence + 0.05) ELSE confidence END, origin,
@@ -520,11 +533,11 @@ ACTIONS_SQL = """, act AS (SELECT id * 10 + j AS seq, id AS target_id, (id * 7 +
       FROM (SELECT *, origin = 'user_stated' AND confidence >= 0.8 AS prot FROM f) f JOIN (SELECT *, q >= 8 AS strong FROM act) act ON act.target_id = f.id AND act.j = f.j + 1)
     SELECT id, evidence, round(confidence, 6) AS confidence, status, blocked FROM f WHERE j = 3""")
 def merge_actions_fold(spark, sf):
-    """Three actions on each of two thirds of the store; a reinforcement can close the gate for a later
+    """Three actions on each row of an owner; a reinforcement can close the gate for a later
     supersession."""
     memories = X.memories(spark, sf)
     a, q = (F.col("id") * 7 + F.col("j") * 3) % 4, (F.col("id") * 11 + F.col("j") * 5) % 10
-    targets = memories.where("owner = 'default' AND id % 3 != 0").withColumn("j", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    targets = memories.where("owner = 'default'").withColumn("j", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     kind = F.when(a == 0, "REINFORCE").when(a == 1, "REFINE").when(a == 2, "SUPERSEDE").otherwise("NONE")
     actions = targets.select(
         (F.col("id") * 10 + F.col("j")).alias("seq"), kind.alias("action"), F.col("id").alias("target_id"), "owner", F.lit("s").alias("summary"), F.lit("c").alias("content"),
@@ -548,9 +561,9 @@ def backfill_batches(spark, sf):
     return U.backfill_batches(X.memories(spark, sf), "mini")
 
 
-@query(MEM + f" SELECT id, 'w1 w2 w3 w4 w5 w6 w7 w8' AS keywords, substr('handle ' || content, 1, 60) AS mini FROM (SELECT id, content FROM mem WHERE {OWN} AND id % 5 = 0)")
+@query(MEM + f" SELECT id, 'w1 w2 w3 w4 w5 w6 w7 w8' AS keywords, substr('handle ' || content, 1, 60) AS mini FROM (SELECT id, content FROM mem WHERE {OWN})")
 def backfill_apply(spark, sf):
-    rows = S.owned(X.memories(spark, sf)).where("id % 5 = 0").withColumn("keywords", F.lit(""))
+    rows = S.owned(X.memories(spark, sf)).withColumn("keywords", F.lit(""))
     words = F.array(*(F.lit(f"w{i}") for i in range(1, 11)))
     return U.backfilled(rows, rows.select("id", words.alias("keywords"), F.concat(F.lit("handle "), "content").alias("mini")))
 
@@ -565,11 +578,11 @@ def demand_counts(spark, sf):
     return U.demands(asked).withColumn("last_demand_at", F.date_format("last_demand_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query(MEM + f""", sub AS (SELECT CASE WHEN id % 3 = 0 THEN 'a/b' ELSE 'c' || CAST(id % 3 AS VARCHAR) END AS domain, id % 3 AS dp, id % 11 AS sp, id FROM mem WHERE {OWN} AND id <= 200)
+@query(MEM + f""", sub AS (SELECT CASE WHEN id % 3 = 0 THEN 'a/b' ELSE 'c' || CAST(id % 3 AS VARCHAR) END AS domain, id % 3 AS dp, id % 11 AS sp, id FROM mem WHERE {OWN})
     , ok AS (SELECT dp, sp, replace(domain, '/', '-') AS domain, list_sort(list(DISTINCT id)) AS ids, row_number() OVER (PARTITION BY dp ORDER BY sp) AS n FROM sub GROUP BY dp, sp, domain HAVING count(*) >= 2)
     SELECT domain || '/s' || CAST(sp AS VARCHAR) AS theme, array_to_string(ids, ',') AS members, CASE WHEN len(ids) >= 5 THEN 'mature' ELSE 'seeding' END AS maturity FROM ok WHERE n <= 6""")
 def chapter_tree(spark, sf):
-    rows = X.memories(spark, sf).where("owner = 'default' AND id <= 200").withColumn("dp", F.col("id") % 3)
+    rows = X.memories(spark, sf).where("owner = 'default'").withColumn("dp", F.col("id") % 3)
     name = F.when(F.col("dp") == 0, " a/b ").otherwise(F.concat(F.lit("c"), F.col("dp").cast("string")))
     tree = rows.groupBy(F.col("dp").alias("domain_place"), name.alias("domain"), (F.col("id") % 11).alias("sub_place")).agg(F.collect_list("id").alias("member_ids"))
     tree = tree.withColumn("sub", F.concat(F.lit("s"), F.col("sub_place").cast("string")))
@@ -619,7 +632,7 @@ def sync_state(spark, sf):
 
 
 @query("""WITH RECURSIVE p AS (SELECT event_id AS push, user_id AS uid, (event_id % 3) * 10 AS size, CASE WHEN user_id % 4 = 0 THEN 60 END AS total, event_id % 5 AS late,
-            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, sum((event_id % 3) * 10) OVER (PARTITION BY user_id ORDER BY event_id) - (event_id % 3) * 10 AS plain FROM events WHERE event_id < 4000)
+            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, sum((event_id % 3) * 10) OVER (PARTITION BY user_id ORDER BY event_id) - (event_id % 3) * 10 AS plain FROM events)
     , f AS (SELECT uid, CAST(0 AS BIGINT) AS n, CAST(uid % 2 * 10 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS push, '' AS outcome FROM (SELECT DISTINCT uid FROM p)
         UNION ALL SELECT f.uid, p.n, CAST(CASE WHEN total IS NOT NULL AND f.pos >= total THEN f.pos WHEN plain + f.uid % 2 * 10 = f.pos THEN f.pos + size ELSE f.pos END AS BIGINT), p.push,
             CASE WHEN total IS NOT NULL AND f.pos >= total THEN 'complete' WHEN plain + f.uid % 2 * 10 = f.pos THEN 'stored' ELSE 'offset' END
@@ -630,7 +643,7 @@ def byte_pushes(spark, sf):
 
     size = ((F.col("event_id") % 3) * 10).cast("long")
     before = F.sum(size).over(Window.partitionBy("user_id").orderBy("event_id")) - size
-    pushes = X.table(spark, sf, "events").where("event_id < 4000").select(
+    pushes = X.table(spark, sf, "events").select(
         F.col("event_id").alias("push"), F.lit("m").alias("machine"), F.col("user_id").alias("uid"), (before + F.col("user_id") % 2 * 10).alias("offset"),
         size.alias("size"), F.when(F.col("user_id") % 4 == 0, 60).cast("long").alias("total"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import clean
+from anamnesis.operators.segments import WINDOW_CHARS
 from anamnesis.sources.sessions import PART, PLUMBING
 
 LEAST_CHARS = 50
@@ -51,6 +52,38 @@ def next_state(status: Column, same_hash: Column, dialogue: Column, lens: Column
     )
 
 
+def registered(files: DataFrame, entries: DataFrame, at: Column) -> DataFrame:
+    """``files`` after entries (of ``slimmed``) were looked at, each a state further, with ``text`` where there is
+    one. A file is known by its path and entry; one that was dropped anew with another text starts again."""
+    seen = entries.select(
+        F.concat_ws("!", "path", "entry").alias("path"), F.sha2("text", 256).alias("_hash"), F.col("format").alias("_format"),
+        F.octet_length("text").cast("long").alias("_bytes"), F.length("text").cast("long").alias("_chars"), "text",
+    )
+    rows = files.join(seen, "path", "full")
+    same = F.coalesce(F.col("content_hash") == F.col("_hash"), F.lit(False))
+    status = F.coalesce("status", F.lit("pending"))
+    begun = F.when(same, status).otherwise("pending")
+    moved = next_state(begun, F.lit(True), is_dialogue(F.col("text")), F.lit(False), F.lit(False), F.lit(None).cast("string"))
+    here = F.col("_hash").isNotNull()
+    return rows.select(
+        "id", "path", F.coalesce("_hash", "content_hash").alias("content_hash"), F.coalesce("_format", "format").alias("format"),
+        F.coalesce("_bytes", "raw_bytes").alias("raw_bytes"), F.coalesce("_chars", "slim_chars").alias("slim_chars"),
+        F.when(here, moved).otherwise(F.col("status")).alias("status"), F.when(same | ~here, F.col("lens_offsets")).alias("lens_offsets"),
+        "filter_stats", "error", F.coalesce("created_at", at).alias("created_at"), F.when(here, at).otherwise(F.col("updated_at")).alias("updated_at"), "text",
+    )
+
+
+def advanced(files: DataFrame, taken: DataFrame, lens: str, at: Column) -> DataFrame:
+    """``files`` (of ``registered``) after a filter took windows up to ``through`` of a path; at a text's end it is done."""
+    rows = files.join(taken, "path", "left")
+    end = F.when(F.col("through").isNotNull(), F.least(F.col("through") + WINDOW_CHARS, F.col("slim_chars")))
+    reached = F.coalesce(end, F.col("lens_offsets")[lens]) >= F.col("slim_chars")
+    status = next_state(F.col("status"), F.lit(True), F.lit(True), F.lit(False), F.coalesce(reached, F.lit(False)), F.lit(None).cast("string"))
+    offsets = F.when(end.isNotNull(), F.create_map(F.lit(lens), end.cast("long"))).otherwise(F.col("lens_offsets"))
+    moved = F.col("status").isin("slimmed", "filtering") & end.isNotNull()
+    return rows.withColumns({"lens_offsets": offsets, "status": F.when(moved, status).otherwise(F.col("status")), "updated_at": F.when(moved, at).otherwise(F.col("updated_at"))}).drop("through", "text")
+
+
 def kept_windows(windows: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """Windows that a filter keeps; without a verdict a window stays."""
     return windows.join(verdicts, keys, "left").where(F.coalesce("keep", F.lit(True))).drop("keep")

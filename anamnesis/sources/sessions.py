@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import clip, strip, strip_envelope
+from anamnesis.operators.ranking import running_sum
 from anamnesis.operators.segments import capped
 
 CALL_CHARS, RESULT_CHARS = 200, 300
@@ -20,16 +21,33 @@ PART = "struct<type:string,text:string,name:string,toolName:string,arguments:str
 RECORD = f"struct<type:string,isMeta:boolean,cwd:string,sessionId:string,message:struct<role:string,content:string>>"
 
 
-def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """Lines of all session files below ``path``, without those of sub-agents, with their places."""
-    rows = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-        .where(~F.col("path").contains("/subagents/"))
+def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
+    """``path, line_no, value, start, size``: lines of the session files below ``path``, without those of
+    sub-agents, with their numbers, the byte that each begins at, and the file's bytes.
+
+    Files are split like any text, so a large one is read by many tasks; a file's lines are numbered in
+    splits, and only the splits' counts are summed over a file. ``modified_after`` (a time, as of
+    the last run) leaves files out without reading them. A last line without its line end is left
+    for the next run.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n")
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    rows = reader.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), "value", (F.octet_length("value") + 1).alias("_bytes"),
     )
-    # a last line without its line end is left for the next run
-    lines = F.expr("slice(split(value, '\\n', -1), 1, size(split(value, '\\n', -1)) - 1)")
-    return rows.select("path", F.posexplode(lines).alias("line_no", "value"))
+    rows = rows.where(~F.col("path").contains("/subagents/"))
+    inside = Window.partitionBy("path", "_block").orderBy("_id")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_n": F.row_number().over(inside) - 1, "_at": F.coalesce(F.sum("_bytes").over(before), F.lit(0))})
+    blocks = rows.groupBy("path", "_block").agg(F.count("*").alias("_lines"), F.sum("_bytes").alias("_sum"))
+    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "_block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_lines", "_sum")))
+    rows = rows.join(blocks, ["path", "_block"])
+    start = F.col("_sum_before") + F.col("_at")
+    whole = rows.select("path", (F.col("_lines_before") + F.col("_n")).cast("int").alias("line_no"), "value", start.alias("start"), "size", "_bytes")
+    return whole.where(F.col("start") + F.col("_bytes") <= F.col("size")).drop("_bytes")
 
 
 def _spoken(text: Column, role: Column) -> Column:
@@ -73,8 +91,13 @@ def parse_claude_code(lines: DataFrame) -> DataFrame:
     return _formatted(rows, F.coalesce("r.message.role", "r.type"), True)
 
 
-def parse_text(lines: DataFrame) -> DataFrame:
-    return lines.select("path", "line_no", F.lit(0).alias("part"), F.col("value").alias("line"))
+def parse_text(lines: DataFrame, most: int | None = None) -> DataFrame:
+    """Lines as they are; of a file those that begin within its first ``most`` characters, if given."""
+    rows = lines.select("path", "line_no", F.lit(0).alias("part"), capped(F.col("value")).alias("line"))
+    if most is None:
+        return rows
+    sized = rows.withColumn("_size", F.length("line") + 1)
+    return running_sum(sized, ["path"], ["line_no"], "_size", "_before").where(F.col("_before") < most).drop("_size", "_before")
 
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"pi": parse_pi, "claude-code": parse_claude_code, "text": parse_text}
@@ -111,6 +134,20 @@ def detect_agent(first_line: Column, name: Column) -> Column:
     )
 
 
+def registered(registry: DataFrame, lines: DataFrame, at: Column) -> DataFrame:
+    """The registry after files were read (``path, line_no, value, agent``): a row for each session, at the
+    path it was seen at last."""
+    first = lines.where("line_no = 0").select("path", "agent", F.col("value").alias("_first"))
+    size = lines.groupBy("path").agg((F.max("size") if "size" in lines.columns else F.sum(F.octet_length("value") + 1)).cast("long").alias("bytes"))
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[A-Za-z]+)?$", 1)
+    uid = session_uid(F.col("agent"), F.col("_first"), stem, F.col("_first")).alias("session_uid")
+    seen = first.join(size, "path").select(uid, "agent", F.lit(None).cast("string").alias("machine"), "path", "bytes", at.alias("updated_at"))
+    seen = seen.groupBy("session_uid").agg(F.max_by(F.struct("agent", "machine", "path", "bytes", "updated_at"), F.struct("bytes", "path")).alias("s")).select("session_uid", "s.*")
+    known = registry.select("session_uid", F.col("machine").alias("_machine"))
+    seen = seen.join(known, "session_uid", "left").withColumn("machine", F.coalesce("machine", "_machine"))
+    return registry.join(seen, "session_uid", "left_anti").unionByName(seen.select(*registry.columns))
+
+
 def session_uid(agent: Column, first_line: Column, stem: Column, head: Column) -> Column:
     """A session's identity wherever it comes from: its own id, else a long file name, else a hash of
     its first 4096 bytes."""

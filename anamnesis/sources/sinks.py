@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CARD_CHARS, LEAST_CARD = 3000, 100
@@ -21,9 +21,22 @@ def write_pages(pages: DataFrame, folder: str) -> None:
 
 
 def nightly_report(log: DataFrame) -> DataFrame:
-    """``action, n`` and up to ten new ids of each, for the report of a run."""
-    ids = F.slice(F.array_sort(F.collect_list("new_id")), 1, 10)
-    return log.where("new_id IS NOT NULL").groupBy("action").agg(F.count("*").alias("n"), ids.alias("ids"))
+    """``action, n`` and the first ten new ids of each, for the report of a run."""
+    rows = log.where("new_id IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy("action").orderBy("new_id"))
+    shown = rows.withColumn("_n", first).where("_n <= 10").groupBy("action").agg(F.array_sort(F.collect_list("new_id")).alias("ids"))
+    return rows.groupBy("action").agg(F.count("*").alias("n")).join(shown, "action")
+
+
+def append_kept(kept: DataFrame, folder: str) -> None:
+    """Windows that a filter kept (``path, segment, text``), appended as JSON lines."""
+    kept.select(F.to_json(F.struct("path", "segment", "text")).alias("value")).write.mode("append").text(folder)
+
+
+def write_sessions(lines: DataFrame, folder: str) -> None:
+    """``session, line_no, value`` as a file of lines for each session, below ``session=<session>``."""
+    rows = lines.repartition("session").sortWithinPartitions("session", "line_no")
+    rows.select("session", "value").write.mode("overwrite").partitionBy("session").text(folder)
 
 
 def usage_lines(token_log: DataFrame) -> DataFrame:

@@ -18,6 +18,9 @@ def test_a_stores_life(spark, tmp_path):
     first = {r.id for r in engine.recall("spaces", 2, mode="fast", conversation="c").collect()}
     second = {r.id for r in engine.recall("spaces", 2, mode="fast", conversation="c").collect()}
     assert len(first) == 2 and not first & second
+    ranked = engine.recall("spaces", 2, mode="fast", conversation="d").collect()
+    assert [r.score for r in ranked] == sorted((r.score for r in ranked), reverse=True) and all(r.channel is not None for r in ranked)
+    assert engine.store.read("recall_log").count() == 4
     engine.clear("c")
     assert {r.id for r in engine.recall("spaces", 2, mode="fast", conversation="c").collect()} == first
     engine.forget([2])
@@ -52,3 +55,46 @@ def test_sinks(spark, tmp_path):
     cards = spark.createDataFrame([("o", "x", 1, "c" * 60), ("o", "y", 5, "d" * 60), ("p", "x", 1, "short")], "owner string, domain string, members long, card string")
     out = sinks.store_card(cards).collect()
     assert len(out) == 1 and out[0].card.startswith("## y\nddd")
+
+
+def test_conversations(spark, tmp_path):
+    now = F.lit("2024-07-01 00:00:00").cast("timestamp")
+    engine = MemoryEngine(spark, f"file://{tmp_path}/s", None, now)
+    for n in range(1, 6):
+        engine.say("c", f"question {n}", f"answer {n}" if n != 4 else None)
+    engine.say("d", "other talk")
+    replies = engine.store.read("replies").orderBy("topic_id", "reply_id").collect()
+    assert [(r.topic_id, r.reply_id, r.answer) for r in replies] == [(1, 1, "answer 1"), (1, 2, "answer 2"), (1, 3, "answer 3"), (1, 4, ""), (1, 5, "answer 5"), (2, 1, "")]
+    text = engine.context("c")
+    assert text.endswith("3. question 3\n4. question 4\n5. question 5\n\n逐轮纪要（新→旧）：\n2. 用户：question 2\n1. 用户：question 1") and engine.context("nobody") == ""
+
+
+def test_audits_and_backfills(spark, tmp_path):
+    now = F.lit("2024-07-01 00:00:00").cast("timestamp")
+    engine = MemoryEngine(spark, f"file://{tmp_path}/s", None, now)
+    for n in range(1, 4):
+        engine.remember(summary=f"s{n}", content=f"content {n}", kind="lesson", domain="dev ops")
+    assert engine.backfill() == 3
+    assert [(r.keywords, r.mini) for r in engine.memories().orderBy("id").collect()][0] == ("dev ops", "s1")
+    verdicts = [(1, "rewrite", "better", "better text"), (2, "archive", None, None), (3, "ok", None, None)]
+    engine.judge = ReplayJudge({"audit": spark.createDataFrame(verdicts, DECISIONS["audit"])})
+    assert {r.id for r in engine.audit().collect()} == {1, 2} and engine.memories().where("summary = 'better'").count() == 0
+    engine.audit(dry_run=False)
+    rows = {r.id: r for r in engine.memories().collect()}
+    assert rows[1].content == "better text" and rows[2].status == "archived" and rows[3].status == "active"
+    assert engine.store.read("memory_log").count() == 2
+
+
+def test_probe_and_profiles(spark, tmp_path):
+    now = F.lit("2024-07-01 00:00:00").cast("timestamp")
+    profiles = [(1, "default", "dev", "Dev", "", "x" * 300, None, "active"), (2, "default", "dev/git", "Git", "uses git", "c", 1, "active"), (3, "default", "old", "Old", "", "c", None, "archived")]
+    frame = spark.createDataFrame(profiles, "id long, owner string, theme string, title string, abstract string, content string, parent_id long, status string")
+    picks = spark.createDataFrame([(0, None, 2), (1, 1, None), (2, None, 1), (3, None, 3), (4, None, 77)], DECISIONS["pick"])
+    engine = MemoryEngine(spark, f"file://{tmp_path}/s", ReplayJudge({"pick": picks}), now)
+    engine.store.commit({"profiles": frame.withColumn("updated_at", now)})
+    engine.judge = ReplayJudge({})
+    engine.remember(summary="one", content="text")
+    engine.judge = ReplayJudge({"pick": picks})
+    found = engine.recalled("anything")
+    assert [r.id for r in found.memories.collect()] == [1] and [(r.id, r.shown, len(r.gist)) for r in found.profiles.collect()] == [(2, "Dev / Git", 8), (1, "Dev", 121)]
+    assert sorted((r.what, r.id, r.summary) for r in engine.probe().collect()) == [("memory", 1, "one"), ("profile", 1, "Dev"), ("profile", 2, "Dev / Git")]

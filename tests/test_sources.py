@@ -202,6 +202,17 @@ def test_nights(spark, tmp_path):
     assert store.read("memories").count() == 1
     again = dream.run(store, first, RuleJudge(), at, as_of)
     assert again["actions"] == 0 and store.read("memories").count() == 1
+    assert {r.session_file for r in store.read("distill_state").collect()} == {"p1"}
+    sessions.PARSERS["codex"] = sessions.parse_text  # a parser has come, and the file is read
+    try:
+        late = dream.run(store, first.where("path = 'p1'").unionByName(lines_of(spark, "bad", "codex", ["late words " * 40])), RuleJudge(), at, as_of)
+    finally:
+        del sessions.PARSERS["codex"]
+    assert late["errors"] == 0 and late["actions"] == 1 and "bad" in {r.session_file for r in store.read("distill_state").collect()}
+    assert {(r.session_uid[:6], r.path) for r in store.read("session_registry").collect()} >= {(store.read("session_registry").where("path = 'p1'").first().session_uid[:6], "p1")}
+    memories, profiles = store.read("memories"), store.read("profiles")
+    assert profiles.where("status = 'active'").count() >= 0 and memories.select("id").distinct().count() == memories.count()
+    assert store.read("memory_log").where("action = 'error'").first().detail == "bad: no parser for agent codex"
     more = lines_of(spark, "p1", "pi", talk + talk)
     assert dream.new_lines(more, store.read("distill_state")).agg(F.min("line_no")).first()[0] == 4
 
@@ -212,12 +223,103 @@ def test_deep_recall_replays_and_degrades(spark):
     picks = spark.createDataFrame([(0, 4, None), (1, 99, None), (2, 2, None), (3, 4, None)], DECISIONS["pick"])
     as_of = F.lit("2024-07-01").cast("date")
     judge = ReplayJudge({"pick": picks})
-    assert [r.id for r in deep_recall(rows, judge, "q", as_of).collect()] == [4, 2]
+    assert [r.id for r in deep_recall(rows, judge, "q", as_of).memories.collect()] == [4, 2]
     ledger = spark.createDataFrame([("m:4",)], "item string")
-    assert [r.id for r in deep_recall(rows, judge, "q", as_of, ledger=ledger).collect()] == [2]
+    assert [r.id for r in deep_recall(rows, judge, "q", as_of, ledger=ledger).memories.collect()] == [2]
+    assert deep_recall(rows, judge, "q", as_of, ledger=ledger).deduped == 1
 
     class Broken:
         def decide(self, step, inputs):
             raise TimeoutError
 
-    assert deep_recall(rows, Broken(), "text", as_of, k=3).count() == 3
+    assert deep_recall(rows, Broken(), "text", as_of, k=3).memories.count() == 3
+
+
+def test_two_decisions_on_one_candidate(spark, tmp_path):
+    """Each makes a row of its own, and no id comes twice."""
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    at, as_of = F.lit("2024-07-01 00:00:00").cast("timestamp"), F.lit("2024-07-01").cast("date")
+    talk = [{"type": "message", "message": {"role": "user", "content": "remember this: " + "words " * 80}}]
+
+    class Twice(RuleJudge):
+        def decide(self, step, inputs):
+            out = super().decide(step, inputs)
+            return out.unionByName(out.withColumn("content", F.concat("content", F.lit(" again")))) if step == "merge" else out
+
+    assert dream.run(store, lines_of(spark, "p", "pi", talk), Twice(), at, as_of)["actions"] == 2
+    rows = store.read("memories").orderBy("id").collect()
+    assert [r.id for r in rows] == [1, 2] and len({r.content for r in rows}) == 2
+
+
+def test_a_night_with_everything(spark, tmp_path):
+    """Dropped files, a curation plan, chapters, gists, cards and the lock."""
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    at, as_of = F.lit("2024-07-01 00:00:00").cast("timestamp"), F.lit("2024-07-01").cast("date")
+    rows = [(i, "default", "lesson" if i % 2 else "fact", "dev" if i % 3 else "home", f"summary {i}", f"content {i} about things", "agent_inferred", 0.9, 1, "active") for i in range(1, 21)]
+    memories = spark.createDataFrame(rows, "id long, owner string, kind string, domain string, summary string, content string, origin string, confidence double, evidence long, status string")
+    memories = conform(memories, "memories").withColumn("last_seen_at", F.lit("2024-05-01").cast("timestamp"))
+    replies = conform(spark.createDataFrame([(1, n, f"question {n} about gardening", f"answer {n} on gardening") for n in range(1, 10)], "topic_id long, reply_id long, query string, answer string"), "replies")
+    topics = conform(spark.createDataFrame([(1, "c")], "topic_id long, conversation string"), "topics").withColumn("last_seen_at", at)
+    store.commit({"memories": memories, "replies": replies, "topics": topics})
+    plan = [
+        ("merge", 1, [1, 2, 99], None, None, None, None, None, "merged", "one and two", ["k"]), ("conflict", 2, None, 3, 4, None, None, None, None, None, None),
+        ("archive", 3, None, None, None, 5, None, None, None, None, None), ("retag", 4, None, None, None, 6, "preference", "garden", None, None, None),
+    ]
+
+    class Plan(RuleJudge):
+        def decide(self, step, inputs):
+            if step == "reorganize":
+                return spark.createDataFrame(plan, DECISIONS[step])
+            return super().decide(step, inputs)
+
+    drops = spark.createDataFrame([("d/a.md", "a.md", "text", "User: hello there\nAssistant: hello, how are you\n" * 300), ("d/b.md", "b.md", "text", "no talk at all " * 20)], "path string, entry string, format string, content string")
+    lines = lines_of(spark, "p", "pi", [])
+    report = dream.run(store, lines, Plan(), at, as_of, drops=drops, kept_folder=f"{tmp_path}/kept")
+    assert report["actions"] == 2
+    after = {r.id: r for r in store.read("memories").collect()}
+    assert len(after) == 23 and after[23].content == "one and two" and after[1].superseded_by == after[2].superseded_by == 23
+    assert (after[4].status, after[4].superseded_by, after[5].status, after[6].kind, after[6].domain) == ("superseded", 3, "archived", "preference", "garden")
+    assert store.read("tombstones").count() == 1
+    files = {r.path: r for r in store.read("inbox_files").collect()}
+    assert files["d/a.md!a.md"].status == "done" and files["d/b.md!b.md"].status == "skipped"
+    assert spark.read.text(f"{tmp_path}/kept").count() == 2
+    profiles = store.read("profiles").collect()
+    roots = {r.id for r in profiles if r.parent_id is None}
+    assert roots and all(r.parent_id in roots for r in profiles if r.parent_id is not None)
+    taken = [r for r in after.values() if r.status == "absorbed"]
+    assert all(r.absorbed_by in {p.id for p in profiles if p.maturity == "mature"} for r in taken) and taken
+    told = store.read("replies").orderBy("reply_id").collect()
+    assert told[0].gist == "answer 1 on gardening" and store.read("topics").first().summary.startswith("question 1") and store.read("topics").first().summary_at == 9
+    kv = {r.key: r.value for r in store.read("kv").collect()}
+    assert any(k.startswith("card:default:") and json.loads(v)["card"] for k, v in kv.items())
+    again = dream.run(store, lines, RuleJudge(), at, as_of, drops=drops)
+    assert again["actions"] == 0 and store.read("profiles").count() == len(profiles)
+    with store.locked(), pytest.raises(RuntimeError, match="lock"):
+        dream.run(store, lines, RuleJudge(), at, as_of)
+
+
+def test_lines_of_files(spark, tmp_path):
+    """Numbers and places hold across splits; a state in bytes reads what is new."""
+    text = "".join(f'{{"n": {i}, "pad": "{"é" * (i % 50)}"}}\n' for i in range(900))
+    (tmp_path / "a.jsonl").write_text(text + '{"open": ')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = sessions.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    data = text.encode()
+    assert [r.line_no for r in rows] == [*range(900)] and all(data[r.start :].startswith(r.value.encode() + b"\n") for r in rows)
+    frame = sessions.read_lines(spark, str(tmp_path))
+    path, state = rows[0].path, "session_file string, processed_bytes long"
+    part = dream.new_lines(frame, spark.createDataFrame([(path, rows[500].start)], state))
+    assert part.agg(F.min("line_no"), F.count("*")).first() == (500, 400)
+    tail = dream.new_lines(frame, spark.createDataFrame([], state), 2000)
+    assert tail.agg(F.min("start")).first()[0] >= rows[0].size - 2000 and 0 < tail.count() < 100
+    assert sessions.read_lines(spark, str(tmp_path), modified_after="2999-01-01T00:00:00").count() == 0
+
+
+def test_folds_are_linear(spark):
+    rows = spark.range(400_000).select(F.lit("one").alias("s"), F.col("id").alias("n"), (F.col("id") % 97).alias("size"))
+    out = greedy_segments(rows, "s", "n", "size", 5000)
+    assert out.agg(F.max("segment")).first()[0] > 3000
