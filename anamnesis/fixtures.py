@@ -5,7 +5,13 @@ The formulas are stand-ins for tests and benchmarks; each has one form for both
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from anamnesis.deploy import ship
 
@@ -67,6 +73,31 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spark(spark, sf_dir, _REQUESTS, "events").withColumnRenamed("seen_at", "at")
 
 
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content`` of files that hold ten documents each, by turns as zip, tar.gz, or the first alone."""
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") / 10).cast("long").alias("file"), "doc_id", "text")
+
+    def packed(group: pa.Table) -> pa.Table:
+        number, out = group["file"][0].as_py(), io.BytesIO()
+        docs = sorted(zip(group["doc_id"].to_pylist(), group["text"].to_pylist()))
+        files = [(f"d{i}.{'png' if i % 4 == 3 else 'md'}", (t or "").encode()) for i, t in docs]
+        if number % 3 == 0:
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if number % 2 else zipfile.ZIP_STORED) as z:
+                for name, data in files:
+                    z.writestr(name, data)
+        elif number % 3 == 1:
+            with tarfile.open(fileobj=out, mode="w:gz", format=tarfile.USTAR_FORMAT) as t:
+                for name, data in files:
+                    info = tarfile.TarInfo(name)
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+        else:
+            out.write(files[0][1])
+        return pa.table({"path": [f"drops/f{number}{'' if number % 3 == 2 else '.pack'}"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    return rows.groupBy("file").applyInArrow(packed, "path string, content binary")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

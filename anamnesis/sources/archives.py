@@ -59,9 +59,8 @@ def entries(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
     return iter([(name, data)])
 
 
-def read_drops(spark: SparkSession, path: str) -> DataFrame:
-    """``path, entry, format, content`` of all entries in the files below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def unpack(files: DataFrame) -> DataFrame:
+    """``path, entry, format, content`` of the readable entries in files (``path, content``)."""
     schema = pa.schema([("path", pa.string()), ("entry", pa.string()), ("content", pa.string())])
 
     def run(batches):
@@ -74,6 +73,14 @@ def read_drops(spark: SparkSession, path: str) -> DataFrame:
     return out.where(readable(F.col("entry"))).withColumn("format", F.when(is_session(F.col("content")), "session-jsonl").otherwise("text"))
 
 
+def read_drops(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
+    """The entries of all files below ``path``, or of those changed since a time; the others aren't read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    return unpack(reader.load(path))
+
+
 def readable(name: Column) -> Column:
     """Names of text files, or names without an extension."""
     return name.rlike(TEXT_NAMES) | ~name.contains(".")
@@ -92,5 +99,5 @@ def is_session(content: Column) -> Column:
 
 def fingerprint(size: Column, modified: Column, content: Column) -> Column:
     """A file's fingerprint: size, time and 64 KiB at both ends."""
-    ends = F.concat(F.substring(content, 1, 65_536), F.expr("substring(content, -65536, 65536)"))
+    ends = F.concat(content.substr(1, 65_536), content.substr(-65_536, 65_536))
     return F.substring(F.sha2(F.concat(F.concat_ws("|", size.cast("string"), modified.cast("string")).cast("binary"), ends), 256), 1, 16)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from anamnesis.queries import ORACLES, QUERIES
+from anamnesis.catalogue import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
