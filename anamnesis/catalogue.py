@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from anamnesis import queries_sources  # noqa: F401  (registers its queries)
+from anamnesis import queries_sources, queries_steps  # noqa: F401  (they register their queries)
 from anamnesis.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

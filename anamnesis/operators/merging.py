@@ -147,11 +147,10 @@ def apply_actions(memories: DataFrame, actions: DataFrame, tombstones: DataFrame
 
 def sequenced(decisions: DataFrame, found: DataFrame, cwd: str | None) -> DataFrame:
     """Decisions as actions: each gets a ``seq``, in the order of the candidates and, of one candidate, that
-    in which they stand. ``decisions`` should be read from storage; ``found`` is the candidates."""
-    rows = decisions.withColumn("_row", F.monotonically_increasing_id())
+    in which they stand (``_row``, see ``valid_decisions``); ``found`` is the candidates."""
     given = found.select("index", "origin", "confidence", "source")
     return (
-        numbered(rows, "index", "_row", name="seq")
+        numbered(decisions, "index", "_row", name="seq")
         .join(given, "index")
         .withColumn("cwd", F.lit(cwd).cast("string"))
         .select("seq", "action", "target_id", "owner", "cwd", "kind", "domain", "summary", "content", "keywords", "origin", "confidence", "source")
@@ -160,7 +159,8 @@ def sequenced(decisions: DataFrame, found: DataFrame, cwd: str | None) -> DataFr
 
 def valid_decisions(decisions: DataFrame, candidates: DataFrame, memories: DataFrame) -> DataFrame:
     """A selector's merge decisions that can be carried out: a known candidate, an active target of
-    the same owner, and the texts that the action needs. Up to eight keywords stay."""
+    the same owner, and the texts that the action needs. Up to eight keywords stay. ``_row`` is a decision's
+    place among the others."""
     texts = F.length(F.coalesce("content", F.lit(""))) > 0
     named = F.length(F.coalesce("summary", F.lit(""))) > 0
     complete = (
@@ -171,7 +171,8 @@ def valid_decisions(decisions: DataFrame, candidates: DataFrame, memories: DataF
         .otherwise(False)
     )
     known = memories.where("status = 'active'").select(F.col("id").alias("target_id"), "owner")
-    rows = decisions.where(complete).join(candidates.select("index", "owner"), "index")
+    placed = decisions.withColumn("_row", F.monotonically_increasing_id())
+    rows = placed.where(complete).join(candidates.select("index", "owner"), "index")
     targeted = rows.where("target_id IS NOT NULL").join(known, ["target_id", "owner"], "left_semi")
     return rows.where("target_id IS NULL").unionByName(targeted.select(*rows.columns)).withColumn("keywords", F.slice("keywords", 1, 8))
 

@@ -18,8 +18,8 @@ def remember(memories: DataFrame, tombstones: DataFrame, judge: Judge, candidate
     spark = memories.sparkSession
     row = tuple(candidate.get(k) for k in ("kind", "domain", "summary", "content", "keywords", "origin", "confidence", "source"))
     found = spark.createDataFrame([(0, *row)], CANDIDATE).withColumn("owner", F.lit(owner))
-    decided = valid_decisions(judge.decide("merge", found), found, memories).limit(1)
-    new = found.select("index", F.lit("NEW").alias("action"), F.lit(None).cast("long").alias("target_id"), "kind", "domain", "summary", "content", "keywords", "owner")
+    decided = valid_decisions(judge.decide("merge", found), found, memories).orderBy("_row").limit(1)
+    new = found.select("index", F.lit("NEW").alias("action"), F.lit(None).cast("long").alias("target_id"), "kind", "domain", "summary", "content", "keywords", "owner", F.lit(0).cast("long").alias("_row"))
     decided = durable(decided.select(*new.columns))
     return apply_actions(memories, durable(sequenced(durable(new) if decided.isEmpty() else decided, found, cwd)), tombstones, at)
 

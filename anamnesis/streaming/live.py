@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from anamnesis.sources.sync import AGENTS, landed_lines
 
@@ -33,6 +35,31 @@ def fresh_injections(stream: DataFrame, hours: int = 48) -> DataFrame:
     return stream.withWatermark("at", f"{hours} hours").dropDuplicatesWithinWatermark(["conversation", "item"])
 
 
+def fresh_with_resets(stream: DataFrame, hours: int = 48) -> DataFrame:
+    """As ``fresh_injections``, with records that clear a conversation, as its compaction does (``reset``):
+    ``conversation, item, at``. A conversation's state is the items that it had, with their times."""
+
+    def run(key, batches, state):
+        had: dict[str, float] = dict(zip(*state.get)) if state.exists else {}
+        rows = pd.concat([*batches])
+        rows = rows.sort_values(["at", "reset"], kind="stable", na_position="first")
+        out = []
+        for item, when, reset in zip(rows["item"], rows["at"], rows["reset"]):
+            now = when.timestamp()
+            if reset:
+                had.clear()
+            elif now - had.get(item, float("-inf")) > hours * 3600:
+                had[item] = now
+                out.append((key[0], item, when))
+        last = rows["at"].max().timestamp() - hours * 3600
+        kept = {i: t for i, t in had.items() if t >= last}
+        state.update(([*kept], [*kept.values()]))
+        yield pd.DataFrame(out, columns=["conversation", "item", "at"])
+
+    marked = stream.withColumn("reset", F.coalesce("reset", F.lit(False)))
+    return marked.groupBy("conversation").applyInPandasWithState(run, "conversation string, item string, at timestamp", "items array<string>, times array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def live_activity(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Requests by day and category as they come; ``stream`` has ``at, category, req_bytes``."""
     day = F.window("at", "1 day").start.alias("day")
