@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.deploy import durable, ship
 
-__all__ = ["bounded", "durable", "map_rows", "pick", "release", "settle", "ship", "table", "to_batch"]
+__all__ = ["bounded", "durable", "map_rows", "pick", "release", "ship", "table", "to_batch"]
 
 #: Output rows are handed to Spark in batches of about this many bytes.
 FLUSH_BYTES = 4 << 20
@@ -52,13 +51,6 @@ def release() -> None:
         pass  # another C library
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark delete shuffles whose results are checkpointed and that nothing refers to any more;
-    it does so when the driver's garbage is collected, which may otherwise take long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def map_rows(
     df: DataFrame,
     schema: str,

@@ -1,28 +1,32 @@
-"""N-gram Jaccard join: MinHash bands of one fixed depth with exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
 
 A document's elements are its distinct runs of five words (lower case, letters and digits);
 a shorter text's only element is the run of all its words. Documents with equal element
 sets form a copy class, of which one row goes on.
 
-Bands: this is not an LSH forest; there are no sorted tries, and no document's prefix is
-shortened by what is found. Each of ``TREES`` trees hashes a prefix of minimum hashes into one
-key. Its length is the longest for which the chance that a pair at the threshold shares no
-tree's prefix is at most ``1 - TARGET_RECALL``. That depends on the threshold and the number of
-trees alone, so one depth holds for all documents (see ``depth``).
-Prefixes that one document has are dropped at once.
+Forest: ``TREES`` tries over signatures of ``LEVELS`` minimum hashes each. Documents that share a prefix
+are a node. Matched prefixes are shortened from whole signatures on, level by level, until a
+pair at the threshold is met in some tree with a chance of ``TARGET_RECALL`` (``least_depth``). That depth
+follows from the threshold and the number of trees, and holds for all documents: to stop earlier
+where a document has had matches, or where nodes are large, would lose pairs with them. What adapts
+is the work: a node whose documents are connected already isn't looked at, so near copies are
+settled in long prefixes, and short ones only bring together what they left apart.
 
-Candidates: documents that share a prefix form a cell. Within a cell a walk over the graph
-of signatures that agree well enough (far below the threshold, so that chance doesn't
-separate a true pair) gives connecting edges; each document is only compared with those that
-aren't reached yet. Connected components of these edges gather what may be similar.
+A trie is dealt to tasks by subtrees, the nodes of the least depth; those with one document are
+dropped at once. A task sorts a subtree's signatures and walks its nodes from the longest
+prefixes up. Documents of a node in different components are compared by their signatures, and those
+that agree well enough (far below the threshold, so that chance doesn't separate a true pair) are
+connected. Connected components of these edges gather what may be similar.
 
 Verification: within a component every pair is compared by its exact element sets. A pair is
 never written; a task writes each document's number of links and edges that connect linked
-documents. Components and cells of more than ``BLOCK`` members are dealt to pairs of blocks,
-so that no task holds a large group, and no pair is lost.
+documents. Components and subtrees of more than ``BLOCK`` members are dealt to pairs of blocks,
+so that no task holds a large group, and no pair is lost. Tables are broadcast only if they have up to
+``MOST_BROADCAST`` rows of a few numbers, and joined by a shuffle beyond.
 
 Defined cases: a null text is in a class of its own without links; texts without words are
-copies of each other if equal; repeated rows are copies; documents without links are classes
+copies of each other if equal; texts of any length are taken whole; of equal sets the smallest id names
+the class; repeated rows are copies; documents without links are classes
 of their own; an empty table gives an empty result; columns besides the id and the text are
 not read.
 """
@@ -39,18 +43,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import durable, map_rows, pick, release, settle
+from anamnesis.llm.common import durable, map_rows, pick, release
 from anamnesis.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES = 32
-MAX_DEPTH = 6
+TREES, LEVELS = 32, 8
 TARGET_RECALL = 0.9999
 #: Signatures that agree in a smaller share aren't connected; at the threshold this is over
 #: five standard deviations below the mean.
 SIGNATURE_SHARE = 0.62
 BLOCK = 1024
+MOST_BROADCAST = 200_000
 WORDS_REMEMBERED = 250_000
 #: Elements hashed at once.
 CHUNK = 16_384
@@ -59,12 +63,13 @@ _find_words = re.compile(r"\w+").findall
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def depth(threshold: float, trees: int, target: float, most: int) -> int:
-    """The longest prefix for which a pair at the threshold is met with the target's chance."""
-    for k in range(most, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= target:
-            return k
-    return 1
+def least_depth(threshold: float, trees: int, target: float, levels: int) -> int:
+    """Where shortening ends: the longest prefix by which a pair at the threshold is met with the target's
+    chance in some tree."""
+    depth = levels
+    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+        depth -= 1
+    return depth
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -76,7 +81,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Element sets and signatures of texts; words that repeat are hashed once."""
 
-    def __init__(self, words: int = WORDS, trees: int = TREES, levels: int = MAX_DEPTH):
+    def __init__(self, words: int = WORDS, trees: int = TREES, levels: int = LEVELS):
         self.words, self.trees, self.levels = words, trees, levels
         self.table: dict[str, int] = {}
         draws = np.random.default_rng(20).integers(0, 1 << 32, (2, trees * levels), np.uint64)
@@ -123,8 +128,8 @@ def _hasher(*shape: int) -> Hasher:
 
 
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """``doc_id, text_hash, same`` (hash of the element set), ``keys`` (the prefixes; null without
-    elements) and ``signature`` (16 bits of each hash)."""
+    """``doc_id, text_hash, same`` (hash of the element set), ``keys`` (the least prefix in each tree;
+    null without elements) and ``signature`` (eight bits of each hash)."""
 
     def rows(batches):
         hasher = _hasher(words)
@@ -139,7 +144,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
                     continue
                 signature = hasher.signature(elements)
                 same = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
-                yield key, mark, same, hasher.prefixes(signature, k).tolist(), signature.astype(np.uint16).tobytes()
+                yield key, mark, same, hasher.prefixes(signature, k).tolist(), signature.astype(np.uint8).tobytes()
 
     return map_rows(
         docs,
@@ -197,19 +202,41 @@ def in_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[dic
         yield held
 
 
-def connect_similar(rows: list[int], signatures: np.ndarray, share: float) -> Iterator[tuple[int, int]]:
-    """Edges that connect what is connected by pairs of signatures that agree in ``share``."""
-    left = np.arange(len(rows))
+def nodes(tails: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A subtree's nodes with several documents, from the longest prefixes up: the depth below the subtree's
+    root, and the documents' numbers. ``tails`` are the levels below the root."""
+    order = np.lexsort(tails.T[::-1]) if tails.shape[1] else np.arange(len(tails))
+    ordered = tails[order]
+    common = np.cumprod(ordered[1:] == ordered[:-1], axis=1).sum(axis=1)  # levels shared with the next one
+    for depth in range(tails.shape[1], -1, -1):
+        borders = [0, *(np.flatnonzero(common < depth) + 1).tolist(), len(order)]
+        for start, end in zip(borders, borders[1:]):
+            if end - start > 1:
+                yield depth, order[start:end]
+
+
+def connect_similar(rows: list[int], signatures: np.ndarray, tails: np.ndarray, share: float) -> Iterator[tuple[int, int]]:
+    """Edges that connect what is connected by pairs of a subtree whose signatures agree in ``share``. In each
+    node only documents of different components are compared."""
     least = share * signatures.shape[1]
-    while len(left):
-        work, left = [left[0]], left[1:]
-        while work and len(left):
-            i = work.pop()
-            near = (signatures[left] == signatures[i]).sum(axis=1) >= least
-            for j in left[near]:
-                yield rows[i], rows[j]
-            work.extend(left[near])
-            left = left[~near]
+    component = np.arange(len(rows))
+    for _, node in nodes(tails):
+        rest = node
+        while len(rest):
+            own = component[rest[0]]
+            work, rest = [*rest[component[rest] == own]], rest[component[rest] != own]
+            while work and len(rest):
+                i = work.pop()
+                met = rest[(signatures[rest] == signatures[i]).sum(axis=1) >= least]
+                if not len(met):
+                    continue
+                others, first = np.unique(component[met], return_index=True)
+                for j in met[first]:
+                    yield rows[i], rows[j]
+                joined = np.isin(component[node], others)
+                component[node[joined]] = own
+                work.extend(node[joined])
+                rest = rest[component[rest] != own]
 
 
 def verify(rows: list[int], own: list[int], weights: list[int], sets: list[np.ndarray], threshold: float):
@@ -256,28 +283,36 @@ def verify(rows: list[int], own: list[int], weights: list[int], sets: list[np.nd
         yield rows[order[i]], int(links[i]), rows[order[find(i)]]
 
 
-def gather(heads: DataFrame, share: float, block: int) -> DataFrame:
-    """``row, root``: components of documents that share a prefix and whose signatures agree. The
-    forest's prefixes with several documents are dealt to cells of bounded size."""
-    prefixes = heads.where("keys is not null").select("row", F.explode("keys").alias("key"))
-    several = prefixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cells = dealt(prefixes.join(several, "key"), ["key"], "n", block)
-    lists = cells.groupBy("key", "one", "two").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    lists = lists.where(F.size("rows") > 1).select("rows").distinct()  # trees often agree
-    members = lists.select(F.xxhash64("rows").alias("cell"), F.explode("rows").alias("row"))
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it is short; it should be read from storage."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def gather(heads: DataFrame, depth: int, share: float, block: int) -> DataFrame:
+    """``row, root``: components of documents that share a prefix and whose signatures agree. Subtrees of the
+    forest with several documents are dealt to cells of bounded size."""
+    prefixes = heads.where("keys is not null").select("row", F.posexplode("keys").alias("tree", "key"))
+    several = durable(prefixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    cells = dealt(prefixes.join(small(several), "key"), ["key"], "n", block)
+    lists = cells.groupBy("key", "one", "two").agg(F.sort_array(F.collect_list("row")).alias("rows"), F.min("tree").alias("tree"))
+    # where trees agree on who shares a prefix, one of them is walked
+    lists = lists.where(F.size("rows") > 1).groupBy("rows").agg(F.min("tree").alias("tree"))
+    members = durable(lists.select(F.xxhash64("rows").alias("cell"), "tree", F.explode("rows").alias("row")))
 
     def connect(batches):
         for group in in_groups(batches, ["cell"]):
-            signatures = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(len(group["row"]), -1)
-            if edges := list(connect_similar(group["row"], signatures, share)):
+            signatures = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group["row"]), -1)
+            first = group["tree"][0] * LEVELS
+            if edges := list(connect_similar(group["row"], signatures, signatures[:, first + depth : first + LEVELS], share)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], names=["a", "b"])
 
     parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = (
-        members.join(heads.select("row", "signature"), "row")
+        heads.select("row", "signature")
+        .join(small(members), "row")
         .repartition(parts, "cell")
         .sortWithinPartitions("cell")
-        .select("cell", "row", "signature")
+        .select("cell", "tree", "row", "signature")
         .mapInArrow(connect, "a long, b long")
     )
     return durable(components(edges).withColumnRenamed("node", "row"))
@@ -288,9 +323,8 @@ def compared(gathered: DataFrame, heads: DataFrame, copies: DataFrame, texts: Da
     parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = gathered.join(gathered.groupBy("root").agg(F.count("*").alias("n")), "root")
     sized = sized.join(heads.select("row", "doc_id", "text_hash"), "row").join(copies.select("row", "weight"), "row")
-    full = sized.withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"}).join(
-        texts, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash"))
-    )
+    sized = durable(sized.withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"}))
+    full = texts.join(small(sized), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")))
     full = full.groupBy("row").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("weight").alias("weight"), F.first("text").alias("text"))
     pairs = dealt(full, [], "n", block).select("root", "one", "two", "own", "row", "weight", "text")
 
@@ -323,7 +357,7 @@ def jaccard_classes(
     """One row per row of ``docs``: ``doc_id``, ``text_hash`` (xxhash64 of the text), ``copy_id`` (the
     smallest id of those with an equal element set), ``class_id`` (the smallest id of the connected
     class) and ``n_links`` (how many other rows are at least so similar)."""
-    k = depth(threshold, TREES, TARGET_RECALL, MAX_DEPTH)
+    k = least_depth(threshold, TREES, TARGET_RECALL, LEVELS)
     texts = (
         pick(docs, id_col, text_col)
         .toDF("id", "text")
@@ -335,10 +369,8 @@ def jaccard_classes(
     )
     heads = base.join(copies.select("row"), "row", "left_semi")
 
-    gathered = gather(heads, SIGNATURE_SHARE - (THRESHOLD - threshold), block)
-    settle(docs.sparkSession)
+    gathered = gather(heads, k, SIGNATURE_SHARE - (THRESHOLD - threshold), block)
     checked = compared(gathered, heads, copies, texts, words, threshold, block)
-    settle(docs.sparkSession)
     classes = components(checked.select(F.col("row").alias("a"), F.col("root").alias("b")))
     named = (
         copies.join(classes.withColumnRenamed("node", "row"), "row", "left")
@@ -348,7 +380,6 @@ def jaccard_classes(
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     named = named.join(least, "root").select("same", "copy_id", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
     named = durable(named)
-    settle(docs.sparkSession)
     return base.join(named, "same", "left").select(
         "doc_id",
         "text_hash",

@@ -186,9 +186,10 @@ def near_copies(r, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_jaccard_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block,broadcast", [(1024, 200_000), (8, 200_000), (1024, 0)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, block, broadcast):
     """Small blocks make every group of copies a large one."""
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST", broadcast)
     r = random.Random(9)
     word = lambda: "".join(r.choices("abcdefghij", k=4))
     texts = [None, None, "", "", "!!!", "!!!", "two words", "Two, WORDS", "one"]
@@ -211,10 +212,51 @@ def test_jaccard_on_repeated_rows_and_empty_tables(spark):
     assert jaccard.jaccard_classes(docs_of(spark, [])).count() == 0
 
 
-def test_depth_meets_the_target():
-    k = jaccard.depth(0.8, jaccard.TREES, jaccard.TARGET_RECALL, jaccard.MAX_DEPTH)
-    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.TARGET_RECALL
-    assert jaccard.depth(0.5, 4, 0.99, 6) < k
+def test_shortening_ends_at_the_target():
+    k = jaccard.least_depth(0.8, jaccard.TREES, jaccard.TARGET_RECALL, jaccard.LEVELS)
+    chance = lambda d: 1 - (1 - 0.8**d) ** jaccard.TREES
+    assert chance(k) >= jaccard.TARGET_RECALL > chance(k + 1) and 1 < k < jaccard.LEVELS
+    assert jaccard.least_depth(0.5, 4, 0.99, 8) < k < jaccard.least_depth(0.99, 64, 0.9, 8)
+
+
+def test_nodes_are_those_of_a_trie():
+    rng = np.random.default_rng(6)
+    tails = rng.integers(0, 3, (60, 3)).astype(np.uint8)
+    got = [(d, tuple(sorted(x.tolist()))) for d, x in jaccard.nodes(tails)]
+    want = set()
+    for d in range(4):
+        by = {}
+        for i, t in enumerate(tails):
+            by.setdefault(tuple(t[:d]), []).append(i)
+        want |= {(d, tuple(x)) for x in by.values() if len(x) > 1}
+    assert {*got} == want and len(got) == len(want) and [d for d, _ in got] == sorted((d for d, _ in got), reverse=True)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_subtrees_are_connected_as_by_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, (6, 64)).astype(np.uint8)
+    signatures = base[rng.integers(0, 6, 80)].copy()
+    noise = rng.random(signatures.shape) < rng.uniform(0, 0.5, (80, 1))
+    signatures[noise] = rng.integers(0, 256, int(noise.sum()))
+    root = [*range(80)]
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(80):
+        for j in range(i):
+            if (signatures[i] == signatures[j]).sum() >= 0.62 * 64:
+                root[find(i)] = find(j)
+    want = {frozenset(i for i in range(80) if find(i) == r) for r in map(find, range(80))}
+    root = [*range(80)]
+    edges = [*jaccard.connect_similar([*range(80)], signatures, signatures[:, 4:6], 0.62)]
+    for a, b in edges:
+        assert find(a) != find(b)
+        root[find(a)] = find(b)
+    assert {frozenset(i for i in range(80) if find(i) == r) for r in map(find, range(80))} == want
 
 
 def test_components(spark):
