@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from anamnesis.llm.q_bpe import op2_bpe_round_trip
 from anamnesis.llm.q_extraction import op5_main_text
+from anamnesis.llm.q_hnsw import ORACLE as NEIGHBOURS_SQL
 from anamnesis.llm.q_hnsw import op10_hnsw_neighbours
 from anamnesis.llm.q_jaccard import ORACLE as JACCARD_SQL
 from anamnesis.llm.q_jaccard import op8_ngram_jaccard
@@ -29,4 +30,4 @@ QUERIES = {
         op10_hnsw_neighbours,
     )
 }
-ORACLES: dict[str, str] = {"op8_ngram_jaccard": JACCARD_SQL}
+ORACLES: dict[str, str] = {"op8_ngram_jaccard": JACCARD_SQL, "op10_hnsw_neighbours": NEIGHBOURS_SQL}
