@@ -320,6 +320,15 @@ def ledger_filtered_recall(spark, sf):
     return rows.select("id", F.round("score", 6).alias("score"))
 
 
+@query()
+def recall_all_questions(spark, sf):
+    """The fused ranking for every row of ``benchmark``. SQL that compares all terms with all contents takes too
+    long; a test holds it against the ranking of one question at a time."""
+    questions = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), "text")
+    rows = R.recall_many(X.memories(spark, sf), questions, as_of(), 5, scope="smart", cwd="/p/src3")
+    return rows.select("question", "id", "channel", F.round("score", 6).alias("score"))
+
+
 # ---- conversations -----------------------------------------------------------------------
 
 @query("SELECT conv_id AS topic_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS reply_id, substr(text, 1, 20000) AS query FROM conversations WHERE role = 'user'")

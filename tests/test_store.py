@@ -6,11 +6,13 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from anamnesis import fixtures as X
 from anamnesis.functions import text as T
 from anamnesis.operators import merging as M
 from anamnesis.operators import selection as S
 from anamnesis.operators import upkeep as U
 from anamnesis.operators.ranking import numbered, running_sum
+from anamnesis.plans import recall as R
 from anamnesis.schema import TABLES, conform
 from anamnesis.snapshots import SnapshotStore
 
@@ -222,3 +224,20 @@ def test_selection_order_and_scope(spark):
     rows = memory(spark, [(i, "x", "mixed", 0.5) for i in (1, 2, 3)])
     assert [r.id for r in S.by_ids(rows, [3, 1, 3, 9]).collect()] == [1, 3]
     assert one(spark, U.joined_members(F.array(F.lit(3), F.lit(1)).cast("array<long>"), F.array(F.lit(1), F.lit(2)).cast("array<long>"))) == [3, 1, 2]
+
+
+@pytest.mark.parametrize("excavate,scope", [(False, "smart"), (True, "all")])
+def test_many_questions_at_once(spark, sf, monkeypatch, excavate, scope):
+    """Each gets what it gets alone, over several scans; a term that overlaps itself counts each time."""
+    memories, as_of = X.memories(spark, sf), F.lit("2024-07-01").cast("date")
+    monkeypatch.setattr(R, "QUESTIONS", 3)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(3).collect()]
+    texts += ["", "de", "anan nan an", "zzzzz", None, texts[0]]
+    questions = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "question long, text string")
+    got = {}
+    for r in R.recall_many(memories, questions, as_of, 6, scope=scope, cwd="/p/src3", excavate=excavate).orderBy("question", F.desc("score"), "channel", "id").collect():
+        got.setdefault(r.question, []).append((r.id, r.channel, round(r.score, 9)))
+    for i, t in enumerate(texts):
+        alone = R.fast_recall(memories, t or "", as_of, 6, scope=scope, cwd="/p/src3", excavate=excavate).collect()
+        assert got.get(i, []) == [(r.id, r.channel, round(r.score, 9)) for r in alone], t
+    assert R.recall_many(memories, questions.limit(0), as_of).count() == 0
