@@ -1,19 +1,21 @@
 """Best-fit packing of tokenised documents by the sum-of-squares rule.
 
 An open sequence is known by its residual gap. A piece goes where the sum of the squared
-numbers of open sequences per gap becomes smallest; ties go to the smallest gap left.
-Pieces are taken longest first, and a sequence is opened only where no open one has room:
-with whole groups at hand this needs fewer sequences than letting a new one compete.
+numbers of open sequences per gap becomes smallest, a new sequence being one of the places; ties
+go to the smallest gap left, and before a new sequence. Pieces are taken longest first.
 
 Scale: texts become small rows (one per piece, of at most ``capacity`` tokens) in a first
 pass, whose result is checkpointed. Full pieces are sequences of their own. The others
 are dealt at random to groups of about ``GROUP`` pieces, each packed by one task. Sequences
-that a group leaves with a gap over ``SLACK`` are taken apart, and their pieces are packed
-again, in fewer groups, until one group holds the rest or a round gains nothing.
+that a group leaves with a gap over ``SLACK``, as the rule leaves some of each gap for pieces to
+come, are taken apart, and their pieces are packed again, in fewer groups, until one group
+holds the rest or a round gains nothing. In these rounds no pieces are to come, so a sequence is
+opened only where no open one has room.
 
 Defined cases: a null text counts as empty and is one piece, the end token alone; only
-documents longer than ``capacity`` are cut; repeated rows are packed once each; an empty
-table gives an empty result; columns besides the id and the text are not read.
+documents longer than ``capacity`` are cut, whatever their length; equal lengths are taken in the
+order of the rows; repeated rows are packed once each; an empty
+table gives an empty result; columns besides the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -118,8 +120,9 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc
     )
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each piece its sequence and its place there, and each sequence's gap."""
+def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece its sequence and its place there, and each sequence's gap. If these are the ``last``
+    pieces, a sequence is opened only where no open one has room."""
     count = np.zeros(capacity + 1, np.int64)  # open sequences by gap
     open_by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
     gaps: list[int] = []
@@ -132,7 +135,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
         if here[0]:
             change[0] -= 1  # a full sequence no longer counts
         best = int(change.argmin())  # the first is the tightest
-        if change[best] < _NO_ROOM:
+        new = _NO_ROOM - 1 if last else 2 * count[capacity - size] + 1
+        if change[best] <= new:
             gap = best + size
             k = open_by_gap[gap].pop()
             count[gap] -= 1
@@ -151,7 +155,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 def _packer(turn: int, capacity: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("_row")
-        sequence, offset, gaps = sum_of_squares(group["length"].to_numpy().astype(np.int64), capacity)
+        sequence, offset, gaps = sum_of_squares(group["length"].to_numpy().astype(np.int64), capacity, turn > 0)
         number = group["_group"][0].as_py()
         return (
             group.drop_columns("_group")
@@ -184,8 +188,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slack:
         dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(groups)))
         packed = durable(dealt.groupBy("_group").applyInArrow(_packer(turn, capacity), schema))
         again = packed.where(F.col("gap") > slack)
-        more = again.count() if groups > 1 else 0
-        stop = groups == 1 or more > 0.9 * left
+        more = again.count() if turn == 0 or groups > 1 else 0
+        stop = turn > 0 and (groups == 1 or more > 0.9 * left)
         done.append((packed if stop else packed.where(F.col("gap") <= slack)).select(*names, "sequence_id", "offset"))
         rest, left, turn = again.select(*names, "_row"), 0 if stop else more, turn + 1
     out = done[0]

@@ -35,31 +35,36 @@ def lawful(rows, capacity):
     return len(by)
 
 
-def test_sum_of_squares_rule():
+@pytest.mark.parametrize("last", [False, True])
+def test_sum_of_squares_rule(last):
     sizes = np.array([5, 4, 3, 3, 2, 2, 1])
-    sequence, offset, gaps = packing.sum_of_squares(sizes, 10)
-    assert np.bincount(sequence, sizes).tolist() == [10 - g for g in gaps] and len(gaps) == 2
+    sequence, offset, gaps = packing.sum_of_squares(sizes, 10, last)
+    assert np.bincount(sequence, sizes).tolist() == [10 - g for g in gaps]
     # a plain form of the same rule
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 50, 300)
-    sequence, _, gaps = packing.sum_of_squares(sizes, 50)
-    state, plain = [], []
+    sequence, _, gaps = packing.sum_of_squares(sizes, 50, last)
+    state = []
     for i in np.argsort(-sizes, kind="stable"):
         s = sizes[i]
+
+        def total(k):
+            after = [g - s if j == k else g for j, g in enumerate(state)] + ([50 - s] if k is None else [])
+            return sum(v * v for g, v in Counter(after).items() if g), k is None, 0 if k is None else state[k]
+
         room = [k for k, g in enumerate(state) if g >= s]
-        if not room:
+        best = min(room if last and room else [*room, None], key=total)
+        if best is None:
             state.append(50 - s)
-            continue
-        def total(k):
-            after = [g - s if j == k else g for j, g in enumerate(state)]
-            return sum(v * v for g, v in Counter(after).items() if g), state[k]
-        state[min(room, key=total)] -= s
-    assert sorted(state) == sorted(gaps.tolist()) and plain == []
+        else:
+            state[best] -= s
+    assert sorted(state) == sorted(gaps.tolist())
 
 
 def test_packing_laws(spark):
     texts = [None, "", "one two", "one two", "word " * 5000, *("w " * n for n in range(1, 400, 7))]
-    out = packing.pack_documents(docs_of(spark, texts), PATH, 256).collect()
+    rows = docs_of(spark, texts).withColumns({"x": F.lit(1), "y": F.lit("z")}).toDF("doc_id", "text", "TEXT", "offset")
+    out = packing.pack_documents(rows, PATH, 256).collect()
     lawful(out, 256)
     pieces = {}
     for r in out:
