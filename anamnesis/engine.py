@@ -111,14 +111,18 @@ class MemoryEngine:
     def remember(self, owner: str = "default", cwd: str | None = None, **candidate) -> DataFrame:
         """Write one memory (``summary``, ``content`` and more of a candidate's fields); returns the log."""
         full = {"kind": "fact", "origin": "user_stated", "confidence": 0.9, "keywords": []} | candidate
-        after, log = ingest.remember(self.store.read("memories"), self.store.read("tombstones"), self.judge, full, self.now, owner, cwd)
-        self.store.commit({"memories": after})
-        return log
+        return self._write(ingest.remember(self.store.read("memories"), self.store.read("tombstones"), self.judge, full, self.now, owner, cwd))
 
     def ingest(self, text: str, source: str, owner: str = "default") -> DataFrame:
-        after, log = ingest.ingest_text(self.store.read("memories"), self.store.read("tombstones"), self.judge, text, source, self.now, owner)
-        self.store.commit({"memories": after})
-        return log
+        return self._write(ingest.ingest_text(self.store.read("memories"), self.store.read("tombstones"), self.judge, text, source, self.now, owner))
+
+    def _write(self, out: ingest.Written) -> DataFrame:
+        """New rows are appended; other changes write the table anew."""
+        if out.added is not None:
+            self.store.append({"memories": out.added})
+        else:
+            self.store.commit({"memories": out.memories})
+        return out.log
 
     def forget(self, ids: list[int], reason: str = "forgotten") -> int:
         """Archive memories and keep their contents from coming back; returns the new version."""

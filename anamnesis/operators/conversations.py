@@ -10,7 +10,7 @@ from anamnesis.operators.ranking import numbered
 
 CONTEXT_CHARS, VERBATIM_TURNS, VERBATIM_CHARS, GIST_CHARS, MARGIN = 32_000, 3, 4000, 300, 20
 STALE_TURNS, SUMMARY_TURNS, LEAST_CHARS = 8, 12, 15
-QUERY_CHARS, KEPT_GIST = 20_000, 500
+QUERY_CHARS, KEPT_GIST, LEAST_LINE = 20_000, 500, 3
 # Headings of a context's parts.
 SUMMARY_LABEL, VERBATIM_LABEL, GISTS_LABEL = "话题概要：", "最近用户轮原文：\n", "逐轮纪要（新→旧）：\n"
 
@@ -72,6 +72,9 @@ def packed_context(replies: DataFrame, summary: Column, budget: int = CONTEXT_CH
     counted once against the budget.
     """
     n = F.row_number().over(_newest())
+    # no more lines than this can have room, so of a longer topic only the newest turns are looked at
+    replies = replies.withColumn("_n", n).where(F.col("_n") <= budget // LEAST_LINE + VERBATIM_TURNS + 1)
+    n = F.col("_n")
     line = F.when(F.col("gist") != "", F.col("gist")).otherwise(F.concat(F.lit("用户："), clip(squeeze(F.col("query")), GIST_CHARS)))
     said = clip(squeeze(F.col("query")), VERBATIM_CHARS)
     number = F.length(F.col("reply_id").cast("string")) + 2

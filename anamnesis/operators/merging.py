@@ -1,13 +1,14 @@
 """The store's state machine: insert, reinforce, refine, supersede, archive.
 
-A batch of actions is folded per target in the order of ``seq``, because an earlier action
-can change what a later one may do. A fold runs inside one row's array of actions, so
-targets are independent of each other and the plan has no driver-side loop.
+In a batch an earlier action can change what a later one may do: support raises a target's
+confidence, which can close it to successors. How much support that takes is known from the
+start, so one running count by target, in the order of ``seq``, judges each action, and sums do
+the rest; no row gathers a target's actions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anamnesis.deploy import durable
@@ -17,6 +18,8 @@ from anamnesis.schema import KINDS
 
 PROTECTED = 0.8
 STEP = 0.05
+#: After so much support any confidence is 1.
+MOST_SUPPORT = 21
 
 
 def may_supersede(old_origin: Column, old_confidence: Column, origin: Column, confidence: Column) -> Column:
@@ -59,49 +62,70 @@ def flag_tombstoned(rows: DataFrame, tombstones: DataFrame, content: str) -> Dat
     )
 
 
-def _fold(state: Column, a: Column) -> Column:
-    """One action on a target's state."""
-    gate = may_supersede(state["origin"], state["confidence"], a["origin"], a["confidence"])
-    supersede = a["action"] == "SUPERSEDE"
-    done = supersede & gate & ~a["tombstoned"]
-    refine = a["action"] == "REFINE"
-    support = (a["action"] == "REINFORCE") | (supersede & ~gate)
-    has_words = a["keywords"].isNotNull() & (F.size(a["keywords"]) > 0)
-    return F.struct(
-        (state["evidence"] + F.when(support | refine, 1).otherwise(0)).cast("long").alias("evidence"),
-        F.when(support, reinforced(state["confidence"])).otherwise(state["confidence"]).alias("confidence"),
-        state["origin"].alias("origin"),
-        F.when(refine, F.coalesce(F.nullif(a["summary"], F.lit("")), state["summary"])).otherwise(state["summary"]).alias("summary"),
-        F.when(refine, a["content"]).otherwise(state["content"]).alias("content"),
-        F.when(refine & has_words, F.array_join(a["keywords"], " ")).otherwise(state["keywords"]).alias("keywords"),
-        F.when(done, F.lit("superseded")).otherwise(state["status"]).alias("status"),
-        F.when(done, F.concat(state["born"], F.array(a["seq"]))).otherwise(state["born"]).alias("born"),
-        (state["blocked"] + F.when(supersede & ~done, 1).otherwise(0)).cast("long").alias("blocked"),
-    )
+def supported(confidence: Column, times: Column) -> Column:
+    """A confidence after so many times of support, added one by one."""
+    steps = F.sequence(F.lit(1), F.least(times.cast("int"), F.lit(MOST_SUPPORT)))
+    return F.when(times > 0, F.aggregate(steps, confidence, lambda c, _: reinforced(c))).otherwise(confidence)
+
+
+def _support_to_close(origin: Column, confidence: Column) -> Column:
+    """How much support closes a row to all but confident statements of the user; null if none does."""
+    start = F.struct(confidence.alias("c"), F.lit(0).alias("n"))
+    step = lambda s, _: F.when(s["c"] >= PROTECTED, s).otherwise(F.struct(reinforced(s["c"]).alias("c"), (s["n"] + 1).alias("n")))
+    return F.when(origin == "user_stated", F.aggregate(F.sequence(F.lit(1), F.lit(MOST_SUPPORT)), start, step, lambda s: s["n"]))
+
+
+def judged(memories: DataFrame, actions: DataFrame) -> DataFrame:
+    """``actions`` with ``done`` (a supersession that is carried out), ``support`` and ``refused``. Those with a
+    target but none in ``memories`` of the same owner fall away."""
+    closes = _support_to_close(F.col("origin"), F.col("confidence")).alias("_closes")
+    targets = memories.select(F.col("id").alias("target_id"), "owner", closes)
+    rows = actions.where("target_id IS NOT NULL").join(targets, ["target_id", "owner"])
+    before = Window.partitionBy("target_id", "owner").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    given = F.coalesce(F.sum((F.col("action") == "REINFORCE").cast("int")).over(before), F.lit(0))
+    strong = F.coalesce((F.col("origin") == "user_stated") & (F.col("confidence") >= PROTECTED), F.lit(False))
+    closed = F.coalesce(given >= F.col("_closes"), F.lit(False)) & ~strong
+    succeed = F.col("action") == "SUPERSEDE"
+    marks = {"done": succeed & ~closed & ~F.col("tombstoned"), "refused": succeed & closed}
+    told = rows.withColumns(marks).withColumn("support", (F.col("action") == "REINFORCE") | F.col("refused"))
+    free = actions.where("target_id IS NULL").withColumns({c: F.lit(False) for c in ("done", "refused", "support")})
+    names = [*actions.columns, "done", "refused", "support"]
+    return told.select(*names).unionByName(free.select(*names))
+
+
+def _sums(told: DataFrame) -> DataFrame:
+    """What the judged actions come to, by target."""
+    refine = F.col("action") == "REFINE"
+    last = lambda value, when: F.max_by(value, F.when(when, F.col("seq")))
+    words = F.col("keywords").isNotNull() & (F.size("keywords") > 0)
+    return told.where("target_id IS NOT NULL").groupBy(F.col("target_id").alias("id"), "owner").agg(
+        F.count_if("support").alias("_support"), F.count_if(refine).alias("_refined"), F.max("done").alias("_done"),
+        F.count_if((F.col("action") == "SUPERSEDE") & ~F.col("done")).alias("blocked"), last(F.col("content"), refine).alias("_content"),
+        last(F.col("summary"), refine & (F.length("summary") > 0)).alias("_summary"), last(F.array_join("keywords", " "), refine & words).alias("_keywords"),
+    )
 
 
-ACTION = ("seq", "action", "summary", "content", "keywords", "origin", "confidence", "tombstoned")
+def _moved(rows: DataFrame) -> DataFrame:
+    """Rows of the store, joined with their sums if they have some, as they are after the batch."""
+    support, refined = (F.coalesce(c, F.lit(0)) for c in ("_support", "_refined"))
+    return rows.withColumns(
+        {c: F.coalesce(f"_{c}", c) for c in ("content", "summary", "keywords")}
+        | {
+            "evidence": (F.col("evidence") + support + refined).cast("long"),
+            "confidence": supported(F.col("confidence"), support),
+            "status": F.when(F.col("_done"), "superseded").otherwise(F.col("status")),
+        }
+    )
 
 
 def fold_actions(memories: DataFrame, actions: DataFrame) -> DataFrame:
-    """``id, state`` of the targets after their actions. ``actions`` has ``target_id`` and the columns
-    of ``ACTION``; those without a target in ``memories`` of the same owner fall away. Long texts
-    stay out of the shuffle of memories that no action names."""
-    listed = actions.where("target_id IS NOT NULL").groupBy("target_id", "owner").agg(
-        F.sort_array(F.collect_list(F.struct(*ACTION))).alias("actions")
-    )
-    start = F.struct(
-        F.col("evidence").cast("long").alias("evidence"), "confidence", "origin", "summary", "content", "keywords", "status",
-        F.array().cast("array<long>").alias("born"), F.lit(0).cast("long").alias("blocked"),
-    )
-    hit = memories.join(listed.withColumnRenamed("target_id", "id"), ["id", "owner"])
-    return hit.select("id", "owner", F.aggregate("actions", start, _fold).alias("state"))
+    """The targets of ``actions`` after them, with ``blocked``, how many supersessions weren't carried out."""
+    return _moved(memories.join(_sums(judged(memories, actions)), ["id", "owner"])).select(*memories.columns, "blocked")
 
 
-def new_rows(actions: DataFrame, folded: DataFrame, first_id: int) -> DataFrame:
-    """Rows that NEW actions and carried-out SUPERSEDE actions create, with ids in the order of
-    ``seq`` and ``replaces``, the id of the row superseded."""
-    born = folded.select(F.col("id").alias("replaces"), F.explode("state.born").alias("seq"))
+def insertions(actions: DataFrame, born: DataFrame, first_id: int) -> DataFrame:
+    """Rows that NEW actions and carried-out SUPERSEDE actions (``born``: ``seq, replaces``) create, with ids in the
+    order of ``seq``."""
     fresh = actions.where("action = 'NEW' AND NOT tombstoned").select("seq", F.lit(None).cast("long").alias("replaces"))
     made = numbered(born.select("seq", "replaces").unionByName(fresh), "seq", name="id")
     return (
@@ -111,38 +135,44 @@ def new_rows(actions: DataFrame, folded: DataFrame, first_id: int) -> DataFrame:
     )
 
 
+def first_free(memories: DataFrame) -> int:
+    return memories.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+
+
+def as_rows(made: DataFrame, memories: DataFrame, at: Column) -> DataFrame:
+    """Inserted rows with the columns of the store."""
+    stamped = made.withColumns({"created_at": at, "updated_at": at, "last_seen_at": at, "pinned": F.lit(0), "mini": F.lit("")})
+    present, types = set(stamped.columns), {f.name: f.dataType for f in memories.schema}
+    return stamped.select(*((F.col(c) if c in present else F.lit(None)).cast(types[c]).alias(c) for c in memories.columns))
+
+
+def inserted(memories: DataFrame, actions: DataFrame, tombstones: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that a batch of NEW actions adds, and the log. Of the store only ids are read."""
+    flagged = flag_tombstoned(actions, tombstones, "content")
+    none = actions.sparkSession.createDataFrame([], "seq long, replaces long")
+    made = insertions(flagged, none, first_free(memories))
+    return as_rows(made, memories, at), made.select("seq", "action", F.col("id").alias("new_id"), "replaces")
+
+
 def apply_actions(memories: DataFrame, actions: DataFrame, tombstones: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     """The store after a batch of actions, and the log. ``memories`` has the table's columns;
     ``actions`` has ``seq, action, target_id, owner, cwd, kind, domain, summary, content, keywords, origin,
     confidence, source``; each has a ``seq`` of its own, which is its place in the batch."""
     if actions.groupBy("seq").count().where("count > 1").limit(1).count():
         raise ValueError("two actions have the same seq")
-    flagged = flag_tombstoned(actions, tombstones, "content")
-    # several results use the folds; their nested plan must not grow with each
-    folded = durable(fold_actions(memories, flagged))
-    top = memories.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    made = new_rows(flagged, folded, top + 1)
+    # several results use the judged actions
+    told = durable(judged(memories, flag_tombstoned(actions, tombstones, "content")))
+    born = told.where("done").select("seq", F.col("target_id").alias("replaces"))
+    made = insertions(told.drop("done", "refused", "support"), born, first_free(memories))
     pointer = made.where("replaces IS NOT NULL").groupBy(F.col("replaces").alias("id")).agg(F.max_by("id", "seq").alias("_by"))
-    changed = (
-        memories.join(folded.drop("owner"), "id", "left")
-        .join(pointer, "id", "left")
-        .withColumns(
-            {
-                **{c: F.coalesce(F.col(f"state.{c}"), F.col(c)) for c in ("evidence", "confidence", "summary", "content", "keywords", "status")},
-                "superseded_by": F.coalesce("_by", "superseded_by"),
-                "updated_at": F.when(F.col("state").isNotNull(), at).otherwise(F.col("updated_at")),
-                # only support touches the time of the last sighting
-                "last_seen_at": F.when(F.col("state.evidence") > F.col("evidence"), at).otherwise(F.col("last_seen_at")),
-            }
-        )
-        .select(*memories.columns)
-    )
-    stamped = made.withColumns({"created_at": at, "updated_at": at, "last_seen_at": at, "pinned": F.lit(0), "mini": F.lit("")})
-    present = set(stamped.columns)
-    types = {f.name: f.dataType for f in memories.schema}
-    fresh = stamped.select(*((F.col(c) if c in present else F.lit(None)).cast(types[c]).alias(c) for c in memories.columns))
+    sums = _sums(told).withColumn("_hit", F.lit(True))
+    touched = (F.coalesce("_support", F.lit(0)) + F.coalesce("_refined", F.lit(0))) > 0
+    rows = memories.join(sums, ["id", "owner"], "left").join(pointer, "id", "left")
+    # only support and refinement touch the time of the last sighting
+    stamps = {"updated_at": F.when(F.col("_hit"), at).otherwise(F.col("updated_at")), "last_seen_at": F.when(touched, at).otherwise(F.col("last_seen_at"))}
+    changed = _moved(rows.withColumns({"superseded_by": F.coalesce("_by", "superseded_by")} | stamps)).select(*memories.columns)
     log = made.select("seq", "action", F.col("id").alias("new_id"), "replaces")
-    return changed.unionByName(fresh), log
+    return changed.unionByName(as_rows(made, memories, at)), log
 
 
 def sequenced(decisions: DataFrame, found: DataFrame, cwd: str | None) -> DataFrame:

@@ -552,7 +552,7 @@ def merge_actions_fold(spark, sf):
         (F.col("id") * 10 + F.col("j")).alias("seq"), kind.alias("action"), F.col("id").alias("target_id"), "owner", F.lit("s").alias("summary"), F.lit("c").alias("content"),
         F.array(F.lit("k")).alias("keywords"), F.when(q >= 8, "user_stated").otherwise("agent_inferred").alias("origin"), F.when(q >= 8, 0.9).otherwise(0.95).alias("confidence"), F.lit(False).alias("tombstoned"),
     )
-    out = M.fold_actions(memories, actions).select("id", "state.*")
+    out = M.fold_actions(memories, actions)
     return out.select("id", "evidence", F.round("confidence", 6).alias("confidence"), "status", "blocked")
 
 

@@ -79,10 +79,8 @@ def inserted_rows(spark, sf):
     memories = store_rows(spark, sf)
     stones = M.tombstones_of(memories.where("status = 'archived'"), "archived", at())
     actions = memories.select(F.col("id").alias("seq"), F.lit("NEW").alias("action"), F.lit(None).cast("long").alias("target_id"), "owner", "cwd", F.when(F.col("id") % 3 == 0, "odd").otherwise(F.col("kind")).alias("kind"), "domain", "summary", "content", F.array("keywords").alias("keywords"), "origin", "confidence", "source")
-    top = memories.agg(F.max("id")).first()[0]
-    none = memories.limit(0).select("id", "owner", F.struct(F.array().cast("array<long>").alias("born")).alias("state"))
-    made = M.new_rows(M.flag_tombstoned(actions, stones, "content"), none, top + 1)
-    return made.select("seq", "id", "kind", "evidence")
+    rows, log = M.inserted(memories, actions, stones, at())
+    return rows.join(log, F.col("id") == F.col("new_id")).select("seq", "id", "kind", "evidence")
 
 
 CHOSEN = "(SELECT min(id) FROM mem WHERE owner = 'default' AND status = 'active')"
@@ -96,8 +94,8 @@ def remembered(spark, sf):
     first = S.owned(memories).agg(F.min("id")).first()[0]
     decided = spark.createDataFrame([(0, "REFINE", first, None, None, None, "as it was said", []), (0, "NEW", None, "fact", None, "x", "y", [])], J.DECISIONS["merge"])
     said = {"kind": "fact", "summary": "s", "content": "what was said", "keywords": [], "origin": "user_stated", "confidence": 0.9}
-    after, _ = N.remember(memories, spark.createDataFrame([], TABLES["tombstones"]), J.ReplayJudge({"merge": decided}), said, at())
-    return after.select("id", "content", "evidence")
+    out = N.remember(memories, spark.createDataFrame([], TABLES["tombstones"]), J.ReplayJudge({"merge": decided}), said, at())
+    return out.whole(memories).select("id", "content", "evidence")
 
 
 @query("""WITH b AS (SELECT text FROM benchmark ORDER BY item_id LIMIT 1) SELECT 'file' AS source, substr(string_split(text, chr(10))[1], 1, 60) AS summary, substr(text, 1, 500) AS content, 'fact' AS kind FROM b
@@ -105,8 +103,9 @@ def remembered(spark, sf):
 def ingested_text(spark, sf):
     """One text through triage, extraction, checks and merging, into the whole store."""
     text = X.table(spark, sf, "benchmark").orderBy("item_id").first().text
-    after, _ = N.ingest_text(store_rows(spark, sf), spark.createDataFrame([], TABLES["tombstones"]), J.RuleJudge(), text, "file", at())
-    return after.select("source", "summary", "content", "kind")
+    memories = store_rows(spark, sf)
+    out = N.ingest_text(memories, spark.createDataFrame([], TABLES["tombstones"]), J.RuleJudge(), text, "file", at())
+    return out.whole(memories).select("source", "summary", "content", "kind")
 
 
 @query(MEM + f""", o AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM mem WHERE {OWN}), m AS (SELECT n // 10 AS g, * FROM o WHERE n % 10 < 2)

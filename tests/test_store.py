@@ -85,6 +85,15 @@ def test_actions_equal_a_sequential_interpreter(spark, seed):
     assert log.count() == len(want_new)
 
 
+def test_a_hot_target(spark):
+    """Thousands of actions on one row, in windows and sums."""
+    rows = memory(spark, [(1, "old", "user_stated", 0.7), (2, "other", "mixed", 0.5)])
+    acts = [(n, "REINFORCE" if n % 3 else "SUPERSEDE", 1, "default", None, "fact", None, "s", f"c{n}", [], "agent_inferred", 0.9, None) for n in range(1, 3001)]
+    after, log = M.apply_actions(rows, spark.createDataFrame(acts, ACTIONS), spark.createDataFrame([], TABLES["tombstones"]), at())
+    row = after.where("id = 1").first()
+    assert (row.status, row.evidence, row.confidence) == ("active", 3001, 1.0) and log.count() == 0
+
+
 def test_reinforcement_closes_the_gate(spark):
     rows = memory(spark, [(1, "old", "user_stated", 0.75)])
     acts = [(1, "REINFORCE", 1, "default", None, "fact", None, "s", "c", [], "user_stated", 0.9, None), (2, "SUPERSEDE", 1, "default", None, "fact", None, "s", "c", [], "agent_inferred", 0.95, None)]
