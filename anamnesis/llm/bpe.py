@@ -10,7 +10,8 @@ symbols and an end-of-word suffix) is read once on the driver, its size is check
 and it is broadcast. Words repeat, so each Python worker keeps a bounded table of
 what it has encoded between white space.
 
-Defined cases: a null text counts as empty and gives no ids; special tokens that occur
+Defined cases: a null text counts as empty and gives no ids; texts and words of any length are
+encoded whole; of merges with equal ranks the leftmost comes first; special tokens that occur
 in a text become their ids; repeated rows give repeated results; an empty table gives
 an empty result; columns besides the id and the text are not read, so their names
 cannot clash.

@@ -9,7 +9,8 @@ that windows sum to about one at each sample. A peak is paired with all peaks of
 ``REACH`` frames, and each pair is stored as ``time << 32 | bin << 22 | other bin << 12 | distance in time``.
 
 Defined cases: a null text counts as empty and becomes 64 zero samples, which have no
-peaks; equal texts give equal values; repeated rows give repeated results; an empty
+peaks; texts of any length are transformed whole, in blocks; of equally strong bins in a band the lowest is
+the peak; equal texts give equal values; repeated rows give repeated results; an empty
 table gives an empty result; columns besides the id and the text are not read.
 """
 
