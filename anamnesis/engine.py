@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from anamnesis.deploy import durable, ship
 from anamnesis.operators import conversations, selection, upkeep, usage
 from anamnesis.operators.merging import tombstones_of
-from anamnesis.plans import dream, ingest, pick, recall
+from anamnesis.plans import dream, index, ingest, pick, recall
 from anamnesis.plans.judge import Judge, RuleJudge
 from anamnesis.schema import TABLES, conform
 from anamnesis.snapshots import SnapshotStore
@@ -41,7 +41,9 @@ class MemoryEngine:
         if mode == "deep":
             found = pick.deep_recall(self.memories(), self.judge, query, today, k, owner, scope, cwd, ledger, self.store.read("profiles"))
         else:
-            rows = recall.fast_recall(self.memories(), query, today, k, owner, scope, cwd, mode == "excavate", ledger)
+            store = self.store
+            found_by = index.open_index(store.read("postings"), store.read("sizes"), store.read("memories"))
+            rows = recall.fast_recall(self.memories(), query, today, k, owner, scope, cwd, mode == "excavate", ledger, found_by)
             had = 0 if ledger is None else ledger.where(F.col("item").startswith("m:")).count()
             found = pick.Recalled(rows, self.store.read("profiles").limit(0), had)
         # at most twenty rows, which keep their order; what is given must be what is logged
@@ -86,7 +88,7 @@ class MemoryEngine:
         if not dry_run:
             after = upkeep.changed(self.store.read("memories"), upkeep.audited(memories, verdicts), self.now)
             entry = trail.select(self.now.alias("at"), F.concat(F.lit("audit "), "verdict").alias("action"), F.to_json(F.struct("id", "before", "after")).alias("detail"))
-            self.store.commit({"memories": after, "memory_log": self.store.read("memory_log").unionByName(conform(entry, "memory_log"))})
+            self.store.commit({"memories": after, "memory_log": self.store.read("memory_log").unionByName(conform(entry, "memory_log"))}, self._entries(after))
         return trail
 
     def backfill(self, owner: str = "default") -> int:
@@ -95,7 +97,8 @@ class MemoryEngine:
         bare = selection.owned(memories, owner).where("trim(keywords) = '' OR trim(mini) = ''")
         batches = bare.join(upkeep.backfill_batches(memories.withColumn("_any", F.when((F.trim("keywords") != "") & (F.trim("mini") != ""), "x").otherwise("")), "_any", owner=owner), "id")
         found = durable(upkeep.backfilled(bare, durable(self.judge.decide("backfill", batches))))
-        self.store.commit({"memories": upkeep.changed(memories, found, self.now)})
+        after = durable(upkeep.changed(memories, found, self.now))
+        self.store.commit({"memories": after}, self._entries(after))
         return found.count()
 
     def inject(self, owner: str = "default", scope: str = "smart", cwd: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -117,13 +120,20 @@ class MemoryEngine:
         return self._write(ingest.ingest_text(self.store.read("memories"), self.store.read("tombstones"), self.judge, text, source, self.now, owner))
 
     def _write(self, out: ingest.Written) -> DataFrame:
-        """New rows are appended; other changes write the table anew."""
+        """New rows are appended; other changes write the table anew. The index gets the rows touched."""
         if out.added is not None:
-            self.store.append({"memories": out.added})
+            self.store.append({"memories": out.added} | index.entries(out.added, self.now))
         else:
-            self.store.commit({"memories": out.memories})
+            self.store.commit({"memories": out.memories}, self._entries(out.memories))
         return out.log
 
+    def _entries(self, memories: DataFrame) -> dict[str, DataFrame]:
+        return index.entries(memories.where(F.col("updated_at") >= self.now), self.now)
+
+    def reindex(self) -> int:
+        """Build the index anew, for a store that was written without."""
+        return self.store.commit(index.entries(self.store.read("memories"), self.now))
+
     def forget(self, ids: list[int], reason: str = "forgotten") -> int:
         """Archive memories and keep their contents from coming back; returns the new version."""
         chosen = self.spark.createDataFrame([(i,) for i in ids], "id long")

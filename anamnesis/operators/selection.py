@@ -52,7 +52,7 @@ def by_ids(memories: DataFrame, ids: list[int]) -> DataFrame:
     asked = memories.sparkSession.createDataFrame([*places.items()], "id long, place long")
     if len(places) <= MOST_BROADCAST:
         asked = F.broadcast(asked)
-    return memories.where("status = 'active'").join(asked, "id").orderBy("place").drop("place")
+    return memories.where("status = 'active'").join(asked, "id").orderBy("place").limit(len(places)).drop("place")
 
 
 def constitution(memories: DataFrame, owner: str, scope: str = "all", cwd: str | None = None, limit: int = 5) -> DataFrame:

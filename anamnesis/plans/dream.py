@@ -6,6 +6,7 @@ tables are checkpointed, so that a judge is asked once and plans stay small.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from anamnesis.operators.merging import apply_actions, sequenced, valid_decision
 from anamnesis.operators.segments import fixed_windows, greedy_segments, resume_at, segment_texts, within_budget
 from anamnesis.operators.selection import material, owned, owners, wanted
 from anamnesis.operators.usage import spend
+from anamnesis.plans import index
 from anamnesis.plans.judge import Judge
 from anamnesis.plans.pick import latest_by_owner
 from anamnesis.schema import conform
@@ -41,6 +43,7 @@ class Night:
     owner: str = "default"
     daily_budget: float | None = None
     prices: tuple[float, float] = (0.0, 0.0)
+    on_actions: Callable[[DataFrame], None] | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
     log: list[tuple[str, str]] = field(default_factory=list)
 
@@ -102,19 +105,22 @@ def read_sessions(night: Night, lines: DataFrame, first_cap: int | None = None)
     return segments.where("NOT skipped").select("path", "segment", "text")
 
 
-def read_inbox(night: Night, drops: DataFrame, kept_folder: str | None = None) -> DataFrame:
-    """Dropped files move on by a state each; windows that the filter keeps come back as segments. Without
-    money left today no window is asked about."""
+def read_inbox(night: Night, drops: DataFrame, kept_folder: str | None = None, lenses: DataFrame | None = None) -> DataFrame:
+    """Dropped files move on by a state each; windows that the filter keeps come back as segments. A file is
+    read by its lenses (``path, lens``), or by the default one. Without money left today no window is asked
+    about."""
     files = night.get("inbox_files")
-    seen = durable(inbox.registered(files, inbox.slimmed(drops), night.at))
+    seen = durable(inbox.registered(files, inbox.slimmed(drops), night.at, lenses))
     broke = night.daily_budget is not None and spent_today(night) >= night.daily_budget
     open_ = seen.where(F.col("status").isin("slimmed", "filtering") & F.lit(not broke))
-    done = F.coalesce(F.col("lens_offsets")[LENS], F.lit(0))
-    windows = fixed_windows(open_, "path", "text").join(open_.select("path", done.alias("_done")), "path").where(F.col("offset") >= F.col("_done"))
-    windows = durable(within_budget(windows.withColumns({"lens": F.lit(LENS), "chars": F.length("window")}), "lens", ["path", "offset"], "chars", INBOX_CHARS))
+    known = lenses if lenses is not None else night.store.spark.createDataFrame([], "path string, lens string")
+    by = open_.select("path", "lens_offsets").join(known.select("path", "lens").distinct(), "path", "left").withColumn("lens", F.coalesce("lens", F.lit(LENS)))
+    by = by.select("path", "lens", F.coalesce(F.col("lens_offsets")[F.col("lens")], F.lit(0)).alias("_done"))
+    windows = fixed_windows(open_, "path", "text").join(by, "path").where(F.col("offset") >= F.col("_done"))
+    windows = durable(within_budget(windows.withColumn("chars", F.length("window")), "lens", ["path", "offset"], "chars", INBOX_CHARS))
     kept = inbox.kept_windows(windows, durable(night.judge.decide("inbox-filter", windows)), ["path", "offset"])
-    kept = durable(kept.select("path", F.col("offset").alias("segment"), F.col("window").alias("text")))
-    night.put("inbox_files", inbox.advanced(seen, windows.groupBy("path").agg(F.max("offset").alias("through")), LENS, night.at))
+    kept = durable(kept.select("path", F.col("offset").alias("segment"), F.col("window").alias("text")).distinct())
+    night.put("inbox_files", inbox.advanced(seen, windows.groupBy("path", "lens").agg(F.max("offset").alias("through")), night.at))
     if kept_folder:
         sinks.append_kept(kept, kept_folder)
     night.note("inbox windows kept", kept.count())
@@ -135,6 +141,8 @@ def learn(night: Night, segments: DataFrame) -> DataFrame:
     found = durable(verified(found, night.judge.decide("verify", found)))
     decisions = durable(valid_decisions(night.judge.decide("merge", found), found, memories))
     actions = durable(sequenced(decisions, found.withColumn("source", F.col("path")), None))
+    if night.on_actions is not None:
+        night.on_actions(actions)
     merged, log = apply_actions(memories, actions, night.get("tombstones"), night.at)
     log = durable(log)
     night.put("memories", merged)
@@ -243,14 +251,14 @@ def refresh_cards(night: Night, owner: str) -> None:
     night.note("cards", f"{owner}: {stale.count()} domains")
 
 
-def run(store: SnapshotStore, lines: DataFrame, judge: Judge, at: Column, as_of: Column, owner: str = "default", drops: DataFrame | None = None, kept_folder: str | None = None, first_cap: int | None = None, daily_budget: float | None = None, prices: tuple[float, float] = (0.0, 0.0)) -> dict[str, int]:
+def run(store: SnapshotStore, lines: DataFrame, judge: Judge, at: Column, as_of: Column, owner: str = "default", drops: DataFrame | None = None, kept_folder: str | None = None, first_cap: int | None = None, daily_budget: float | None = None, prices: tuple[float, float] = (0.0, 0.0), lenses: DataFrame | None = None, on_actions: Callable[[DataFrame], None] | None = None) -> dict[str, int]:
     """One night. ``lines``: ``path, line_no, value, agent`` (and ``start, size``); ``drops``: entries of dropped
-    files. All changes become one new version; ``versions`` of the store are its backups."""
+    files, with ``lenses``; ``on_actions`` is shown the actions before they are carried out. All changes become one new version; ``versions`` of the store are its backups."""
     with store.locked():
-        night = Night(store, judge, at, as_of, owner, daily_budget, prices)
+        night = Night(store, judge, at, as_of, owner, daily_budget, prices, on_actions)
         segments = read_sessions(night, lines, first_cap)
         if drops is not None:
-            segments = segments.unionByName(read_inbox(night, drops, kept_folder))
+            segments = segments.unionByName(read_inbox(night, drops, kept_folder, lenses))
         log = learn(night, durable(segments))
         fade(night)
         for name in night.owners():
@@ -264,5 +272,5 @@ def run(store: SnapshotStore, lines: DataFrame, judge: Judge, at: Column, as_of:
         spark, logged = log.sparkSession, night.get("memory_log")
         rows = spark.createDataFrame(night.log, "action string, detail string").withColumn("at", at)
         night.put("memory_log", logged.unionByName(conform(rows, "memory_log")))
-        version = store.commit(night.tables)
+        version = store.commit(night.tables, index.entries(night.get("memories").where(F.col("updated_at") >= at), at))
     return {"version": version, "actions": int(told["actions"]), "errors": int(told["errors"]), "archived": int(told["archived"])}

@@ -12,6 +12,7 @@ from anamnesis.deploy import durable
 from anamnesis.functions.text import terms_of
 from anamnesis.operators.ranking import union_first
 from anamnesis.operators.selection import in_scope, owned
+from anamnesis.plans.index import Index
 from anamnesis.schema import STATUSES
 
 MATCHES, SHORT_MATCHES, RECENT, SAME_DOMAIN = 60, 20, 20, 30
@@ -26,9 +27,15 @@ def _lowered(df: DataFrame) -> DataFrame:
 
 
 def _occurrences(term: str) -> Column:
-    """How often a term occurs in all fields, overlaps included."""
-    literal = "(?=" + "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in term.lower()) + ")"
-    return reduce(Column.__add__, (F.regexp_count(F.col(f"_{f}"), F.lit(literal)) for f in FIELDS))
+    """How often a term occurs in all fields, overlaps included. Only terms that begin as they end can overlap
+    themselves; the others are counted by what is left without them."""
+    t = term.lower()
+    if any(t[:i] == t[-i:] for i in range(1, len(t))):
+        literal = "(?=" + "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in t) + ")"
+        times = lambda field: F.regexp_count(field, F.lit(literal))
+    else:
+        times = lambda field: ((F.length(field) - F.length(F.replace(field, F.lit(t)))) / len(t)).cast("int")
+    return reduce(Column.__add__, (F.when(F.col(f"_{f}").contains(t), times(F.col(f"_{f}"))).otherwise(0) for f in FIELDS))
 
 
 def _has(term: str) -> Column:
@@ -91,23 +98,26 @@ def short_matches(memories: DataFrame, terms: list[str], owner: str, statuses: t
     return _short_rows(text_hits(memories, terms, owner, statuses)[0], light(memories), each)
 
 
-def matches(memories: DataFrame, query: str, owner: str, statuses: tuple[str, ...], limit: int = MATCHES) -> DataFrame:
-    """Text matches with ``hit_score``; a row that both ways find counts as a full hit."""
-    columns = light(memories)
-    hits, stats = text_hits(memories, terms_of(query), owner, statuses)
+def matches(memories: DataFrame, query: str, owner: str, statuses: tuple[str, ...], limit: int = MATCHES, index: Index | None = None) -> DataFrame:
+    """Text matches with ``hit_score``; a row that both ways find counts as a full hit. With an index only
+    the rows that it names are read."""
+    columns, terms = light(memories), terms_of(query)
+    hits, stats = text_hits(memories if index is None else index.narrowed(memories, terms), terms, owner, statuses)
+    if index is not None and stats:  # all rows that hold a term were read, so only these two differ
+        stats = stats | {"n": index.rows, "mean": index.mean}
     full = _ranked(hits, stats, columns, limit).drop("bm25").withColumn("hit_score", F.lit(HIT))
     short = _short_rows(hits, columns, SHORT_MATCHES).withColumn("hit_score", F.lit(SHORT_HIT))
     both = union_first([full, short], "id").drop("channel")
     return both.orderBy(F.desc("hit_score"), F.desc("last_seen"), "id").limit(limit)
 
 
-def candidates(memories: DataFrame, query: str, owner: str, statuses: tuple[str, ...], domains: tuple[str, ...] = ()) -> DataFrame:
+def candidates(memories: DataFrame, query: str, owner: str, statuses: tuple[str, ...], domains: tuple[str, ...] = (), index: Index | None = None) -> DataFrame:
     """Matches, the most recent and the pinned memories, and the best supported of ``domains``, without
     contents; ``channel`` says which found a row first."""
     own = owned(memories, owner, statuses).select(*light(memories))
     recent = own.orderBy(F.desc("last_seen"), "id").limit(RECENT).withColumn("hit_score", F.lit(NO_HIT))
     pinned = own.where("pinned = 1").withColumn("hit_score", F.lit(NO_HIT))
-    channels = [matches(memories, query, owner, statuses), recent, pinned]
+    channels = [matches(memories, query, owner, statuses, index=index), recent, pinned]
     if domains:
         same = own.where(F.col("domain").isin(*domains)).orderBy(F.desc("evidence"), F.desc("last_seen"), "id").limit(SAME_DOMAIN)
         channels.append(same.withColumn("hit_score", F.lit(NO_HIT)))
@@ -131,17 +141,18 @@ def fast_recall(
     cwd: str | None = None,
     excavate: bool = False,
     ledger: DataFrame | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """The ``k`` best candidates. The scope applies after the channels' caps, and ``ledger`` (``item`` as
     ``m:<id>``) removes what a conversation has had, so fewer than ``k`` rows may remain."""
-    rows = candidates(memories, query, owner, STATUSES if excavate else ("active",)).where(in_scope(scope, cwd))
+    rows = candidates(memories, query, owner, STATUSES if excavate else ("active",), index=index).where(in_scope(scope, cwd))
     rows = rows.withColumn("score", fused_score(as_of))
     if ledger is not None:
         rows = rows.withColumn("item", F.concat(F.lit("m:"), F.col("id").cast("string")))
         rows = rows.join(ledger.select("item"), "item", "left_anti").drop("item")
     best = rows.orderBy(F.desc("score"), "channel", "id").limit(min(k, 20)).select("id", "channel", "score")
-    # at most twenty rows: a broadcast of proven size fetches their contents
-    return memories.join(F.broadcast(best), "id").orderBy(F.desc("score"), "channel", "id")
+    # at most twenty rows: a broadcast of proven size fetches their contents; the limit spares the sort a sample
+    return memories.join(F.broadcast(best), "id").orderBy(F.desc("score"), "channel", "id").limit(min(k, 20))
 
 
 #: Questions that are answered by one scan of the contents.

@@ -201,8 +201,8 @@ def inbox_run(spark, sf):
     ).withColumns(blank)
     seen = I.registered(known, entries, at)
     open_ = seen.where(F.col("status").isin("slimmed", "filtering"))
-    taken = open_.select("path", (F.floor((F.length("text") - 1) / G.WINDOW_CHARS) * G.WINDOW_CHARS).alias("through"))
-    out = I.advanced(seen, taken, "default", at)
+    taken = open_.select("path", F.lit("default").alias("lens"), (F.floor((F.length("text") - 1) / G.WINDOW_CHARS) * G.WINDOW_CHARS).alias("through"))
+    out = I.advanced(seen, taken, at)
     return out.select("path", "status", F.col("lens_offsets")["default"].alias("through"))
 
 
@@ -286,6 +286,15 @@ def long_records(spark, sf):
     return long_.select("doc_id", Q.slimmed_record(message(note=F.col("t"), n=F.col("doc_id")), F.lit("pi")).alias("slim"))
 
 
+@query("""WITH r AS (SELECT doc_id, regexp_replace(text, '[^ !#-\\[\\]-~]', '?', 'g') AS t, length('{"note":"","n":' || doc_id || '}') AS frame FROM documents)
+    SELECT doc_id, '{"note":"' || CASE WHEN length(t) + frame > 3000 THEN substr(t, 1, 3000 - frame - 12) || '…[truncated]' ELSE t END || '","n":' || doc_id || '}' AS slim FROM r""".replace("\\\\", "\\"))
+def capped_records(spark, sf):
+    """Records over a size have their texts cut until they fit."""
+    plain = F.regexp_replace("text", r"[^ !#-\[\]-~]", "?")
+    rows = X.table(spark, sf, "documents").select("doc_id", message(note=plain, n=F.col("doc_id")).alias("line"))
+    return rows.select("doc_id", Q.slimmed_record(F.col("line"), F.lit("pi"), 3000).alias("slim"))
+
+
 # ---- functions and small operators -----------------------------------------------------------
 
 @query("WITH g AS (" + ORACLES["greedy_segments"] + """), t AS (SELECT g.conv_id, segment, string_agg(text, chr(10) ORDER BY c.turn) AS text, max(c.turn) AS through FROM g JOIN conversations c ON c.conv_id = g.conv_id AND c.turn = g.turn GROUP BY 1, 2)

@@ -38,6 +38,9 @@ TABLES = {
     "request_log": "id long, at timestamp, category string, route string, client string, req_bytes long, res_bytes long, ms long",
     "memory_log": "id long, at timestamp, run_id string, action string, detail string",
     "kv": "key string, value string",
+    # the index of texts (see plans/index.py)
+    "postings": "gram string, id long",
+    "sizes": "id long, size long, at timestamp",
 }
 
 DEFAULTS = {

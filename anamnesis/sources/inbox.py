@@ -52,18 +52,22 @@ def next_state(status: Column, same_hash: Column, dialogue: Column, lens: Column
     )
 
 
-def registered(files: DataFrame, entries: DataFrame, at: Column) -> DataFrame:
+def registered(files: DataFrame, entries: DataFrame, at: Column, lenses: DataFrame | None = None) -> DataFrame:
     """``files`` after entries (of ``slimmed``) were looked at, each a state further, with ``text`` where there is
-    one. A file is known by its path and entry; one that was dropped anew with another text starts again."""
+    one. A file is known by its path and entry; one that was dropped anew with another text starts again. One that
+    was skipped is taken up when it gets a lens (``path, lens``: what to look for in it)."""
     seen = entries.select(
         F.concat_ws("!", "path", "entry").alias("path"), F.sha2("text", 256).alias("_hash"), F.col("format").alias("_format"),
         F.octet_length("text").cast("long").alias("_bytes"), F.length("text").cast("long").alias("_chars"), "text",
     )
     rows = files.join(seen, "path", "full")
+    if lenses is not None:
+        rows = rows.join(lenses.select("path", F.lit(True).alias("_lens")).distinct(), "path", "left")
+    lensed = F.coalesce("_lens", F.lit(False)) if lenses is not None else F.lit(False)
     same = F.coalesce(F.col("content_hash") == F.col("_hash"), F.lit(False))
     status = F.coalesce("status", F.lit("pending"))
     begun = F.when(same, status).otherwise("pending")
-    moved = next_state(begun, F.lit(True), is_dialogue(F.col("text")), F.lit(False), F.lit(False), F.lit(None).cast("string"))
+    moved = next_state(begun, F.lit(True), is_dialogue(F.col("text")), lensed, F.lit(False), F.lit(None).cast("string"))
     here = F.col("_hash").isNotNull()
     return rows.select(
         "id", "path", F.coalesce("_hash", "content_hash").alias("content_hash"), F.coalesce("_format", "format").alias("format"),
@@ -73,15 +77,19 @@ def registered(files: DataFrame, entries: DataFrame, at: Column) -> DataFrame:
     )
 
 
-def advanced(files: DataFrame, taken: DataFrame, lens: str, at: Column) -> DataFrame:
-    """``files`` (of ``registered``) after a filter took windows up to ``through`` of a path; at a text's end it is done."""
-    rows = files.join(taken, "path", "left")
-    end = F.when(F.col("through").isNotNull(), F.least(F.col("through") + WINDOW_CHARS, F.col("slim_chars")))
-    reached = F.coalesce(end, F.col("lens_offsets")[lens]) >= F.col("slim_chars")
+def advanced(files: DataFrame, taken: DataFrame, at: Column) -> DataFrame:
+    """``files`` (of ``registered``) after a filter took windows up to ``through`` of a ``path`` by a ``lens``; when all
+    its lenses are at the text's end it is done."""
+    ends = taken.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("lens", F.col("through").cast("long")))).alias("_ends"))
+    rows = files.join(ends, "path", "left")
+    end = F.col("_ends").isNotNull()
+    passed = F.transform_values("_ends", lambda _, through: F.least(through + WINDOW_CHARS, F.col("slim_chars")))
+    kept = F.map_filter(F.coalesce("lens_offsets", F.create_map().cast("map<string,long>")), lambda lens, _: ~F.map_contains_key("_ends", lens))
+    offsets = F.when(end, F.map_concat(kept, passed)).otherwise(F.col("lens_offsets"))
+    reached = F.forall(F.map_values(offsets), lambda x: x >= F.col("slim_chars"))
     status = next_state(F.col("status"), F.lit(True), F.lit(True), F.lit(False), F.coalesce(reached, F.lit(False)), F.lit(None).cast("string"))
-    offsets = F.when(end.isNotNull(), F.create_map(F.lit(lens), end.cast("long"))).otherwise(F.col("lens_offsets"))
-    moved = F.col("status").isin("slimmed", "filtering") & end.isNotNull()
-    return rows.withColumns({"lens_offsets": offsets, "status": F.when(moved, status).otherwise(F.col("status")), "updated_at": F.when(moved, at).otherwise(F.col("updated_at"))}).drop("through", "text")
+    moved = F.col("status").isin("slimmed", "filtering") & end
+    return rows.withColumns({"lens_offsets": offsets, "status": F.when(moved, status).otherwise(F.col("status")), "updated_at": F.when(moved, at).otherwise(F.col("updated_at"))}).drop("_ends", "text")
 
 
 def kept_windows(windows: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:

@@ -174,14 +174,14 @@ def slim_record(line: str | None, agent: str | None, most: int = LINE_CHARS) ->
     return fitted(walk(record, (), lambda place, v: rule_at(place, inside)(v)), most)
 
 
-@F.pandas_udf(StringType())
-def _slimmed(lines: pd.Series, agents: pd.Series) -> pd.Series:
-    return pd.Series([slim_record(line, agent) for line, agent in zip(lines, agents)])
-
-
-def slimmed_record(line: Column, agent: Column) -> Column:
+def slimmed_record(line: Column, agent: Column, most: int = LINE_CHARS) -> Column:
     """The lines that a rule may touch go through Python, as a record's shape is free; others stay."""
-    touched = F.length(line) > LONG
+    touched = F.length(line) > min(LONG, most)
     for mark in TOUCHED:
         touched |= line.contains(f'"{mark}"')
-    return F.coalesce(_slimmed(F.when(touched, line), F.when(touched, agent)), line)
+
+    @F.pandas_udf(StringType())
+    def slimmed(lines: pd.Series, agents: pd.Series) -> pd.Series:
+        return pd.Series([slim_record(line, agent, most) for line, agent in zip(lines, agents)], dtype=object)
+
+    return F.coalesce(slimmed(F.when(touched, line), F.when(touched, agent)), line)

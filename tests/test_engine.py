@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from anamnesis import fixtures as X
 from anamnesis.engine import MemoryEngine
+from anamnesis.plans import index, recall
 from anamnesis.plans.judge import DECISIONS, ReplayJudge
 from anamnesis.sources import sinks
 
@@ -98,3 +100,24 @@ def test_probe_and_profiles(spark, tmp_path):
     found = engine.recalled("anything")
     assert [r.id for r in found.memories.collect()] == [1] and [(r.id, r.shown, len(r.gist)) for r in found.profiles.collect()] == [(2, "Dev / Git", 8), (1, "Dev", 121)]
     assert sorted((r.what, r.id, r.summary) for r in engine.probe().collect()) == [("memory", 1, "one"), ("profile", 1, "Dev"), ("profile", 2, "Dev / Git")]
+
+
+def test_the_index_finds_what_a_scan_finds(spark, sf, tmp_path):
+    now = F.lit("2024-07-01 00:00:00").cast("timestamp")
+    engine = MemoryEngine(spark, f"file://{tmp_path}/s", None, now)
+    rows = X.memories(spark, sf)
+    engine.store.commit({"memories": rows.withColumn("last_seen_at", F.col("last_seen").cast("timestamp"))})
+    store = engine.store
+    opened = lambda: index.open_index(store.read("postings"), store.read("sizes"), store.read("memories"))
+    assert opened() is None
+    engine.reindex()
+    engine.remember(summary="new", content="a wholly new text about zebras")
+    engine.remember(summary="", content="b")
+    assert opened().rows == rows.count() + 2
+    texts = [r.text[:60] for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(2).collect()]
+    for query in [*texts, "zebras", "de", "b", "nothing-like-it", ""]:
+        found = recall.fast_recall(engine.memories(), query, F.to_date(now), 8, index=opened())
+        plain = recall.fast_recall(engine.memories(), query, F.to_date(now), 8)
+        assert [(r.id, r.score) for r in found.collect()] == [(r.id, r.score) for r in plain.collect()], query
+    assert opened().narrowed(engine.memories(), ["zebras"]).count() == 1
+    assert engine.recall("zebras", 1, mode="fast", scope="all").first().content.endswith("zebras")

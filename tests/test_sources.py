@@ -274,7 +274,9 @@ def test_a_night_with_everything(spark, tmp_path):
 
     drops = spark.createDataFrame([("d/a.md", "a.md", "text", "User: hello there\nAssistant: hello, how are you\n" * 300), ("d/b.md", "b.md", "text", "no talk at all " * 20)], "path string, entry string, format string, content string")
     lines = lines_of(spark, "p", "pi", [])
-    report = dream.run(store, lines, Plan(), at, as_of, drops=drops, kept_folder=f"{tmp_path}/kept")
+    shown = []
+    report = dream.run(store, lines, Plan(), at, as_of, drops=drops, kept_folder=f"{tmp_path}/kept", on_actions=lambda actions: shown.append(actions.count()))
+    assert shown == [2]
     assert report["actions"] == 2
     after = {r.id: r for r in store.read("memories").collect()}
     assert len(after) == 23 and after[23].content == "one and two" and after[1].superseded_by == after[2].superseded_by == 23
@@ -292,8 +294,11 @@ def test_a_night_with_everything(spark, tmp_path):
     assert told[0].gist == "answer 1 on gardening" and store.read("topics").first().summary.startswith("question 1") and store.read("topics").first().summary_at == 9
     kv = {r.key: r.value for r in store.read("kv").collect()}
     assert any(k.startswith("card:default:") and json.loads(v)["card"] for k, v in kv.items())
-    again = dream.run(store, lines, RuleJudge(), at, as_of, drops=drops)
-    assert again["actions"] == 0 and store.read("profiles").count() == len(profiles)
+    lenses = spark.createDataFrame([("d/b.md!b.md", "plants"), ("d/b.md!b.md", "birds")], "path string, lens string")
+    again = dream.run(store, lines, RuleJudge(), at, as_of, drops=drops, lenses=lenses)
+    revived = store.read("inbox_files").where("path = 'd/b.md!b.md'").first()
+    assert again["actions"] == 1 and (revived.status, sorted(revived.lens_offsets)) == ("done", ["birds", "plants"])
+    assert store.read("profiles").count() >= len(profiles)
     with store.locked(), pytest.raises(RuntimeError, match="lock"):
         dream.run(store, lines, RuleJudge(), at, as_of)
 
