@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Whether Spark deletes an action's shuffles when it is done, and not only when the driver's memory runs low.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's sources to the workers, once per application.
 
-    Spark serves the archive from the driver, so no folder has to be shared.
+    Spark serves the archive from the driver, so no folder has to be shared. What several actions use is
+    checkpointed, so shuffles aren't kept beyond an action.
     """
     context = spark.sparkContext
+    spark.conf.set(CLEAN_UP, "true")
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         folder = Path(tempfile.mkdtemp(prefix="anamnesis-"))  # code alone, and Spark serves it
