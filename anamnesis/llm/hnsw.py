@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm.common import bounded, durable, pick
 
-SHARD_ROWS, SHARD_BYTES = 16_384, 96 << 20
+SHARD_ROWS, SHARD_BYTES = 32_768, 96 << 20
 QUERY_BLOCK = 2048
 LINKS = 16
 EF_BUILD = 80
-EF_SEARCH = 96
+EF_SEARCH = 200
 
 
 class Graph:
