@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.deploy import durable, ship
 
-__all__ = ["bounded", "durable", "map_rows", "pick", "release", "ship", "table", "to_batch"]
+__all__ = ["bounded", "durable", "map_rows", "pick", "release", "settle", "ship", "table", "to_batch"]
 
 #: Output rows are handed to Spark in batches of about this many bytes.
 FLUSH_BYTES = 4 << 20
@@ -43,14 +44,24 @@ def bounded(spark: SparkSession) -> SparkSession:
 
 
 def release() -> None:
-    """Give memory that a task has freed back to the system; workers live longer than tasks."""
+    """Give memory that a task has freed back to the system; workers live longer than tasks. Arrow's memory
+    is taken from the system's allocator from then on, as others keep what was freed."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass  # another C library
 
 
+def settle(spark: SparkSession) -> None:
+    """Let executors drop broadcasts of what is done. Spark tells them when the driver's garbage is collected, for
+    which it has a timer of half an hour; a pipeline's stages come faster."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_rows(
     df: DataFrame,
     schema: str,

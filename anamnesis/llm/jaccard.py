@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import durable, map_rows, pick, release
+from anamnesis.llm.common import durable, map_rows, pick, release, settle
 from anamnesis.llm.components import components
 
 WORDS = 5
@@ -57,7 +57,7 @@ BLOCK = 1024
 MOST_BROADCAST = 200_000
 WORDS_REMEMBERED = 250_000
 #: Elements hashed at once.
-CHUNK = 16_384
+CHUNK = 8_192
 
 _find_words = re.compile(r"\w+").findall
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -357,6 +357,7 @@ def jaccard_classes(
     """One row per row of ``docs``: ``doc_id``, ``text_hash`` (xxhash64 of the text), ``copy_id`` (the
     smallest id of those with an equal element set), ``class_id`` (the smallest id of the connected
     class) and ``n_links`` (how many other rows are at least so similar)."""
+    settle(docs.sparkSession)
     k = least_depth(threshold, TREES, TARGET_RECALL, LEVELS)
     texts = (
         pick(docs, id_col, text_col)

@@ -10,8 +10,8 @@ whatever language; it doesn't depend on how many languages were learned.
 
 A word is a run of letters and the marks on them. Training counts n-grams over a sample of
 labelled rows, at most about ``MAX_DOCS`` (chosen by a hash of the id), and keeps each language's
-``MAX_GRAMS`` most frequent, so the model that is collected and broadcast is bounded by the
-number of languages. Prediction runs in step over a batch's texts: at each position one array
+``MAX_GRAMS`` most frequent (of those that are as frequent as the last one, none if not all fit),
+so the model that is collected and broadcast is bounded by the number of languages. Prediction runs in step over a batch's texts: at each position one array
 operation serves all texts that are so long.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; letters of
@@ -32,11 +32,11 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bpe import char_class
-from anamnesis.llm.common import bounded, map_rows, pick, release
+from anamnesis.llm.common import bounded, durable, map_rows, pick, release, settle
 
 MAX_DOCS = 6_000
 MAX_GRAMS = 50_000
@@ -281,6 +281,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS) -> LanguageModel:
     """Learn from the rows of ``docs`` (``doc_id, text, lang``) that aren't held out."""
+    settle(docs.sparkSession)
     rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     n = rows.select("lang").count()
     share = min(1.0, max_docs / max(n, 1))
@@ -307,8 +308,16 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS)
         count,
     )
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    most = counts.where("n >= 2").withColumn("place", place).where(F.col("place") <= max_grams)
+    counts = durable(counts.where("n >= 2"))
+    # how often an n-gram must occur in a language for at most max_grams to do so
+    least: dict[str, int] = {}
+    kept: Counter = Counter()
+    for lang, n, grams_ in sorted(counts.groupBy("lang", "n").agg(F.count("*")).collect(), key=lambda r: (r[0], -r[1])):
+        kept[lang] += grams_
+        if kept[lang] <= max_grams:
+            least[lang] = n
+    borders = docs.sparkSession.createDataFrame([*least.items()], "lang string, least long")
+    most = counts.join(F.broadcast(borders), "lang").where("n >= least")
     return build(most.select("lang", "gram", "n").collect())
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bpe import WordBpe, read_vocabulary
-from anamnesis.llm.common import durable, map_rows, pick
+from anamnesis.llm.common import durable, map_rows, pick, settle
 
 CAPACITY = 2048
 END_ID = 0
@@ -200,4 +200,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slack:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, **names: str) -> DataFrame:
     """All documents, packed: a row per piece with ``sequence_id`` and ``offset``."""
+    settle(docs.sparkSession)
     return pack(durable(cut(docs, path, capacity, **names)), capacity)

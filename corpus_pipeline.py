@@ -18,8 +18,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.deploy import shared_folder, ship
-from anamnesis.llm.jaccard import jaccard_classes
+from anamnesis.deploy import durable, shared_folder, ship
+from anamnesis.llm.jaccard import jaccard_classes, small
 from anamnesis.llm.langid import keep_identified, train
 from anamnesis.llm.packing import pack_documents
 from anamnesis.llm.pii import pseudonymise
@@ -44,16 +44,24 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each class of near duplicates the document with the smallest id; of rows without an id,
     one of each text."""
     ship(spark)
-    classes = jaccard_classes(docs)
-    nameless = F.when(F.col("class_id").isNull(), F.col("text_hash"))
+    classes = durable(jaccard_classes(docs))
+    nameless = F.when(F.col("class_id").isNull(), F.col("text_hash")).alias("nameless")
+    named = classes.select("doc_id", "text_hash", "class_id", nameless)
     head = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("head")
-    heads = classes.groupBy("class_id", nameless).agg(head).select("head.doc_id", "head.text_hash").toDF("_head", "_mark")
+    heads = named.groupBy("class_id", "nameless").agg(head).select(F.col("class_id").alias("_class"), F.col("nameless").alias("_nameless"), "head")
+    marked = named.join(heads, F.col("class_id").eqNullSafe(F.col("_class")) & F.col("nameless").eqNullSafe(F.col("_nameless")))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    # few rows go and few come twice, so the others' texts stay where they are
+    keys = marked.groupBy("doc_id", "text_hash").agg(F.max(is_head).alias("kept"), F.count("*").alias("n"))
+    keys = durable(keys.where("NOT kept OR n > 1").toDF("_id", "_mark", "_kept", "_n"))
     places = [f"_c{i}" for i in range(len(docs.columns))]  # names may clash
     rows = docs.toDF(*places)
     own, text = places[docs.columns.index("doc_id")], places[docs.columns.index("text")]
     keyed = rows.withColumn("_hash", F.xxhash64(text))
-    kept = keyed.join(heads, F.col(own).eqNullSafe(F.col("_head")) & (F.col("_hash") == F.col("_mark")))
-    return kept.dropDuplicates([own, "_hash"]).select(*places).toDF(*docs.columns)
+    same = F.col(own).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark"))
+    once = keyed.join(small(keys), same, "left_anti").select(*places)
+    twice = keyed.join(small(keys.where("_kept")), same, "left_semi").dropDuplicates([own, "_hash"]).select(*places)
+    return once.unionByName(twice).toDF(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from anamnesis.llm import components as components_module
 from anamnesis.llm import hnsw, jaccard, packing, sharding
 from anamnesis.llm.components import components
 from anamnesis.llm.q_sharding import op9_lpt_shards
@@ -264,7 +265,10 @@ def test_subtrees_are_connected_as_by_all_pairs(seed):
     assert {frozenset(i for i in range(80) if find(i) == r) for r in map(find, range(80))} == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [0, 5, 1000])
+def test_components(spark, monkeypatch, hot):
+    """No node is hot, some are, or all."""
+    monkeypatch.setattr(components_module, "HOT", hot)
     r = random.Random(3)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(5, 5)]
     root = {}
@@ -294,7 +298,7 @@ def exact(ids, vectors, query, own, k):
     return [(int(ids[j]), float(scores[j])) for j in order[:k]]
 
 
-@pytest.mark.parametrize("shard,size", [(16_384, 96 << 20), (700, 96 << 20), (16_384, 64 << 10)])
+@pytest.mark.parametrize("shard,size", [(32_768, 96 << 20), (700, 96 << 20), (32_768, 64 << 10)])
 def test_neighbours_recall(spark, monkeypatch, shard, size):
     monkeypatch.setattr(hnsw, "SHARD_ROWS", shard)
     monkeypatch.setattr(hnsw, "SHARD_BYTES", size)
@@ -341,7 +345,7 @@ def test_neighbours_are_scored_in_double_precision(spark):
 
 
 def test_shards_grow_with_the_table():
-    assert [hnsw.shards_for(n, 64, 6) for n in (0, 500, 10_256, 51_282, 600_000)] == [1, 1, 1, 4, 6]
+    assert [hnsw.shards_for(n, 64, 6) for n in (0, 500, 10_256, 51_282, 600_000)] == [1, 1, 1, 2, 6]
     assert hnsw.shards_for(10**9, 64, 6) * hnsw.SHARD_BYTES >= 10**9 * (8 * 64 + 8 * hnsw.LINKS) and hnsw.shards_for(10**9, 64, 6) < 10**9 / 100_000
 
 

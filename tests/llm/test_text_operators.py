@@ -409,6 +409,13 @@ def test_ties_go_to_the_first_name():
     assert model.label(["same words"])[0][0] == "a"
 
 
+def test_each_language_keeps_its_most_frequent_grams(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model, few = langid.train(docs), langid.train(docs, max_grams=300)
+    assert sorted(few.langs) == sorted(model.langs) and len(few.words) < len(model.words)
+    assert sum(len(keys) for keys, _ in few.rare) + sum(int((t[:, :-1] > t[:, :-1].min(axis=0)).any(axis=1).sum()) for t in few.tables) <= 300 * len(few.langs)
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
