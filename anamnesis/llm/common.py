@@ -46,7 +46,6 @@ def bounded(spark: SparkSession) -> SparkSession:
 def release() -> None:
     """Give memory that a task has freed back to the system; workers live longer than tasks. Arrow's memory
     is taken from the system's allocator from then on, as others keep what was freed."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     pa.set_memory_pool(pa.system_memory_pool())
     try:
