@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from anamnesis.llm.q_alignment import op11_tokenizer_alignment
 from anamnesis.llm.q_bpe import op2_bpe_round_trip
 from anamnesis.llm.q_extraction import op5_main_text
 from anamnesis.llm.q_hnsw import ORACLE as NEIGHBOURS_SQL
@@ -29,6 +30,7 @@ QUERIES = {
         op8_ngram_jaccard,
         op9_lpt_shards,
         op10_hnsw_neighbours,
+        op11_tokenizer_alignment,
     )
 }
 ORACLES: dict[str, str] = {"op8_ngram_jaccard": JACCARD_SQL, "op9_lpt_shards": SHARDS_SQL, "op10_hnsw_neighbours": NEIGHBOURS_SQL}
