@@ -13,6 +13,7 @@ from anamnesis.llm.q_langid import op7_language_id
 from anamnesis.llm.q_media import op3_media_fingerprints
 from anamnesis.llm.q_packing import op4_best_fit_packing
 from anamnesis.llm.q_pii import op1_pii_pseudonyms
+from anamnesis.llm.q_retrieval_packing import op12_retrieval_packing
 from anamnesis.llm.q_secrets import op6_secret_scan
 from anamnesis.llm.q_sharding import ORACLE as SHARDS_SQL
 from anamnesis.llm.q_sharding import op9_lpt_shards
@@ -31,6 +32,7 @@ QUERIES = {
         op9_lpt_shards,
         op10_hnsw_neighbours,
         op11_tokenizer_alignment,
+        op12_retrieval_packing,
     )
 }
 ORACLES: dict[str, str] = {"op8_ngram_jaccard": JACCARD_SQL, "op9_lpt_shards": SHARDS_SQL, "op10_hnsw_neighbours": NEIGHBOURS_SQL}
