@@ -48,6 +48,9 @@ COMPOSABLE = (
     r"\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}-\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{10000}-\x{10FFFF}]"
 )
 
+#: Characters before these are composed already.
+BEYOND_LATIN = r"[^\x{0}-\x{2FF}]"
+
 
 @F.pandas_udf(StringType())
 def _composed(values: pd.Series) -> pd.Series:
@@ -56,8 +59,9 @@ def _composed(values: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """Canonical composition. Spark has no built-in function for it, so the few texts that it can change go
-    through Python."""
-    return F.coalesce(_composed(F.when(text.rlike(COMPOSABLE), text)), text)
+    through Python. Cheap tests come first: most texts are ASCII, and most others have no mark or later letter."""
+    changes = (F.octet_length(text) != F.length(text)) & text.rlike(BEYOND_LATIN) & text.rlike(COMPOSABLE)
+    return F.coalesce(_composed(F.when(changes, text)), text)
 
 
 def digest(content: Column) -> Column:
