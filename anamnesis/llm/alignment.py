@@ -23,9 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from itertools import accumulate
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bpe import MAX_VOCABULARY_BYTES, read_vocabulary
-from anamnesis.llm.chunks import ByteLevel, Remembered, SafePieces, in_parts
+from anamnesis.llm.chunks import SPACE_MARK, ByteLevel, Remembered, SafePieces, in_parts
 from anamnesis.llm.common import bounded, durable, pick, release, settle
 
 #: Pairs of ids that are broadcast at most, those in most documents first.
 BROADCAST_PAIRS = 1_000_000
 #: A pair of ids is one number: the A id times this and the B id.
 STEP = 1 << 15
+#: Links of a group above which they are counted by distinct ids.
+LARGE_GROUP = 1 << 14
 #: Output goes out after about this many bytes.
 FLUSH_BYTES = 8 << 20
 
@@ -48,65 +49,110 @@ spans = re.compile(b"[^\x03]*\x03", re.DOTALL).finditer
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+class Part(NamedTuple):
+    """A part's groups as text, its linked pairs as bytes of integers, how often each is linked if that isn't once, and
+    counts of A and B tokens, groups and links."""
+
+    groups: str
+    pairs: bytes
+    times: np.ndarray | None
+    counts: tuple[int, int, int, int]
+
+
 class Aligner:
     def __init__(self, byte_level: str, pieces: bytes):
         self.a, self.b = ByteLevel(byte_level), SafePieces(pieces)
         if len(self.b.bytes) > STEP or self.a.size * STEP >= 1 << 31:
             raise ValueError("the vocabularies are too large for pairs of ids in 32 bits")
+        # what stands in a digest for an A id within a group and at its end, then for a B id
+        self.shown = [f"{i}{c}" for size, ends in ((self.a.size, ",|"), (len(self.b.bytes), ",;")) for c in ends for i in range(size)]
         self.known = Remembered(self._learn)
 
-    def _learn(self, parts: list[str]) -> list[tuple | None]:
-        """For each part None if bytes differ, else its groups as text, its pairs and how often each is
-        linked as bytes of integers, and the four counts."""
-        all_a, all_b = self.a.encode(parts), self.b.encode(parts)
-        return [self._align(p.encode(), a, b) for p, a, b in zip(parts, all_a, all_b)]
-
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        a_bytes, b_bytes = [self.a.bytes[i] for i in a], [self.b.bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
-        labels = bytearray(len(raw))
-        for end in accumulate(map(len, a_bytes)):
-            labels[end - 1] = A_END
-        for end in accumulate(map(len, b_bytes)):
-            labels[end - 1] |= B_END
-        texts, links, at_a, at_b, n = [], Counter(), 0, 0, 0
-        for span in spans(labels):
-            labels_here = span[0]
-            n_a, n_b = labels_here.count(b"\x01") + 1, labels_here.count(b"\x02") + 1
-            mine_a, mine_b = a[at_a : at_a + n_a], b[at_b : at_b + n_b]
-            at_a, at_b, n = at_a + n_a, at_b + n_b, n + n_a * n_b
-            texts.append(f"{','.join(map(str, mine_a))}|{','.join(map(str, mine_b))}")
-            if n_a == n_b == 1:
-                links[mine_a[0] * STEP + mine_b[0]] += 1
-                continue
-            of_b = Counter(mine_b)
-            for i, k in Counter(mine_a).items():
-                for j, m in of_b.items():
-                    links[i * STEP + j] += k * m
-        pairs, times = np.array([*links], np.int32), np.array([*links.values()], np.int64)
-        return ";".join(texts), pairs.tobytes(), times.tobytes(), (len(a), len(b), len(texts), n)
+    def _learn(self, parts: list[str]) -> list[Part | None]:
+        """What is known of each part; None if the tokens' bytes differ from it."""
+        plain = [p for p in parts if SPACE_MARK not in p]  # a mark of its own comes back as a space
+        try:
+            found = self._aligned(plain)
+        except ValueError:
+            found = []
+            for part in plain:
+                try:
+                    found += self._aligned([part])
+                except ValueError:
+                    found.append(None)
+        known = dict(zip(plain, found, strict=True))
+        return [known.get(p) for p in parts]
+
+    def _aligned(self, parts: list[str]) -> list[Part]:
+        if not parts:
+            return []
+        (a, part_a), (b, part_b) = self.a.flat(parts), self.b.flat(parts)
+        ends_a, ends_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
+        labels = np.zeros(ends_a[-1], np.uint8)
+        labels[ends_a - 1] = A_END
+        labels[ends_b - 1] |= B_END
+        # a span's tokens are those that end in it: labels counted from one span's end to the next
+        ends = np.fromiter((m.end() for m in spans(labels.tobytes())), np.int64)
+        to_a, to_b = np.cumsum(labels & A_END > 0, dtype=np.int64)[ends - 1], np.cumsum(labels & B_END > 0, dtype=np.int64)[ends - 1]
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        from_a, from_b = to_a - n_a, to_b - n_b
+        part_group = np.searchsorted(to_a, part_a) + 1
+        # digests: A's ids of a group, then B's
+        size_a, size_b = self.a.size, len(self.b.bytes)
+        codes = np.empty(len(a) + len(b), np.int64)
+        a_last, b_last = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_last[to_a - 1], b_last[to_b - 1] = size_a, size_b
+        codes[np.arange(len(a)) + np.repeat(from_b, n_a)] = a + a_last
+        codes[np.arange(len(b)) + np.repeat(to_a, n_b)] = b + b_last + 2 * size_a
+        shown = [self.shown[c] for c in codes.tolist()]
+        # links: all pairs of a group's ids; those of a very large one are counted by distinct ids
+        links = n_a * n_b
+        large = np.flatnonzero(links > LARGE_GROUP)
+        listed = np.where(links > LARGE_GROUP, 0, links)
+        within = np.arange(listed.sum()) - np.repeat(np.cumsum(listed) - listed, listed)
+        width = np.repeat(n_b, listed)
+        pairs = (a[np.repeat(from_a, listed) + within // width] * STEP + b[np.repeat(from_b, listed) + within % width]).astype(np.int32).tobytes()
+        total, all_links = [0, *(4 * np.cumsum(listed)).tolist()], [0, *np.cumsum(links).tolist()]
+        out, last, last_a, last_b, last_large = [], 0, 0, 0, 0
+        for end, end_a, end_b, end_large in zip(part_group.tolist(), part_a.tolist(), part_b.tolist(), np.searchsorted(large, part_group).tolist()):
+            counts = end_a - last_a, end_b - last_b, end - last, all_links[end] - all_links[last]
+            mine, times = pairs[total[last] : total[end]], None
+            for g in large[last_large:end_large].tolist():
+                ids_a, often_a = np.unique(a[from_a[g] : to_a[g]], return_counts=True)
+                ids_b, often_b = np.unique(b[from_b[g] : to_b[g]], return_counts=True)
+                times = np.ones(len(mine) // 4, np.int64) if times is None else times
+                mine += (ids_a[:, None] * STEP + ids_b).astype(np.int32).tobytes()
+                times = np.concatenate([times, (often_a[:, None] * often_b).ravel()])
+            out.append(Part("".join(shown[last_a + last_b : end_a + end_b]), mine, times, counts))
+            last, last_a, last_b, last_large = end, end_a, end_b, end_large
+        return out
 
     def align_all(self, texts: list[str]):
         """For each text None, or its four counts, the digest of its groups, and its pairs with how often
         each is linked."""
         for parts, numbers in in_parts(texts, " "):
             found = self.known(parts)
+            bad = np.array([p is None for p in found])
+            odd = np.array([p is not None and p.times is not None for p in found])
+            counts = np.array([p.counts if p else (0,) * 4 for p in found])
             for mine in numbers:
-                if any(found[k] is None for k in np.unique(mine).tolist()):
+                if bad[mine].any():
                     yield None
                     continue
-                digest = hashlib.sha256(";".join([found[k][0] for k in mine.tolist()]).encode())
-                which, often = np.unique(mine, return_counts=True)
-                rows = [found[k] for k in which.tolist()]
-                counts = often @ np.array([r[3] for r in rows])
-                flat = np.frombuffer(b"".join([r[1] for r in rows]), np.int32)
-                sizes = np.array([len(r[1]) // 4 for r in rows])
-                times = np.frombuffer(b"".join([r[2] for r in rows]), np.int64) * np.repeat(often, sizes)
-                order = np.argsort(flat, kind="stable")
-                flat, times = flat[order], times[order]
-                first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-                yield counts.tolist(), digest.hexdigest(), flat[first], np.add.reduceat(times, first)
+                here = [found[k] for k in mine.tolist()]
+                digest = hashlib.sha256("".join([p.groups for p in here])[:-1].encode())
+                flat = np.frombuffer(b"".join([p.pairs for p in here]), np.int32)
+                if odd[mine].any():
+                    times = np.concatenate([np.ones(len(p.pairs) // 4, np.int64) if p.times is None else p.times for p in here])
+                    order = np.argsort(flat, kind="stable")
+                    flat, times = flat[order], times[order]
+                    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                    often = np.add.reduceat(times, first)
+                else:
+                    flat = np.sort(flat)
+                    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                    often = np.diff(first, append=len(flat))
+                yield counts[mine].sum(axis=0).tolist(), digest.hexdigest(), flat[first], often
 
 
 _built: dict[int, Aligner] = {}

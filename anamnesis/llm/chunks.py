@@ -11,6 +11,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ ONCE = 300_000
 #: Longer parts aren't remembered.
 LONG = 64
 BLOCK_CHARS = 6_000_000
+#: Parts are encoded so many characters at a time.
+RUN_CHARS = 10_000
 
 cut_places = re.compile(r"(?<=\S) (?=[\s\S])").finditer
 
@@ -89,7 +92,39 @@ class Remembered:
         self.once = {}
 
 
-class ByteLevel:
+def joined(parts: list[str]) -> list[str]:
+    """Parts put together where they may be cut again: each begins with a space, after one that ends without."""
+    out, run, size, open_ = [], [], 0, False
+    for part in parts:
+        if run and (size >= RUN_CHARS or not open_ or part[0] != " "):
+            out.append("".join(run))
+            run, size = [], 0
+        run.append(part)
+        size += len(part)
+        open_ = not part[-1].isspace()
+    return [*out, "".join(run)] if run else out
+
+
+class Vocabulary:
+    """The bytes of each id, and what encodes texts into lists of ids."""
+
+    bytes: list[bytes]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def flat(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, which aren't empty, and how many have come by the end of each part. Fails with a
+        ``ValueError`` if the ids' bytes aren't those of the parts."""
+        lists = self.encode(joined(parts))
+        ids = np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+        if b"".join([self.bytes[i] for i in ids.tolist()]) != "".join(parts).encode():
+            raise ValueError("other bytes")
+        sizes = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in parts), np.int64, len(parts))
+        return ids, np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+
+
+class ByteLevel(Vocabulary):
     """A byte-level vocabulary; strings of special tokens inside texts are plain text."""
 
     def __init__(self, text: str):
@@ -103,11 +138,12 @@ class ByteLevel:
         shown = {c: b for b, c in enumerate(_shown_bytes())}
         self.bytes = [b""] * self.size
         for token, i in spec["model"]["vocab"].items():
-            self.bytes[i] = bytes(shown[c] for c in token)
+            if all(c in shown for c in token):
+                self.bytes[i] = bytes(shown[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _shown_bytes() -> list[str]:
@@ -121,7 +157,7 @@ def _shown_bytes() -> list[str]:
 SPACE_MARK = "▁"
 
 
-class SafePieces:
+class SafePieces(Vocabulary):
     """A vocabulary of pieces with byte fallback that adds a space before a text."""
 
     def __init__(self, model: bytes):
@@ -139,6 +175,6 @@ class SafePieces:
                 self.bytes.append(piece.replace(SPACE_MARK, " ").encode())
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        """Each part begins with the space that the vocabulary adds."""
-        return self.library.encode([p[1:] for p in parts], num_threads=1)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Each text begins with the space that the vocabulary adds."""
+        return self.library.encode([t[1:] for t in texts], num_threads=1)

@@ -54,7 +54,14 @@ class Encoder:
         self.size = self.byte_level.size
         if self.size > 1 << 16:
             raise ValueError("ids don't fit 16 bits")
-        self.known = Remembered(lambda parts: [np.array(i, np.uint16).tobytes() for i in self.byte_level.encode(parts)])
+        self.known = Remembered(self._learn)
+
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        full = [p for p in parts if p]
+        ids, ends = self.byte_level.flat(full)
+        raw, ends = ids.astype(np.uint16).tobytes(), [0, *(2 * ends).tolist()]
+        known = {p: raw[a:b] for p, a, b in zip(full, ends, ends[1:])}
+        return [known.get(p, b"") for p in parts]
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         for parts, numbers in in_parts(texts):

@@ -4,6 +4,7 @@ import hashlib
 import json
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -76,6 +77,16 @@ def test_equal_to_a_plain_version(spark, limit):
     assert [tuple(r) for r in got] == plain(HARD)
 
 
+def test_groups_counted_by_distinct_ids():
+    with pytest.MonkeyPatch.context() as patch:
+        aligner = alignment.Aligner(open(A_PATH).read(), open(B_PATH, "rb").read())
+        texts = [t for t in HARD if t]
+        usual = [f and (f[0], f[1], f[2].tolist(), f[3].tolist()) for f in aligner.align_all(texts)]
+        patch.setattr(alignment, "LARGE_GROUP", 0)
+        aligner.known = alignment.Remembered(aligner._learn)
+        assert [f and (f[0], f[1], f[2].tolist(), f[3].tolist()) for f in aligner.align_all(texts)] == usual
+
+
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(rows, A_PATH, B_PATH).count() == 0
@@ -93,10 +104,12 @@ def test_parts_are_encoded_as_whole_texts_are(texts):
         for parts, numbers in in_parts(texts, lead):
             assert ["".join(parts[k] for k in mine) for mine in numbers] == [lead + t for t in texts]
             for text, mine in zip(texts, numbers):
-                ids = [i for k in mine for i in a.encode([parts[k]])[0]]
-                assert ids == A.encode(lead + text, add_special_tokens=False).ids
+                mine = [parts[k] for k in mine if parts[k]]
+                ids, ends = a.flat(mine)
+                assert ids.tolist() == A.encode(lead + text, add_special_tokens=False).ids
+                assert [b"".join(a.bytes[i] for i in part.tolist()).decode() for part in np.split(ids, ends)[:-1]] == mine
                 if lead and text:
-                    assert [i for k in mine for i in b.encode([parts[k]])[0]] == B.encode(text)
+                    assert b.flat(mine)[0].tolist() == B.encode(text)
 
 
 _made: list = []
