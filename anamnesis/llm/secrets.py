@@ -25,7 +25,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -173,52 +173,82 @@ def _is_packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2]) % 31 == 0)
 
 
-def _members(source: Iterator[bytes], rest: list[bytes]) -> Iterator[bytes]:
-    """What all members of packed data hold, in pieces; ``rest`` gets what was read beyond them
-    or couldn't be unpacked, and goes before what ``source`` still has."""
-    data = b""
-    while True:
-        while len(data) < 2 and (more := next(source, None)) is not None:
-            data += more
-        if not _is_packed(data):
-            break
-        unpack, begun = zlib.decompressobj(47), data
-        try:
-            while not unpack.eof:
-                if piece := unpack.decompress(data, PIECE):
-                    yield piece
-                    begun = b""
-                data = unpack.unconsumed_tail
-                if not data and not piece and not unpack.eof:
-                    data = next(source, b"")
-                    if not data:  # it breaks off
-                        rest.append(begun)
-                        return
-                    begun = begun and begun + data
-        except zlib.error:
-            data = begun or data
-            break
-        data = unpack.unused_data
-    rest.append(data)
-
-
-def _unpacked(source: Iterator[bytes], path: str, met: frozenset[bytes] = frozenset()) -> Iterator[tuple[Iterator[bytes], str]]:
+class _Packing:
+    """A layer of bytes on the way through the worklist: undecided, packed (then ``unpack`` is the member at hand,
+    or None between two), or plain (then it has a number)."""
+
+    __slots__ = ("begun", "first", "head", "number", "packed", "tail", "unpack")
+
+    def __init__(self):
+        self.head, self.first, self.number, self.packed, self.unpack, self.begun, self.tail = b"", b"", 0, False, None, b"", b""
+
+
+def _unpacked(source: Iterator[bytes], path: str) -> Iterator[tuple[Iterator[bytes], str]]:
     """The streams of bytes that aren't packed any more, each to be read before the next, with their paths."""
-    head = b""
-    while len(head) < 2 and (more := next(source, None)) is not None:
-        head += more
-    if not _is_packed(head) or head in met:  # met: it holds itself
-        yield chain([head], source), path
-        return
-    rest: list[bytes] = []
-    inner = _members(chain([head], source), rest)
-    if (first := next(inner, None)) is not None:
-        # pieces of the same size as those met, so that data that holds itself is known by its beginning
-        yield from _unpacked(chain(_cut(first), inner), f"{path}>compressed", met | {head})
-        for _ in inner:
-            pass
-    if rest and rest[0]:
-        yield chain(rest, source), path
+    for (_, depth), pieces in groupby(_plain(source), key=lambda piece: piece[:2]):
+        yield (raw for _, _, raw in pieces), path + ">compressed" * depth
+
+
+def _plain(source: Iterator[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """Pieces as (number of their stream, depth, bytes). A worklist of (depth, piece or None at its end): a layer's output
+    goes on the list for the layer below it, so any number of layers is unpacked without recursion. A layer that
+    begins like one above it holds itself and is left packed. All members of a layer give one layer below; what
+    follows them, or can't be unpacked, is a stream of its own after it."""
+    layers, met, numbers = [_Packing()], set(), count(1)
+    for given in chain(source, [None]):
+        work = [(0, given)]
+        while work:
+            depth, piece = work.pop()
+            layer = layers[depth]
+            if layer.number:
+                if piece:
+                    yield layer.number, depth, piece
+                continue
+            if not layer.packed:
+                layer.head += piece or b""
+                if piece is not None and len(layer.head) < PACKED:
+                    continue
+                # beginnings of the same size, so that data that holds itself is known by its own
+                first, head, layer.head = hashlib.sha256(layer.head[:PACKED]).digest(), layer.head, b""
+                work += [(depth, None)] * (piece is None) + [(depth, head)]
+                if _is_packed(head) and first not in met:
+                    met.add(first)
+                    layers.append(_Packing())
+                    layer.packed, layer.unpack, layer.begun = True, zlib.decompressobj(47), b""
+                else:
+                    layer.number = next(numbers)
+                continue
+            if piece is None:  # a member that breaks off without a result is shown as it is
+                rest, layer.unpack, layer.number = layer.begun if layer.unpack else layer.tail, None, next(numbers)
+                work += [(depth, rest), (depth + 1, None)]
+                continue
+            data, layer.tail = layer.tail + piece, b""
+            if layer.unpack is None:
+                if len(data) < 2:
+                    layer.tail = data
+                    continue
+                if not _is_packed(data):
+                    layer.number = next(numbers)
+                    work += [(depth, data), (depth + 1, None)]
+                    continue
+                layer.unpack, layer.begun = zlib.decompressobj(47), b""
+            try:
+                out = layer.unpack.decompress(data, PIECE)
+            except zlib.error:
+                layer.unpack, layer.number = None, next(numbers)
+                work += [(depth, data if layer.begun is None else layer.begun + data), (depth + 1, None)]
+                continue
+            more = layer.unpack.unconsumed_tail
+            if layer.unpack.eof:
+                more, layer.unpack = layer.unpack.unused_data, None
+            if out:
+                layer.begun = None
+            elif layer.begun is not None:
+                layer.begun += data[: len(data) - len(more)]
+            if more or (out and layer.unpack):
+                work.append((depth, more))
+            if out:
+                work.append((depth + 1, out))
 
 
 def _cut(raw: bytes) -> Iterator[bytes]:
