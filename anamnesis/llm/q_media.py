@@ -11,9 +11,8 @@ from anamnesis.llm.media import media_columns
 
 
 def op3_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media_columns(table(spark, sf_dir, "documents"))
-    # two hashes over the array itself; as text it would take several times its memory
-    digest = [F.lower(F.hex(F.xxhash64(*seed, "pairs"))) for seed in ([], [F.lit(1)])]
+    # the last part has the sound and the digest of all pairs
+    out = media_columns(table(spark, sf_dir, "documents")).where("last")
     return out.select(
         "doc_id",
         "n_bytes",
@@ -22,5 +21,5 @@ def op3_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.lit("pairs"), F.size("pairs"), *digest).alias("feature"),
+        F.concat_ws(":", F.lit("pairs"), "n_pairs", "pairs_sha256").alias("feature"),
     )
