@@ -8,11 +8,11 @@ prediction is the language of most letters; its score is that language's share o
 letters. A text's fit is the share of its letters whose n-gram of three was met in training, in
 whatever language; it doesn't depend on how many languages were learned.
 
-A word is a run of letters and the marks on them. Training counts n-grams over a sample of
-labelled rows, at most about ``MAX_DOCS`` (chosen by a hash of the id), and keeps each language's
-``MAX_GRAMS`` most frequent (of those that are as frequent as the last one, none if not all fit),
-so the model that is collected and broadcast is bounded by the number of languages. Prediction runs in step over a batch's texts: at each position one array
-operation serves all texts that are so long.
+A word is a run of letters of one script and the marks on them, so that texts without spaces fall apart where the
+script changes. Training counts n-grams over a sample of labelled rows, chosen by a hash of the id: of each language
+at most about its share of ``MAX_DOCS`` rows and of ``MAX_CHARS`` characters, so that rare languages are learned too.
+All n-grams that occur twice in a language's sample are kept; the sample bounds the model that is collected and broadcast.
+Prediction runs in step over a batch's texts: at each position one array operation serves all texts that are so long.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; letters of
 scripts that were not learned count against the score, and a text with no others gets the
@@ -36,10 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.llm.bpe import char_class
-from anamnesis.llm.common import bounded, durable, map_rows, pick, release, settle
+from anamnesis.llm.common import bounded, map_rows, pick, release, settle
 
-MAX_DOCS = 6_000
-MAX_GRAMS = 50_000
+#: Labelled rows to train on, and their characters; each language has an equal share.
+MAX_DOCS, MAX_CHARS = 6_000, 16_000_000
 ORDERS = (1, 2, 3)
 SWITCH_PENALTY = 6.0
 #: A word's log-likelihood ratio counts up to here.
@@ -71,15 +71,29 @@ SCRIPT_STARTS = [
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 _starts = [s for s, _ in SCRIPT_STARTS]
 _script_of_block = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
-_words = re.compile(f"[{char_class('L')}][{char_class('L')}{char_class('M')}]*")
-_find_words, _each_word = _words.findall, _words.finditer
 
 
 def script_of(word: str) -> str:
-    """The script of a word's first letter."""
+    """The script of a word's letters."""
     return SCRIPT_STARTS[bisect_right(_starts, ord(word[0])) - 1][1]
 
 
+def _word_pattern() -> re.Pattern[str]:
+    """Letters of one script, and any marks on them."""
+    letters = re.compile(f"[{char_class('L')}]+")
+    ends = [*_starts[1:], 0x110000]
+    own: dict[str, list[str]] = {}
+    for (start, name), end in zip(SCRIPT_STARTS, ends):
+        block = "".join(map(chr, (i for i in range(start, end) if not 0xD800 <= i < 0xE000)))
+        own.setdefault(name, []).extend(f"\\U{ord(m[0][0]):08x}-\\U{ord(m[0][-1]):08x}" for m in letters.finditer(block))
+    marks = char_class("M")
+    return re.compile("|".join(f"[{''.join(ranges)}][{''.join(ranges)}{marks}]*" for ranges in own.values()))
+
+
+_words = _word_pattern()
+_find_words, _each_word = _words.findall, _words.finditer
+
+
 def grams(word: str) -> list[str]:
     """A lower-case word's n-grams with its ends marked, and the word itself."""
     marked = f"<{word}>"
@@ -279,13 +293,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS) -> LanguageModel:
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> LanguageModel:
     """Learn from the rows of ``docs`` (``doc_id, text, lang``) that aren't held out."""
     settle(docs.sparkSession)
     rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    n = rows.select("lang").count()
-    share = min(1.0, max_docs / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).collect()  # a row per language
+    share = {r.lang: min(1.0, max_docs / len(sizes) / r.n, max_chars / len(sizes) / max(r.chars, 1)) for r in sizes}
+    below = docs.sparkSession.createDataFrame([(k, int(v * (1 << 30)) + 1) for k, v in share.items()], "lang string, below long")
+    sample = rows.join(F.broadcast(below), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.col("below"))
 
     def count(batches):
         for batch in batches:
@@ -308,17 +323,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS)
         count,
     )
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = durable(counts.where("n >= 2"))
-    # how often an n-gram must occur in a language for at most max_grams to do so
-    least: dict[str, int] = {}
-    kept: Counter = Counter()
-    for lang, n, grams_ in sorted(counts.groupBy("lang", "n").agg(F.count("*")).collect(), key=lambda r: (r[0], -r[1])):
-        kept[lang] += grams_
-        if kept[lang] <= max_grams:
-            least[lang] = n
-    borders = docs.sparkSession.createDataFrame([*least.items()], "lang string, least long")
-    most = counts.join(F.broadcast(borders), "lang").where("n >= least")
-    return build(most.select("lang", "gram", "n").collect())
+    return build(counts.where("n >= 2").collect())
 
 
 def build(found: list[tuple[str, str, int]]) -> LanguageModel:

@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 import urllib.parse
 import wave
 import zlib
@@ -80,7 +81,7 @@ def test_bpe_query_equals_the_library(spark, sf):
 
 
 def test_media_round_trip(spark):
-    out = media.media_columns(frame(spark, ODD, True)).orderBy("doc_id").collect()
+    out = media.media_columns(frame(spark, ODD, True)).where("last").orderBy("doc_id").collect()
     for r, text in zip(out, ODD):
         raw = (text or "").encode()
         assert bytes(r.payload) == raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
@@ -106,7 +107,7 @@ def test_fingerprints_equal_a_plain_computation():
     for i, (t, k) in enumerate(peaks):
         later = [p for p in peaks if p[0] > t][: media.FAN]
         want |= {t << 32 | k << 22 | b << 12 | (u - t) for u, b in later if u - t <= media.REACH}
-    got = set(media.fingerprints(payload))
+    got = {p for pairs in media.fingerprints(payload) for p in pairs.tolist()}
     assert len(got & want) > 0.999 * len(want) and len(got - want) < 0.001 * len(want)
 
 
@@ -127,6 +128,23 @@ def test_frames_overlap_and_all_peaks_within_reach_are_paired(spark):
     assert {p & 0xFFF for p in got} == {*range(1, media.REACH + 1)} and any(p >> 12 & 0x3FF >= media.BANDS[-2] for p in got)
 
 
+def test_pairs_of_long_texts_come_in_parts_within_bounded_memory(spark):
+    text = "".join(map(chr, np.random.default_rng(5).integers(32, 122, 1_000_000)))
+    rows = media.media_columns(frame(spark, [text, "short"])).orderBy("doc_id", "part").collect()
+    *parts, short = rows
+    assert len(parts) > 3 and [r.part for r in parts] == [*range(len(parts))] and [r.last for r in parts] == [False] * (len(parts) - 1) + [True]
+    assert [r.media is None for r in parts] == [not r.last for r in parts] and (short.part, short.last) == (0, True)
+    pairs = np.concatenate([np.array(r.pairs, "<i8") for r in parts])
+    assert (np.diff(pairs) > 0).all() and parts[-1].n_pairs == len(pairs)
+    assert parts[-1].pairs_sha256 == hashlib.sha256(pairs.tobytes()).hexdigest()
+    payload = media.to_payload(text * 30)
+    tracemalloc.start()
+    total = sum(len(part) for _, part, _, _ in media.parts_of(payload))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total > 40_000_000 and peak < 40 << 20
+
+
 @pytest.mark.parametrize("place", [0, 1, 127, 128, 255, 256, 1000, 1023])
 def test_each_sample_has_weight(place):
     samples = np.full(1024, 128, np.uint8)
@@ -430,11 +448,23 @@ def test_ties_go_to_the_first_name():
     assert model.label(["same words"])[0][0] == "a"
 
 
-def test_each_language_keeps_its_most_frequent_grams(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model, few = langid.train(docs), langid.train(docs, max_grams=300)
-    assert sorted(few.langs) == sorted(model.langs) and len(few.words) < len(model.words)
-    assert sum(len(keys) for keys, _ in few.rare) + sum(int((t[:, :-1] > t[:, :-1].min(axis=0)).any(axis=1).sum()) for t in few.tables) <= 300 * len(few.langs)
+def test_words_end_where_the_script_does():
+    assert langid._find_words("iPhone本語ёжabc") == ["iPhone", "本語", "ёж", "abc"] and langid._find_words("本\u0301かな") == ["本\u0301", "かな"]
+    han = "".join(chr(0x4E00 + i) for i in range(300))
+    model = langid.build(learned({"zh": han * 3 + " " + han, "en": "some plain words of a phone and more words"}))
+    for before in ("A", "iPhone", "words"):
+        (lang, score, spans, _) = model.label([before + han * 3])[0]
+        assert lang == "zh" and score > 0.99 and [(x, e - b) for x, b, e in spans][-1] == ("zh", 900)
+    assert model.label(["words and words" + han[:4]])[0][0] == "en"
+
+
+def test_rare_languages_have_their_share_of_the_sample(spark):
+    rows = [(i, f"wa{i % 7} wo{i % 11} common words", "big") for i in range(3000)] + [(9000 + i, "zug zug zeb zeb", "small") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_docs=60)
+    assert sorted(model.langs) == ["big", "small"] and model.label(["zug zeb"])[0][0] == "small"
+    few = langid.train(docs, max_chars=600)
+    assert len(few.words) <= len(langid.train(docs).words) and sorted(few.langs) == ["big", "small"]
 
 
 def test_held_out_accuracy(spark):
