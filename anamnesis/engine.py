@@ -122,17 +122,17 @@ class MemoryEngine:
     def _write(self, out: ingest.Written) -> DataFrame:
         """New rows are appended; other changes write the table anew. The index gets the rows touched."""
         if out.added is not None:
-            self.store.append({"memories": out.added} | index.entries(out.added, self.now))
+            self.store.append({"memories": out.added} | index.entries(out.added))
         else:
             self.store.commit({"memories": out.memories}, self._entries(out.memories))
         return out.log
 
     def _entries(self, memories: DataFrame) -> dict[str, DataFrame]:
-        return index.entries(memories.where(F.col("updated_at") >= self.now), self.now)
+        return index.entries(memories.where(F.col("updated_at") >= self.now))
 
     def reindex(self) -> int:
         """Build the index anew, for a store that was written without."""
-        return self.store.commit(index.entries(self.store.read("memories"), self.now))
+        return self.store.commit(index.entries(self.store.read("memories")))
 
     def forget(self, ids: list[int], reason: str = "forgotten") -> int:
         """Archive memories and keep their contents from coming back; returns the new version."""

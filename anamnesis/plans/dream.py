@@ -272,5 +272,5 @@ def run(store: SnapshotStore, lines: DataFrame, judge: Judge, at: Column, as_of:
         spark, logged = log.sparkSession, night.get("memory_log")
         rows = spark.createDataFrame(night.log, "action string, detail string").withColumn("at", at)
         night.put("memory_log", logged.unionByName(conform(rows, "memory_log")))
-        version = store.commit(night.tables, index.entries(night.get("memories").where(F.col("updated_at") >= at), at))
+        version = store.commit(night.tables, index.entries(night.get("memories").where(F.col("updated_at") >= at)))
     return {"version": version, "actions": int(told["actions"]), "errors": int(told["errors"]), "archived": int(told["archived"])}

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from anamnesis.deploy import durable
-from anamnesis.functions.text import terms_of
+from anamnesis.functions.text import query_terms, terms_of
 from anamnesis.operators.ranking import union_first
 from anamnesis.operators.selection import in_scope, owned
-from anamnesis.plans.index import Index
+from anamnesis.plans.index import Index, index_of
 from anamnesis.schema import STATUSES
 
 MATCHES, SHORT_MATCHES, RECENT, SAME_DOMAIN = 60, 20, 20, 30
@@ -98,13 +97,29 @@ def short_matches(memories: DataFrame, terms: list[str], owner: str, statuses: t
     return _short_rows(text_hits(memories, terms, owner, statuses)[0], light(memories), each)
 
 
+def indexed_hits(memories: DataFrame, terms: list[str], owner: str, statuses: tuple[str, ...], index: Index) -> tuple[DataFrame, dict]:
+    """What ``text_hits`` gives, from an index, without reading contents."""
+    spark, columns = memories.sparkSession, light(memories)
+    long_terms, short_terms = [t for t in terms if len(t) >= 3], [t for t in terms if len(t) == 2]
+    if not long_terms and not short_terms:
+        return text_hits(memories, terms, owner, statuses)
+    names = spark.createDataFrame([(t,) for t in terms], "term string").select(F.lower("term").alias("term")).distinct()
+    found = durable(index.hits(names))
+    df = {r.term: r.n for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}  # twelve rows at most
+    by_row = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("_of"), F.first("size").alias("_size"))
+    of = lambda t: F.coalesce(F.col("_of")[t.lower()], F.lit(0))
+    tf = F.array(*(of(t).cast("double") for t in long_terms)).cast("array<double>")
+    short = F.array(*(F.when(of(t) > 0, F.lit(i)) for i, t in enumerate(short_terms))).cast("array<int>")
+    rows = owned(memories, owner, statuses).select(*columns).join(by_row, "id")
+    hits = durable(rows.select(*columns, "_size", tf.alias("_tf"), F.filter(short, lambda x: x.isNotNull()).alias("_short")))
+    return hits, {"n": index.rows, "mean": index.mean} | {f"t{i}": df.get(t.lower(), 0) for i, t in enumerate(long_terms)}
+
+
 def matches(memories: DataFrame, query: str, owner: str, statuses: tuple[str, ...], limit: int = MATCHES, index: Index | None = None) -> DataFrame:
-    """Text matches with ``hit_score``; a row that both ways find counts as a full hit. With an index only
-    the rows that it names are read."""
+    """Text matches with ``hit_score``; a row that both ways find counts as a full hit. With an index no
+    contents are read."""
     columns, terms = light(memories), terms_of(query)
-    hits, stats = text_hits(memories if index is None else index.narrowed(memories, terms), terms, owner, statuses)
-    if index is not None and stats:  # all rows that hold a term were read, so only these two differ
-        stats = stats | {"n": index.rows, "mean": index.mean}
+    hits, stats = text_hits(memories, terms, owner, statuses) if index is None else indexed_hits(memories, terms, owner, statuses, index)
     full = _ranked(hits, stats, columns, limit).drop("bm25").withColumn("hit_score", F.lit(HIT))
     short = _short_rows(hits, columns, SHORT_MATCHES).withColumn("hit_score", F.lit(SHORT_HIT))
     both = union_first([full, short], "id").drop("channel")
@@ -155,90 +170,60 @@ def fast_recall(
     return memories.join(F.broadcast(best), "id").orderBy(F.desc("score"), "channel", "id").limit(min(k, 20))
 
 
-#: Questions that are answered by one scan of the contents.
-QUESTIONS = 2000
-FOUND = "id long, term int, tf long, size long"
-
-
-def _occurring(terms: list[str]):
-    """How often each term occurs in a row's fields, overlaps included; rows without any give none."""
-    arrow = pa.schema([("id", pa.int64()), ("term", pa.int32()), ("tf", pa.int64()), ("size", pa.int64())])
-
-    def run(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            automaton.add_word(t, i)
-        automaton.make_automaton()
-        for batch in batches:
-            out = []
-            for key, *texts in zip(*(batch.column(i).to_pylist() for i in range(1 + len(FIELDS)))):
-                counts: dict[int, int] = {}
-                for text in texts:
-                    for _, i in automaton.iter(text):
-                        counts[i] = counts.get(i, 0) + 1
-                size = sum(max(len(t) - 2, 0) for t in texts)
-                out += [(key, i, n, size) for i, n in counts.items()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-
-    return run
-
-
 def _best(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
-def _answered(memories: DataFrame, asked: list[tuple[int, str]], as_of: Column, k: int, owner: str, statuses: tuple[str, ...], scope: str, cwd: str | None) -> DataFrame:
-    spark = memories.sparkSession
-    terms = {q: [t.lower() for t in terms_of(text)] for q, text in asked}
-    names = sorted({t for ts in terms.values() for t in ts})
-    number = {t: i for i, t in enumerate(names)}
-    lowered = _lowered(memories).select("id", *(f"_{f}" for f in FIELDS))
-    found = durable(lowered.mapInArrow(_occurring(names), FOUND)) if names else spark.createDataFrame([], FOUND)
-    # a term counts as often as the question has it; terms are as many as the questions of a block have
-    wanted = [(q, number[t], ts.count(t), len(t)) for q, ts in terms.items() for t in dict.fromkeys(ts)]
-    wanted = F.broadcast(spark.createDataFrame(wanted, "question long, term int, times long, chars int"))
+def recall_many(
+    memories: DataFrame,
+    questions: DataFrame,
+    as_of: Column,
+    k: int = 5,
+    owner: str = "default",
+    scope: str = "all",
+    cwd: str | None = None,
+    excavate: bool = False,
+    index: Index | None = None,
+) -> DataFrame:
+    """``question, id, channel, score``: for each of many questions (``question, text``) what ``fast_recall``
+    gives. All terms of all questions are joined with the index; without one, postings are made for the occasion. Questions are
+    a table like others: nothing but the store's counts and its most recent and pinned rows reaches the driver."""
+    statuses, k, index = STATUSES if excavate else ("active",), min(k, 20), index or index_of(memories)
+    asked = questions.select(F.col("question").cast("long").alias("question"), query_terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    # a term counts as often as the question has it
+    wanted = asked.select("question", F.explode("terms").alias("term")).groupBy("question", F.lower("term").alias("term")).agg(F.count("*").alias("times"))
+    wanted = durable(wanted)
+    found = durable(index.hits(wanted.select("term").distinct()))
     own = owned(memories, owner, statuses).select(*light(memories))
-    sizes = lowered.select(reduce(Column.__add__, (F.greatest(F.length(f"_{f}") - 2, F.lit(0)) for f in FIELDS)).alias("size"))
-    n, mean = sizes.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0))).first()
+    chars = F.length("term")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    norm = K1 * (F.lit(1 - B) + B * F.col("size") / F.lit(max(float(mean), 1.0)))
+    idf = F.greatest(F.log((F.lit(float(index.rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    norm = K1 * (F.lit(1 - B) + B * F.col("size") / F.lit(max(float(index.mean), 1.0)))
     mine = found.join(own.select("id", "last_seen"), "id").join(df, "term").join(wanted, "term")
-    score = F.when(F.col("chars") >= 3, F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
-    full = mine.where("chars >= 3").groupBy("question", "id", "last_seen").agg(F.sum(score).alias("bm25"))
+    score = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    full = mine.where(chars >= 3).groupBy("question", "id", "last_seen").agg(F.sum(score).alias("bm25"))
     full = _best(full, ["question"], [F.desc("bm25"), F.col("id")], MATCHES).select("question", "id", "last_seen", F.lit(HIT).alias("hit_score"))
-    short = _best(mine.where("chars = 2"), ["question", "term"], [F.desc("last_seen"), F.desc("id")], SHORT_MATCHES).select("question", "id", "last_seen", F.lit(SHORT_HIT).alias("hit_score"))
+    short = _best(mine.where(chars == 2), ["question", "term"], [F.desc("last_seen"), F.desc("id")], SHORT_MATCHES).select("question", "id", "last_seen", F.lit(SHORT_HIT).alias("hit_score"))
     hits = full.unionByName(short).groupBy("question", "id", "last_seen").agg(F.max("hit_score").alias("hit_score"))
-    hits = _best(hits, ["question"], [F.desc("hit_score"), F.desc("last_seen"), F.col("id")], MATCHES)
+    hits = durable(_best(hits, ["question"], [F.desc("hit_score"), F.desc("last_seen"), F.col("id")], MATCHES))
     ranked = own.join(hits.drop("last_seen"), "id").withColumn("channel", F.lit(0))
     # recent and pinned rows score alike for all questions; of these no more than the answer and all hits can matter
     recent = own.orderBy(F.desc("last_seen"), "id").limit(RECENT)
     rest = union_first([recent, own.where("pinned = 1")], "id").withColumn("channel", F.col("channel") + 1)
     rest = rest.withColumn("hit_score", F.lit(NO_HIT)).where(in_scope(scope, cwd)).withColumn("score", fused_score(as_of))
     rest = rest.orderBy(F.desc("score"), "channel", "id").limit(k + MATCHES).select("id", "channel", "score")
-    fill = rest.agg(F.collect_list(F.struct("id", "channel", "score")).alias("fill")).first().fill
-    every = F.array(*(F.struct(F.lit(r.id).cast("long").alias("id"), F.lit(r.channel).alias("channel"), F.lit(r.score).cast("double").alias("score")) for r in fill))
-    questions = spark.createDataFrame([(q,) for q, _ in asked], "question long")
-    filled = questions.select("question", F.inline(every)) if fill else questions.where("false").withColumns({"id": F.lit(0).cast("long"), "channel": F.lit(0), "score": F.lit(0.0)})
+    filled = _with_each(asked.select("question"), rest)
     scored = ranked.where(in_scope(scope, cwd)).select("question", "id", "channel", fused_score(as_of).alias("score"))
     # a row that was hit, in scope or not, doesn't come by another way
     filled = filled.join(hits.select("question", "id"), ["question", "id"], "left_anti")
     return _best(scored.unionByName(filled), ["question"], [F.desc("score"), F.col("channel"), F.col("id")], k)
 
 
-def recall_many(memories: DataFrame, questions: DataFrame, as_of: Column, k: int = 5, owner: str = "default", scope: str = "all", cwd: str | None = None, excavate: bool = False) -> DataFrame:
-    """``question, id, channel, score``: for each of many questions (``question, text``) what ``fast_recall``
-    gives. All terms of ``QUESTIONS`` questions are looked for in one scan of the contents; further
-    questions take further scans."""
-    out, block = memories.sparkSession.createDataFrame([], "question long, id long, channel int, score double"), []
-    statuses, k = STATUSES if excavate else ("active",), min(k, 20)
-    answer = lambda: _answered(memories, block, as_of, k, owner, statuses, scope, cwd)
-    for r in questions.select(F.col("question").cast("long"), "text").toLocalIterator():
-        block.append((r.question, r.text or ""))
-        if len(block) == QUESTIONS:
-            out, block = out.unionByName(answer()), []
-    return out.unionByName(answer()) if block else out
+def _with_each(questions: DataFrame, rest: DataFrame) -> DataFrame:
+    """Each question with the same few rows (``id, channel, score``, at most some eighty)."""
+    fill = rest.collect()
+    if not fill:
+        return questions.where("false").withColumns({"id": F.lit(0).cast("long"), "channel": F.lit(0), "score": F.lit(0.0)})
+    every = F.array(*(F.struct(F.lit(r.id).cast("long").alias("id"), F.lit(r.channel).alias("channel"), F.lit(r.score).cast("double").alias("score")) for r in fill))
+    return questions.select("question", F.inline(every))

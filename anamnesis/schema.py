@@ -39,8 +39,8 @@ TABLES = {
     "memory_log": "id long, at timestamp, run_id string, action string, detail string",
     "kv": "key string, value string",
     # the index of texts (see plans/index.py)
-    "postings": "gram string, id long",
-    "sizes": "id long, size long, at timestamp",
+    "postings": "gram long, id long, places array<int>, mark long",
+    "sizes": "id long, size long, mark long",
 }
 
 DEFAULTS = {

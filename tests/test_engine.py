@@ -119,5 +119,10 @@ def test_the_index_finds_what_a_scan_finds(spark, sf, tmp_path):
         found = recall.fast_recall(engine.memories(), query, F.to_date(now), 8, index=opened())
         plain = recall.fast_recall(engine.memories(), query, F.to_date(now), 8)
         assert [(r.id, r.score) for r in found.collect()] == [(r.id, r.score) for r in plain.collect()], query
-    assert opened().narrowed(engine.memories(), ["zebras"]).count() == 1
+    hits = opened().hits(spark.createDataFrame([("zebras",), ("ras",), ("bras",), ("ze",)], "term string"))
+    assert {(r.term, r.tf) for r in hits.where(F.col("id") == F.lit(rows.count() + 1)).collect()} == {("zebras", 1), ("ras", 1), ("bras", 1), ("ze", 1)}
+    # many questions, with an index or without, are what one at a time gives
+    questions = spark.createDataFrame([(i, q) for i, q in enumerate([*texts, "zebras zebras de", "aaaa", "nothing-like-it", None])], "question long, text string")
+    by_index, made = (sorted(recall.recall_many(engine.memories(), questions, F.to_date(now), 8, index=i).collect()) for i in (opened(), None))
+    assert [(r[0], r[1], r[2], round(r[3], 9)) for r in by_index] == [(r[0], r[1], r[2], round(r[3], 9)) for r in made]
     assert engine.recall("zebras", 1, mode="fast", scope="all").first().content.endswith("zebras")

@@ -236,10 +236,9 @@ def test_selection_order_and_scope(spark):
 
 
 @pytest.mark.parametrize("excavate,scope", [(False, "smart"), (True, "all")])
-def test_many_questions_at_once(spark, sf, monkeypatch, excavate, scope):
-    """Each gets what it gets alone, over several scans; a term that overlaps itself counts each time."""
+def test_many_questions_at_once(spark, sf, excavate, scope):
+    """Each gets what it gets alone; a term that overlaps itself counts each time."""
     memories, as_of = X.memories(spark, sf), F.lit("2024-07-01").cast("date")
-    monkeypatch.setattr(R, "QUESTIONS", 3)
     texts = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(3).collect()]
     texts += ["", "de", "anan nan an", "zzzzz", None, texts[0]]
     questions = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "question long, text string")
