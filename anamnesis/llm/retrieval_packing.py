@@ -66,8 +66,15 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         for parts, numbers in in_parts(texts):
             found = self.known(parts)
-            for mine in numbers:
-                yield np.frombuffer(b"".join([found[k] for k in mine.tolist()]), np.uint16)
+            flat = np.frombuffer(b"".join(found), np.uint16)
+            count = np.fromiter(map(len, found), np.int64, len(found)) // 2
+            first = np.cumsum(count) - count
+            which = np.concatenate(numbers)
+            sizes = count[which]
+            ends = np.cumsum(sizes)
+            ids = flat[np.repeat(first[which] - ends + sizes, sizes) + np.arange(ends[-1])]
+            last = ends[np.cumsum([*map(len, numbers)]) - 1]
+            yield from np.split(ids, last[:-1])
 
 
 _built: dict[int, Encoder] = {}
