@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +32,7 @@ class MemoryEngine:
     def _ledger(self, conversation: str | None) -> DataFrame | None:
         if conversation is None:
             return None
-        since = self.now - F.make_dt_interval(hours=F.lit(conversations.LEDGER_HOURS))
-        mine = self.store.read("injection_log").where((F.col("conversation") == conversation) & (F.col("injected_at") >= since))
-        return mine.groupBy("conversation", "item").agg(F.min("injected_at").alias("injected_at"))
+        return conversations.standing_injections(self.store.read("injection_log").where(F.col("conversation") == conversation), self.now)
 
     def recalled(self, query: str, k: int = 5, owner: str = "default", scope: str = "smart", cwd: str | None = None, mode: str = "deep", conversation: str | None = None) -> pick.Recalled:
         """The memories for a question, in order, with the chapters that a selector chose. In a conversation each
@@ -50,10 +50,10 @@ class MemoryEngine:
         rows = found.memories.collect()
         found.memories = self.spark.createDataFrame(rows, found.memories.schema)
         log = pick.recall_log(found.memories, query, mode, self.now, owner, found.deduped)
-        self.store.append({"recall_log": log})
+        self.store.log("recall_log", log)
         if conversation is not None and rows:
             given = self.spark.createDataFrame([(conversation, f"m:{r.id}") for r in rows], "conversation string, item string")
-            self.store.append({"injection_log": given.withColumn("injected_at", self.now)})
+            self.store.log("injection_log", given.withColumns({"injected_at": self.now, "mark": F.lit(time.time_ns())}))
         return found
 
     def recall(self, query: str, k: int = 5, **rest: object) -> DataFrame:
@@ -69,18 +69,20 @@ class MemoryEngine:
 
     def say(self, conversation: str, query: str, answer: str | None = None) -> None:
         """Log a turn of a conversation, and its answer."""
+        base = self.store.newest()
         added = self.spark.createDataFrame([(conversation, 1, query, [])], "conversation string, seq long, query string, injected array<string>")
         replies, topics = conversations.log_turns(self.store.read("replies"), self.store.read("topics"), added, self.now)
         if answer is not None:
             mine = topics.where(F.col("conversation") == conversation).select("topic_id", F.lit(1).alias("seq"), F.lit(answer).alias("answer"))
             replies = conversations.attach_answers(replies, mine)
-        self.store.commit({"replies": replies, "topics": topics})
+        self.store.commit({"replies": replies, "topics": topics}, base=base)
 
     def probe(self, owner: str = "default", scope: str = "smart", cwd: str | None = None) -> DataFrame:
         return pick.probe(self.memories(), self.judge, owner, scope, cwd, self.store.read("profiles"))
 
     def audit(self, owner: str = "default", dry_run: bool = True) -> DataFrame:
         """The trail of an audit of lessons; what it says is done unless it is a dry run."""
+        base = self.store.newest()
         memories = self.memories()
         lessons = selection.owned(memories, owner).join(upkeep.audit_batches(memories, owner), "id")
         verdicts = durable(self.judge.decide("audit", lessons))
@@ -88,17 +90,18 @@ class MemoryEngine:
         if not dry_run:
             after = upkeep.changed(self.store.read("memories"), upkeep.audited(memories, verdicts), self.now)
             entry = trail.select(self.now.alias("at"), F.concat(F.lit("audit "), "verdict").alias("action"), F.to_json(F.struct("id", "before", "after")).alias("detail"))
-            self.store.commit({"memories": after, "memory_log": self.store.read("memory_log").unionByName(conform(entry, "memory_log"))}, self._entries(after))
+            self.store.commit({"memories": after}, {"memory_log": entry} | self._entries(after), base)
         return trail
 
     def backfill(self, owner: str = "default") -> int:
         """Keywords and handles for memories without them; returns how many rows were changed."""
+        base = self.store.newest()
         memories = self.store.read("memories")
         bare = selection.owned(memories, owner).where("trim(keywords) = '' OR trim(mini) = ''")
         batches = bare.join(upkeep.backfill_batches(memories.withColumn("_any", F.when((F.trim("keywords") != "") & (F.trim("mini") != ""), "x").otherwise("")), "_any", owner=owner), "id")
         found = durable(upkeep.backfilled(bare, durable(self.judge.decide("backfill", batches))))
         after = durable(upkeep.changed(memories, found, self.now))
-        self.store.commit({"memories": after}, self._entries(after))
+        self.store.commit({"memories": after}, self._entries(after), base)
         return found.count()
 
     def inject(self, owner: str = "default", scope: str = "smart", cwd: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -113,18 +116,21 @@ class MemoryEngine:
 
     def remember(self, owner: str = "default", cwd: str | None = None, **candidate) -> DataFrame:
         """Write one memory (``summary``, ``content`` and more of a candidate's fields); returns the log."""
+        base = self.store.newest()
         full = {"kind": "fact", "origin": "user_stated", "confidence": 0.9, "keywords": []} | candidate
-        return self._write(ingest.remember(self.store.read("memories"), self.store.read("tombstones"), self.judge, full, self.now, owner, cwd))
+        return self._write(ingest.remember(self.store.read("memories"), self.store.read("tombstones"), self.judge, full, self.now, owner, cwd), base)
 
     def ingest(self, text: str, source: str, owner: str = "default") -> DataFrame:
-        return self._write(ingest.ingest_text(self.store.read("memories"), self.store.read("tombstones"), self.judge, text, source, self.now, owner))
+        base = self.store.newest()
+        return self._write(ingest.ingest_text(self.store.read("memories"), self.store.read("tombstones"), self.judge, text, source, self.now, owner), base)
 
-    def _write(self, out: ingest.Written) -> DataFrame:
-        """New rows are appended; other changes write the table anew. The index gets the rows touched."""
+    def _write(self, out: ingest.Written, base: int) -> DataFrame:
+        """New rows are appended; other changes write the table anew, unless another writer changed it after version
+        ``base``. The index gets the rows touched."""
         if out.added is not None:
             self.store.append({"memories": out.added} | index.entries(out.added))
         else:
-            self.store.commit({"memories": out.memories}, self._entries(out.memories))
+            self.store.commit({"memories": out.memories}, self._entries(out.memories), base)
         return out.log
 
     def _entries(self, memories: DataFrame) -> dict[str, DataFrame]:
@@ -136,18 +142,21 @@ class MemoryEngine:
 
     def forget(self, ids: list[int], reason: str = "forgotten") -> int:
         """Archive memories and keep their contents from coming back; returns the new version."""
+        base = self.store.newest()
         chosen = self.spark.createDataFrame([(i,) for i in ids], "id long")
         after, stones = upkeep.archive(self.store.read("memories"), chosen, reason, self.now)
         old = self.store.read("tombstones")
-        return self.store.commit({"memories": after, "tombstones": old.unionByName(stones.select(*old.columns)).dropDuplicates(["owner", "digest"])})
+        return self.store.commit({"memories": after, "tombstones": old.unionByName(stones.select(*old.columns)).dropDuplicates(["owner", "digest"])}, base=base)
 
     def pin(self, ids: list[int], pinned: bool = True) -> int:
+        base = self.store.newest()
         value = F.when(F.col("id").isin(ids), int(pinned)).otherwise(F.col("pinned"))
-        return self.store.commit({"memories": self.store.read("memories").withColumn("pinned", value)})
+        return self.store.commit({"memories": self.store.read("memories").withColumn("pinned", value)}, base=base)
 
-    def clear(self, conversation: str) -> int:
+    def clear(self, conversation: str) -> None:
         """Forget what a conversation was given."""
-        return self.store.commit({"injection_log": conversations.clear_injections(self.store.read("injection_log"), conversation)})
+        cleared = self.spark.createDataFrame([(conversation, None, time.time_ns())], "conversation string, item string, mark long")
+        self.store.log("injection_log", cleared.withColumn("injected_at", self.now))
 
     def decay(self) -> DataFrame:
         return upkeep.decayed(self.memories(), F.to_date(self.now))
@@ -169,7 +178,8 @@ class MemoryEngine:
         return self.store.commit({t: self.store.read(t, version) for t in TABLES if t in self.store.manifest(version)["tables"]})
 
     def tombstone(self, contents: list[str], owner: str = "default") -> int:
+        base = self.store.newest()
         rows = self.spark.createDataFrame([(None, owner, c) for c in contents], "id long, owner string, content string")
         old = self.store.read("tombstones")
         stones = tombstones_of(rows, "stated", self.now).select(*old.columns)
-        return self.store.commit({"tombstones": old.unionByName(stones).dropDuplicates(["owner", "digest"])})
+        return self.store.commit({"tombstones": old.unionByName(stones).dropDuplicates(["owner", "digest"])}, base=base)

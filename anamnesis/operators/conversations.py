@@ -187,5 +187,14 @@ def log_injections(ledger: DataFrame, added: DataFrame, now: Column, hours: int
     return both.groupBy("conversation", "item").agg(F.min("injected_at").alias("injected_at"))
 
 
+def standing_injections(log: DataFrame, now: Column, hours: int = LEDGER_HOURS) -> DataFrame:
+    """The ledger (``conversation, item, injected_at``) that follows from a log to which rows are only added: a row without
+    an item clears its conversation of all with a smaller ``mark``, and what is older than 48 hours doesn't count."""
+    cleared = log.where("item IS NULL").groupBy("conversation").agg(F.max("mark").alias("_cleared"))
+    rows = log.where(F.col("item").isNotNull() & (F.col("injected_at") >= now - F.make_dt_interval(hours=F.lit(hours))))
+    rows = rows.join(cleared, "conversation", "left").where("mark > coalesce(_cleared, -1)")
+    return rows.groupBy("conversation", "item").agg(F.min("injected_at").alias("injected_at"))
+
+
 def clear_injections(ledger: DataFrame, conversation: str) -> DataFrame:
     return ledger.where(F.col("conversation") != conversation)

@@ -255,6 +255,7 @@ def run(store: SnapshotStore, lines: DataFrame, judge: Judge, at: Column, as_of:
     """One night. ``lines``: ``path, line_no, value, agent`` (and ``start, size``); ``drops``: entries of dropped
     files, with ``lenses``; ``on_actions`` is shown the actions before they are carried out. All changes become one new version; ``versions`` of the store are its backups."""
     with store.locked():
+        base = store.newest()
         night = Night(store, judge, at, as_of, owner, daily_budget, prices, on_actions)
         segments = read_sessions(night, lines, first_cap)
         if drops is not None:
@@ -272,5 +273,5 @@ def run(store: SnapshotStore, lines: DataFrame, judge: Judge, at: Column, as_of:
         spark, logged = log.sparkSession, night.get("memory_log")
         rows = spark.createDataFrame(night.log, "action string, detail string").withColumn("at", at)
         night.put("memory_log", logged.unionByName(conform(rows, "memory_log")))
-        version = store.commit(night.tables, index.entries(night.get("memories").where(F.col("updated_at") >= at)))
+        version = store.commit(night.tables, index.entries(night.get("memories").where(F.col("updated_at") >= at)), base)
     return {"version": version, "actions": int(told["actions"]), "errors": int(told["errors"]), "archived": int(told["archived"])}

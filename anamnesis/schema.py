@@ -25,7 +25,7 @@ TABLES = {
     "topics": "topic_id long, conversation string, first_reply string, summary string, summary_at long,"
     " first_seen_at timestamp, last_seen_at timestamp",
     "replies": "topic_id long, reply_id long, query string, injected array<string>, answer string, gist string, created_at timestamp",
-    "injection_log": "conversation string, item string, injected_at timestamp",
+    "injection_log": "conversation string, item string, injected_at timestamp, mark long",
     "distill_state": "session_file string, processed_bytes long, gist string, processed_at timestamp",
     "session_registry": "session_uid string, agent string, machine string, path string, bytes long, updated_at timestamp",
     "inbox_files": "id long, path string, content_hash string, format string, raw_bytes long, slim_chars long,"
@@ -52,6 +52,7 @@ DEFAULTS = {
     "request_log": {"client": "", "req_bytes": 0, "res_bytes": 0, "ms": 0},
     "distill_state": {"processed_bytes": 0, "gist": ""},
     "inbox_files": {"status": "pending"},
+    "injection_log": {"mark": 0},
     "recall_log": {"mode": "deep", "hits": 0, "latency_ms": 0},
     "token_log": {"latency_ms": 0},
 }

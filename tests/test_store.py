@@ -1,6 +1,8 @@
 """The state machine against a plain interpreter, snapshots, and the cases that the blueprint names."""
 
+import os
 import random
+import time
 import unicodedata
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from anamnesis import fixtures as X
 from anamnesis.functions import text as T
+from anamnesis.operators import conversations as C
 from anamnesis.operators import merging as M
 from anamnesis.operators import selection as S
 from anamnesis.operators import upkeep as U
@@ -187,14 +190,72 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_two_writers(spark, tmp_path):
-    """The one that comes second is told, and the first one's version stays as it was written."""
+    """Of two that replaced a table the second is told, and the first one's version stays; what they don't both
+    replace lands, whoever comes first."""
     one_, two = (SnapshotStore(spark, f"file://{tmp_path}/s") for _ in range(2))
-    one_.commit({"memories": memory(spark, [(1, "a", "mixed", 0.5)])})
-    two.manifest, seen = (lambda version=None: seen), one_.manifest()
-    one_.commit({"memories": memory(spark, [(2, "winner", "mixed", 0.5)])})
+    row = lambda i, text: memory(spark, [(i, text, "mixed", 0.5)])
+    one_.commit({"memories": row(1, "a")})
+    base = two.newest()
+    one_.commit({"memories": row(2, "winner")})
     with pytest.raises(RuntimeError, match="another writer"):
-        two.commit({"memories": memory(spark, [(3, "loser", "mixed", 0.5)])})
+        two.commit({"memories": row(3, "loser")}, base=base)
     assert [r.content for r in one_.read("memories").collect()] == ["winner"] and one_.versions() == [1, 2]
+    # rows to append go onto what came in the meantime, and so does another table
+    base = two.newest()
+    one_.append({"memories": row(4, "first")})
+    two.commit({"tombstones": M.tombstones_of(row(9, "x"), "x", at())}, {"memories": row(5, "second")}, base)
+    assert {r.content for r in one_.read("memories").collect()} == {"winner", "first", "second"} and one_.read("tombstones").count() == 1
+    folders = {p.name for p in (tmp_path / "s" / "data").iterdir()}
+    assert folders >= {f.split("/")[1] for fs in one_.manifest()["tables"].values() for f in fs}
+
+
+def test_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = SnapshotStore(spark, f"file://{tmp_path}/s", keep=50)
+    store.commit({"memories": memory(spark, [(0, "t0", "mixed", 0.5)])})
+    add = lambda i: SnapshotStore(spark, f"file://{tmp_path}/s", keep=50).append({"memories": memory(spark, [(i, f"t{i}", "mixed", 0.5)])})
+    with ThreadPoolExecutor(4) as pool:
+        versions = [*pool.map(add, range(1, 9))]
+    assert sorted(versions) == [*range(2, 10)] and {r.id for r in store.read("memories").collect()} == {*range(9)}
+
+
+def test_a_writer_that_died_stops_nobody(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    store.commit({"memories": memory(spark, [(1, "a", "mixed", 0.5)])})
+    for left in ("_2.claim", "_abc.tmp"):
+        (tmp_path / "s" / "manifests" / left).write_text("")
+    assert store.commit({"memories": memory(spark, [(2, "b", "mixed", 0.5)])}) == 2 and store.newest() == 2
+
+
+def test_locks(spark, tmp_path):
+    one_, two = (SnapshotStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    with one_.locked(2000):
+        time.sleep(3)  # it is renewed, so it isn't stale
+        with pytest.raises(RuntimeError, match="lock"), two.locked(2000):
+            pass
+    file = tmp_path / "s" / "lock"
+    assert not file.exists()
+    sums = file.with_name(".lock.crc")
+    file.write_text("someone who died")
+    os.utime(file, (1, 1))
+    with two.locked():
+        held = file.read_text()
+        sums.unlink(missing_ok=True)
+        file.write_text("someone else")  # as if it had been taken over
+    assert held != "someone else" == file.read_text()
+
+
+def test_logs_make_no_versions(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    assert store.read("injection_log").count() == 0
+    hours = lambda h: F.timestamp_micros(F.lit(int(h * 3_600_000_000)))
+    for n, (talk, item, h) in enumerate([("c", "m:1", 100), ("c", "m:2", 101), ("d", "m:1", 101), ("c", None, 102), ("c", "m:2", 103), ("e", "m:9", 10)]):
+        store.log("injection_log", spark.createDataFrame([(talk, item, n)], "conversation string, item string, mark long").withColumn("injected_at", hours(h)))
+    assert store.versions() == []
+    standing = C.standing_injections(store.read("injection_log"), hours(148.5))
+    assert sorted((r.conversation, r.item) for r in standing.collect()) == [("c", "m:2"), ("d", "m:1")]
+    assert C.standing_injections(store.read("injection_log"), hours(151)).where("conversation = 'd'").count() == 0
 
 
 def test_old_layout_gets_defaults(spark):
