@@ -7,7 +7,8 @@ and ranked. As a query meets all shards, their number is what a search costs: sh
 least ``SHARD_ROWS`` rows, and more on larger tables, as many as keep all cores busy, up to
 ``SHARD_BYTES`` of index, which a task must hold. Inner product becomes a distance by one more
 component, which gives all vectors of a shard the same length. Equal vectors of a shard are
-one node with a list of ids, so thousands of copies don't fill each other's neighbour lists.
+one node with a list of ids, so thousands of copies don't fill each other's neighbour lists. How wide a shard is
+searched follows from its own recall, measured on a sample beside brute force when it is built.
 
 Graphs are searched in single precision on scaled vectors. Scores are computed in double
 precision on the vectors as given, always summed from the first component to the last, so that
@@ -37,6 +38,9 @@ QUERY_BLOCK = 2048
 LINKS = 16
 EF_BUILD = 80
 EF_SEARCH = 200
+#: A shard's searches are as wide as it takes to find so much of what brute force finds among its rows, for so many of
+#: its own rows as queries and so many nearest ones.
+LEAST_RECALL, SAMPLE, SAMPLE_NEAREST = 0.97, 100, 20
 
 
 class Graph:
@@ -173,19 +177,38 @@ def build_shard(ids: np.ndarray, vectors: np.ndarray) -> dict[str, bytes]:
         "ids": pairs[:, 1].tobytes(),
         "counts": graph.counts.tobytes(),
         "links": graph.links.tobytes(),
+        "width": np.array([width_for(Graph(small.astype(np.float32), graph.counts, graph.links))]).tobytes(),
     }
 
 
+def width_for(graph: Graph) -> int:
+    """How wide searches must be: doubled until a sample's recall beside brute force suffices. So it follows from
+    each shard's size and vectors."""
+    n, width = len(graph.vectors), EF_SEARCH
+    if n <= width:
+        return width
+    sample = np.unique(np.linspace(0, n - 1, SAMPLE).astype(np.int64))
+    scores = graph.vectors @ graph.vectors[sample].T
+    near = [{*np.argpartition(-scores[:, j], SAMPLE_NEAREST)[:SAMPLE_NEAREST].tolist()} for j in range(len(sample))]
+    while width < n:
+        met = sum(len({*graph.search(graph.vectors[i], width)[:SAMPLE_NEAREST]} & want) for i, want in zip(sample.tolist(), near))
+        if met >= LEAST_RECALL * SAMPLE_NEAREST * len(sample):
+            break
+        width *= 2
+    return width
+
+
 class Shard:
-    def __init__(self, dim: int, vectors: bytes, first: bytes, ids: bytes, counts: bytes, links: bytes):
+    def __init__(self, dim: int, vectors: bytes, first: bytes, ids: bytes, counts: bytes, links: bytes, width: bytes):
         self.vectors = np.frombuffer(vectors, np.float64).reshape(-1, dim)
         self.first, self.ids = np.frombuffer(first, np.int64), np.frombuffer(ids, np.int64)
+        self.width = int(np.frombuffer(width, np.int64)[0])
         self.graph = Graph(_scaled(self.vectors)[0].astype(np.float32), np.frombuffer(counts, np.int64), np.frombuffer(links, np.int32))
 
     def nearest(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the ``k`` nearest found, nearest first, ties to the smaller id."""
         small = (query / np.abs(query).max()).astype(np.float32)
-        ef = max(EF_SEARCH, 2 * k)
+        ef = max(self.width, 2 * k)
         while True:
             nodes = np.array(self.graph.search(small, ef))
             found = self._ranked(nodes, own, query, k)
@@ -240,7 +263,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Ta
 
 
 #: Rows of a task that searches: the shard's index (``block`` -1), then blocks of queries.
-INDEX = "dim int, shard int, block int, vectors binary, first binary, ids binary, counts binary, links binary"
+INDEX = "dim int, shard int, block int, vectors binary, first binary, ids binary, counts binary, links binary, width binary"
 BLOCKS = "dim int, block int, q_ids binary, q_vectors binary"
 FOUND = "query_id long, vec_id long, score double"
 
@@ -267,7 +290,7 @@ def _search(k: int):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 if row["block"] < 0:
-                    shard, dim = Shard(row["dim"], *(row[c] for c in ("vectors", "first", "ids", "counts", "links"))), row["dim"]
+                    shard, dim = Shard(row["dim"], *(row[c] for c in ("vectors", "first", "ids", "counts", "links", "width"))), row["dim"]
                 if row["block"] < 0 or row["dim"] != dim:
                     continue
                 ids = np.frombuffer(row["q_ids"], np.int64)

@@ -367,6 +367,21 @@ def test_neighbours_beside_an_id_with_many_vectors():
     assert shard.nearest(7, vectors[0], 20)[0].tolist() == [*range(129, 109, -1)]
 
 
+def test_searches_widen_until_recall_suffices(monkeypatch):
+    vectors = np.random.default_rng(8).normal(size=(3000, 48))
+    monkeypatch.setattr(hnsw, "EF_SEARCH", 20)
+    made = hnsw.build_shard(np.arange(3000), vectors)
+    shard = hnsw.Shard(48, **made)
+    assert 20 < shard.width < 3000
+    asked = range(0, 3000, 30)
+    scores = vectors[[*asked]] @ vectors.T
+    met = 0
+    for row, i in zip(scores, asked):
+        row[i] = -np.inf
+        met += len({*np.argsort(-row)[:20].tolist()} & {*shard.nearest(i, vectors[i], 20)[0].tolist()})
+    assert met >= 0.95 * 20 * len(asked)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as P
 
