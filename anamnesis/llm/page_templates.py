@@ -12,6 +12,11 @@ import random
 from collections.abc import Iterator
 
 
+#: Names that say nothing, and names of an article's parts that have words of other things in them.
+NEUTRAL = "c x1 inner wrap row col block section part box-2 grid item"
+HOSTILE = "share-price comment-free ad-hoc notice footer-note header-text widget-story promo-text related-law search-party bar-chart tags-game social-history privacy-law cookie-recipe"
+
+
 class Writer:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -158,14 +163,47 @@ class Writer:
                 parts.append(self.box(self.r.choice(("pre", "figure")), 1, self.words(3, 20)))
             else:
                 parts.append(self.box("div", 1, self.prose(1, 3)))
+        if self.r.random() < 0.08:  # names that speak against an article on parts of it
+            k = self.r.randrange(len(parts))
+            parts[k] = self.box(self.r.choice(("p", "p", "div", "h2", "blockquote")), 1, self.prose(1, self.r.choice((1, 4))), HOSTILE)
+        if not loose and self.r.random() < 0.3:
+            parts = self.sections(parts)
         for extra, chance in ((self.advert, 0.15), (self.form, 0.08), (self.related, 0.1), (self.notice, 0.06), (self.sidebar, 0.05), (self.hidden, 0.05)):
             if self.r.random() < chance:
                 parts.insert(self.r.randint(0, len(parts)), extra())
-        title = self.box("h1", 1, self.words(1, 12)) if self.r.random() < 0.85 else ""
+        title = self.box(self.r.choice(("h1", "h1", "h1", "h2")), 1, self.words(1, 12)) if self.r.random() < 0.85 else ""
         if title and self.r.random() < 0.12:
             title = self.box("header", 1, title)
         return title + "".join(parts)
 
+    def sections(self, parts: list[str]) -> list[str]:
+        """The parts of an article dealt to sections, each mostly with a heading."""
+        tag, names = self.r.choice(("div", "div", "section")), self.r.choice(("", "", NEUTRAL))
+        out, k = [], 0
+        while k < len(parts):
+            size = self.r.choice((1, 1, 2, 3, 6))
+            inside = "".join(parts[k : k + size])
+            inside = self.maybe(0.8, self.box(self.r.choice(("h2", "h2", "h3")), 1, self.words(1, 6))) + inside
+            if self.r.random() < 0.2:
+                inside = self.box("div", 1, inside, names)
+            out.append(self.box(tag, 1, inside, names))
+            k += size
+        return out
+
+    def plain_page(self) -> str:
+        """An article in divisions that no name tells from others, with little around it."""
+        inside = "".join(self.box("p", 1, self.prose(1, 4)) for _ in range(self.r.choice((1, 1, 2, 2, 3, 5))))
+        inside = self.maybe(0.8, self.box(self.r.choice(("h1", "h2", "h2", "h3")), 1, self.words(1, 8))) + inside
+        if self.r.random() < 0.4:
+            again = "".join(self.box("p", 1, self.prose(1, 4)) for _ in range(self.r.randint(1, 3)))
+            inside = self.box("div", 1, inside) + self.box("div", 1, self.maybe(0.8, self.box("h2", 1, self.words(1, 6))) + again)
+        for _ in range(self.r.choice((0, 1, 1, 2))):
+            inside = self.box("div", 1, inside, self.r.choice(("", NEUTRAL)))
+        before = self.maybe(0.3, self.notice()) + self.maybe(0.3, self.navigation()) + self.maybe(0.15, self.header())
+        after = self.maybe(0.3, self.footer()) + self.maybe(0.15, self.comments()) + self.maybe(0.15, self.advert())
+        body = before + inside + after
+        return f'<html><body data-y="1:0">{body}</body></html>' if self.r.random() < 0.6 else body
+
     def fragment(self) -> str:
         """An article without a page around it."""
         tag, text = self.r.choice((("h1", self.words(1, 10)), ("p", self.prose(1, 4)), ("p", self.prose(1, 4))))
@@ -176,6 +214,8 @@ class Writer:
     def page(self) -> str:
         if self.r.random() < 0.08:
             return self.fragment()
+        if self.r.random() < 0.15:
+            return self.plain_page()
         inside = self.article()
         if self.r.random() < 0.15:
             inside += self.comments()

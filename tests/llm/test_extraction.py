@@ -125,6 +125,21 @@ HAND_MADE = {
         f"<body><header><nav>{MENU}</nav></header><main><section class='story'><h1>The mill</h1>{PARAGRAPHS}<aside class='newsletter'><form><p>Get our letters</p><input></form></aside>"
         "</section><section class='related'><h3>More</h3><ul><li><a href='/a'>A bridge</a><li><a href='/b'>A tower</a></ul></section></main><footer><p>© 2024 The paper</p></footer></body>", "The mill\n" + TEXT,
     ),
+    "sections without names": (
+        f"<div id=c><div><h2>One</h2><p>{SAY[0]} {SAY[1]}</p></div><div><h2>Two</h2><p>{SAY[2]} {SAY[3]}</p></div></div>", f"One\n{SAY[0]} {SAY[1]}\nTwo\n{SAY[2]} {SAY[3]}",
+    ),
+    "a plain division": (f"<div><h2>The mill</h2><p>{SAY[0]} {SAY[1]}</p><p>{SAY[2]} {SAY[3]}</p></div>", f"The mill\n{SAY[0]} {SAY[1]}\n{SAY[2]} {SAY[3]}"),
+    "a plain division in a page": (f"<html><body><div><h2>The mill</h2><p>{SAY[0]} {SAY[1]}</p><p>{SAY[2]} {SAY[3]}</p></div></body></html>", f"The mill\n{SAY[0]} {SAY[1]}\n{SAY[2]} {SAY[3]}"),
+    "a plain division after a notice": (
+        f"<div class='cookie-notice'><p>We use cookies. You may refuse them.</p><button>No</button></div><div><h2>The mill</h2><p>{SAY[0]} {SAY[1]}</p><p>{SAY[2]} {SAY[3]}</p></div>",
+        f"The mill\n{SAY[0]} {SAY[1]}\n{SAY[2]} {SAY[3]}",
+    ),
+    "three paragraphs in a plain division": (f"<div><h2>The mill</h2><p>{SAY[0]}</p><p>{SAY[1]} {SAY[2]}</p><p>{SAY[3]}</p></div>", f"The mill\n{SAY[0]}\n{SAY[1]} {SAY[2]}\n{SAY[3]}"),
+    "a paragraph with a hostile name": (f"<article><h1>The mill</h1><p>{SAY[0]}</p><p class='share-price'>{SAY[1]} {SAY[2]}</p><p>{SAY[3]}</p></article>", f"The mill\n{SAY[0]}\n{SAY[1]} {SAY[2]}\n{SAY[3]}"),
+    "sections in a main element": (
+        f"<body><nav>{MENU}</nav><main><h1>The mill</h1><section><h2>Then</h2><p>{SAY[0]}</p><p>{SAY[1]}</p></section><section><h2>Now</h2><p>{SAY[4]}</p></section></main><footer>© us</footer></body>",
+        f"The mill\nThen\n{SAY[0]}\n{SAY[1]}\nNow\n{SAY[4]}",
+    ),
     "old style": (f"<body><div class='navbar'>{MENU}</div><h1>The mill</h1>{'<br><br>'.join(SAY)}<hr><div class='footer'>Copyright the author</div></body>", "The mill\n" + " ".join(SAY)),
 }
 
