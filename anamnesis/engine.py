@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,12 @@ class MemoryEngine:
 
     def __init__(self, spark: SparkSession, root: str, judge: Judge | None = None, now: Column | None = None, keep: int = 7):
         self.spark, self.store, self.judge = ship(spark), SnapshotStore(spark, root, keep), judge or RuleJudge()
-        self.now = now if now is not None else F.current_timestamp()
+        self._now = now
+
+    @property
+    def now(self) -> Column:
+        """The time given, or else the current one, as a value that all jobs of a call share."""
+        return self._now if self._now is not None else F.lit(datetime.now(UTC))
 
     def memories(self) -> DataFrame:
         return self.store.read("memories").withColumn("last_seen", F.to_date("last_seen_at"))
@@ -68,40 +74,42 @@ class MemoryEngine:
         return row.context if row else ""
 
     def say(self, conversation: str, query: str, answer: str | None = None) -> None:
-        """Log a turn of a conversation, and its answer."""
-        base = self.store.newest()
+        """Log a turn of a conversation, and its answer; only the conversation's rows are written."""
+        base, now = self.store.newest(), self.now
+        known = self.store.read("topics")
         added = self.spark.createDataFrame([(conversation, 1, query, [])], "conversation string, seq long, query string, injected array<string>")
-        replies, topics = conversations.log_turns(self.store.read("replies"), self.store.read("topics"), added, self.now)
+        before = self.store.read("replies").join(F.broadcast(known.where(F.col("conversation") == conversation).select("topic_id")), "topic_id", "left_semi")
+        replies, topics = conversations.log_turns(before, known, added, now)
+        mine = durable(topics.where(F.col("conversation") == conversation))
         if answer is not None:
-            mine = topics.where(F.col("conversation") == conversation).select("topic_id", F.lit(1).alias("seq"), F.lit(answer).alias("answer"))
-            replies = conversations.attach_answers(replies, mine)
-        self.store.commit({"replies": replies, "topics": topics}, base=base)
+            replies = conversations.attach_answers(replies, mine.select("topic_id", F.lit(1).alias("seq"), F.lit(answer).alias("answer")))
+        self.store.commit({}, base=base, touched={"replies": replies.exceptAll(before), "topics": mine})
 
     def probe(self, owner: str = "default", scope: str = "smart", cwd: str | None = None) -> DataFrame:
         return pick.probe(self.memories(), self.judge, owner, scope, cwd, self.store.read("profiles"))
 
     def audit(self, owner: str = "default", dry_run: bool = True) -> DataFrame:
         """The trail of an audit of lessons; what it says is done unless it is a dry run."""
-        base = self.store.newest()
+        base, now = self.store.newest(), self.now
         memories = self.memories()
         lessons = selection.owned(memories, owner).join(upkeep.audit_batches(memories, owner), "id")
         verdicts = durable(self.judge.decide("audit", lessons))
         trail = durable(upkeep.audit_trail(memories, verdicts))
         if not dry_run:
-            after = upkeep.changed(self.store.read("memories"), upkeep.audited(memories, verdicts), self.now)
-            entry = trail.select(self.now.alias("at"), F.concat(F.lit("audit "), "verdict").alias("action"), F.to_json(F.struct("id", "before", "after")).alias("detail"))
-            self.store.commit({"memories": after}, {"memory_log": entry} | self._entries(after), base)
+            after = upkeep.changed(self.store.read("memories"), upkeep.audited(memories, verdicts), now)
+            entry = trail.select(now.alias("at"), F.concat(F.lit("audit "), "verdict").alias("action"), F.to_json(F.struct("id", "before", "after")).alias("detail"))
+            self._touch(after.where(F.col("updated_at") >= now), base, {"memory_log": entry})
         return trail
 
     def backfill(self, owner: str = "default") -> int:
         """Keywords and handles for memories without them; returns how many rows were changed."""
-        base = self.store.newest()
+        base, now = self.store.newest(), self.now
         memories = self.store.read("memories")
         bare = selection.owned(memories, owner).where("trim(keywords) = '' OR trim(mini) = ''")
         batches = bare.join(upkeep.backfill_batches(memories.withColumn("_any", F.when((F.trim("keywords") != "") & (F.trim("mini") != ""), "x").otherwise("")), "_any", owner=owner), "id")
         found = durable(upkeep.backfilled(bare, durable(self.judge.decide("backfill", batches))))
-        after = durable(upkeep.changed(memories, found, self.now))
-        self.store.commit({"memories": after}, self._entries(after), base)
+        after = durable(upkeep.changed(memories, found, now))
+        self._touch(after.where(F.col("updated_at") >= now), base)
         return found.count()
 
     def inject(self, owner: str = "default", scope: str = "smart", cwd: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -116,25 +124,27 @@ class MemoryEngine:
 
     def remember(self, owner: str = "default", cwd: str | None = None, **candidate) -> DataFrame:
         """Write one memory (``summary``, ``content`` and more of a candidate's fields); returns the log."""
-        base = self.store.newest()
+        base, now = self.store.newest(), self.now
         full = {"kind": "fact", "origin": "user_stated", "confidence": 0.9, "keywords": []} | candidate
-        return self._write(ingest.remember(self.store.read("memories"), self.store.read("tombstones"), self.judge, full, self.now, owner, cwd), base)
+        return self._write(ingest.remember(self.store.read("memories"), self.store.read("tombstones"), self.judge, full, now, owner, cwd), base, now)
 
     def ingest(self, text: str, source: str, owner: str = "default") -> DataFrame:
-        base = self.store.newest()
-        return self._write(ingest.ingest_text(self.store.read("memories"), self.store.read("tombstones"), self.judge, text, source, self.now, owner), base)
+        base, now = self.store.newest(), self.now
+        return self._write(ingest.ingest_text(self.store.read("memories"), self.store.read("tombstones"), self.judge, text, source, now, owner), base, now)
 
-    def _write(self, out: ingest.Written, base: int) -> DataFrame:
-        """New rows are appended; other changes write the table anew, unless another writer changed it after version
-        ``base``. The index gets the rows touched."""
+    def _write(self, out: ingest.Written, base: int, now: Column) -> DataFrame:
+        """New rows are appended; of other changes the rows that they touch are written, unless another writer came
+        after version ``base``. The index gets the same rows."""
         if out.added is not None:
             self.store.append({"memories": out.added} | index.entries(out.added))
         else:
-            self.store.commit({"memories": out.memories}, self._entries(out.memories), base)
+            self._touch(out.memories.where(F.col("updated_at") >= now), base)
         return out.log
 
-    def _entries(self, memories: DataFrame) -> dict[str, DataFrame]:
-        return index.entries(memories.where(F.col("updated_at") >= self.now))
+    def _touch(self, rows: DataFrame, base: int, added: dict[str, DataFrame] | None = None) -> int:
+        """Write changed rows of the memories, and their entries in the index."""
+        rows = durable(rows)
+        return self.store.commit({}, index.entries(rows) | (added or {}), base, {"memories": rows})
 
     def reindex(self) -> int:
         """Build the index anew, for a store that was written without."""
@@ -144,14 +154,14 @@ class MemoryEngine:
         """Archive memories and keep their contents from coming back; returns the new version."""
         base = self.store.newest()
         chosen = self.spark.createDataFrame([(i,) for i in ids], "id long")
-        after, stones = upkeep.archive(self.store.read("memories"), chosen, reason, self.now)
-        old = self.store.read("tombstones")
-        return self.store.commit({"memories": after, "tombstones": old.unionByName(stones.select(*old.columns)).dropDuplicates(["owner", "digest"])}, base=base)
+        after, stones = upkeep.archive(self.store.read("memories").where(F.col("id").isin(ids)), chosen, reason, self.now)
+        fresh = stones.join(self.store.read("tombstones").select("owner", "digest"), ["owner", "digest"], "left_anti")
+        return self.store.commit({}, {"tombstones": fresh.dropDuplicates(["owner", "digest"])}, base, {"memories": after})
 
     def pin(self, ids: list[int], pinned: bool = True) -> int:
         base = self.store.newest()
-        value = F.when(F.col("id").isin(ids), int(pinned)).otherwise(F.col("pinned"))
-        return self.store.commit({"memories": self.store.read("memories").withColumn("pinned", value)}, base=base)
+        rows = self.store.read("memories").where(F.col("id").isin(ids))
+        return self.store.commit({}, base=base, touched={"memories": rows.withColumn("pinned", F.lit(int(pinned)))})
 
     def clear(self, conversation: str) -> None:
         """Forget what a conversation was given."""

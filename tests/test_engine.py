@@ -33,6 +33,41 @@ def test_a_stores_life(spark, tmp_path):
     assert [r.id for r in engine.inject()[0].collect()] == [3] and [r.id for r in engine.list().collect()] == [3, 1]
 
 
+def test_changes_write_only_their_rows(spark, sf, tmp_path):
+    engine = MemoryEngine(spark, f"file://{tmp_path}/s")
+    rows = X.memories(spark, sf)
+    engine.store.commit({"memories": rows.withColumn("last_seen_at", F.col("last_seen").cast("timestamp"))})
+    engine.reindex()
+    n = rows.count()
+
+    def written(table):
+        folder = engine.store.manifest()["tables"][table][-1]
+        return spark.read.parquet(f"{tmp_path}/s/{folder}").count()
+
+    engine.pin([3, 4])
+    assert written("memories") == 2 and engine.memories().where("id IN (3, 4) AND pinned = 1").count() == 2
+    engine.forget([5])
+    assert written("memories") == 1 and engine.memories().where("id = 5").first().status == "archived" and engine.store.read("tombstones").count() == 1
+    decided = spark.createDataFrame([(0, "REFINE", 7, None, None, None, "zebras only", ["z"])], DECISIONS["merge"])
+    engine.judge = ReplayJudge({"merge": decided})
+    engine.remember(summary="z", content="zebras")
+    assert written("memories") == 1 and written("sizes") == 1 and engine.memories().count() == n
+    # the refined row's older entries in the index don't count any more
+    engine.judge = ReplayJudge({})
+    assert [r.id for r in engine.recall("zebras", 1, mode="fast", scope="all").collect()] == [7]
+    row = rows.where("id = 7").first()
+    old = next(w for w in reversed(row.content.split()) if len(w) > 3 and w.lower() not in f"{row.summary} {row.keywords}".lower())
+    hits = index.open_index(*(engine.store.read(t) for t in ("postings", "sizes", "memories"))).hits(spark.createDataFrame([(old.lower(),)], "term string"))
+    assert hits.where("id = 7").count() == 0
+    for k in range(3):
+        engine.say("c", f"question {k}", f"answer {k}")
+    assert written("replies") == 1 and written("topics") == 1
+    assert [(r.reply_id, r.query, r.answer) for r in engine.store.read("replies").orderBy("reply_id").collect()] == [(k + 1, f"question {k}", f"answer {k}") for k in range(3)]
+    versions = engine.store.newest()
+    engine.recall("zebras", 1, mode="fast", conversation="c")
+    assert engine.store.newest() == versions and engine.store.read("recall_log").count() == 2
+
+
 def test_merge_decisions_and_texts(spark, tmp_path):
     now = F.lit("2024-07-01 00:00:00").cast("timestamp")
     engine = MemoryEngine(spark, f"file://{tmp_path}/s", ReplayJudge({}), now)

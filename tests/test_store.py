@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anamnesis import fixtures as X
+from anamnesis import snapshots
 from anamnesis.functions import text as T
 from anamnesis.operators import conversations as C
 from anamnesis.operators import merging as M
@@ -228,6 +229,22 @@ def test_a_writer_that_died_stops_nobody(spark, tmp_path):
     assert store.commit({"memories": memory(spark, [(2, "b", "mixed", 0.5)])}) == 2 and store.newest() == 2
 
 
+def test_touched_rows_stand_for_earlier_ones(spark, tmp_path, monkeypatch):
+    """Against a plain dictionary, over appends, touches and rewrites of tables of many parts."""
+    monkeypatch.setattr(snapshots, "COMPACT", 4)
+    store, want, r = SnapshotStore(spark, f"file://{tmp_path}/s", keep=30), {}, random.Random(3)
+    for step in range(14):
+        new = {100 + step: f"new {step}"}
+        old = {k: f"{want[k]} {step}" for k in r.sample(sorted(want), min(3, len(want)))} | {500 + step: "touched first"}
+        table = lambda rows: memory(spark, [(k, v, "mixed", 0.5) for k, v in rows.items()])
+        store.commit({}, {"memories": table(new)}, touched={"memories": table(old)})
+        want |= new | old
+        assert {x.id: x.content for x in store.read("memories").collect()} == want
+        assert len(store.manifest()["tables"]["memories"]) <= 6
+    assert {x.id for x in store.read("memories", 1).collect()} == {100, 500}
+    assert store.read("memories").count() == len(want)
+
+
 def test_locks(spark, tmp_path):
     one_, two = (SnapshotStore(spark, f"file://{tmp_path}/s") for _ in range(2))
     with one_.locked(2000):
