@@ -443,6 +443,29 @@ def streamed_resets(spark, sf):
     seven = rows.where("conversation = '7'")
     reset = seven.select("conversation").distinct().select("conversation", F.lit(None).cast("string").alias("item"), step(2).alias("at"), F.lit(True).alias("reset"))
     events = rows.withColumns({"at": step(0), "reset": F.lit(False)}).unionByName(rows.withColumns({"at": step(1), "reset": F.lit(False)})).unionByName(reset).unionByName(seven.withColumns({"at": step(3), "reset": F.lit(False)}))
-    stream = _stream(spark, sf, events, "conversation string, item string, at timestamp, reset boolean")
-    fresh = _ran(spark, live.fresh_with_resets(stream), "resets")
-    return fresh.groupBy("conversation", "item").agg(F.count("*").alias("times"))
+    return _freshened(spark, sf, events, "resets").groupBy("conversation", "item").agg(F.count("*").alias("times"))
+
+
+def _freshened(spark, sf, events, name):
+    """``fresh_with_resets`` over events as files, with the state store that it needs; the session's own is restored."""
+    key, store = live.STATE_STORE
+    own = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        stream = _stream(spark, sf, events, "conversation string, item string, at timestamp, reset boolean")
+        return _ran(spark, live.fresh_with_resets(stream), name)
+    finally:
+        spark.conf.set(key, own)
+
+
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id % 40 AS VARCHAR) AS c, event_type AS i, user_id % 40 = 7 AND ts >= TIMESTAMP '2024-01-15' AS later, epoch_us(ts) // 1000 AS t FROM events),
+    f AS (SELECT c, i, later, min(t) AS t FROM e GROUP BY ALL
+        UNION ALL SELECT f.c, f.i, f.later, min(e.t) FROM f JOIN e ON e.c = f.c AND e.i = f.i AND e.later = f.later AND e.t > f.t + 172800000 GROUP BY f.c, f.i, f.later, f.t)
+    SELECT c AS conversation, i AS item, count(*) AS times, max(t) AS last_ms FROM f GROUP BY c, i""")
+def streamed_expiry(spark, sf):
+    """Items over a month: each is fresh again after 48 hours, and at once after its conversation's compaction."""
+    events = X.table(spark, sf, "events").select((F.col("user_id") % 40).cast("string").alias("conversation"), F.col("event_type").alias("item"), F.col("ts").cast("timestamp").alias("at"), F.lit(False).alias("reset"))
+    compacted = events.where("conversation = '7'").select("conversation").distinct()
+    compacted = compacted.select("conversation", F.lit(None).cast("string").alias("item"), F.lit("2024-01-15 00:00:00").cast("timestamp").alias("at"), F.lit(True).alias("reset"))
+    fresh = _freshened(spark, sf, events.unionByName(compacted), "expiry")
+    return fresh.groupBy("conversation", "item").agg(F.count("*").alias("times"), F.unix_millis(F.max("at")).alias("last_ms"))

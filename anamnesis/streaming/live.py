@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from anamnesis.sources.sync import AGENTS, landed_lines
 
@@ -35,29 +36,59 @@ def fresh_injections(stream: DataFrame, hours: int = 48) -> DataFrame:
     return stream.withWatermark("at", f"{hours} hours").dropDuplicatesWithinWatermark(["conversation", "item"])
 
 
-def fresh_with_resets(stream: DataFrame, hours: int = 48) -> DataFrame:
-    """As ``fresh_injections``, with records that clear a conversation, as its compaction does (``reset``):
-    ``conversation, item, at``. A conversation's state is the items that it had, with their times."""
+class Ledger(StatefulProcessor):
+    """What a conversation was given, as map state: an item and when it was last fresh. A record with ``reset`` clears the
+    conversation. A timer of event time takes away what is over, so that a conversation that falls silent leaves no state."""
+
+    def __init__(self, hours: int):
+        self.ms = hours * 3_600_000
 
-    def run(key, batches, state):
-        had: dict[str, float] = dict(zip(*state.get)) if state.exists else {}
-        rows = pd.concat([*batches])
-        rows = rows.sort_values(["at", "reset"], kind="stable", na_position="first")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.had = handle.getMapState("had", "item string", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out = []
-        for item, when, reset in zip(rows["item"], rows["at"], rows["reset"]):
-            now = when.timestamp()
+        # in order of time, which a batch's rows don't have; a reset comes after items of the same moment
+        given = pd.concat([*rows]).sort_values(["at", "reset", "item"], kind="stable")
+        for item, when, reset in zip(given["item"], given["at"], given["reset"]):
+            now = when.value // 1_000_000  # of nanoseconds
             if reset:
-                had.clear()
-            elif now - had.get(item, float("-inf")) > hours * 3600:
-                had[item] = now
+                self.had.clear()
+            elif not self.had.containsKey((item,)) or now - self.had.getValue((item,))[0] > self.ms:
+                self.had.updateValue((item,), (now,))
                 out.append((key[0], item, when))
-        last = rows["at"].max().timestamp() - hours * 3600
-        kept = {i: t for i, t in had.items() if t >= last}
-        state.update(([*kept], [*kept.values()]))
+        self._wake()
         yield pd.DataFrame(out, columns=["conversation", "item", "at"])
 
-    marked = stream.withColumn("reset", F.coalesce("reset", F.lit(False)))
-    return marked.groupBy("conversation").applyInPandasWithState(run, "conversation string, item string, at timestamp", "items array<string>, times array<double>", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        for (item,) in [k for k, (at,) in self.had.iterator() if at + self.ms < passed]:
+            self.had.removeKey((item,))
+        self._wake()
+        yield pd.DataFrame([], columns=["conversation", "item", "at"])
+
+    def _wake(self) -> None:
+        """One timer, for when the oldest item is over."""
+        for timer in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(timer)
+        if times := [at for _, (at,) in self.had.iterator()]:
+            self.handle.registerTimer(min(times) + self.ms + 1)
+
+    def close(self) -> None:
+        pass
+
+
+#: The setting without which map state and timers aren't to be had, and its value.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def fresh_with_resets(stream: DataFrame, hours: int = 48, late: str = "48 hours") -> DataFrame:
+    """As ``fresh_injections``, with records that clear a conversation, as its compaction does (``reset``):
+    ``conversation, item, at``. An item is fresh again more than ``hours`` after it last was. The session that starts the stream
+    must have ``STATE_STORE``; what comes later than ``late`` after the newest is left out."""
+    marked = stream.withColumn("reset", F.coalesce("reset", F.lit(False))).withWatermark("at", late)
+    return marked.groupBy("conversation").transformWithStateInPandas(Ledger(hours), "conversation string, item string, at timestamp", "append", "eventTime")
 
 
 def live_activity(stream: DataFrame, late: str = "1 day") -> DataFrame:

@@ -35,3 +35,31 @@ def test_ledger_and_activity(spark, tmp_path):
     live.live_activity(stream).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("activity").select("n", "req_bytes").first() == (3, 6)
     assert spark.table("activity").agg(F.count("*")).first()[0] == 1
+
+
+def test_the_ledger_lets_go_of_silent_conversations(spark, tmp_path):
+    """Over several runs: state is kept between them, expires by the watermark, and a reset clears it."""
+    key, store = live.STATE_STORE
+    own = spark.conf.get(key)
+    spark.conf.set(key, store)
+    folder, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    folder.mkdir()
+
+    def arrive(name, *rows):
+        (folder / name).write_text("\n".join(json.dumps({"conversation": c, "item": i, "at": f"2024-01-{t}:00:00Z", "reset": i is None}) for c, i, t in rows))
+        stream = spark.readStream.schema("conversation string, item string, at timestamp, reset boolean").json(str(folder))
+        fresh = live.fresh_with_resets(stream, late="1 hour")
+        fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.conversation, r.item, r.at.day, r.at.hour) for r in spark.read.parquet(out).collect())
+
+    try:
+        first = arrive("a.json", ("c", "m:1", "01T00"), ("c", "m:1", "01T05"), ("d", "m:1", "01T06"))
+        assert [x[:2] for x in first] == [("c", "m:1"), ("d", "m:1")]
+        assert arrive("b.json", ("c", "m:1", "02T23"), ("d", None, "02T23"), ("e", "m:2", "02T23")) == sorted([*first, ("e", "m:2", 2, 23)])
+        again = arrive("c.json", ("c", "m:1", "03T01"), ("d", "m:1", "03T00"))
+        assert len(again) == 5 and ("c", "m:1", 3, 1) in again and ("d", "m:1", 3, 0) in again
+        arrive("d.json", ("f", "m:9", "20T00"))
+        left = spark.read.format("statestore").option("path", check).option("stateVarName", "had").load().select("key.*").collect()
+        assert {r[0] for r in left} == {"f"}
+    finally:
+        spark.conf.set(key, own)
