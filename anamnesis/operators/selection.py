@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import clip
+from anamnesis.operators.ranking import numbered
 from anamnesis.schema import PERSONAL_KINDS
 
-#: Lists of ids up to this long are sent to all tasks; longer ones are joined by a shuffle.
-MOST_BROADCAST = 10_000
 LISTED = ("id", "kind", "summary", "pinned", "last_seen")
 
 
@@ -46,13 +45,12 @@ def merge_candidates(memories: DataFrame, as_of: Column, days: int, owner: str =
     return owned(memories, owner).where((F.col("pinned") == 1) | (F.col("evidence") >= 3) | (F.col("last_seen") >= since))
 
 
-def by_ids(memories: DataFrame, ids: list[int]) -> DataFrame:
-    """Active memories in the order of ``ids``; of an id that is named twice, the last place counts."""
-    places = {i: n for n, i in enumerate(ids)}
-    asked = memories.sparkSession.createDataFrame([*places.items()], "id long, place long")
-    if len(places) <= MOST_BROADCAST:
-        asked = F.broadcast(asked)
-    return memories.where("status = 'active'").join(asked, "id").orderBy("place").limit(len(places)).drop("place")
+def by_ids(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """Active memories that are asked for (``id, position``), with ``place``, 1, 2, ... in the order of positions; of an
+    id that is named twice, the last position counts."""
+    last = asked.groupBy("id").agg(F.max("position").alias("position"))
+    rows = memories.where("status = 'active'").join(last, "id")
+    return numbered(rows, "position", "id").withColumnRenamed("number", "place").drop("position")
 
 
 def constitution(memories: DataFrame, owner: str, scope: str = "all", cwd: str | None = None, limit: int = 5) -> DataFrame:

@@ -146,9 +146,8 @@ def constitution_top5(spark, sf):
 @query(MEM + """, a AS (SELECT s_suppkey * 7 % 500 + 1 AS aid, max(s_suppkey) AS p FROM supplier GROUP BY 1)
     SELECT id, summary, CAST(row_number() OVER (ORDER BY p) AS BIGINT) AS place FROM mem JOIN a ON id = aid WHERE status = 'active'""")
 def lookup_by_ids(spark, sf):
-    asked = X.table(spark, sf, "supplier").orderBy("s_suppkey").select((F.col("s_suppkey") * 7 % 500 + 1).alias("i"))
-    rows = S.by_ids(X.memories(spark, sf), [r.i for r in asked.collect()]).select("id", "summary")
-    return in_order(rows, "place")
+    asked = X.table(spark, sf, "supplier").select((F.col("s_suppkey") * 7 % 500 + 1).alias("id"), F.col("s_suppkey").alias("position"))
+    return S.by_ids(X.memories(spark, sf), asked).select("id", "summary", F.col("place").cast("long").alias("place"))
 
 
 @query(MEM + f" SELECT id, substr(summary, 1, 50) || CASE WHEN length(summary) > 50 THEN '…' ELSE '' END AS summary FROM mem WHERE {OWN} AND last_seen > DATE '2024-05-01' ORDER BY id DESC LIMIT 8")
@@ -231,12 +230,11 @@ def envelope_strip(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", T.strip_envelope(card).alias("kept"))
 
 
-@query("SELECT doc_id, 'see [图片] and [代码块] end ' || lang AS cleaned FROM documents")
+@query(r"""SELECT doc_id, regexp_replace('see [图片]! and [代码块] then ' || text, '[\t\n\x0B\f\r\p{Z}\x{FEFF}]+$', '') AS cleaned FROM documents""")
 def clean_text(spark, sf):
-    image = F.concat(F.lit("data:image/png;base64,"), F.repeat(F.lit("QUJD"), 80))
-    raw = F.concat(F.lit("  see "), image, F.lit(") and ```py\nx = 1\n``` end "), "lang")
-    raw = F.replace(raw, F.lit(") and"), F.lit("! and"))
-    return X.table(spark, sf, "documents").select("doc_id", F.replace(T.clean(raw), F.lit("]! and"), F.lit("] and")).alias("cleaned"))
+    image = F.concat(F.lit("data:image/png;base64,"), F.repeat(F.base64(F.encode(F.lit("picture"), "utf-8")), 60))
+    raw = F.concat(F.lit("  see "), image, F.lit("! and ```py\n"), F.replace("text", F.lit("```"), F.lit("")), F.lit("\n``` then "), "text", F.lit(" \n"))
+    return X.table(spark, sf, "documents").select("doc_id", T.clean(raw).alias("cleaned"))
 
 
 @query(MEM + " SELECT id, CASE WHEN length(summary) > 60 THEN substr(summary, 1, 60) || '…' ELSE summary END AS handle, CASE status WHEN 'absorbed' THEN 'absorbed into a profile' WHEN 'superseded' THEN 'superseded by a newer memory' WHEN 'archived' THEN 'archived' ELSE '' END AS label FROM mem")

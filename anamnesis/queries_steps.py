@@ -348,11 +348,13 @@ def decided_cards(spark, sf):
     return _decide("store-card", X.table(spark, sf, "supplier").select(F.lit("default").alias("owner"), F.col("s_name").alias("domain"), F.col("s_suppkey").alias("members"), F.col("s_name").alias("sample")))
 
 
-@query(MEM + " SELECT id, status FROM mem WHERE FALSE")
+@query(MEM + " SELECT id, 'ok' AS verdict, FALSE AS changed FROM mem")
 def decided_audit(spark, sf):
-    """Without a model all lessons are fine, so an audit changes nothing."""
+    """Without a model all lessons are fine: each has its verdict, and none changes."""
     memories = X.memories(spark, sf)
-    return U.audited(memories, _decide("audit", memories)).select("id", "status")
+    verdicts = _decide("audit", memories)
+    changed = U.audited(memories, verdicts).select("id", F.lit(True).alias("changed"))
+    return verdicts.join(changed, "id", "left").select("id", "verdict", F.coalesce("changed", F.lit(False)).alias("changed"))
 
 
 @query(MEM + f" SELECT id, coalesce(domain, 'general') AS keywords, substr(summary, 1, 60) AS mini FROM mem WHERE {OWN}")

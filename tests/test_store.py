@@ -309,7 +309,7 @@ def test_profiles_reactivate_and_keep_abstract(spark):
 
 def test_selection_order_and_scope(spark):
     rows = memory(spark, [(i, "x", "mixed", 0.5) for i in (1, 2, 3)])
-    assert [r.id for r in S.by_ids(rows, [3, 1, 3, 9]).collect()] == [1, 3]
+    assert [(r.id, r.place) for r in S.by_ids(rows, spark.createDataFrame([*zip([3, 1, 3, 9], range(4))], "id long, position long")).orderBy("place").collect()] == [(1, 1), (3, 2)]
     assert one(spark, U.joined_members(F.array(F.lit(3), F.lit(1)).cast("array<long>"), F.array(F.lit(1), F.lit(2)).cast("array<long>"))) == [3, 1, 2]
 
 
