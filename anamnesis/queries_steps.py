@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -449,13 +451,20 @@ def streamed_resets(spark, sf):
 
 
 def _freshened(spark, sf, events, name):
-    """``fresh_with_resets`` over events as files, with the state store that it needs; the session's own is restored."""
+    """``fresh_with_resets`` over events as files."""
+    with _state_store(spark):
+        stream = _stream(spark, sf, events, "conversation string, item string, at timestamp, reset boolean")
+        return _ran(spark, live.fresh_with_resets(stream), name)
+
+
+@contextmanager
+def _state_store(spark):
+    """The state store that map state and timers need; the session's own is restored."""
     key, store = live.STATE_STORE
     own = spark.conf.get(key)
     spark.conf.set(key, store)
     try:
-        stream = _stream(spark, sf, events, "conversation string, item string, at timestamp, reset boolean")
-        return _ran(spark, live.fresh_with_resets(stream), name)
+        yield
     finally:
         spark.conf.set(key, own)
 
@@ -471,3 +480,27 @@ def streamed_expiry(spark, sf):
     compacted = compacted.select("conversation", F.lit(None).cast("string").alias("item"), F.lit("2024-01-15 00:00:00").cast("timestamp").alias("at"), F.lit(True).alias("reset"))
     fresh = _freshened(spark, sf, events.unionByName(compacted), "expiry")
     return fresh.groupBy("conversation", "item").agg(F.count("*").alias("times"), F.unix_millis(F.max("at")).alias("last_ms"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, count(*) OVER (PARTITION BY conv_id) AS size FROM conversations)
+    SELECT 'c' || conv_id AS uid, 0 AS generation, n AS line_no, replace(text, chr(10), ' ') AS value, NULL AS note FROM c WHERE conv_id % 3 <> 1 OR n = 0
+    UNION ALL SELECT 'c' || conv_id, 1, n, replace(text, chr(10), ' ') || '!', NULL FROM c WHERE conv_id % 3 = 2
+    UNION ALL SELECT 'c' || conv_id, 1, 0, NULL, 'restart' FROM c WHERE conv_id % 3 = 2 AND n = 0
+    UNION ALL SELECT 'c' || conv_id, 0, 1, NULL, 'gap' FROM c WHERE conv_id % 3 = 1 AND n >= 2""")
+def streamed_pushes(spark, sf):
+    """Each turn of a conversation as a push, twice. Of a third of the conversations the second turn never comes, so all later ones
+    are gaps; another third is written anew with other words."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    value = F.replace("text", F.lit("\n"), F.lit(" "))
+    turns = X.table(spark, sf, "conversations").select("conv_id", place.cast("long").alias("from_line"), F.array(value).alias("lines"))
+    kept = turns.where("conv_id % 3 != 1 OR from_line != 1")
+    again = kept.where("conv_id % 3 != 1 OR from_line = 0")
+    anew = turns.where("conv_id % 3 = 2").withColumn("lines", F.array(F.concat(F.get("lines", F.lit(0)), F.lit("!"))))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    pushed = None
+    for day, part in enumerate((kept, again, anew)):
+        rows = part.withColumn("at", start + F.make_dt_interval(days=F.lit(day)))
+        pushed = rows if pushed is None else pushed.unionByName(rows)
+    rows = pushed.select(F.lit("m").alias("machine"), F.lit("pi").alias("agent"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("uid"), "from_line", "lines", "at")
+    with _state_store(spark):
+        return _ran(spark, live.aligned(_stream(spark, sf, rows, live.PUSH)), "pushes").select("uid", "generation", "line_no", "value", "note")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +32,58 @@ def land(stream: DataFrame, out: str, checkpoint: str, late: str = "48 hours") -
     return once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy("machine").trigger(availableNow=True).start()
 
 
+ALIGNED = "machine string, uid string, generation int, line_no long, value string, at timestamp, note string"
+
+
+class Alignment(StatefulProcessor):
+    """How far each session of a machine has come: the next line, a digest of its first one, and its generation.
+
+    A push that begins where the session ends, or before, gives its lines from there on, so a replay gives nothing again. One that
+    begins later leaves a gap: it is noted with the line that the sender must go back to, and its lines aren't taken, so that
+    what is stored has no holes. A push from line 0 whose first line differs from the stored one is a session that was
+    written anew: its generation rises and its lines begin again.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", "next long, first string, generation int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        place = self.place.get() if self.place.exists() else None
+        after, first, generation = place or (0, None, 0)
+        out = []
+        note = lambda at, line, what: out.append((*key, generation, line, None, at, what))
+        given = pd.concat([*rows]).sort_values(["at", "from_line"], kind="stable")
+        for start, lines, at in zip(given["from_line"], given["lines"], given["at"]):
+            lines = [] if lines is None else [*lines]
+            if start < 0 or not lines:
+                continue
+            if start == 0:
+                mark = hashlib.sha256((lines[0] or "").encode()).hexdigest()
+                if first is not None and mark != first:
+                    generation, after = generation + 1, 0
+                    note(at, 0, "restart")
+                first = mark
+            if start > after:
+                note(at, after, "gap")
+                continue
+            out += [(*key, generation, start + k, value, at, None) for k, value in enumerate(lines) if start + k >= after]
+            after = max(after, start + len(lines))
+        self.place.update((after, first, generation))
+        yield pd.DataFrame(out, columns=["machine", "uid", "generation", "line_no", "value", "at", "note"])
+
+    def close(self) -> None:
+        pass
+
+
+def aligned(stream: DataFrame) -> DataFrame:
+    """Lines of pushes (``PUSH``) that follow on what their session has, once each, and notes of gaps and restarts
+    (``note``, with the line to go back to). The session that starts the stream must have ``STATE_STORE``. A session's state is
+    three values, and how many pushes a batch takes is the source's to limit."""
+    rows = stream.where(F.col("agent").isin(*AGENTS) & (F.length("uid") > 0))
+    keyed = rows.select(F.coalesce("machine", F.lit("")).alias("machine"), "uid", "from_line", "lines", "at")
+    return keyed.groupBy("machine", "uid").transformWithStateInPandas(Alignment(), ALIGNED, "append", "None")
+
+
 def fresh_injections(stream: DataFrame, hours: int = 48) -> DataFrame:
     """Items that a conversation hasn't had in the last 48 hours; ``stream`` has ``conversation, item, at``."""
     return stream.withWatermark("at", f"{hours} hours").dropDuplicatesWithinWatermark(["conversation", "item"])

@@ -63,3 +63,30 @@ def test_the_ledger_lets_go_of_silent_conversations(spark, tmp_path):
         assert {r[0] for r in left} == {"f"}
     finally:
         spark.conf.set(key, own)
+
+
+def test_pushes_are_aligned(spark, tmp_path):
+    """Over runs: replays land once, a gap is told and filled later, a session that was written anew starts again."""
+    key, store = live.STATE_STORE
+    own = spark.conf.get(key)
+    spark.conf.set(key, store)
+    folder, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    folder.mkdir()
+
+    def arrive(name, *pushes):
+        rows = [{"machine": "m", "agent": "pi", "uid": u, "from_line": n, "lines": lines, "at": f"2024-01-01T{h:02}:00:00Z"} for h, (u, n, lines) in enumerate(pushes)]
+        (folder / name).write_text("\n".join(map(json.dumps, rows)))
+        stream = live.aligned(live.pushes(spark, str(folder)))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.uid, r.generation, r.line_no, r.value or "", r.note or "") for r in spark.read.parquet(out).collect())
+
+    try:
+        first = arrive("a.json", ("u", 0, ["a", "b"]), ("u", 1, ["b", "c"]), ("u", 5, ["f"]), ("v", 2, ["late"]), ("", 0, ["x"]), ("w", 0, []))
+        lines = [("u", 0, 0, "a", ""), ("u", 0, 1, "b", ""), ("u", 0, 2, "c", "")]
+        assert first == sorted([*lines, ("u", 0, 3, "", "gap"), ("v", 0, 0, "", "gap")])
+        second = arrive("b.json", ("u", 0, ["a", "b", "c"]), ("u", 3, ["d", "e", "f"]), ("v", 0, ["x", "y"]), ("v", 2, ["late"]))
+        assert second == sorted([*first, ("u", 0, 3, "d", ""), ("u", 0, 4, "e", ""), ("u", 0, 5, "f", ""), ("v", 0, 0, "x", ""), ("v", 0, 1, "y", ""), ("v", 0, 2, "late", "")])
+        third = arrive("c.json", ("u", 0, ["new", "words"]), ("u", 2, ["more"]))
+        assert third == sorted([*second, ("u", 1, 0, "", "restart"), ("u", 1, 0, "new", ""), ("u", 1, 1, "words", ""), ("u", 1, 2, "more", "")])
+    finally:
+        spark.conf.set(key, own)
