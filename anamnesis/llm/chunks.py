@@ -11,7 +11,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,11 +63,10 @@ def in_parts(texts: list[str], lead: str = "") -> Iterator[tuple[list[str], list
             else:
                 mine = np.array([names.setdefault(p, len(names)) for p in parts_of(lead + text)], np.int64)
             out.append(mine)
-        used = np.unique(np.concatenate(out))
-        place = np.zeros(len(names), np.int64)
-        place[used] = np.arange(len(used))
-        listed = [*names]
-        yield [listed[k] for k in used.tolist()], [place[mine] for mine in out]
+        # words of texts that were split one by one, and first words, may have no part
+        used = np.bincount(np.concatenate(out), minlength=len(names)) > 0
+        place = np.cumsum(used) - 1
+        yield [*compress(names, used.tolist())], [place[mine] for mine in out]
 
 
 _MISSING = object()
@@ -120,19 +119,27 @@ class Vocabulary:
     """The bytes of each id, and what encodes texts into lists of ids."""
 
     bytes: list[bytes]
+    lengths: np.ndarray
+    #: Whether ids always have the bytes of their text.
+    lossless = False
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
     def flat(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all parts, which aren't empty, and how many have come by the end of each part. Fails with a
-        ``ValueError`` if the ids' bytes aren't those of the parts."""
+        ``ValueError`` if the ids' bytes aren't those of the parts, or an id goes over a part's end."""
+        if not parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         lists = self.encode(joined(parts))
         ids = np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
-        if b"".join([self.bytes[i] for i in ids.tolist()]) != "".join(parts).encode():
+        if not self.lossless and b"".join([self.bytes[i] for i in ids.tolist()]) != "".join(parts).encode():
             raise ValueError("other bytes")
-        sizes = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in parts), np.int64, len(parts))
-        return ids, np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+        ends, here = np.cumsum(self.lengths[ids]), np.cumsum(pc.binary_length(pa.array(parts, pa.large_string())).to_numpy())
+        last = np.searchsorted(ends, here)
+        if len(ends) != last[-1] + 1 or (ends[last] != here).any():
+            raise ValueError("other places")
+        return ids, last + 1
 
 
 #: Fixed value: how byte-level vocabularies split texts into words.
@@ -160,6 +167,7 @@ class ByteLevel(Vocabulary):
             if all(c in shown for c in token):
                 self.bytes[i] = bytes(shown[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.lossless = spec["normalizer"] is None and {bytes([b]) for b in range(256)} <= {*self.bytes}
         merges, pre = spec["model"]["merges"], spec["pre_tokenizer"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in merges)
         plain = pre["type"] == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and spec["normalizer"] is None

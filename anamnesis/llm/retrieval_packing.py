@@ -57,11 +57,12 @@ class Encoder:
         self.known = Remembered(self._learn)
 
     def _learn(self, parts: list[str]) -> list[bytes]:
-        full = [p for p in parts if p]
+        if not (full := [p for p in parts if p]):
+            return [b""] * len(parts)
         ids, ends = self.byte_level.flat(full)
         raw, ends = ids.astype(np.uint16).tobytes(), [0, *(2 * ends).tolist()]
-        known = {p: raw[a:b] for p, a, b in zip(full, ends, ends[1:])}
-        return [known.get(p, b"") for p in parts]
+        coded = map(raw.__getitem__, map(slice, ends, ends[1:]))
+        return [next(coded) if p else b"" for p in parts]
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         for parts, numbers in in_parts(texts):
@@ -109,7 +110,10 @@ def encoded(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str =
                 terms, times = np.unique(ids, return_counts=True)
                 counts[terms] += 1
                 telling = times / (times + K1) * lateness[terms]
-                first, second = terms[np.argsort(-telling, kind="stable")[:2]].tolist() if len(terms) > 1 else [int(terms[0])] * 2
+                first = second = int(terms[k := telling.argmax()])
+                if len(terms) > 1:
+                    telling[k] = -1
+                    second = int(terms[telling.argmax()])
                 whole = len(ids) - len(ids) % capacity
                 for at in range(0, whole, capacity):
                     yield _FULL, key, at, capacity, checksum(ids[at : at + capacity]), len(ids), first, second, None
@@ -170,7 +174,7 @@ class Index:
         self.unit, self.weight = self.unit[heavy], weight[heavy]
         self.first = np.searchsorted(terms[heavy], np.arange(len(idf) + 1))
         self.free = np.ones(len(units), bool)
-        self.kept = len(units)
+        self.kept = self.left = len(units)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Of each unit; -1 for those that are placed."""
@@ -186,10 +190,11 @@ class Index:
 
     def place(self, k: int) -> None:
         self.free[k] = False
-        if 2 * (left := int(self.free.sum())) < self.kept and left:
+        self.left -= 1
+        if 2 * self.left < self.kept and self.left:
             kept = self.free[self.unit]
             self.first = np.concatenate([[0], np.cumsum(kept)])[self.first]
-            self.unit, self.weight, self.kept = self.unit[kept], self.weight[kept], left
+            self.unit, self.weight, self.kept = self.unit[kept], self.weight[kept], self.left
 
 
 @dataclass
