@@ -143,6 +143,11 @@ def test_records_are_cut_evenly(seed):
             cut = {n for k, n in sizes.items() if n < len(record[k])}
             assert len(cut) == 1 and all(n <= cut.copy().pop() for n in sizes.values())
     assert len(records.fitted({f"k{i}": "x" * 400 for i in range(99)}, 2000)) == 2000
+    # what is lost with the cut takes more in JSON than it has characters; it isn't made up for by a deeper cut
+    for escaped in ("\n", '"\\', "\x01"):
+        got = records.fitted({"note": "x" * 3000 + escaped + "y" * 3000, "more": "z" * 700 + escaped}, 3000)
+        assert len(got) == 3000 and len(json.loads(got)["note"]) > len(json.loads(got)["more"])
+
 
 
 def test_untouched_lines_skip_python(spark):
