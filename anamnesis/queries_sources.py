@@ -282,7 +282,7 @@ def slimmed_records(spark, sf):
 def long_records(spark, sf):
     """Texts over 50,000 characters keep their ends."""
     rows = X.table(spark, sf, "documents").where(F.length("text") > 0)
-    long_ = rows.select("doc_id", F.expr("repeat(text, 1 + cast(round(120000 / (length(text) + 1)) as int))").alias("t")).where(F.length("t") > 50_000)
+    long_ = rows.select("doc_id", F.expr("repeat(text, 1 + cast(rint(120000 / (length(text) + 1)) as int))").alias("t")).where(F.length("t") > 50_000)
     return long_.select("doc_id", Q.slimmed_record(message(note=F.col("t"), n=F.col("doc_id")), F.lit("pi")).alias("slim"))
 
 

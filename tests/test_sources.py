@@ -149,6 +149,19 @@ def test_records_are_cut_evenly(seed):
         assert len(got) == 3000 and len(json.loads(got)["note"]) > len(json.loads(got)["more"])
 
 
+def test_long_records_repeat_texts_as_their_sql_does(spark, tmp_path):
+    """The number of repeats lies halfway between two."""
+    import duckdb
+
+    from anamnesis.catalogue import ORACLES, QUERIES
+
+    spark.createDataFrame([(i, "abcdefgh"[i] * size) for i, size in enumerate((15, 31, 239, 383, 1919))], "doc_id long, text string").withColumn("n_chars", F.length("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.doc_id: r.slim for r in QUERIES["long_records"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(ORACLES["long_records"]).fetchall())
+
+
 
 def test_untouched_lines_skip_python(spark):
     lines = ['{"a": 1,  "b": "kept as it came"}', json.dumps({"message": {"content": [{"type": "thinking", "thinking": "x"}]}}), None, "plain", "y" * 60_000]
