@@ -90,3 +90,13 @@ def test_pushes_are_aligned(spark, tmp_path):
         assert third == sorted([*second, ("u", 1, 0, "", "restart"), ("u", 1, 0, "new", ""), ("u", 1, 1, "words", ""), ("u", 1, 2, "more", "")])
     finally:
         spark.conf.set(key, own)
+
+
+def test_lines_a_million_apart_are_others(spark, tmp_path):
+    """Places of the second lot of pushes that the first one's have too."""
+    from anamnesis.catalogue import QUERIES
+
+    rows = [(i, 7, "view") for i in (5, 1_000_005, 2_000_005)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.uid, r.line_no, r.value) for r in QUERIES["streamed_lines"](spark, str(tmp_path)).collect())
+    assert got == sorted([("7", i, "view") for i, *_ in rows] + [("7", i + 1_000_000, "two words") for i, *_ in rows])
