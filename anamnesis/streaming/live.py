@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,32 +102,56 @@ class Ledger(StatefulProcessor):
         self.had = handle.getMapState("had", "item string", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        # in order of time, which a batch's rows don't have; a reset comes after items of the same moment
-        given = pd.concat([*rows]).sort_values(["at", "reset", "item"], kind="stable")
-        for item, when, reset in zip(given["item"], given["at"], given["reset"]):
-            now = when.value // 1_000_000  # of nanoseconds
-            if reset:
-                self.had.clear()
-            elif not self.had.containsKey((item,)) or now - self.had.getValue((item,))[0] > self.ms:
-                self.had.updateValue((item,), (now,))
-                out.append((key[0], item, when))
-        self._wake()
-        yield pd.DataFrame(out, columns=["conversation", "item", "at"])
+        # of a row the item's number, the time and the mark are held; texts come in parts and go
+        numbers: dict[str | None, int] = {}
+        parts = []
+        for part in rows:
+            codes, items = pd.factorize(part["item"], use_na_sentinel=False)
+            here = np.array([numbers.setdefault(None if pd.isna(i) else i, len(numbers)) for i in items], np.int32)
+            parts.append((here[codes], part["at"].to_numpy("datetime64[us]").view(np.int64), part["reset"].to_numpy(bool)))
+        codes, times, resets = map(np.concatenate, zip(*parts))
+        had = {item: at for (item,), (at,) in self.had.iterator()}
+        cleared = np.sort(times[resets])
+        codes, times = codes[~resets], times[~resets]
+        # a reset comes after items of the same moment
+        era = np.searchsorted(cleared, times)
+        order = np.lexsort((times, codes, era))
+        codes, times, era = codes[order], times[order], era[order]
+        names, changed, out = [*numbers], {}, []
+        if len(cleared):
+            self.had.clear()
+        borders = np.flatnonzero((np.diff(era) != 0) | (np.diff(codes) != 0)) + 1
+        for first, end in zip([0, *borders], [*borders, len(times)]) if len(times) else ():
+            item, ms = names[codes[first]], times[first:end] // 1000
+            last = had.get(item) if era[first] == 0 else None
+            at = 0 if last is None else int(np.searchsorted(ms, last + self.ms, "right"))
+            while at < len(ms):
+                last = int(ms[at])
+                out.append((key[0], item, times[first + at]))
+                at = int(np.searchsorted(ms, last + self.ms, "right"))
+                if era[first] == len(cleared):
+                    changed[item] = last
+        for item, last in changed.items():
+            self.had.updateValue((item,), (last,))
+        self._wake(changed if len(cleared) else had | changed)
+        fresh = pd.DataFrame(out, columns=["conversation", "item", "at"])
+        yield fresh.assign(at=pd.Series(fresh["at"].to_numpy(np.int64).view("datetime64[us]")))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        for (item,) in [k for k, (at,) in self.had.iterator() if at + self.ms < passed]:
+        had = {item: at for (item,), (at,) in self.had.iterator()}
+        for item in [i for i, at in had.items() if at + self.ms < passed]:
             self.had.removeKey((item,))
-        self._wake()
+            del had[item]
+        self._wake(had)
         yield pd.DataFrame([], columns=["conversation", "item", "at"])
 
-    def _wake(self) -> None:
+    def _wake(self, had: dict[str | None, int]) -> None:
         """One timer, for when the oldest item is over."""
         for timer in [*self.handle.listTimers()]:
             self.handle.deleteTimer(timer)
-        if times := [at for _, (at,) in self.had.iterator()]:
-            self.handle.registerTimer(min(times) + self.ms + 1)
+        if had:
+            self.handle.registerTimer(min(had.values()) + self.ms + 1)
 
     def close(self) -> None:
         pass

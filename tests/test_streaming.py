@@ -1,7 +1,10 @@
 """Streams give what their batch forms give."""
 
 import json
+import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from anamnesis.streaming import live
@@ -100,3 +103,46 @@ def test_lines_a_million_apart_are_others(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
     got = sorted((r.uid, r.line_no, r.value) for r in QUERIES["streamed_lines"](spark, str(tmp_path)).collect())
     assert got == sorted([("7", i, "view") for i, *_ in rows] + [("7", i + 1_000_000, "two words") for i, *_ in rows])
+
+
+class _State:
+    """Map state and timers in memory, with a count of calls."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {
+                "iterator": lambda: iter([*self.values.items()]), "containsKey": lambda k: k in self.values, "getValue": lambda k: self.values[k],
+                "updateValue": self.values.__setitem__, "removeKey": self.values.pop, "clear": self.values.clear,
+                "listTimers": lambda: iter([*self.timers]), "deleteTimer": self.timers.remove, "registerTimer": self.timers.add,
+            }[name](*args)
+
+        return call
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_ledger_asks_its_state_by_item(seed):
+    """Over batches with resets, what going through records one by one gives; calls don't grow with records."""
+    r, hours = random.Random(seed), 48
+    state, ledger, had, got, want = _State(), live.Ledger(hours), {}, [], []
+    ledger.init(state)
+    for batch in range(3):
+        times = [batch * 20 * 86_400_000_000 + r.randrange(25 * 24) * 3_600_000_000 + r.randrange(3) * 400 for _ in range(3000)]
+        rows = [(None, t, True) if r.random() < seed / 2000 else (r.choice(["a", "b", "c"]), t, False) for t in times]
+        for item, t, reset in sorted(rows, key=lambda x: (x[1], x[2], x[0] or "")):
+            if reset:
+                had.clear()
+            elif item not in had or t // 1000 - had[item] > hours * 3_600_000:
+                had[item] = t // 1000
+                want.append((item, t))
+        frame = pd.DataFrame(rows, columns=["item", "at", "reset"]).assign(at=lambda x: x["at"].to_numpy("int64").view("datetime64[us]"))
+        for out in ledger.handleInputRows(("c",), iter([frame[:1000], frame[1000:]]), None):
+            got += [(i, t.value // 1000) for i, t in zip(out["item"], out["at"])]
+    assert sorted(got) == sorted(want) and {k: v for (k,), (v,) in state.values.items()} == had
+    assert state.timers == {min(had.values()) + hours * 3_600_000 + 1} and state.calls < 60
