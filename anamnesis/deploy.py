@@ -15,16 +15,21 @@ _shipped: set[str] = set()
 
 #: Whether Spark deletes an action's shuffles when it is done, and not only when the driver's memory runs low.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How many bytes of rows, about, go to Python at once; rows alone don't say, as files and texts may be large.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's sources to the workers, once per application.
 
     Spark serves the archive from the driver, so no folder has to be shared. What several actions use is
-    checkpointed, so shuffles aren't kept beyond an action.
+    checkpointed, so shuffles aren't kept beyond an action. Batches for Python are bounded by their bytes; a session
+    that has its own bound keeps it.
     """
     context = spark.sparkContext
     spark.conf.set(CLEAN_UP, "true")
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         folder = Path(tempfile.mkdtemp(prefix="anamnesis-"))  # code alone, and Spark serves it

@@ -65,9 +65,10 @@ def unpack(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                for name, data in entries(row["path"].rsplit("/", 1)[-1], row["content"]):
-                    yield pa.RecordBatch.from_pylist([{"path": row["path"], "entry": name, "content": data.decode("utf-8", "replace")}], schema)
+            for path, content in zip(batch.column(0), batch.column(1)):  # one file at a time, whatever a batch holds
+                path = path.as_py()
+                for name, data in entries(path.rsplit("/", 1)[-1], content.as_py()):
+                    yield pa.RecordBatch.from_pylist([{"path": path, "entry": name, "content": data.decode("utf-8", "replace")}], schema)
 
     out = files.select("path", "content").mapInArrow(run, "path string, entry string, content string")
     return out.where(readable(F.col("entry"))).withColumn("format", F.when(is_session(F.col("content")), "session-jsonl").otherwise("text"))

@@ -8,6 +8,7 @@ import struct
 import tarfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,3 +347,16 @@ def test_folds_are_linear(spark):
     rows = spark.range(400_000).select(F.lit("one").alias("s"), F.col("id").alias("n"), (F.col("id") % 97).alias("size"))
     out = greedy_segments(rows, "s", "n", "size", 5000)
     assert out.agg(F.max("segment")).first()[0] > 3000
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """Files of 20 kB each come in parts of 16 MiB, not ten thousand at once."""
+    from anamnesis.deploy import ship
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    files = ship(spark).range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 20_000).cast("binary").alias("content"))
+    seen = [r.size for r in files.mapInArrow(sizes, "size long").collect()]
+    assert max(seen) < 17 << 20 and len(seen) > 3
