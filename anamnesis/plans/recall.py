@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -12,6 +13,7 @@ from anamnesis.functions.text import query_terms, terms_of
 from anamnesis.operators.ranking import union_first
 from anamnesis.operators.selection import in_scope, owned
 from anamnesis.plans.index import Index, index_of
+from anamnesis.plans.scan import MOST_WANTED, best_rows, counts_of, scanned
 from anamnesis.schema import STATUSES
 
 MATCHES, SHORT_MATCHES, RECENT, SAME_DOMAIN = 60, 20, 20, 30
@@ -187,27 +189,22 @@ def recall_many(
     index: Index | None = None,
 ) -> DataFrame:
     """``question, id, channel, score``: for each of many questions (``question, text``) what ``fast_recall``
-    gives. All terms of all questions are joined with the index; without one, postings are made for the occasion. Questions are
-    a table like others: nothing but the store's counts and its most recent and pinned rows reaches the driver."""
-    statuses, k, index = STATUSES if excavate else ("active",), min(k, 20), index or index_of(memories)
+    gives. All terms of all questions are joined with the index; without one, contents are read once, whole rows are scored where
+    they lie, and only the best of each task move (with more than ``MOST_WANTED`` terms postings are made for the occasion). Questions
+    are a table like others: beyond those terms nothing but the store's counts and its most recent and pinned rows reaches the driver."""
+    statuses, k = STATUSES if excavate else ("active",), min(k, 20)
     asked = questions.select(F.col("question").cast("long").alias("question"), query_terms(F.coalesce("text", F.lit(""))).alias("terms"))
     # a term counts as often as the question has it
     wanted = asked.select("question", F.explode("terms").alias("term")).groupBy("question", F.lower("term").alias("term")).agg(F.count("*").alias("times"))
     wanted = durable(wanted)
-    found = durable(index.hits(wanted.select("term").distinct()))
     own = owned(memories, owner, statuses).select(*light(memories))
-    chars = F.length("term")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(float(index.rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    norm = K1 * (F.lit(1 - B) + B * F.col("size") / F.lit(max(float(index.mean), 1.0)))
-    mine = found.join(own.select("id", "last_seen"), "id").join(df, "term").join(wanted, "term")
-    score = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    full = mine.where(chars >= 3).groupBy("question", "id", "last_seen").agg(F.sum(score).alias("bm25"))
-    full = _best(full, ["question"], [F.desc("bm25"), F.col("id")], MATCHES).select("question", "id", "last_seen", F.lit(HIT).alias("hit_score"))
-    short = _best(mine.where(chars == 2), ["question", "term"], [F.desc("last_seen"), F.desc("id")], SHORT_MATCHES).select("question", "id", "last_seen", F.lit(SHORT_HIT).alias("hit_score"))
-    hits = full.unionByName(short).groupBy("question", "id", "last_seen").agg(F.max("hit_score").alias("hit_score"))
-    hits = durable(_best(hits, ["question"], [F.desc("hit_score"), F.desc("last_seen"), F.col("id")], MATCHES))
-    ranked = own.join(hits.drop("last_seen"), "id").withColumn("channel", F.lit(0))
+    few = wanted.limit(MOST_WANTED + 1).collect() if index is None else []
+    if index is None and len(few) <= MOST_WANTED:
+        full, short = _scanned(memories, few, (F.col("owner") == owner) & F.col("status").isin(*statuses))
+    else:
+        full, short = _joined(index or index_of(memories), wanted, own)
+    hits = full.unionByName(short).groupBy("question", "id").agg(F.max("hit_score").alias("hit_score"))
+    ranked = durable(_best(own.join(hits, "id"), ["question"], [F.desc("hit_score"), F.desc("last_seen"), F.col("id")], MATCHES)).withColumn("channel", F.lit(0))
     # recent and pinned rows score alike for all questions; of these no more than the answer and all hits can matter
     recent = own.orderBy(F.desc("last_seen"), "id").limit(RECENT)
     rest = union_first([recent, own.where("pinned = 1")], "id").withColumn("channel", F.col("channel") + 1)
@@ -216,10 +213,42 @@ def recall_many(
     filled = _with_each(asked.select("question"), rest)
     scored = ranked.where(in_scope(scope, cwd)).select("question", "id", "channel", fused_score(as_of).alias("score"))
     # a row that was hit, in scope or not, doesn't come by another way
-    filled = filled.join(hits.select("question", "id"), ["question", "id"], "left_anti")
+    filled = filled.join(ranked.select("question", "id"), ["question", "id"], "left_anti")
     return _best(scored.unionByName(filled), ["question"], [F.desc("score"), F.col("channel"), F.col("id")], k)
 
 
+def _joined(index: Index, wanted: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``question, id, hit_score`` of the best matches and of those of terms of two characters, from an index."""
+    found = durable(index.hits(wanted.select("term").distinct()))
+    chars = F.length("term")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((F.lit(float(index.rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    norm = K1 * (F.lit(1 - B) + B * F.col("size") / F.lit(max(float(index.mean), 1.0)))
+    mine = found.join(own.select("id", "last_seen"), "id").join(df, "term").join(wanted, "term")
+    score = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    full = mine.where(chars >= 3).groupBy("question", "id").agg(F.sum(score).alias("bm25"))
+    full = _best(full, ["question"], [F.desc("bm25"), F.col("id")], MATCHES).select("question", "id", F.lit(HIT).alias("hit_score"))
+    short = _best(mine.where(chars == 2), ["question", "term"], [F.desc("last_seen"), F.desc("id")], SHORT_MATCHES)
+    return full, short.select("question", "id", F.lit(SHORT_HIT).alias("hit_score"))
+
+
+def _scanned(memories: DataFrame, wanted: list, own: Column) -> tuple[DataFrame, DataFrame]:
+    """As ``_joined``, from contents."""
+    terms = sorted({r.term for r in wanted})
+    number = {t: i for i, t in enumerate(terms)}
+    held = scanned(memories, terms, own)
+    rows, mean, df = counts_of(held)
+    weights = [max(math.log((rows - n + 0.5) / (n + 0.5)), LEAST_IDF) for n in (df.get(i, 0) for i in range(len(terms)))]
+    short = [len(t) == 2 for t in terms]
+    asked = sorted((number[r.term], r.question, r.times) for r in wanted)
+    long_ = [a for a in asked if not short[a[0]]]
+    best = durable(best_rows(held, long_, weights, short, max(float(mean), 1.0), K1, B, MATCHES, SHORT_MATCHES))
+    full = _best(best.where("NOT short"), ["key"], [F.desc("score"), F.col("id")], MATCHES)
+    newest = _best(best.where("short"), ["key"], [F.desc("seen"), F.desc("id")], SHORT_MATCHES)
+    of = memories.sparkSession.createDataFrame([a[:2] for a in asked if short[a[0]]], "key long, question long")
+    return full.select(F.col("key").alias("question"), "id", F.lit(HIT).alias("hit_score")), newest.join(of, "key").select("question", "id", F.lit(SHORT_HIT).alias("hit_score"))
+
+
 def _with_each(questions: DataFrame, rest: DataFrame) -> DataFrame:
     """Each question with the same few rows (``id, channel, score``, at most some eighty)."""
     fill = rest.collect()

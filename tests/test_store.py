@@ -327,3 +327,20 @@ def test_many_questions_at_once(spark, sf, excavate, scope):
         alone = R.fast_recall(memories, t or "", as_of, 6, scope=scope, cwd="/p/src3", excavate=excavate).collect()
         assert got.get(i, []) == [(r.id, r.channel, round(r.score, 9)) for r in alone], t
     assert R.recall_many(memories, questions.limit(0), as_of).count() == 0
+
+
+def test_many_questions_leave_little_behind(spark, sf):
+    """Without an index neither places nor pairs of rows and questions are written: what stays takes less than the texts."""
+    from pathlib import Path
+
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if spark.sparkContext.getCheckpointDir() else None
+    if folder is None:
+        from anamnesis.deploy import durable
+
+        durable(spark.range(1))
+        folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    written = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    memories, before = X.memories(spark, sf), written()
+    questions = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("question"), "text")
+    R.recall_many(memories, questions, F.lit("2024-07-01").cast("date")).write.format("noop").mode("overwrite").save()
+    assert written() - before < memories.agg(F.sum(F.octet_length("content"))).first()[0]
