@@ -38,10 +38,11 @@ GOOD, POOR, UNKNOWN = 0.9, 0.3, 0.5
 
 
 def cleaned(documents: DataFrame) -> DataFrame:
-    """``id, lang, source, content, digest`` of documents that have an id and say something."""
+    """``id, lang, source, content, digest`` of documents that have an id and say something. These are told after contents are
+    checkpointed; a filter before would be planned below the cleaning, which would then be done once more for it."""
     content = T.scrub(T.clean(T.strip_envelope(F.coalesce("text", F.lit("")))))
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), "lang", "source", content.alias("content"))
-    return rows.where("id IS NOT NULL AND content != ''").withColumn("digest", T.digest(F.col("content")))
+    return durable(rows.where("id IS NOT NULL").withColumn("digest", T.digest(F.col("content")))).where("content != ''")
 
 
 def decided(keys: DataFrame, labels: DataFrame, most_evidence: int) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +82,7 @@ def run(spark: SparkSession, documents: str, labels: str, output: str, most_evid
     """Write memories, tombstones and cards; returns what was read and written."""
     ship(spark)
     given = spark.read.parquet(documents).select("doc_id", "text", "lang", "source")
-    contents = durable(cleaned(given))
+    contents = cleaned(given)
     kept, stones = decided(contents.select("id", "lang", "source", "digest"), spark.read.parquet(labels).select("doc_id", "quality", "toxic"), most_evidence)
     memories_of(contents, kept, summary_chars).write.mode("overwrite").partitionBy("domain").parquet(f"{output}/memories")
     stones.write.mode("overwrite").parquet(f"{output}/tombstones")
