@@ -69,6 +69,40 @@ def in_parts(texts: list[str], lead: str = "") -> Iterator[tuple[list[str], list
         yield [*compress(names, used.tolist())], [place[mine] for mine in out]
 
 
+def in_words(texts: pa.Array) -> Iterator[tuple[pa.Array, list[str], list[np.ndarray]]]:
+    """Like ``in_parts``, with Arrow doing what can be done there: blocks of texts as their distinct words, which stand for
+    parts of a space and a word, as their other distinct parts, and for each text the numbers of its parts in order. The
+    others' numbers come after the words'. Null texts count as empty.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = np.cumsum(pc.utf8_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_CHARS, "right")))
+        block, at = texts.slice(at, end - at), end
+        split = pc.split_pattern(block, " ")
+        coded = split.flatten().dictionary_encode()
+        words, which, offsets = coded.dictionary, coded.indices.to_numpy(), split.offsets.to_numpy()
+        last = pc.utf8_slice_codeunits(words, -1).dictionary_encode()
+        odd = np.array([not c or c.isspace() for c in last.dictionary.to_pylist()])[last.indices.to_numpy()]
+        plain = np.diff(np.concatenate([[0], np.cumsum(odd[which])])[offsets]) == 0
+        inner = np.repeat(plain, np.diff(offsets))
+        inner[offsets[:-1]] = False
+        used = np.bincount(which[inner], minlength=len(words)) > 0
+        n, numbers = int(used.sum()), (np.cumsum(used) - 1)[which]
+        heads = words.take(pa.array(which[offsets[:-1]])).to_pylist()
+        others: dict[str, int] = {}
+        out = []
+        for i, head in enumerate(heads):
+            if plain[i]:
+                mine = numbers[offsets[i] : offsets[i + 1]]
+                mine[0] = n + others.setdefault(head, len(others))
+            else:
+                mine = np.array([n + others.setdefault(p, len(others)) for p in parts_of(block[i].as_py())], np.int64)
+            out.append(mine)
+        yield words.filter(pa.array(used)), [*others], out
+
+
 _MISSING = object()
 
 
@@ -129,13 +163,23 @@ class Vocabulary:
     def flat(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all parts, which aren't empty, and how many have come by the end of each part. Fails with a
         ``ValueError`` if the ids' bytes aren't those of the parts, or an id goes over a part's end."""
-        if not parts:
+        return self._flat(joined(parts), np.cumsum(pc.binary_length(pa.array(parts, pa.large_string())).to_numpy()))
+
+    def flat_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts that are a space and a word, which doesn't end in white space."""
+        here = np.cumsum(pc.binary_length(words).to_numpy() + 1)
+        first = [*np.flatnonzero(np.diff(here // RUN_CHARS, prepend=-1)).tolist(), len(words)]
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(first, pa.int32()), words), pa.scalar(" ", words.type))
+        return self._flat([" " + run for run in runs.to_pylist()], here)
+
+    def _flat(self, runs: list[str], here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not runs:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        lists = self.encode(joined(parts))
+        lists = self.encode(runs)
         ids = np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
-        if not self.lossless and b"".join([self.bytes[i] for i in ids.tolist()]) != "".join(parts).encode():
+        if not self.lossless and b"".join([self.bytes[i] for i in ids.tolist()]) != "".join(runs).encode():
             raise ValueError("other bytes")
-        ends, here = np.cumsum(self.lengths[ids]), np.cumsum(pc.binary_length(pa.array(parts, pa.large_string())).to_numpy())
+        ends = np.cumsum(self.lengths[ids])
         last = np.searchsorted(ends, here)
         if len(ends) != last[-1] + 1 or (ends[last] != here).any():
             raise ValueError("other places")

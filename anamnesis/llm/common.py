@@ -68,8 +68,9 @@ def map_rows(
     rows: Callable[[Iterator[dict[str, list]]], Iterable[tuple]],
     size: Callable[[tuple], int] = lambda row: 64,
     done: Callable[[], None] = lambda: None,
+    as_arrow: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``mapInArrow`` for functions from columns of Python values to output tuples.
+    """``mapInArrow`` for functions from columns of Python values, or of ``as_arrow`` as Arrow's arrays, to output tuples.
 
     Output goes out in batches of about ``FLUSH_BYTES``, so that memory stays bounded
     whatever the texts' lengths. ``done`` is called at a task's end, to empty tables.
@@ -78,7 +79,7 @@ def map_rows(
     def run(batches):
         def columns():
             for batch in batches:
-                yield {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+                yield {n: c if n in as_arrow else c.to_pylist() for n, c in zip(batch.schema.names, batch.columns)}
 
         held: list[tuple] = []
         weight = 0

@@ -6,10 +6,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from anamnesis.llm import chunks
 from anamnesis.llm import retrieval_packing as packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -133,3 +135,18 @@ def test_index_without_placed_units_scores_the_same():
         terms = np.arange(30)
         assert np.allclose(index.scores(terms), whole.scores(terms))
     assert len(index.unit) < len(whole.unit) / 2
+
+
+def test_words_stay_in_arrow_and_ids_are_the_librarys(monkeypatch):
+    """Python handles a text's first part and what has odd spaces, not each word, whatever blocks texts come in."""
+    encoder = packing.Encoder(packing.read_vocabulary(PATH))
+    plain = [" ".join(f"w{(k * n) % 997}x" for n in range(1, 400)) for k in range(1, 30)]
+    ((words, others, numbers),) = packing.in_words(pa.array(plain))
+    assert len(others) <= len(plain) and len(words) > 900 and [*map(len, numbers)] == [399] * len(plain)
+    odd = [None, "", " ", "a", " a", "a ", "a  b", "a \n b", "a\x1c b", "a\x85 b c", "a　 b", "é è  ê", "語 言", "<|endoftext|> a", "x" * 25_000 + " y", "it's we'll\n\n  I've"]
+    texts = [*odd, *plain, *odd]
+    want = [ids_of(t)[:-1] for t in texts]
+    for chars in (6_000_000, 3_000, 1):
+        monkeypatch.setattr(chunks, "BLOCK_CHARS", chars)
+        for rows in (pa.array(texts), pa.array(["cut", *texts], pa.large_string()).slice(1), pa.array(odd[:2])):
+            assert [ids.tolist() for ids in encoder.encode_all(rows)] == want[: len(rows)]
