@@ -50,9 +50,8 @@ def session_lines(spark, sf):
     rows = X.table(spark, sf, "conversations")
     folder = scratch(spark, "sessions")
     K.write_sessions(rows.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("line_no"), message(text=F.col("text")).alias("value")), folder)
-    out = E.read_lines(spark, folder, "*.txt")
-    own = F.regexp_extract("path", r"session=(\d+)/", 1).cast("long")
-    return out.select(own.alias("conv_id"), F.col("line_no").cast("long").alias("line_no"), F.get_json_object("value", "$.text").alias("text"))
+    out = E.read_sessions(spark, folder)
+    return out.select(F.col("session").cast("long").alias("conv_id"), F.col("line_no").cast("long").alias("line_no"), F.get_json_object("value", "$.text").alias("text"))
 
 
 @query(rf"""SELECT conv_id, turn, '[' || role || '] ' || {STRIPPED} AS line FROM conversations

@@ -50,6 +50,13 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", modified_a
     return whole.where(F.col("start") + F.col("_bytes") <= F.col("size")).drop("_bytes")
 
 
+def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """``session, line_no, value`` of the files that ``sinks.write_sessions`` wrote, numbered within each session."""
+    rows = read_lines(spark, folder, "*.txt")
+    rows = rows.select(F.get_json_object("value", "$.session").alias("session"), "line_no", F.get_json_object("value", "$.value").alias("value"))
+    return rows.withColumn("line_no", F.col("line_no") - F.min("line_no").over(Window.partitionBy("session")))
+
+
 def _spoken(text: Column, role: Column) -> Column:
     body = strip(strip_envelope(text))
     return F.when(F.length(body) > 0, F.concat(F.lit("["), role, F.lit("] "), body))
